@@ -31,10 +31,10 @@ def _named(keys: DataFrame, name: str) -> DataFrame:
     return materialize(ordered.withColumn("name", F.monotonically_increasing_id() + 1), name)
 
 
-def block_identities(texts: DataFrame, block_chars: int = 256) -> DataFrame:
+def block_identities(texts: DataFrame) -> DataFrame:
     """Rows (row, n, name) for rows (row, n, blocks): equal (n, name) means equal text. ``blocks`` is not empty."""
     current = texts.select("row", "n", F.size("blocks").alias("left"), F.posexplode("blocks").alias("i", "l"))
-    names = _named(current.select("l"), "blocks")
+    names = _named(current.select("l"), "block_names")
     current = current.join(names, "l").select("row", "n", "left", "i", "name")
     longest = texts.agg(F.max(F.size("blocks"))).first()[0] or 0
     done = []
@@ -46,67 +46,54 @@ def block_identities(texts: DataFrame, block_chars: int = 256) -> DataFrame:
         half = lambda k: F.max(F.when(F.col("i") % 2 == k, F.col("name")))
         pairs = (
             current.where("left > 1")
-            .groupBy("row", "n", F.ceil(F.col("left") / 2).alias("left"), F.shiftright("i", 1).alias("i"))
+            .groupBy("row", "n", F.ceil(F.col("left") / 2).cast("int").alias("left"), F.shiftright("i", 1).alias("i"))
             .agg(half(0).alias("l"), F.coalesce(half(1), F.lit(0)).alias("r"))
         )
-        pairs = materialize(pairs, "pairs")
         names = _named(pairs.select("l", "r"), "pair_names")
-        current = pairs.join(names, ["l", "r"]).select("row", "n", F.col("left").cast("int"), "i", "name")
+        current = pairs.join(names, ["l", "r"]).select("row", "n", "left", "i", "name")
         longest = -(-longest // 2)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 256, head_chars: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096, head_chars: int = 64) -> DataFrame:
     """One row per row of ``docs``: the id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after lower-casing A-Z; null counts as empty. Of equal texts the row with
     the largest id stays (a null id only if no other has the text); of rows that repeat both id and text exactly one is
     kept. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).alias("id"), text.alias("t"))
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     head = fold_ascii(F.substring("t", 1, head_chars)).alias("head")
     folded = fold_ascii(F.col("t"))
     first = materialize(plain.select("id", F.length("t").alias("n"), head, F.sha2(folded.cast("binary"), 256).alias("sha")), "heads")
-    sharing = first.groupBy("n", "head").agg(F.count("*").alias("c"))
-    several = sharing.where((F.col("c") > 1) & (F.col("n") > head_chars)).select("n", "head")
-
-    short = first.where(F.col("n") <= head_chars).select("id", "n", F.col("head").alias("key"), "sha")
-    alone = (
-        first.where(F.col("n") > head_chars)
-        .join(sharing.where("c = 1").select("n", "head"), ["n", "head"], "left_semi")
-        .select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    sharing = first.groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select("n", "head")
+    sharing = materialize(sharing, "sharing")
+    is_long = F.col("n") > head_chars
+    alone = first.join(sharing, ["n", "head"], "left_anti").select(
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
+    short = first.where(~is_long).join(sharing, ["n", "head"], "left_semi").select("id", "n", F.col("head").alias("key"), "sha")
     blocks = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     rest = (
         plain.select("id", "t", F.length("t").alias("n"), head)
-        .where(F.col("n") > head_chars)
-        .join(several, ["n", "head"], "left_semi")
+        .where(is_long)
+        .join(sharing, ["n", "head"], "left_semi")
         .select("id", "n", folded.alias("t"))
         .select(F.monotonically_increasing_id().alias("row"), "id", "n", F.sha2(F.col("t").cast("binary"), 256).alias("sha"), blocks.alias("blocks"))
     )
     rest = materialize(rest, "rest")
-    identity = materialize(block_identities(rest.select("row", "n", "blocks"), block_chars), "identities")
-    long = rest.select("row", "id", "sha").join(identity, "row").select("id", "n", F.col("name").alias("key"), "sha")
-    parts = [alone, _judged(short), _judged(materialize(long, "long"))]
-    out = reduce(DataFrame.unionByName, parts)
+    identity = block_identities(rest.select("row", "n", "blocks"))
+    long = rest.select("row", "id", "sha").join(identity, "row").select("id", "n", F.col("name").cast("string").alias("key"), "sha")
+    # n tells the two kinds of key apart.
+    rows = materialize(short.unionByName(long), "identities")
+    groups = materialize(rows.groupBy("n", "key").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    # Only rows that repeat an id within a group need an order among them.
+    same = Window.partitionBy("n", "key", "id").orderBy("sha")
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 1)
+    judged = rows.withColumn("k", F.row_number().over(same)).join(groups, ["n", "key"])
+    out = alone.unionByName(judged.select("id", "keep_id", "group_size", stays.alias("kept"), "sha"))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
-def _judged(rows: DataFrame) -> DataFrame:
-    """Rows (id, n, key, sha) with the largest id and the number of rows of their (n, key).
-
-    The counts are summed before the shuffle, and the join back may be split where one group is hot. Only rows that
-    repeat an id within a group need an order among them: these are counted by (n, key, id).
-    """
-    groups = rows.groupBy("n", "key").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    twice = Window.partitionBy("n", "key", "id").orderBy("sha")
-    return (
-        rows.withColumn("k", F.row_number().over(twice))
-        .join(groups, ["n", "key"])
-        .select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 1)).alias("kept"), "sha")
-    )
-
-
 SQL = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, language, mixing, pieces, quality, simhash, token_counts, url_filter, warc
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -19,17 +23,49 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list that stands in for a block list here: the URLs of the pages whose id is divisible by 10."""
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, pages.where(F.col("page_id") % 10 == 0).select("url"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mixing, op4_exact_dedup, op7_url_filter)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_source_mixing,
+        op4_exact_dedup,
+        op5_warc_round_trip,
+        op6_language_id,
+        op7_url_filter,
+        op8_token_counts,
+        op9_sentencepiece,
+        op10_simhash,
+    )
 }
 SQL: dict[str, str] = {
     "op2_source_mixing": mixing.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op5_warc_round_trip": warc.SQL,
     "op7_url_filter": url_filter.SQL,
 }
