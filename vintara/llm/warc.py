@@ -136,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 member = record(page_id, url, html.encode("utf-8", "surrogatepass"), to)
                 if out is None:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)  # by default it would pack a .gz again
                 out.write(member)
                 size, count = size + len(member), count + 1
         if out is not None:
