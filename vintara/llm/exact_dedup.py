@@ -73,10 +73,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     short = first.where(~is_long).join(sharing, ["n", "head"], "left_semi").select("id", "n", F.col("head").alias("key"), "sha")
     blocks = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
+    # Shuffled at every size, so that a small table shows what a large one takes; this is the only shuffle of whole texts.
     rest = (
         plain.select("id", "t", F.length("t").alias("n"), head)
         .where(is_long)
-        .join(sharing, ["n", "head"], "left_semi")
+        .join(sharing.hint("merge"), ["n", "head"], "left_semi")
         .select("id", "n", folded.alias("t"))
         .select(F.monotonically_increasing_id().alias("row"), "id", "n", F.sha2(F.col("t").cast("binary"), 256).alias("sha"), blocks.alias("blocks"))
     )
