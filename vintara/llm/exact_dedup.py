@@ -95,6 +95,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def keep_one_of_equals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = materialize(kept, "kept").hint("merge")
+    rows = docs.withColumn("_own", F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
+    same = Window.partitionBy("_sha", "_id").orderBy("_own")
+    return rows.withColumn("_k", F.row_number().over(same)).where("_k = 1").select(*docs.columns)
+
+
 SQL = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -18,8 +18,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNDETERMINED = "und"
 ALPHABET = 64
@@ -30,6 +31,8 @@ LONGEST_SAMPLED = 20_000
 #: Languages with the most labelled texts that are learned; the fit stays in the driver's memory.
 MAX_LANGUAGES = 200
 RIDGE = 1e-3
+#: A filter drops texts whose best language scores less (0.5: as near to that language as to the rest).
+LEAST_SCORE = 0.4
 BLOCK = 64
 
 
@@ -153,27 +156,42 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [(r["lang"], r["text"]) for r in picked.orderBy("d", "lang", "text").collect()]
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, lang_pred, score; see :func:`classify`."""
+def _predict(model: Model | None, grams: Grams, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    known = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
+    if known:
+        values = model.scores(grams, [texts[k] for k in known])
+        for k, row, b in zip(known, values, values.argmax(axis=1)):
+            langs[k] = model.languages[b]
+            scores[k] = float(min(1.0, max(0.0, (row[b] + 1) / 2)))
+    return langs, scores
+
+
+def identify(rows: DataFrame, model: Model | None, text_col: str) -> DataFrame:
+    """``rows`` with the columns _lang_pred and _score added, without a shuffle; see :func:`classify`."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(model.alphabet if model else "")
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            plain = [t or "" for t in texts]
-            langs, scores = [UNDETERMINED] * len(plain), [0.0] * len(plain)
-            known = [k for k, t in enumerate(plain) if any(map(str.isalpha, t))] if model else []
-            if known:
-                raw = model.scores(grams, [plain[k] for k in known])
-                best = raw.argmax(axis=1)
-                for k, row, b in zip(known, raw, best):
-                    langs[k] = model.languages[b]
-                    scores[k] = float(min(1.0, max(0.0, (row[b] + 1) / 2)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+            langs, scores = _predict(model, grams, batch.column(text_col).to_pylist())
+            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_lang_pred", "_score"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    return rows.mapInArrow(scored, schema)
+
+
+def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE) -> tuple[Model | None, Column]:
+    """The model of the documents that are not held out, and the condition by which documents are held out."""
+    held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0
+    return fit(labelled_sample(docs.where(~held), id_col, text_col, lang_col, sample)), held
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told: not ``und``, and a score of at least ``least_score``."""
+    model, _ = learned(docs, id_col, text_col, lang_col)
+    out = identify(docs, model, text_col).where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least_score))
+    return out.select(*docs.columns)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
@@ -185,8 +203,6 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     (-1..1) as 0..1, 0 for ``und``. Predictions see the text only, so equal texts have equal ones. A null id counts
     as the empty text. Other columns are ignored; an empty table gives no rows.
     """
-    held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0
-    model = fit(labelled_sample(docs.where(~held), id_col, text_col, lang_col, sample))
-    out = identify(docs, model, id_col, text_col)
-    held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0
-    return out.select(id_col, held.alias("held_out"), "lang_pred", "score")
+    model, held = learned(docs, id_col, text_col, lang_col, folds, sample)
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    return identify(rows, model, text_col).select(id_col, held.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))

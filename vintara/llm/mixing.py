@@ -117,7 +117,7 @@ def training_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = _decided(docs, id_col, text_col, source_col, weights, max_repeats, schedules, bucket_digits).where("taken > 0")
     first = F.min(F.struct("start", "size", "taken", "source_size", "quota", "schedule")).alias("m")
-    rows = materialize(rows.groupBy(F.col("id").alias("_id")).agg(first).select("_id", "m"), "decided")
+    rows = materialize(rows.groupBy(F.col("id").alias("_id")).agg(first), "decided").hint("merge")
     uses = F.expr("sequence(0, cast((m.taken - 1) div m.size as int))")
     out = docs.join(rows, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_use", F.explode(uses))
     words = F.least(F.col("m.size"), F.col("m.taken") - F.col("_use") * F.col("m.size")).cast("int")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -152,3 +152,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest id of their group of near duplicates.
+
+    Rows that repeat an id are one document: they share the decision of the first of them, and one row stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    kept = materialize(kept, "representatives").hint("merge")
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")))
+    one = Window.partitionBy("_id").orderBy(F.xxhash64(text_col))
+    return rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").select(*docs.columns)
