@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ def minimizers(raw: np.ndarray) -> np.ndarray:
     n = len(raw) - ANCHOR + 1
     h = w[:n] * _A
     h ^= (w[8 : n + 8] * _B) >> np.uint64(7)
-    h += w[16 : n + 16] * _C
+    h += w[ANCHOR - 8 : n + ANCHOR - 8] * _C
     h ^= h >> np.uint64(32)
     h *= _B
     h ^= h >> np.uint64(29)
@@ -68,6 +69,7 @@ class Shard:
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
         self.ids = [ids[k] for k in order]
         self.texts = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in order]
+        self._runs: list[tuple] | None = None
 
     def pieces(self) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
         """Bytes, and the parts (start, end, document, place in it) of which they consist; longer texts are cut with an overlap."""
@@ -106,40 +108,57 @@ class Shard:
             names = m[starts] * _A  # minima are small numbers; spread them
             yield data, starts, counts, names, doc[part], place[part] + starts - begin[part]
 
+    def all_runs(self) -> list[tuple]:
+        if self._runs is None:
+            self._runs = list(self.runs())
+        return self._runs
+
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct names, sorted, and whether two documents of the shard have them."""
-        found = [(names, doc) for _, _, _, names, doc, _ in self.runs()]
+        found = [(names, doc) for _, _, _, names, doc, _ in self.all_runs()]
         if not found:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         names, doc = (np.concatenate(x) for x in zip(*found))
         number = np.unique(np.array([i if i is not None else 0 for i in self.ids]), return_inverse=True)[1]
-        order = np.argsort(names, kind="stable")
-        names, doc = names[order], number[doc[order]]
+        order = np.argsort(names)
+        names, number = names[order], number[doc[order]]
         first = np.flatnonzero(np.diff(names, prepend=~names[:1]) != 0)
-        last = np.append(first[1:], len(names)) - 1
-        return names[first], doc[first] != doc[last]
-
-    def segments(self, answers: dict[int, bytes], buckets: int) -> tuple[dict[bytes, int], list[tuple]]:
-        """The distinct segments with a place each, and the runs they come from: (document, place in it, count, segment).
+        return names[first], np.minimum.reduceat(number, first) != np.maximum.reduceat(number, first)
 
-        Beside these, by segment: its name and its smallest document (the first, as documents stand in order of id).
-        """
+    def segments(self, answers: dict[int, bytes], buckets: int) -> Segments:
+        """Segments of the runs whose name another document has too, each distinct one once."""
         names, shared = self.names()
         cuts = _cuts(names, buckets)
         for k, bits in answers.items():
             part = slice(cuts[k], cuts[k + 1])
             shared[part] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[k + 1] - cuts[k]).astype(bool)
         known: dict[bytes, int] = {}
-        runs, of_name, of_doc = [], [], []
-        for data, starts, counts, name, doc, place in self.runs():
+        found = []
+        for data, starts, counts, name, doc, place in self.all_runs():
             wanted = np.flatnonzero(shared[np.searchsorted(names, name)])
-            for s, c, v, d, p in zip(starts[wanted].tolist(), counts[wanted].tolist(), name[wanted].tolist(), doc[wanted].tolist(), place[wanted].tolist()):
-                k = known.setdefault(data[s : s + c + LENGTH - 1], len(known))
-                if k == len(of_name):
-                    of_name.append(v)
-                    of_doc.append(self.ids[d])
-                runs.append((d, p, c, k))
-        return known, runs, np.array(of_name, np.uint64), np.array(of_doc, np.int64)
+            begin, end = starts[wanted], (starts + counts)[wanted] + LENGTH - 1
+            own = [known.setdefault(data[a:b], len(known)) for a, b in zip(begin.tolist(), end.tolist())]
+            found.append((name[wanted], doc[wanted], place[wanted], counts[wanted], np.array(own, np.int64)))
+        self._runs = None
+        empty = np.zeros(0, np.int64)
+        name, doc, place, count, own = (np.concatenate(x) for x in zip(*found)) if found else [empty.astype(np.uint64)] + [empty] * 4
+        # Documents stand in order of id, so the first run of a segment is its smallest document's.
+        first = np.empty(len(known), np.int64)
+        first[own[::-1]] = np.arange(len(own))[::-1]
+        ids = np.array([i if i is not None else 0 for i in self.ids], np.int64)
+        return Segments(list(known), name[first], ids[doc[first]] if len(first) else empty, doc, place, count, own)
+
+
+class Segments(NamedTuple):
+    """texts, names, docs: by distinct segment, docs being the smallest; doc, place, count, segment: by run."""
+
+    texts: list[bytes]
+    names: np.ndarray
+    docs: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+    segment: np.ndarray
 
 
 def _cuts(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -156,11 +175,11 @@ def _bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
 # Suffix arrays
 
 
-def suffix_array(raw: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Starts of all suffixes, sorted by at least their first ``depth`` bytes."""
+def suffix_array(raw: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in sorted order, to their ends: Kasai's scan relies on the order of long repeats too."""
     n = len(raw)
     key = _words(raw, ">u8")
-    sa = np.argsort(key, kind="stable").astype(np.int32)
+    sa = np.argsort(key).astype(np.int32)
     key = key[sa]
     # A group's number is the place of its last suffix; groups of one are done.
     group = np.empty(n + 1, np.int64)
@@ -178,11 +197,11 @@ def suffix_array(raw: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     new[:1] = True
     np.not_equal(key[1:], key[:-1], out=new[1:])
     unsorted, sorted_to = number(np.arange(n), new), 8
-    while sorted_to < depth and len(unsorted):
+    while len(unsorted):
         suffixes = sa[unsorted]
         beyond = group[np.minimum(suffixes.astype(np.int64) + sorted_to, n)]
         key = (group[suffixes] << 32) + beyond + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sa[unsorted] = suffixes[order]
         key = key[order]
         unsorted = number(unsorted, np.diff(key, prepend=-1) != 0)
@@ -190,13 +209,14 @@ def suffix_array(raw: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return sa
 
 
-def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int = LENGTH, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int = LENGTH, lanes: int = 0) -> np.ndarray:
     """Kasai's scan: by place in ``sa`` the bytes that the suffix shares with the one before it, counted up to ``most``.
 
     Going on by one byte in the text, a suffix and its predecessor share at least one byte less than before. The text
     is scanned in stretches side by side, eight bytes a step.
     """
     n = len(raw)
+    lanes = lanes or max(4096, n // 32)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     words = _words(np.concatenate((raw, np.zeros(most + 8, np.uint8))))
@@ -279,8 +299,8 @@ def _bound(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray,
     return lo
 
 
-def smaller_elsewhere(segments: list[bytes], docs: np.ndarray, piece_bytes: int = SORTED) -> list[np.ndarray]:
-    """By segment, for each string in it: whether a document smaller than the segment's own has the string."""
+def smaller_elsewhere(segments: list[bytes], docs: np.ndarray, piece_bytes: int = SORTED) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of each segment whether a document smaller than the segment's own has it; strings by segment."""
     number: dict[bytes, int] = {}
     of = np.array([number.setdefault(s, len(number)) for s in segments], np.int64)
     least = np.full(len(number), np.iinfo(np.int64).max)
@@ -294,8 +314,17 @@ def smaller_elsewhere(segments: list[bytes], docs: np.ndarray, piece_bytes: int
     for k, later in enumerate(pieces):
         for earlier in pieces[:k]:
             earlier.meet(later)
-    smallest = [part for p in pieces for part in np.split(p.least[p.group], np.cumsum(p.strings)[:-1])]
-    return [smallest[k] < d for k, d in zip(of.tolist(), docs.tolist())]
+    smallest = np.concatenate([p.least[p.group] for p in pieces])
+    strings = np.concatenate([p.strings for p in pieces])
+    begin = (np.cumsum(strings) - strings)[of]
+    strings = strings[of]
+    return smallest[_ranges(begin, strings)] < np.repeat(docs, strings), strings
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (count[0] numbers), begin[1], ..."""
+    at = np.cumsum(count) - count
+    return np.arange(int(count.sum())) + np.repeat(begin - at, count)
 
 
 # The groups' parts of the dialogue
@@ -341,7 +370,7 @@ def _answers(said: pa.Table, kind: int) -> dict[int, bytes]:
     return {r["place"]: r["bits"] for r in said.to_pylist() if r["kind"] == kind}
 
 
-def _by_bin(known: dict[bytes, int], names: np.ndarray, bins: int) -> Iterator[tuple[int, list[int]]]:
+def _by_bin(names: np.ndarray, bins: int) -> Iterator[tuple[int, list[int]]]:
     """The segments' places by bin, in the order in which they are sent and answered."""
     if len(names):
         bin_of = _bucket_of(names, bins)
@@ -355,11 +384,12 @@ def _send(groups: int):
     def send(rows: pa.Table, said: pa.Table) -> pa.Table:
         out = []
         if len(rows):
-            known, _, names, docs = Shard(rows).segments(_answers(said, 1), groups)
-            segments, shard = list(known), rows.column("shard")[0].as_py()
-            for k, part in _by_bin(known, names, groups):
-                sizes = np.array([len(segments[j]) for j in part], np.uint32)
-                out.append((k, shard, b"".join(segments[j] for j in part), sizes.tobytes(), docs[part].tobytes()))
+            found = Shard(rows).segments(_answers(said, 1), groups)
+            shard = rows.column("shard")[0].as_py()
+            for k, part in _by_bin(found.names, groups):
+                texts = [found.texts[j] for j in part]
+                sizes = np.fromiter(map(len, texts), np.uint32, len(texts))
+                out.append((k, shard, b"".join(texts), sizes.tobytes(), found.docs[part].tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _SEND)], schema=_SEND)
 
     return send
@@ -376,9 +406,9 @@ def _sort(piece_bytes: int):
                 segments += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
                 docs.append(np.frombuffer(ids.as_py(), np.int64))
                 counts.append(len(sizes))
-        flags = smaller_elsewhere(segments, np.concatenate(docs), piece_bytes)
-        ends = np.cumsum(counts)
-        bits = [np.packbits(np.concatenate(flags[b - c : b])).tobytes() for b, c in zip(ends, counts)]
+        flags, strings = smaller_elsewhere(segments, np.concatenate(docs), piece_bytes)
+        ends = np.cumsum(strings)[np.cumsum(counts) - 1]
+        bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         shards = rows.column("shard").combine_chunks().cast(pa.int32())
         place = rows.column("bin").combine_chunks().cast(pa.int32())
         return pa.Table.from_arrays([shards, pa.array([2] * len(bits), pa.int32()), place, pa.array(bits, pa.binary())], schema=_SAY)
@@ -386,38 +416,45 @@ def _sort(piece_bytes: int):
     return sort
 
 
+def _gone(shard: Shard, found: Segments, answers: dict[int, bytes], groups: int) -> list[np.ndarray | None]:
+    """By document which of its bytes are removed; None for none."""
+    strings = np.fromiter(map(len, found.texts), np.int64, len(found.texts)) - LENGTH + 1
+    begin = np.cumsum(strings) - strings
+    flags = np.zeros(int(strings.sum()), bool)
+    for k, part in _by_bin(found.names, groups):
+        count = strings[part]
+        flags[_ranges(begin[part], count)] = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=int(count.sum()))
+    gone: list[np.ndarray | None] = [None] * len(shard.ids)
+    ids = np.array([i if i is not None else 0 for i in shard.ids], np.int64)
+    later = ids[found.doc] > found.docs[found.segment]
+    # Runs stand in order of their documents.
+    edges = np.searchsorted(found.doc, np.arange(len(shard.ids) + 1))
+    for d in np.unique(found.doc).tolist():
+        part = slice(edges[d], edges[d + 1])
+        count, own = found.count[part], found.segment[part]
+        hit = np.repeat(later[part], count) | flags[_ranges(begin[own], count)]
+        at = _ranges(found.place[part], count)[hit]
+        if len(at):
+            steps = np.zeros(len(shard.texts[d]) + 1, np.int32)
+            steps[at] += 1
+            steps[at + LENGTH] -= 1
+            gone[d] = np.cumsum(steps[:-1]) > 0
+    return gone
+
+
 def _remove(groups: int, schema: pa.Schema, with_kept: bool):
     def remove(rows: pa.Table, said: pa.Table) -> pa.Table:
         out = []
         if len(rows):
             shard = Shard(rows)
-            known, runs, names, docs = shard.segments(_answers(said, 1), groups)
-            strings = np.array([len(s) for s in known], np.int64) - LENGTH + 1
-            flags: list = [None] * len(known)
-            answers = _answers(said, 2)
-            for k, part in _by_bin(known, names, groups):
-                bits = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=int(strings[part].sum())).astype(bool)
-                for j, own in zip(part, np.split(bits, np.cumsum(strings[part])[:-1])):
-                    flags[j] = own
-            by_doc: dict[int, list] = {}
-            for d, place, count, j in runs:
-                hit = np.ones(count, bool) if shard.ids[d] > docs[j] else flags[j]
-                if hit.any():
-                    by_doc.setdefault(d, []).append((place, hit))
-            for d, (doc, text) in enumerate(zip(shard.ids, shard.texts)):
+            found = shard.segments(_answers(said, 1), groups)
+            for doc, text, gone in zip(shard.ids, shard.texts, _gone(shard, found, _answers(said, 2), groups)):
                 removed = spans = 0
-                if d in by_doc:
-                    edges = np.zeros(len(text) + LENGTH, np.int32)
-                    for place, hit in by_doc[d]:
-                        at = np.flatnonzero(hit) + place
-                        edges[at] += 1
-                        edges[at + LENGTH] -= 1
-                    gone = np.cumsum(edges[: len(text)]) > 0
-                    removed = int(gone.sum())
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                kept = text
+                if gone is not None:
+                    removed = int(np.count_nonzero(gone))
+                    spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                else:
-                    kept = text
                 row = (doc, len(text), removed, spans, sha256(kept).hexdigest())
                 out.append((*row, kept) if with_kept else row)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
@@ -436,7 +473,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(2 * partitions(spark), -(-total // shard_bytes))
+    groups = max(partitions(spark), -(-total // shard_bytes))
     shard = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("shard")
     texts = rows.select(shard, "id", "text")
     asked = texts.groupBy("shard").applyInArrow(_ask(groups), _ddl(_ASK))
