@@ -1,0 +1 @@
+"""Point-in-time evidence on Spark: bitemporal facts, as-of reads, restatement statistics, panels, backtests, triage."""
