@@ -24,11 +24,13 @@ from .common import LOWER, UPPER, fold_ascii, materialize, partitions
 def _named(keys: DataFrame, name: str) -> DataFrame:
     """Distinct rows of ``keys``, sorted, each with an integer ``name`` from 1 on that grows in sorted order.
 
-    Written at once: all readers see the same names, also after an executor is lost.
+    The order is that of a 64-bit digest, then of the rows themselves: ranges are even whatever the blocks have in common,
+    and the sample from which they are cut is numbers, not blocks. Names count rows, so equal digests do no harm. Written
+    at once: all readers see the same names, also after an executor is lost.
     """
-    distinct = keys.distinct().repartitionByRange(partitions(keys.sparkSession), *keys.columns)
-    ordered = distinct.sortWithinPartitions(*keys.columns)
-    return materialize(ordered.withColumn("name", F.monotonically_increasing_id() + 1), name)
+    rows = keys.distinct().withColumn("digest", F.xxhash64(*keys.columns))
+    ordered = rows.repartitionByRange(partitions(keys.sparkSession), "digest").sortWithinPartitions("digest", *keys.columns)
+    return materialize(ordered.select(*keys.columns, (F.monotonically_increasing_id() + 1).alias("name")), name)
 
 
 def block_identities(texts: DataFrame) -> DataFrame:
