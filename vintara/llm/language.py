@@ -32,7 +32,7 @@ LONGEST_SAMPLED = 20_000
 MAX_LANGUAGES = 200
 RIDGE = 1e-3
 #: A filter drops texts whose best language scores less (0.5: as near to that language as to the rest).
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 BLOCK = 64
 
 

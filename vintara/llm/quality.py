@@ -31,7 +31,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 STRATA = (50, 200, 1000)
 STEPS = 200
 #: Share of good documents that a rule may reject in a stratum, and the probability that any rule anywhere exceeds it.
-RISK, ERROR = 0.002, 0.05
+RISK, ERROR = 0.005, 0.05
 #: A rule's measure, scaled so that 0 is harmless and 1 the worst.
 RULES = {
     "symbols": "n_symbols / word_chars",
