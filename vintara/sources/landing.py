@@ -43,7 +43,7 @@ def _shaped(docs: DataFrame, ddl: str, required: str) -> DataFrame:
 
 
 def _split(tagged: DataFrame, columns: list[str]) -> Parsed:
-    return Parsed(tagged.where("reason is null").select(*columns), tagged.where("reason is not null").select("source_uri", "reason"))
+    return Parsed(tagged.where("reason is null").select("source_uri", *[c for c in columns if c != "source_uri"]), tagged.where("reason is not null").select("source_uri", "reason"))
 
 
 def company_tickers(docs: DataFrame, observed_at: str) -> Parsed:
