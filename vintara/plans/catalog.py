@@ -595,3 +595,127 @@ def chain_fold_verify(spark, d):
 @query("SELECT period_end, CASE WHEN period_start IS NULL THEN 'instant, ' || CAST(period_end AS VARCHAR) ELSE CAST(period_start AS VARCHAR) || ' to ' || CAST(period_end AS VARCHAR) || ' (' || CAST(date_diff('day', period_start, period_end) AS VARCHAR) || 'd)' END AS label, count(*) AS n FROM facts GROUP BY 1, 2", "facts")
 def period_labels(spark, d):
     return p.facts(spark, d).groupBy("period_end", scalars.period_label(F.col("period_start"), F.col("period_end")).alias("label")).agg(F.count("*").alias("n"))
+
+
+# Smaller reads and rules
+
+
+@query("SELECT accn, cik, form, knowledge_date FROM company_filings WHERE knowledge_date <= DATE '2000-06-30' AND knowledge_date >= DATE '1999-01-01' AND form IN ('10-K', '10-Q')", "company_filings")
+def asof_filings(spark, d):
+    return AsOf(tables(spark, d), DAY).filings(forms=["10-K", "10-Q"], since=date(1999, 1, 1)).select("accn", "cik", "form", "knowledge_date")
+
+
+@query("""SELECT accn, cik, form, round(mean_lag, 6) AS mean_lag FROM habits WHERE n_priors >= 4 AND knowledge_date <= DATE '2000-06-30' AND
+          list_contains(items, '4.02') = false AND form = '10-Q'""", "habits")
+def filing_habits(spark, d):
+    rows = forensics.filing_lags(_filings(spark, d)).where((F.col("n_priors") >= 4) & ~scalars.has_item(F.col("items"), "4.02") & (F.col("form") == "10-Q"))
+    return rows.where("knowledge_date <= '2000-06-30'").select("accn", "cik", "form", "mean_lag")
+
+
+@query("SELECT cik, name, nullif(sic, '') AS sic FROM entities WHERE cik = 17", "entities")
+def entity_lookup(spark, d):
+    return AsOf(tables(spark, d), DAY).entity(17)
+
+
+@query("SELECT DISTINCT ticker FROM identifiers WHERE cik = 7", "identifiers")
+def entity_tickers(spark, d):
+    return AsOf(tables(spark, d), DAY).tickers(7)
+
+
+@query("SELECT max(filed_at) AS data_vintage FROM filings", "filings")
+def data_vintage(spark, d):
+    return p.filings(spark, d).agg(F.max("filed_at").alias("data_vintage"))
+
+
+@query("SELECT concept, count(*) AS facts, count(*) FILTER (WHERE restated) AS revised, round(count(*) FILTER (WHERE restated) / count(*), 6) AS share FROM per_fact GROUP BY 1", "per_fact")
+def revision_coverage(spark, d):
+    rows = corpus.per_fact(p.facts(spark, d)).groupBy("concept").agg(F.count("*").alias("facts"), F.count_if("restated").alias("revised"))
+    return rows.withColumn("share", corpus.share(F.col("revised"), F.col("facts")))
+
+
+@query("SELECT event_type AS source, count(*) AS runs, max(ts) AS last_started FROM events GROUP BY 1")
+def runs_by_source(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("runs"), F.max("ts").alias("last_started"))
+
+
+def _run_log(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "running").otherwise("ok")
+    return e.select((F.col("event_id") % 1000).cast("string").alias("run_id"), status.alias("status"), F.col("event_id").alias("ts"), (F.col("event_id") % 17).alias("rows_written"))
+
+
+@query("""SELECT run_id, CASE WHEN s = 'running' THEN 'interrupted' ELSE s END AS status, rows_written
+          FROM (SELECT CAST(event_id % 1000 AS VARCHAR) AS run_id, arg_max(CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' ELSE 'ok' END, event_id) AS s, max(event_id % 17) AS rows_written
+                FROM events GROUP BY 1)""")
+def run_states(spark, d):
+    return store.interrupted(store.run_states(_run_log(spark, d)))
+
+
+@query("""WITH o AS (SELECT 'S' || CAST(user_id % 40 AS VARCHAR) AS source, event_id AS seq, CASE WHEN value < 60 THEN 'failed' ELSE 'ok' END AS outcome FROM events),
+          g AS (SELECT *, sum(CASE WHEN outcome = 'failed' THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY seq) AS g FROM o),
+          c AS (SELECT *, CAST(sum(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY source, g ORDER BY seq) AS BIGINT) AS failures_in_row FROM g),
+          m AS (SELECT *, min(CASE WHEN failures_in_row >= 5 THEN seq END) OVER (PARTITION BY source) AS opened FROM c)
+          SELECT source, seq, outcome, failures_in_row FROM m WHERE opened IS NULL OR seq <= opened""")
+def circuit_breaker(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    outcome = F.when(F.col("value") < 60, "failed").otherwise("ok")
+    return store.broken_after(e.select(F.concat(F.lit("S"), (F.col("user_id") % 40).cast("string")).alias("source"), F.col("event_id").alias("seq"), outcome.alias("outcome")))
+
+
+@query("SELECT symbol, round(0.1 * CASE WHEN count(log_return) >= 2 THEN stddev_samp(log_return) ELSE 0.0 END * sqrt(0.04), 6) AS impact FROM pairs GROUP BY 1", "pairs")
+def impact_cost(spark, d):
+    rows = backtest.corwin_schultz(p.prices(spark, d))
+    return rows.select("symbol", backtest.impact_cost(F.lit(0.04), F.col("daily_volatility")).alias("impact"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(TRY_CAST(strftime(o_orderdate, '%Y-%m-') || CAST(20 + o_orderkey % 15 AS VARCHAR) AS DATE) AS DATE) AS parsed FROM orders")
+def parse_dates(spark, d):
+    """Dates as texts, some of which do not exist."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), (20 + F.col("o_orderkey") % 15).cast("string"))
+    return o.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), scalars.parse_date(text).alias("parsed"))
+
+
+@query("SELECT last_day(CAST('1995-01-15' AS DATE) + to_months(CAST(k AS INTEGER))) AS month_end FROM (SELECT unnest(range(84)) AS k)")
+def month_ends(spark, d):
+    first, last = F.lit("1995-01-15").cast("date"), F.lit("2001-12-02").cast("date")
+    return spark.range(1).select(F.explode(scalars.month_ends(first, last)).alias("month_end"))
+
+
+@query("SELECT cik FROM (SELECT p_partkey AS cik, p_retailprice AS val FROM part) WHERE val >= 905 ORDER BY sha256('7:' || CAST(cik AS VARCHAR)), cik LIMIT 30")
+def universe_sample(spark, d):
+    """A sampling operator: thirty companies by the digest of a seed and their number."""
+    from vintara.sources.landing import sampled_universe
+
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return sampled_universe(part.select(F.col("p_partkey").alias("cik"), F.col("p_retailprice").alias("val")), 905, 30, 7)
+
+
+@query("""SELECT split, role, count(*) AS n FROM (
+            SELECT o, s.split, CASE WHEN o // 5 IN (s.a, s.b) THEN 'test' WHEN (o >= s.a * 5 - 1 AND o < s.a * 5 + 6) OR (o >= s.b * 5 - 1 AND o < s.b * 5 + 6) THEN 'purged'
+                   WHEN (o > s.a * 5 AND o < s.a * 5 + 7) OR (o > s.b * 5 AND o < s.b * 5 + 7) THEN 'embargoed' ELSE 'train' END AS role
+            FROM (SELECT unnest(range(30)) AS o), (SELECT row_number() OVER (ORDER BY x.a, y.b) - 1 AS split, x.a, y.b FROM (SELECT unnest(range(6)) AS a) x, (SELECT unnest(range(6)) AS b) y WHERE x.a < y.b) s)
+          GROUP BY 1, 2""")
+def combinatorial_purged_splits(spark, d):
+    return statistics.purged_splits(spark, 30, 6, 2, horizon=1, embargo=2).groupBy(F.col("split").cast("long").alias("split"), "role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT accn, cik, starts_with(accn, lpad(CAST(cik AS VARCHAR), 10, '0')) AS is_primary FROM filings", "filings")
+def submission_links(spark, d):
+    return store.submission_links(p.filings(spark, d))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN f = CAST(f AS BIGINT) THEN CAST(CAST(f AS BIGINT) AS VARCHAR) ELSE CAST(f AS VARCHAR) END AS text FROM (SELECT l_orderkey, l_linenumber, l_discount * 100 AS d, round(l_quantity / 4, 2) AS f FROM lineitem)")
+def plain_numbers(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return li.select("l_orderkey", "l_linenumber", scalars.plain_number(F.round(F.col("l_quantity") / 4, 2).cast("decimal(38,10)")).alias("text"))
+
+
+@query("""SELECT a.arm, a.formation_date, count(*) AS n FROM (SELECT * FROM picked WHERE p[3] IS NOT NULL) a
+          JOIN (SELECT cik, taxonomy, formation_date FROM picked WHERE p[3] IS NOT NULL GROUP BY ALL HAVING count(DISTINCT arm) = 3) f
+            ON a.cik = f.cik AND a.taxonomy = f.taxonomy AND a.formation_date = f.formation_date GROUP BY 1, 2""", "picked")
+def panel_sizes(spark, d):
+    """The same number of names in every arm."""
+    picked = panel.pick_freshest(features.accruals(p.facts(spark, d), SPEC), FORMATIONS, _KEYS)
+    return panel.common_universe(picked, 3, _KEYS).groupBy("arm", "formation_date").agg(F.count("*").alias("n"))
