@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +20,25 @@ _dirs: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='vintara-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{_run}"
+    """A folder of this run in ``spark.checkpoint.dir``, which driver and executors share, with its file system in the name.
+
+    Where the setting is unset, as in tests, a temporary folder of this machine stands in.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{_run}")
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if path not in _dirs:
         _dirs.add(path)
         atexit.register(_remove, spark, path)
     return path
 
 
+@lru_cache(1)
+def _own_base() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='vintara-')}"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """At the driver's exit, as far as its JVM is still there: the written intermediates are of no further use."""
     with contextlib.suppress(Exception):
