@@ -199,8 +199,10 @@ def suffix_array(raw: np.ndarray) -> np.ndarray:
     unsorted, sorted_to = number(np.arange(n), new), 8
     while len(unsorted):
         suffixes = sa[unsorted]
-        beyond = group[np.minimum(suffixes.astype(np.int64) + sorted_to, n)]
-        key = (group[suffixes] << 32) + beyond + 1
+        # A suffix that has ended comes before those it is the beginning of; zeros after the text's end are no bytes.
+        rest = n - suffixes.astype(np.int64) - sorted_to
+        beyond = np.where(rest >= 0, group[n - np.maximum(rest, 0)], rest - 1)
+        key = (group[suffixes] << 32) + beyond + n + 1
         order = np.argsort(key)
         sa[unsorted] = suffixes[order]
         key = key[order]

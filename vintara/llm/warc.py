@@ -29,6 +29,8 @@ from .common import materialize, partitions, shared_dir
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive that one task reads.
 RANGE = 4 << 20
+#: Packed bytes that are enough to see how a record begins, whatever code tables stand before it.
+HEADER = 1024
 #: Payloads of at least so many bytes are stored once.
 MIN_REVISIT = 0
 DATE = "2020-01-01T00:00:00Z"
@@ -94,7 +96,9 @@ def records_in(f, start: int, end: int, size: int, ahead: int = 1 << 20) -> Iter
     data = f.read(min(end + ahead, size) - start)
     at = data.find(MAGIC)
     while 0 <= at < end - start:
-        if not _is_record(data[at : at + 1024]):
+        if len(data) - at < HEADER:
+            data += f.read(HEADER)
+        if not _is_record(data[at : at + HEADER]):
             at = data.find(MAGIC, at + 1)
             continue
         unpack, parts, fed, piece = zlib.decompressobj(31), [], at, 4096
