@@ -48,7 +48,9 @@ def test_prefix_counts(text, budget):
     for k in range(len(text) + 1):
         assert own.tokens_of_prefix(table, len(text[:k].encode())) == len(library.encode(text[:k], add_special_tokens=False).ids)
     if len(encoded.ids) > budget:
-        assert own.truncation_point(table, budget) <= len(text.encode())
+        chunks = text.encode().split()
+        end = own.truncation_point(text.encode(), chunks, budget)
+        assert end == (len(text[: encoded.offsets[budget - 1][1]].encode()) if budget else 0)
 
 
 @fast

@@ -7,15 +7,18 @@ chunks between white space, and the table of counts at chunk ends is a running s
 
 Inside a chunk the count is that of its own prefix, tokens(chunk[:j]), on top of the table. The table is a few
 numbers per chunk and answers how many tokens any prefix has, where a budget of tokens ends, and whether a text
-exceeds a limit, without encoding the text again. Every distinct chunk is encoded once per task.
+exceeds a limit, without encoding the text again. A chunk is encoded once per Python worker.
 """
 
 from __future__ import annotations
 
+import os
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
-from bisect import bisect_right
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,39 +26,72 @@ from pyspark.sql import functions as F
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
-#: Chunks kept by a task: at most so many, none longer than this many bytes.
-CACHED_CHUNKS, CACHED_BYTES = 500_000, 64
+#: How the vocabulary marks tokens that end a word; a vocabulary without marks is used chunk by chunk.
+END = "</w>"
+#: Chunks kept by a Python worker at most.
+CACHED_CHUNKS = 1_500_000
+#: Texts whose new chunks are encoded together.
+TEXTS = 256
 
 
 class PrefixCounter:
     """Counts for one tokenizer file; the cache is bounded and local to a task."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith(END)]] = True
         self.known: dict[bytes, int] = {}
 
-    def _encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def prepare(self, chunks: list[bytes]) -> None:
-        """Encode those of ``chunks`` that the cache does not hold."""
-        new = list({c for c in chunks if c not in self.known})
+    def _encode(self, chunks: list[bytes]) -> list[int]:
+        return list(map(len, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)))
+
+    def _encode_words(self, words: list[bytes]) -> list[int]:
+        """Words of Latin-1 letters only, joined: each is one part for the tokenizer, and its last token is one that ends a word."""
+        lines = [words[k : k + 1024] for k in range(0, len(words), 1024)]
+        counts = []
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(w).decode() for w in lines], add_special_tokens=False)):
+            ends = np.flatnonzero(self.is_end[np.array(e.ids, np.int64)])
+            counts += np.diff(ends, prepend=-1).tolist() if len(ends) == len(line) else self._encode(line)
+        return counts
+
+    def prepare(self, texts: list[list[bytes]]) -> None:
+        """Make sure that the cache holds the chunks of these texts; what it does not hold is encoded in one batch.
+
+        A chunk of Latin-1 letters has the tokens of its lower-case form, as the tokenizer folds case, and one that ends
+        with a full stop or comma after them has one part more than the letters alone, as the tokenizer parts letters
+        from other signs. Such chunks are encoded only if their letters are new too, all others as they stand.
+        """
+        new = set().union(*texts).difference(self.known)
         if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known = {}
-            new = list(set(chunks))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.known.update(zip(part, self._encode([c.decode("utf-8", "replace") for c in part])))
+            self.known.clear()
+            new = set().union(*texts)
+        known, words, others, plain = self.known, set(), [b".", b","], []
+        for c in new:
+            end = c[-1:] if c[-1:] in (b".", b",") else b""
+            letters = (c[:-1] if end else c).decode("utf-8", "replace")
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
+                base = letters.lower().encode()
+                plain.append((c, base, end))
+                words.add(base)
+            else:
+                others.append(c)
+        words = list(words.difference(known))
+        known.update(zip(words, self._encode_words(words)))
+        known.update(zip(others, self._encode(others)))
+        for c, base, end in plain:
+            known[c] = known[base] + known[end] if end else known[base]
 
     def table(self, text: str | None) -> tuple[list[int], list[int], bytes]:
         """Byte offsets at which chunks end, tokens up to there, and the bytes themselves."""
         raw = (text or "").encode("utf-8", "replace")
         chunks = raw.split()
-        self.prepare(chunks)
+        self.prepare([chunks])
         counts = list(accumulate(map(self.known.__getitem__, chunks)))
         ends, at = [], 0
         for c in chunks:
@@ -64,6 +100,7 @@ class PrefixCounter:
         return ends, counts, raw
 
     def total(self, chunks: list[bytes]) -> int:
+        """The last number of the table; the chunks are prepared."""
         return sum(map(self.known.__getitem__, chunks))
 
     def tokens_of_prefix(self, table: tuple[list[int], list[int], bytes], n_bytes: int) -> int:
@@ -72,22 +109,28 @@ class PrefixCounter:
         k = bisect_right(ends, n_bytes)
         before = counts[k - 1] if k else 0
         tail = raw[ends[k - 1] if k else 0 : n_bytes].strip()
-        return before + (self._encode([tail.decode("utf-8")])[0] if tail else 0)
+        return before + (self._encode([tail])[0] if tail else 0)
 
-    def truncation_point(self, table: tuple[list[int], list[int], bytes], budget: int) -> int:
+    def truncation_point(self, raw: bytes, chunks: list[bytes], budget: int) -> int:
         """Byte at which token number ``budget`` ends; the whole length for texts with no more tokens than that."""
-        ends, counts, raw = table
+        counts = list(accumulate(map(self.known.__getitem__, chunks)))
         k = bisect_right(counts, budget)
-        if k == len(ends):
+        if k == len(chunks):
             return len(raw)
-        start, before = (ends[k - 1], counts[k - 1]) if k else (0, 0)
+        start, before = len(raw) - len(raw.split(None, k)[-1]), counts[k - 1] if k else 0
         if before == budget:
-            return start
-        chunk = raw[start : ends[k]].decode("utf-8", "replace")
+            return len(raw[:start].rstrip())
+        chunk = chunks[k].decode("utf-8", "replace")
         encoded = self.tokenizer.encode(chunk, add_special_tokens=False)
         return start + len(chunk[: encoded.offsets[budget - before - 1][1]].encode())
 
 
+@lru_cache(1)
+def _counter(path: str) -> PrefixCounter:
+    """One per Python worker, which keeps its cache over the tasks that it runs."""
+    return PrefixCounter(path)
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, limit: int = LIMIT) -> DataFrame:
     """One row per row of ``docs``: the id, n_bytes, n_tokens, over_limit, limit_bytes.
 
@@ -98,21 +141,18 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = public_tokenizers.path(model)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
-        for batch in batches:
-            sizes, tokens, fits = [], [], []
-            texts = batch.column("text").to_pylist()
-            raws = [(t or "").encode("utf-8", "replace") for t in texts]
-            split = [r.split() for r in raws]
-            for text, raw, chunks in zip(texts, raws, split):
+        counter = _counter(path)
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS):
+                batch = whole.slice(at, TEXTS)
+                raws = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+                chunks = [r.split() for r in raws]
                 counter.prepare(chunks)
-                n = counter.total(chunks)
-                sizes.append(len(raw))
-                tokens.append(n)
-                fits.append(len(raw) if n <= limit else counter.truncation_point(counter.table(text), limit))
-            columns = [pa.array(x, pa.int64()) for x in (sizes, tokens)]
-            over = pa.array([n > limit for n in tokens], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, over, pa.array(fits, pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"])
+                tokens = list(map(counter.total, chunks))
+                fits = [len(r) if n <= limit else counter.truncation_point(r, c, limit) for r, c, n in zip(raws, chunks, tokens)]
+                columns = [pa.array(x, pa.int64()) for x in (list(map(len, raws)), tokens, fits)]
+                over = pa.array([n > limit for n in tokens], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns[:2], over, columns[2]], ["id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
