@@ -141,10 +141,11 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """X
+    """Rows (language, text) to fit on, in a fixed order: about ``sample`` texts of each language, drawn by a digest of the id.
 
-    A language's share of its rows is fixed from its count, so no language meets in one task, and the
-    driver holds about languages x sample texts.
+    Every labelled row counts towards a language's number of rows, from which its share is fixed; so no language meets in
+    one task, and the driver holds about languages x sample texts of at most ``LONGEST_SAMPLED`` characters. Rows without
+    a language and blank texts are not drawn.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (F.trim(text_col) != "") & (F.length(text_col) <= LONGEST_SAMPLED))
     counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
