@@ -130,10 +130,10 @@ def asof_instant_pin(spark, d):
     return AsOf(tables(spark, d), DAY).facts(concept="A", taxonomy="F", period_start=asof.INSTANT).select(*_FACT)
 
 
-@query(_LATEST.format("knowledge_date <= DATE '2001-03-31' AND cik < 50 AND taxonomy = 'F'") + " ORDER BY period_end DESC, unit, period_start NULLS FIRST, cik, concept LIMIT 20", "facts")
+@query(_LATEST.format("knowledge_date <= DATE '2001-03-31' AND taxonomy = 'F'") + " ORDER BY period_end DESC, unit, period_start NULLS FIRST, cik, concept LIMIT 20", "facts")
 def asof_facts_top(spark, d):
-    """The newest facts of some companies: a report of a fixed length."""
-    rows = AsOf(tables(spark, d), LATE_DAY).facts(taxonomy="F").where("cik < 50")
+    """The newest facts of a taxonomy: a report of a fixed length."""
+    rows = AsOf(tables(spark, d), LATE_DAY).facts(taxonomy="F")
     return rows.orderBy(F.desc("period_end"), "unit", F.col("period_start").asc_nulls_first(), "cik", "concept").limit(20).select(*_FACT)
 
 
@@ -248,9 +248,9 @@ def contamination_tally(spark, d):
     return corpus.tally(p.facts(spark, d))
 
 
-@query(_TALLY + " WHERE cik % 7 = 3 AND concept = 'A'", "per_fact")
+@query(_TALLY + " WHERE taxonomy = 'F' AND concept = 'A'", "per_fact")
 def contamination_slice(spark, d):
-    return corpus.tally(p.facts(spark, d).where("cik % 7 = 3 and concept = 'A'"))
+    return corpus.tally(p.facts(spark, d).where("taxonomy = 'F' and concept = 'A'"))
 
 
 @query(" UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, round(quantile_cont(relative_change, {q}), 6) AS change, round(quantile_cont(relative_change, {q}) FILTER (WHERE NOT is_sign_flip), 6) AS change_same_sign FROM per_fact WHERE restated" for q in corpus.QUANTILES), "per_fact")
@@ -379,11 +379,12 @@ def shortest_symbol(spark, d):
 # Writes
 
 
-@query("SELECT accn, cik, form FROM filings WHERE form = '10-K' OR cik % 3 = 0 EXCEPT SELECT accn, cik, form FROM filings WHERE cik % 3 = 0", "filings")
+@query("SELECT accn, cik, form FROM filings WHERE form = '10-K' OR filed_at < DATE '2000-01-01' EXCEPT SELECT accn, cik, form FROM filings WHERE filed_at < DATE '2000-01-01'", "filings")
 def insert_if_absent(spark, d):
-    """The new rows of a delivery of annual reports and every third company, where that company is known already."""
-    f = p.filings(spark, d).select("accn", "cik", "form")
-    return store.absent(f.where("form = '10-K' or cik % 3 = 0"), f.where("cik % 3 = 0"), ["accn"])
+    """The new rows of a delivery of annual reports and of all filings up to 1999, where the latter are known already."""
+    f, columns = p.filings(spark, d), ["accn", "cik", "form"]
+    old = "filed_at < date '2000-01-01'"
+    return store.absent(f.where(f"form = '10-K' or {old}").select(*columns), f.where(old).select(*columns), ["accn"])
 
 
 @query("SELECT content_sha256, min(doc_id) AS doc_id, arg_min(byte_len, doc_id) AS byte_len FROM payloads GROUP BY 1", "payloads")
