@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import LONG, ODD, SF, documents
 from vintara.llm import language, pieces, quality, token_counts
@@ -121,6 +122,23 @@ def test_every_prefix():
         assert counter.tokens_of_prefix(t, len(text[:k].encode())) == len(tok.encode(text[:k], add_special_tokens=False).ids), text[:k]
 
 
+def test_tables_answer_any_prefix_and_budget(spark):
+    tok = library()
+    texts = [t for _, t, *_ in ODD if len(t or "") < 1000] + ["Straße ÀÉÎ running, unrelated. 1\u3000 x" + "y" * 90]
+    docs = documents(spark, list(enumerate(texts)))
+    at = F.explode(F.sequence(F.lit(0), F.length("text"))).alias("k")
+    prefix = F.octet_length(F.expr("substring(text, 1, k)"))
+    counted = token_counts.count_tokens(docs, tables=True).join(docs.select("doc_id", "text"), "doc_id").select("*", at)
+    got = counted.select("doc_id", "k", token_counts.prefix_tokens(prefix).alias("n"), token_counts.budget_bytes(F.col("k")).alias("b")).collect()
+    assert len(got) == sum(len(t) + 1 for t in texts if t is not None)
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        offsets = tok.encode(text, add_special_tokens=False).offsets
+        assert r["n"] == len(tok.encode(text[: r["k"]], add_special_tokens=False).ids)
+        cut = len(text) if len(offsets) <= r["k"] else offsets[r["k"] - 1][1] if r["k"] else 0
+        assert r["b"] == len(text[:cut].encode()), (text, r)
+
+
 # pieces
 
 

@@ -1,27 +1,27 @@
 """Token counts of every prefix of a text, from one pass over it.
 
-The tokenizer drops white space and never joins what stands on both sides of it. So the count is additive over the
-chunks between white space, and the table of counts at chunk ends is a running sum:
+The tokenizer drops white space and never joins what stands on both sides of it. So a text's tokens are those of the
+chunks between white space, and two tables follow from what is known of its distinct chunks:
 
-    count[end of chunk k] = count[end of chunk k - 1] + tokens(chunk k)
+    end[i]    the byte at which token i ends: start of its chunk + the token's end inside the chunk
+    count[j]  the tokens of the first j bytes taken alone: tokens of the chunks before + tokens(chunk[:rest])
 
-Inside a chunk the count is that of its own prefix, tokens(chunk[:j]), on top of the table. The table is a few
-numbers per chunk and answers how many tokens any prefix has, where a budget of tokens ends, and whether a text
-exceeds a limit, without encoding the text again. A chunk is encoded once per Python worker.
+The first is built for every text and gives the number of tokens, whether the text exceeds a limit, and where any budget
+of tokens ends. The second, built if asked for, gives the exact count of any prefix; a prefix of a chunk is a chunk too
+and is encoded and kept like one. Neither encodes a text again. A chunk is encoded once per Python worker.
 """
 
 from __future__ import annotations
 
 import os
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "word_bpe_49k.json"
@@ -30,8 +30,11 @@ LIMIT = 2048
 END = "</w>"
 #: Chunks kept by a Python worker at most.
 CACHED_CHUNKS = 1_500_000
+#: Chunks of which the counts of all prefixes are kept, and the characters up to which their prefixes are kept as chunks.
+CACHED_INSIDE, SHORT = 200_000, 64
 #: Texts whose new chunks are encoded together.
 TEXTS = 256
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 class PrefixCounter:
@@ -44,21 +47,53 @@ class PrefixCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.is_end[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith(END)]] = True
-        self.known: dict[bytes, int] = {}
+        self.is_end[[k for token, k in vocabulary.items() if token.endswith(END)]] = True
+        self.n_bytes = np.zeros(len(self.is_end), np.int64)  # a token has one sign for each byte
+        self.n_bytes[list(vocabulary.values())] = [len(token.removesuffix(END)) for token in vocabulary]
+        self.sizes = self.n_bytes.tolist()
+        #: The bytes at which the chunk's tokens end; equal tuples are kept once.
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.shared: dict[tuple[int, ...], tuple[int, ...]] = {}
+        #: The exact counts of the chunk's first 1, 2, ... bytes.
+        self.inside: dict[bytes, np.ndarray] = {}
 
-    def _encode(self, chunks: list[bytes]) -> list[int]:
-        return list(map(len, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)))
+    def _encode(self, chunks: list[bytes]) -> list[tuple[int, ...]]:
+        """Ends from the tokens' own lengths for plain bytes that the tokens cover, else from the library's offsets."""
+        out = [(c, None) for c in chunks]
+        plain = [k for k, c in enumerate(chunks) if c.isascii()]
+        encoded = self.tokenizer.encode_batch_fast([chunks[k].decode() for k in plain], add_special_tokens=False)
+        for k, e in zip(plain, encoded):
+            ends = tuple(accumulate(map(self.sizes.__getitem__, e.ids)))
+            if ends and ends[-1] == len(chunks[k]):
+                out[k] = (chunks[k], ends)
+        rest = [k for k, (_, ends) in enumerate(out) if ends is None]
+        texts = [chunks[k].decode("utf-8", "replace") for k in rest]
+        for k, text, e in zip(rest, texts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            at = list(accumulate((len(x.encode()) for x in text), initial=0))
+            out[k] = (chunks[k], tuple(at[b] for _, b in e.offsets))
+        return [self.shared.setdefault(ends, ends) for _, ends in out]
 
-    def _encode_words(self, words: list[bytes]) -> list[int]:
+    def _encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Words of Latin-1 letters only, joined: each is one part for the tokenizer, and its last token is one that ends a word."""
         lines = [words[k : k + 1024] for k in range(0, len(words), 1024)]
-        counts = []
+        found = []
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(w).decode() for w in lines], add_special_tokens=False)):
-            ends = np.flatnonzero(self.is_end[np.array(e.ids, np.int64)])
-            counts += np.diff(ends, prepend=-1).tolist() if len(ends) == len(line) else self._encode(line)
-        return counts
+            ids = np.array(e.ids, np.int64)
+            last = np.flatnonzero(self.is_end[ids])
+            at = np.cumsum(self.n_bytes[ids])
+            if len(last) != len(line) or not np.array_equal(np.diff(at[last], prepend=0), list(map(len, line))):
+                found += self._encode(line)
+                continue
+            at, stops, a, before = at.tolist(), (last + 1).tolist(), 0, 0
+            for word, b in zip(line, stops):
+                ends = tuple([x - before for x in at[a:b]])
+                if not word.isascii():  # a token that ends inside a character counts as ending after it
+                    ends = tuple(x + (x < len(word) and word[x] & 0xC0 == 0x80) for x in ends)
+                found.append(self.shared.setdefault(ends, ends))
+                a, before = b, at[b - 1]
+        return found
 
     def prepare(self, texts: list[list[bytes]]) -> None:
         """Make sure that the cache holds the chunks of these texts; what it does not hold is encoded in one batch.
@@ -70,8 +105,9 @@ class PrefixCounter:
         new = set().union(*texts).difference(self.known)
         if len(self.known) + len(new) > CACHED_CHUNKS:
             self.known.clear()
+            self.shared.clear()
             new = set().union(*texts)
-        known, words, others, plain = self.known, set(), [b".", b","], []
+        known, words, others, plain = self.known, set(), [], []
         for c in new:
             end = c[-1:] if c[-1:] in (b".", b",") else b""
             letters = (c[:-1] if end else c).decode("utf-8", "replace")
@@ -85,44 +121,82 @@ class PrefixCounter:
         known.update(zip(words, self._encode_words(words)))
         known.update(zip(others, self._encode(others)))
         for c, base, end in plain:
-            known[c] = known[base] + known[end] if end else known[base]
+            ends = (*known[base], len(c)) if end else known[base]
+            known[c] = self.shared.setdefault(ends, ends)
 
-    def table(self, text: str | None) -> tuple[list[int], list[int], bytes]:
-        """Byte offsets at which chunks end, tokens up to there, and the bytes themselves."""
+    def prepare_inside(self, texts: list[list[bytes]]) -> None:
+        """Make sure that ``inside`` holds the chunks of these texts. Long chunks' prefixes are encoded, but not kept as chunks."""
+        new = set().union(*texts).difference(self.inside)
+        if len(self.inside) + len(new) > CACHED_INSIDE:
+            self.inside.clear()
+            new = set().union(*texts)
+        if not new:
+            return
+        decoded = {c: c.decode("utf-8", "replace") for c in new}
+        prefixes = {c: [t[:k].encode() for k in range(1, len(t) + 1)] for c, t in decoded.items() if len(t) <= SHORT}
+        self.prepare(list(prefixes.values()))
+        for c, t in decoded.items():
+            if c in prefixes:
+                counts = [len(self.known[x]) for x in prefixes[c]]
+            else:
+                counts = []
+                for k in range(1, len(t) + 1, TEXTS):
+                    part = [t[:j] for j in range(k, min(k + TEXTS, len(t) + 1))]
+                    counts += [len(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            # Inside a character the count is that of the characters before it.
+            width = [len(x.encode()) for x in t]
+            self.inside[c] = np.repeat([0, *counts], [width[0] - 1, *width[1:], 1])
+
+    def token_ends(self, raw: bytes, chunks: list[bytes]) -> np.ndarray:
+        """The byte at which each token of the text ends; the chunks are prepared."""
+        inner = list(map(self.known.__getitem__, chunks))
+        lengths = np.fromiter(map(len, inner), np.int64, len(inner))
+        return np.repeat(_starts(raw), lengths) + np.fromiter(chain.from_iterable(inner), np.int64, int(lengths.sum()))
+
+    def prefix_counts(self, raw: bytes, chunks: list[bytes]) -> np.ndarray:
+        """The exact count of the first 0, 1, ... bytes; the chunks are prepared inside."""
+        at = np.zeros(len(raw) + 1, np.int64)
+        if chunks:
+            inner = [self.inside[c] for c in chunks]
+            lengths = np.fromiter(map(len, inner), np.int64, len(inner))
+            before = np.concatenate(([0], np.cumsum([x[-1] for x in inner])))
+            space = _SPACE[np.frombuffer(raw, np.uint8)]
+            at[1:][~space] = np.concatenate(inner) + np.repeat(before[:-1], lengths)
+            ended = np.searchsorted(_starts(raw) + lengths, np.flatnonzero(space), "right")
+            at[1:][space] = before[ended]
+        return at
+
+    def table(self, text: str | None) -> tuple[list[int], list[int], np.ndarray]:
+        """Byte offsets at which chunks end, tokens up to there, and the counts of all prefixes."""
         raw = (text or "").encode("utf-8", "replace")
         chunks = raw.split()
+        self.prepare_inside([chunks])
         self.prepare([chunks])
-        counts = list(accumulate(map(self.known.__getitem__, chunks)))
-        ends, at = [], 0
-        for c in chunks:
-            at = raw.index(c, at) + len(c)
-            ends.append(at)
-        return ends, counts, raw
-
-    def total(self, chunks: list[bytes]) -> int:
-        """The last number of the table; the chunks are prepared."""
-        return sum(map(self.known.__getitem__, chunks))
-
-    def tokens_of_prefix(self, table: tuple[list[int], list[int], bytes], n_bytes: int) -> int:
+        counts = self.prefix_counts(raw, chunks)
+        ends = (_starts(raw) + np.fromiter(map(len, chunks), np.int64, len(chunks))).tolist()
+        return ends, counts[ends].tolist(), counts
+
+    def tokens_of_prefix(self, table: tuple[list[int], list[int], np.ndarray], n_bytes: int) -> int:
         """Tokens of the first ``n_bytes`` bytes, which end between characters."""
-        ends, counts, raw = table
-        k = bisect_right(ends, n_bytes)
-        before = counts[k - 1] if k else 0
-        tail = raw[ends[k - 1] if k else 0 : n_bytes].strip()
-        return before + (self._encode([tail])[0] if tail else 0)
+        return int(table[2][n_bytes])
 
     def truncation_point(self, raw: bytes, chunks: list[bytes], budget: int) -> int:
         """Byte at which token number ``budget`` ends; the whole length for texts with no more tokens than that."""
-        counts = list(accumulate(map(self.known.__getitem__, chunks)))
-        k = bisect_right(counts, budget)
-        if k == len(chunks):
-            return len(raw)
-        start, before = len(raw) - len(raw.split(None, k)[-1]), counts[k - 1] if k else 0
-        if before == budget:
-            return len(raw[:start].rstrip())
-        chunk = chunks[k].decode("utf-8", "replace")
-        encoded = self.tokenizer.encode(chunk, add_special_tokens=False)
-        return start + len(chunk[: encoded.offsets[budget - before - 1][1]].encode())
+        return _cut(self.token_ends(raw, chunks), len(raw), budget)
+
+
+def _starts(raw: bytes) -> np.ndarray:
+    space = np.concatenate(([True], _SPACE[np.frombuffer(raw, np.uint8)]))
+    return np.flatnonzero(space[:-1] & ~space[1:])
+
+
+def _cut(ends: np.ndarray, n_bytes: int, budget: int) -> int:
+    return n_bytes if len(ends) <= budget else int(ends[budget - 1]) if budget else 0
+
+
+def _nested(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
 
 
 @lru_cache(1)
@@ -131,12 +205,16 @@ def _counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, limit: int = LIMIT) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, limit: int = LIMIT, tables: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, n_bytes, n_tokens, over_limit, limit_bytes.
 
     n_tokens is what the tokenizers library gives for the whole text without added special tokens; limit_bytes is the
     byte at which token number ``limit`` ends, where a truncated text stops; n_bytes for texts within the limit. Null counts as empty:
     no bytes, no tokens. Rows that repeat are counted each; other columns are ignored; an empty table gives no rows.
+
+    With ``tables`` come two arrays, from which :func:`budget_bytes` and :func:`prefix_tokens` answer for any budget and
+    any prefix: token_ends, the byte at which each token ends, and prefix_counts, the tokens of the first 0, 1, ... n_bytes
+    bytes taken alone. The latter encodes all prefixes of the distinct chunks: time in the square of a chunk's length.
     """
     path = public_tokenizers.path(model)
 
@@ -147,14 +225,33 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 batch = whole.slice(at, TEXTS)
                 raws = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
                 chunks = [r.split() for r in raws]
+                if tables:
+                    counter.prepare_inside(chunks)
                 counter.prepare(chunks)
-                tokens = list(map(counter.total, chunks))
-                fits = [len(r) if n <= limit else counter.truncation_point(r, c, limit) for r, c, n in zip(raws, chunks, tokens)]
-                columns = [pa.array(x, pa.int64()) for x in (list(map(len, raws)), tokens, fits)]
+                ends = list(map(counter.token_ends, raws, chunks))
+                tokens = list(map(len, ends))
+                cuts = [_cut(e, len(r), limit) for r, e in zip(raws, ends)]
+                columns = [pa.array(x, pa.int64()) for x in (list(map(len, raws)), tokens, cuts)]
                 over = pa.array([n > limit for n in tokens], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns[:2], over, columns[2]], ["id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"])
+                columns = [batch.column("id"), *columns[:2], over, columns[2]]
+                if tables:
+                    columns += [_nested(ends), _nested(list(map(counter.prefix_counts, raws, chunks)))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = ["id", "n_bytes", "n_tokens", "over_limit", "limit_bytes", *(["token_ends", "prefix_counts"] if tables else [])]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(counted, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
+    more = ", token_ends array<long>, prefix_counts array<long>" if tables else ""
+    out = rows.mapInArrow(counted, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long{more}")
     return out.withColumnRenamed("id", id_col)
+
+
+def budget_bytes(budget: Column) -> Column:
+    """From the tables: the byte at which token number ``budget`` ends; n_bytes for texts with no more tokens than that."""
+    end = F.when(budget > 0, F.get("token_ends", (budget - 1).cast("int"))).otherwise(0)
+    return F.when(F.col("n_tokens") <= budget, F.col("n_bytes")).otherwise(end)
+
+
+def prefix_tokens(n_bytes: Column) -> Column:
+    """From the tables: the exact number of tokens of the text's first ``n_bytes`` bytes, which end between characters; null beyond the text."""
+    return F.get("prefix_counts", n_bytes.cast("int"))
