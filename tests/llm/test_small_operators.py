@@ -169,6 +169,20 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_many_scripts_and_languages_are_told_apart(spark):
+    """Each language has letters of its own; one is labelled only on texts longer than the fit's share of a text."""
+    letters = [chr(p) for first in (0x4E00, 0xAC00) for p in range(first, first + 5 * 125)]
+    texts = {f"l{k:03}": letters[5 * k : 5 * k + 5] for k in range(250)}
+    docs = []
+    for name, own in texts.items():
+        for k in range(6):
+            word = "".join(own[(j * (k + 1)) % 5] for j in range(5))
+            text = f"{word} {own[k % 5]}{own[(k + 2) % 5]} {word[::-1]} "
+            docs.append((len(docs), text * (3000 if name == "l007" else 1), name))
+    got = language.classify(documents(spark, docs)).collect()
+    assert all(r["lang_pred"] == docs[r["doc_id"]][2] for r in got)
+
+
 def test_odd_languages(spark):
     got = language.classify(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)

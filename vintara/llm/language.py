@@ -3,11 +3,12 @@
 The kernel of two texts counts the n-grams (n = 1, 2, 3 together: the blended spectrum) that both contain, presence
 only, divided by the geometric mean of the two texts' own numbers of n-grams. A bounded sample of labelled texts is drawn
 per language; some of it serve as Nyström landmarks, and a ridge regression per language, one against the rest, is fitted
-on the landmark kernels. To score a text only the landmarks' n-grams matter, so presence over these is a dense row, and
+on the landmark kernels. To score a text only the landmarks' n-grams matter, and
 a batch of texts is one matrix product with (landmark presence x coefficients), a table of n-grams by languages.
 
-Letters are folded to lower case and everything that is no letter is one boundary sign. The alphabet is that of the
-sample: its most frequent letters, all others sharing one sign.
+Letters are folded to lower case and everything that is no letter is one boundary sign. Letters of all scripts stand for
+themselves: an n-gram's code is its code points in one 64-bit number, looked up in the landmarks' sorted n-grams, of
+which there are as many as the bounded sample has.
 """
 
 from __future__ import annotations
@@ -23,17 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNDETERMINED = "und"
-ALPHABET = 64
+#: Bits of a code point; three of them are one n-gram.
+POINT = 21
 #: The fit sees at most about so many texts of a language, and so many of them are landmarks.
 SAMPLE, LANDMARKS = 400, 48
-#: Longer texts are not drawn for the fit; they are scored whole like all others.
+#: The fit sees so many characters of a text at most, from its beginning; all texts are scored whole.
 LONGEST_SAMPLED = 20_000
-#: Languages with the most labelled texts that are learned; the fit stays in the driver's memory.
-MAX_LANGUAGES = 200
 RIDGE = 1e-3
 #: A filter drops texts whose best language scores less (0.5: as near to that language as to the rest).
 LEAST_SCORE = 0.3
-BLOCK = 64
+#: N-grams that the fit looks at together.
+BLOCK = 4096
 
 
 @lru_cache(1)
@@ -49,69 +50,48 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return letter, folded
 
 
-class Grams:
-    """Signs of texts over an alphabet, and the n-gram codes present in them."""
-
-    def __init__(self, alphabet: str):
-        self.letter, folded = _letters()
-        sign = np.zeros(0x110000, np.uint8)
-        sign[self.letter] = 1  # a letter outside the alphabet
-        own = np.zeros(0x110000, np.uint8)
-        for k, c in enumerate(alphabet):
-            own[ord(c)] = k + 2
-        self.sign = np.where(own[folded] > 0, own[folded], sign)
-        self.sign[~self.letter] = 0
-        base = ALPHABET
-        self.size = base + base**2 + base**3
-
-    def codes(self, text: str) -> tuple[np.ndarray, bool]:
-        """Codes of all n-grams, with repetitions, and whether the text has a letter."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        signs = self.sign[points].astype(np.int32)
-        has = bool(signs.any())
-        signs = signs[np.concatenate(([True], (signs[1:] > 0) | (signs[:-1] > 0)))] if len(signs) else signs
-        signs = np.concatenate(([0], signs, [0])).astype(np.int32)
-        two = signs[:-1] * ALPHABET + signs[1:]
-        three = two[:-1] * ALPHABET + signs[2:]
-        return np.concatenate((signs, two + ALPHABET, three + ALPHABET + ALPHABET**2)), has
-
-
-def _alphabet(texts: list[str]) -> str:
-    seen = Counter(c for t in texts for c in t.lower() if len(c) == 1 and c.isalpha())
-    return "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]))
+def _codes(text: str) -> np.ndarray:
+    """Codes of the distinct n-grams of a text, sorted: the code points of its letters, one 0 for a run of other signs, in 64 bits."""
+    letter, folded = _letters()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    signs = np.where(letter[points], folded[points], 0).astype(np.int64)
+    signs = signs[np.concatenate(([True], (signs[1:] > 0) | (signs[:-1] > 0)))] if len(signs) else signs
+    signs = np.concatenate(([0], signs, [0]))
+    # One more than the code point, so that shorter n-grams have codes of their own.
+    signs += 1
+    two = signs[:-1] << POINT | signs[1:]
+    three = two[:-1] << POINT | signs[2:]
+    return np.unique(np.concatenate((signs, two, three)))
 
 
 class Model:
     """Scores by language: presence @ weights / sqrt(number of n-grams), then a squeeze to 0..1."""
 
-    def __init__(self, languages: list[str], alphabet: str, column: np.ndarray, weights: np.ndarray):
-        self.languages, self.alphabet, self.column, self.weights = languages, alphabet, column, weights
+    def __init__(self, languages: list[str], vocabulary: np.ndarray, weights: np.ndarray):
+        self.languages, self.vocabulary, self.weights = languages, vocabulary, weights
 
-    def scores(self, grams: Grams, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.languages)))
-        width = self.weights.shape[0]
-        for k in range(0, len(texts), BLOCK):
-            part = texts[k : k + BLOCK]
-            presence = np.zeros((len(part), width + 1), np.float32)
-            own = np.zeros(len(part))
-            for r, text in enumerate(part):
-                codes, _ = grams.codes(text)
-                present = np.zeros(grams.size, bool)
-                present[codes] = True
-                own[r] = np.count_nonzero(present)
-                presence[r, self.column[codes]] = 1
-            out[k : k + BLOCK] = presence[:, :width] @ self.weights / np.sqrt(own)[:, None]
+        for k, text in enumerate(texts):
+            codes = _codes(text)
+            at, _ = _places(codes, self.vocabulary)
+            out[k] = self.weights[at].sum(axis=0, dtype=float) / np.sqrt(len(codes))
         return out
 
 
+def _places(codes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the codes that the sorted vocabulary has stand in it, and which of ``codes`` these are."""
+    at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
+    found = vocabulary[at] == codes
+    return at[found], found
+
+
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """rows: (language, text), in a fixed order. None if there is nothing to learn from."""
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
-    alphabet = _alphabet([t for _, t in rows])
-    grams = Grams(alphabet)
-    sets = [np.unique(grams.codes(t)[0]) for _, t in rows]
+    sets = [_codes(t) for _, t in rows]
     taken: Counter = Counter()
     marks = []
     for k, (lang, _) in enumerate(rows):
@@ -119,15 +99,24 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
         if taken[lang] <= landmarks:
             marks.append(k)
     vocabulary = np.unique(np.concatenate([sets[k] for k in marks]))
-    column = np.full(grams.size, len(vocabulary), np.int32)
-    column[vocabulary] = np.arange(len(vocabulary))
-    presence = np.zeros((len(rows), len(vocabulary) + 1), np.float32)
-    for r, codes in enumerate(sets):
-        presence[r, column[codes]] = 1
-    presence = presence[:, :-1]
     own = np.sqrt([len(s) for s in sets])
-    mark_rows = presence[marks] / own[marks][:, None].astype(np.float32)
-    kernel = (presence @ mark_rows.T).astype(float) / own[:, None]
+    at, found = _places(np.concatenate(sets), vocabulary)
+    rows_at = np.repeat(np.arange(len(sets)), list(map(len, sets)))[found]
+    order = np.argsort(at, kind="stable")
+    at, rows_at = at[order], rows_at[order]
+
+    def slices() -> Iterator[tuple[int, np.ndarray]]:
+        """Presence of BLOCK n-grams in all texts at a time: the whole table need not fit the driver."""
+        for first in range(0, len(vocabulary), BLOCK):
+            a, b = np.searchsorted(at, (first, first + BLOCK))
+            part = np.zeros((len(sets), min(BLOCK, len(vocabulary) - first)), np.float32)
+            part[rows_at[a:b], at[a:b] - first] = 1
+            yield first, part
+
+    common = np.zeros((len(sets), len(marks)), np.float32)
+    for _, part in slices():
+        common += part @ part[marks].T
+    kernel = common.astype(float) / own[:, None] / own[marks]
     values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-8 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
@@ -137,31 +126,33 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     weight = np.array([1 / count[lang] for lang, _ in rows])[:, None]
     gram = features.T @ (features * weight) + ridge * np.eye(features.shape[1])
     coefficients = whiten @ np.linalg.solve(gram, features.T @ (target * weight))
-    return Model(languages, alphabet, column, (mark_rows.T @ coefficients).astype(np.float32))
+    coefficients = (coefficients / own[marks][:, None]).astype(np.float32)
+    return Model(languages, vocabulary, np.concatenate([part[marks].T @ coefficients for _, part in slices()]))
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """Rows (language, text) to fit on, in a fixed order: about ``sample`` texts of each language, drawn by a digest of the id.
+    """Rows (language, text) to fit on, in a fixed order: about ``sample`` texts of each language, drawn by a digest of id and text.
 
     Every labelled row counts towards a language's number of rows, from which its share is fixed; so no language meets in
-    one task, and the driver holds about languages x sample texts of at most ``LONGEST_SAMPLED`` characters. Rows without
-    a language and blank texts are not drawn.
+    one task, and the driver holds about languages x sample texts, of each its first ``LONGEST_SAMPLED`` characters. All
+    languages are drawn from; the row with the least digest is always
+    taken. Rows that repeat are drawn once; rows without a language and blank texts are not drawn.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.trim(text_col) != "") & (F.length(text_col) <= LONGEST_SAMPLED))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    digest = F.crc32(F.concat(F.lit("sample:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))) / F.lit(2.0**32)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], min(1.0, sample / r["count"])).otherwise(share)
-    picked = rows.where(digest < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), digest.alias("d"))
-    return [(r["lang"], r["text"]) for r in picked.orderBy("d", "lang", "text").collect()]
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.trim(text_col) != ""))
+    name = F.concat_ws(":", F.lit("sample"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string"))
+    digest = F.crc32(name) / F.lit(2.0**32)
+    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_count"), F.min(digest).alias("_least"))
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("_count"))
+    drawn = rows.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where((digest < share) | (digest == F.col("_least")))
+    picked = drawn.groupBy(F.col(lang_col).alias("lang"), digest.alias("d")).agg(F.min(F.substring(text_col, 1, LONGEST_SAMPLED)).alias("text"))
+    return [(r["lang"], r["text"]) for r in picked.orderBy("d", "lang").collect()]
 
 
-def _predict(model: Model | None, grams: Grams, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     known = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
     if known:
-        values = model.scores(grams, [texts[k] for k in known])
+        values = model.scores([texts[k] for k in known])
         for k, row, b in zip(known, values, values.argmax(axis=1)):
             langs[k] = model.languages[b]
             scores[k] = float(min(1.0, max(0.0, (row[b] + 1) / 2)))
@@ -172,9 +163,8 @@ def identify(rows: DataFrame, model: Model | None, text_col: str) -> DataFrame:
     """``rows`` with the columns _lang_pred and _score added, without a shuffle; see :func:`classify`."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(model.alphabet if model else "")
         for batch in batches:
-            langs, scores = _predict(model, grams, batch.column(text_col).to_pylist())
+            langs, scores = _predict(model, batch.column(text_col).to_pylist())
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_lang_pred", "_score"])
 
@@ -199,7 +189,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of ``docs``: the id, held_out, lang_pred, score.
 
     Documents whose crc32 of the id as text is divisible by ``folds`` are held out; the others with a language are
-    learned from, at most about ``sample`` texts of each. lang_pred is a learned language, ``und`` for texts that are
+    learned from, at most about ``sample`` texts of each, every language. lang_pred is a learned language, ``und`` for texts that are
     null or have no letter, or if nothing can be learned. score is the ridge regression's value for that language
     (-1..1) as 0..1, 0 for ``und``. Predictions see the text only, so equal texts have equal ones. A null id counts
     as the empty text. Other columns are ignored; an empty table gives no rows.
