@@ -1,5 +1,6 @@
 """Operators over whole tables, and the pipeline, against plain Python."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -140,6 +141,16 @@ def test_odd_near_duplicates(spark):
     assert len(kept) == len(set(kept)) and 8 in kept and 10 not in kept and 1 in kept
 
 
+def test_unrelated_texts_with_null_or_repeated_ids_stay(spark):
+    texts = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(40)]
+    docs = [(None, t) for t in texts[:20]] + [(7, t) for t in texts[20:]]
+    near = [(None, texts[0].upper()), (7, texts[1]), (7, texts[1]), (3, texts[30])]
+    kept = simhash.keep_representatives(documents(spark, docs + near)).collect()
+    assert sorted(r["text"].lower() for r in kept) == sorted(texts)
+    ids = {r["text"].lower(): r["doc_id"] for r in kept}
+    assert ids[texts[0]] is None and ids[texts[1]] == 7 and ids[texts[30]] == 3 and ids[texts[31]] == 7
+
+
 # mixing
 
 

@@ -12,11 +12,12 @@ again, on the bits that they do not share yet. Components follow from the forest
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -144,24 +145,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     prints = materialize(rows.mapInArrow(_fingerprints, f"id {kind}, fp long"), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    links = near_links(classes.select("fp"), radius)
-    found = components(links).withColumnRenamed("node", "fp")
-    classes = materialize(classes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "labelled")
+    classes = _components(prints.groupBy("fp").agg(F.min("id").alias("least")), radius)
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
+def _components(classes: DataFrame, radius: int) -> DataFrame:
+    """Rows (fp, least, component) for rows (fp, least) of distinct fingerprints."""
+    classes = materialize(classes, "classes")
+    links = near_links(classes.select("fp"), radius)
+    found = components(links).withColumnRenamed("node", "fp")
+    return materialize(classes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "labelled")
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest id of their group of near duplicates.
+    """One row of ``docs``, all columns, of each group of near duplicates: that with the smallest id.
 
-    Rows that repeat an id are one document: they share the decision of the first of them, and one row stays.
+    A null id is smallest only if the group has no other. Rows are told apart by themselves, not by their ids: of rows in
+    one group that share the smallest id that with the smallest digest of the text stays, and one of those that repeat
+    both; rows of different groups never take each other's place, whatever ids they share.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    kept = materialize(kept, "representatives").hint("merge")
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")))
-    one = Window.partitionBy("_id").orderBy(F.xxhash64(text_col))
-    return rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").select(*docs.columns)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.struct(F.col("id").isNull().alias("no_id"), "id", F.sha2(text.cast("binary"), 256).alias("sha"), F.col("text").isNull().alias("no_text"), "row")
+    # The row's number is written with the row: what is read again has the same one.
+    own = f"_row_{uuid.uuid4().hex[:8]}"
+    numbered = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.struct(F.col(id_col).alias("id"), F.col(own).alias("row"), F.col(text_col).alias("text")).alias("r")).select("r.*")
+    rows = rows.select(key.alias("id"), "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    prints = rows.mapInArrow(_fingerprints, f"id {kind}, fp long")
+    classes = _components(prints.groupBy("fp").agg(F.min("id").alias("least")), radius)
+    kept = classes.groupBy("component").agg(F.min("least").alias("least"))
+    kept = materialize(kept.select(F.col("least.row").alias("_kept")), "representatives").hint("merge")
+    return numbered.join(kept, F.col(own) == F.col("_kept"), "left_semi").select(*docs.columns)
