@@ -139,6 +139,57 @@ def test_tables_answer_any_prefix_and_budget(spark):
         assert r["b"] == len(text[:cut].encode()), (text, r)
 
 
+def test_tables_are_built_without_the_library(monkeypatch):
+    counter = token_counts.PrefixCounter(public_tokenizers.path(token_counts.MODEL))
+    tok = library()
+    texts = [r["text"] for r in _sample()] + ["it's they're 'tis o'l don''t rock'n'roll 3.14%% ÀÉÎ straße"]
+
+    def refuse(*_, **__):
+        raise AssertionError("the library is asked")
+
+    monkeypatch.setattr(counter, "_library_ends", refuse)
+    monkeypatch.setattr(counter, "_library_counts", refuse)
+    counter._library_ends = lambda texts: refuse() if texts else []
+    for text in texts:
+        counts = counter.table(text)[2]
+        raw = text.encode()
+        ends = counter.token_ends(raw, counter.chunks(raw)).tolist()
+        encoded = tok.encode(text, add_special_tokens=False)
+        assert ends == [len(text[:b].encode()) for _, b in encoded.offsets]
+        for k in range(0, len(text), 1 + len(text) // 60):
+            assert counts[len(text[:k].encode())] == len(tok.encode(text[:k], add_special_tokens=False).ids)
+
+
+def _sample():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    return [r for r in rows if r["text"] and max(r["text"]) < "\u0180"][:60]
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    tok = library()
+    for name in ("CACHED_CHUNKS", "CACHED_PREFIXES", "CACHED_PAIRS", "CACHED_INSIDE"):
+        monkeypatch.setattr(token_counts, name, 50)
+    counter = token_counts.PrefixCounter(public_tokenizers.path(token_counts.MODEL))
+    for r in _sample()[:20]:
+        assert counter.table(r["text"])[2][-1] == len(tok.encode(r["text"], add_special_tokens=False).ids)
+
+
+def test_a_tokenizer_that_keeps_white_space(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello World  Again\n\nMore TEXT", "", None, " ", "é 　 ﬁ<|endoftext|> x", "a  b   c\n \n d's 123 " * 20]
+    got = rows(token_counts.count_tokens(documents(spark, list(enumerate(texts))), model="byte_bpe_50k.json", limit=9, tables=True), "doc_id")
+    assert got[0]["n_tokens"] == 8
+    for k, text in enumerate(texts):
+        encoded = tok.encode(text or "", add_special_tokens=False)
+        assert got[k]["n_tokens"] == len(encoded.ids) and got[k]["over_limit"] == (len(encoded.ids) > 9)
+        for j in range(len(text or "") + 1):
+            assert got[k]["prefix_counts"][len((text or "")[:j].encode())] == len(tok.encode((text or "")[:j], add_special_tokens=False).ids)
+
+
 # pieces
 
 
