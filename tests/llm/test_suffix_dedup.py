@@ -2,6 +2,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.data import ODD, SF, documents
@@ -85,10 +86,55 @@ def test_planted_passages(spark):
         for _ in range(rng.randrange(3)):
             parts += [rng.choice(passages), word()]
         docs.append((rng.randrange(-5, 400), rng.choice(["", " "]).join(parts)))
-    for options in ({}, {"sorted_bytes": 500}, {"shard_bytes": 700}):
+    for options in ({}, {"sorted_bytes": 500}, {"shard_bytes": 700}, {"hot": 1}, {"hot": 3, "sorted_bytes": 300}):
         assert got(sd.remove_repeats(documents(spark, docs), **options)) == brute(docs)
 
 
+def test_one_minimizer_in_very_many_segments(spark):
+    """A line inside ever different text: all its strings have one name, and none is like another."""
+    rng = random.Random(4)
+    raw = np.frombuffer(bytes(rng.choice(b"abcdefghijklmnop") for _ in range(3000)), np.uint8)
+    m = sd.minimizers(raw)
+    k = int(m.argmin())  # the least hash of all: whatever stands around it, it is the minimizer
+    line = next(raw[j : j + 24].tobytes() for j in range(k, k + 27) if (sd.minimizers(raw[max(0, j - 26) : j + 50]) == m[k]).all())
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    docs = [(i, word(40) + line.decode() + word(40)) for i in range(400)]
+    docs += [(400 + i, docs[rng.randrange(400)][1][rng.randrange(20) :] + word(9)) for i in range(100)]
+    for hot in (2, 20, 1 << 40):
+        assert got(sd.remove_repeats(documents(spark, docs), hot=hot)) == brute(docs)
+    sent = sd.Candidates(sd.Shard(pa.table({"id": [d[0] for d in docs], "text": [d[1] for d in docs]}), 40), *shared_names(docs), 1 << 20)
+    rows = pa.Table.from_batches(list(sent.rows(3)))
+    assert len(set(rows.column("key").to_pylist())) > 0.9 * len(rows) and set(map(len, rows.column("data").to_pylist())) == {50}
+
+
+def shared_names(docs):
+    shard = sd.Shard(pa.table({"id": [d[0] for d in docs], "text": [d[1] for d in docs]}), 40)
+    names, _ = shard.names()
+    return names, np.ones(len(names), bool)
+
+
+def test_rows_grow_with_the_text_not_with_the_shards():
+    docs = table_of_docs()
+    one = sd.Candidates(sd.Shard(docs, 40), *every_name(docs), 1 << 20)
+    halves = [docs.slice(0, len(docs) // 2), docs.slice(len(docs) // 2)]
+    two = [sd.Candidates(sd.Shard(h, 40), *every_name(h), 1 << 20) for h in halves]
+    count = lambda c: sum(b.num_rows for b in c.rows(0))
+    assert count(one) <= sum(map(count, two)) <= 1.2 * count(one)
+    assert count(one) < sum(len(t.encode()) for t in docs.column("text").to_pylist()) / 6
+
+
+def table_of_docs():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{SF}/documents.parquet")
+    return pa.table({"id": rows.column("doc_id"), "text": [t or "" for t in rows.column("text").to_pylist()]})
+
+
+def every_name(docs):
+    names, _ = sd.Shard(docs, 40).names()
+    return names, np.zeros(len(names), bool)
+
+
 def test_odd_documents(spark):
     assert got(sd.remove_repeats(documents(spark, ODD))) == brute([(i, t) for i, t, *_ in ODD])
     assert not sd.remove_repeats(documents(spark, [])).count()

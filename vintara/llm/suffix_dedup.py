@@ -1,32 +1,34 @@
 """Removal of repeated passages with suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a smaller id. Documents are dealt
-into shards by id, and the work is a dialogue between two kinds of group, all in one Spark plan in which the shuffled
-texts are used three times:
-
-1. Every string of LENGTH bytes is named by its minimizer, the smallest hash among its substrings of ANCHOR bytes. A
-   shard tells each bucket of hashes which minimizers it has, and learns which of them another document has too. This
-   only spares work: equal strings have equal minimizers, so none is lost.
-2. Runs of neighbouring strings with one shared minimizer are cut out as segments. A shard sends each distinct segment
-   once, with its smallest document, to the bin of its minimizer, so a passage of very many documents makes one row per
-   shard. A bin puts its segments into pieces of bounded size, builds a suffix array of each (Larsson-Sadakane
-   refinement: sort by eight bytes, then double the sorted length within unsorted groups), gets the common prefixes
-   by Kasai's scan, and so the groups of equal strings with their smallest document. Pieces are merged by binary search
-   of each one's strings in the other's suffix array. The bin answers with one bit per string: a smaller document has it.
-3. The shards mark the bytes under such strings and hash what is left.
-
-Per task this takes a shard or a bin, both of a size that the number of shards keeps in bounds, and numpy arrays over
-pieces of one or two megabytes.
+into shards by id, and the shards and the rest of the plan exchange rows, whose number grows with the bytes of text and
+does not depend on how many shards there are:
+
+1. Every string of LENGTH bytes is named by its minimizer, the smallest hash among its substrings of ANCHOR bytes. Each
+   shard sends a row per distinct name; sorted by name, they show which names several shards have. This only spares work:
+   equal strings have equal minimizers, so none is lost, and what no other document has is not sorted.
+2. A shard joins all runs of strings whose name is shared to a text and builds its suffix array (Larsson-Sadakane
+   refinement: sort by eight bytes, then double the sorted length within unsorted groups), gets the common prefixes by
+   Kasai's scan, and so its distinct strings with the smallest document of each. A larger text takes several arrays,
+   merged by binary search of each one's strings in the others.
+3. Of the distinct strings whose name another shard has, neighbours with one name are sent as a segment, a row with the
+   smallest document. Rows meet by name, are put into suffix arrays of bounded size and merged by binary search; the
+   answer is a bit per string: another shard has it in a smaller document. So a passage of very many documents is a row
+   per shard, and a name that very many different strings share is dealt out string by string (``hot``).
+4. The shards mark the bytes under such strings and hash what is left.
+
+A task takes a shard, or a share of the names or segments whose size the number of partitions keeps in bounds, and numpy
+arrays over a few megabytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,11 @@ from .common import partitions
 LENGTH, ANCHOR = 50, 24
 #: Text of a shard, bytes of a piece of text that is hashed at once, and of a piece whose suffixes are sorted.
 SHARD_BYTES, PIECE, SORTED = 8 << 20, 1 << 20, 2 << 20
+#: A name of more runs, over all shards, is hot.
+HOT = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Where the eight-byte words of a string begin; the last overlaps the one before it.
+_OFFSETS = [*range(0, LENGTH - 7, 8), *([LENGTH - 8] if LENGTH % 8 else [])]
 
 
 def _words(raw: np.ndarray, order: str = "<u8") -> np.ndarray:
@@ -62,16 +68,20 @@ def minimizers(raw: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A shard's documents in order of id, and the runs of strings with one minimizer."""
+    """A shard's documents in order of id, and the runs of neighbouring strings with one minimizer."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, bits: int):
         ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
         self.ids = [ids[k] for k in order]
+        self.numbers = np.array([i or 0 for i in self.ids], np.int64)
         self.texts = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in order]
-        self._runs: list[tuple] | None = None
+        found = list(self._runs(np.uint64(64 - bits)))
+        empty = np.zeros(0, np.int64)
+        #: By run its name, document, place in it and number of strings; in order of document and place.
+        self.name, self.doc, self.place, self.count = (np.concatenate(x) for x in zip(*found)) if found else [empty] * 4
 
-    def pieces(self) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
+    def _pieces(self) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
         """Bytes, and the parts (start, end, document, place in it) of which they consist; longer texts are cut with an overlap."""
         data, parts, size = [], [], 0
         for k, (doc, text) in enumerate(zip(self.ids, self.texts)):
@@ -89,9 +99,8 @@ class Shard:
         if data:
             yield b"".join(data), parts
 
-    def runs(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By piece: its bytes; for each run its start, number of strings, name, document, place in the document."""
-        for data, parts in self.pieces():
+    def _runs(self, spare: np.uint64) -> Iterator[tuple[np.ndarray, ...]]:
+        for data, parts in self._pieces():
             m = minimizers(np.frombuffer(data, np.uint8))
             begin, end, doc, place = (np.array(x, np.int64) for x in zip(*parts))
             change = np.empty(len(m), bool)
@@ -105,71 +114,23 @@ class Shard:
             part = np.searchsorted(begin, starts, "right") - 1
             inside = starts < last[part]
             starts, counts, part = starts[inside], counts[inside], part[inside]
-            names = m[starts] * _A  # minima are small numbers; spread them
-            yield data, starts, counts, names, doc[part], place[part] + starts - begin[part]
-
-    def all_runs(self) -> list[tuple]:
-        if self._runs is None:
-            self._runs = list(self.runs())
-        return self._runs
+            # Minima are small numbers; spread them, and keep as many bits as tell the corpus's names apart.
+            names = ((m[starts] * _A) >> spare).astype(np.int64)
+            yield names, doc[part], place[part] + starts - begin[part], counts
 
     def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct names, sorted, and whether two documents of the shard have them."""
-        found = [(names, doc) for _, _, _, names, doc, _ in self.all_runs()]
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        names, doc = (np.concatenate(x) for x in zip(*found))
-        number = np.unique(np.array([i if i is not None else 0 for i in self.ids]), return_inverse=True)[1]
-        order = np.argsort(names)
-        names, number = names[order], number[doc[order]]
-        first = np.flatnonzero(np.diff(names, prepend=~names[:1]) != 0)
-        return names[first], np.minimum.reduceat(number, first) != np.maximum.reduceat(number, first)
-
-    def segments(self, answers: dict[int, bytes], buckets: int) -> Segments:
-        """Segments of the runs whose name another document has too, each distinct one once."""
-        names, shared = self.names()
-        cuts = _cuts(names, buckets)
-        for k, bits in answers.items():
-            part = slice(cuts[k], cuts[k + 1])
-            shared[part] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[k + 1] - cuts[k]).astype(bool)
-        known: dict[bytes, int] = {}
-        found = []
-        for data, starts, counts, name, doc, place in self.all_runs():
-            wanted = np.flatnonzero(shared[np.searchsorted(names, name)])
-            begin, end = starts[wanted], (starts + counts)[wanted] + LENGTH - 1
-            own = [known.setdefault(data[a:b], len(known)) for a, b in zip(begin.tolist(), end.tolist())]
-            found.append((name[wanted], doc[wanted], place[wanted], counts[wanted], np.array(own, np.int64)))
-        self._runs = None
-        empty = np.zeros(0, np.int64)
-        name, doc, place, count, own = (np.concatenate(x) for x in zip(*found)) if found else [empty.astype(np.uint64)] + [empty] * 4
-        # Documents stand in order of id, so the first run of a segment is its smallest document's.
-        first = np.empty(len(known), np.int64)
-        first[own[::-1]] = np.arange(len(own))[::-1]
-        ids = np.array([i if i is not None else 0 for i in self.ids], np.int64)
-        return Segments(list(known), name[first], ids[doc[first]] if len(first) else empty, doc, place, count, own)
-
-
-class Segments(NamedTuple):
-    """texts, names, docs: by distinct segment, docs being the smallest; doc, place, count, segment: by run."""
-
-    texts: list[bytes]
-    names: np.ndarray
-    docs: np.ndarray
-    doc: np.ndarray
-    place: np.ndarray
-    count: np.ndarray
-    segment: np.ndarray
+        """The distinct names, sorted, and their numbers of runs."""
+        return np.unique(self.name, return_counts=True)
 
-
-def _cuts(names: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's names begin among sorted names, and the end of all."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(names, edges), len(names))
-
-
-def _bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
-    return np.searchsorted(edges, names, "right") - 1
+    def several(self) -> np.ndarray:
+        """By run whether two documents of the shard have its name."""
+        order = np.argsort(self.name, kind="stable")
+        first = np.flatnonzero(np.diff(self.name[order], prepend=-1))
+        number = self.numbers[self.doc[order]]
+        own = np.minimum.reduceat(number, first) != np.maximum.reduceat(number, first) if len(first) else np.zeros(0, bool)
+        out = np.empty(len(order), bool)
+        out[order] = np.repeat(own, np.diff(np.append(first, len(order))))
+        return out
 
 
 # Suffix arrays
@@ -268,12 +229,15 @@ class SortedPiece:
         of_start[sa] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sa))))
         self.group = of_start[whole]  # by segment and place in it
         words = _words(raw, ">u8")
-        # The last word overlaps the one before it.
-        offsets = [*range(0, LENGTH - 7, 8), *([LENGTH - 8] if LENGTH % 8 else [])]
-        self.keys = [words[self.heads + k] for k in offsets]
+        self.keys = [words[self.heads + k] for k in _OFFSETS]
+        #: For strings that an earlier piece has: that piece's number and the string's place there.
+        self.origin = np.full((2, len(first)), -1, np.int64)
 
-    def meet(self, other: SortedPiece) -> None:
-        """Strings that both pieces have get the smaller of their documents in both: a binary search, word by word."""
+    def meet(self, other: SortedPiece, number: int = 0) -> None:
+        """Strings that both pieces have get the smaller of their documents in both: a binary search, word by word.
+
+        ``other`` is the later one and remembers where this one, piece ``number``, has them.
+        """
         lo = np.searchsorted(self.keys[0], other.keys[0], "left")
         hi = np.searchsorted(self.keys[0], other.keys[0], "right")
         query = np.flatnonzero(lo < hi)
@@ -285,6 +249,8 @@ class SortedPiece:
             query, lo, hi = query[found], lo[found], hi[found]
         least = np.minimum(self.least[lo], other.least[query])
         self.least[lo], other.least[query] = least, least
+        new = other.origin[0, query] < 0
+        other.origin[0, query[new]], other.origin[1, query[new]] = number, lo[new]
 
 
 def _bound(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
@@ -313,9 +279,7 @@ def smaller_elsewhere(segments: list[bytes], docs: np.ndarray, piece_bytes: int
         if size >= piece_bytes or k + 1 == len(distinct):
             pieces.append(SortedPiece(distinct[begin : k + 1], least[begin : k + 1]))
             begin, size = k + 1, 0
-    for k, later in enumerate(pieces):
-        for earlier in pieces[:k]:
-            earlier.meet(later)
+    _meet_all(pieces)
     smallest = np.concatenate([p.least[p.group] for p in pieces])
     strings = np.concatenate([p.strings for p in pieces])
     begin = (np.cumsum(strings) - strings)[of]
@@ -323,148 +287,247 @@ def smaller_elsewhere(segments: list[bytes], docs: np.ndarray, piece_bytes: int
     return smallest[_ranges(begin, strings)] < np.repeat(docs, strings), strings
 
 
+def _meet_all(pieces: list[SortedPiece]) -> None:
+    for k, later in enumerate(pieces):
+        for j, earlier in enumerate(pieces[:k]):
+            earlier.meet(later, j)
+
+
 def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... (count[0] numbers), begin[1], ..."""
     at = np.cumsum(count) - count
     return np.arange(int(count.sum())) + np.repeat(begin - at, count)
 
 
-# The groups' parts of the dialogue
+# The tasks' parts
+
+
+class Candidates:
+    """A shard's strings that another document may have: sorted pieces, and the segments to ask the other shards about.
 
-_ASK = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("names", pa.binary())])
-_SEND = pa.schema([("bin", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
-_SAY = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("place", pa.int32()), ("bits", pa.binary())])
+    shared, hot: the names that several shards have, sorted, and whether they are hot.
+    """
+
+    def __init__(self, shard: Shard, shared: np.ndarray, hot: np.ndarray, sorted_bytes: int):
+        at = np.minimum(np.searchsorted(shared, shard.name), max(0, len(shared) - 1))
+        across = shared[at] == shard.name if len(shared) else np.zeros(len(shard.name), bool)
+        runs = np.flatnonzero(across | shard.several())
+        self.shard, self.runs = shard, runs
+        self.across, self.hot = across[runs], across[runs] & (hot[at[runs]] if len(shared) else False)
+        doc, place, count = shard.doc[runs], shard.place[runs], shard.count[runs]
+        new = np.empty(len(runs), bool)
+        new[:1] = True
+        np.logical_or(doc[1:] != doc[:-1], place[1:] != place[:-1] + count[:-1], out=new[1:])
+        piece = np.cumsum(count + new * (LENGTH - 1)) // sorted_bytes
+        new[1:] |= piece[1:] != piece[:-1]
+        cuts = np.flatnonzero(np.diff(piece, prepend=-1, append=-1)) if len(runs) else np.zeros(1, np.int64)
+        self.pieces: list[SortedPiece] = []
+        #: By piece: its runs, and the place among all its strings' bytes of each string.
+        self.parts: list[slice] = []
+        self.raw: list[np.ndarray] = []
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            first = np.flatnonzero(new[a:b])
+            n = np.add.reduceat(count[a:b], first) + LENGTH - 1
+            begin = place[a:b][first]
+            texts = [shard.texts[d][p : p + m] for d, p, m in zip(doc[a:b][first].tolist(), begin.tolist(), n.tolist())]
+            self.pieces.append(SortedPiece(texts, shard.numbers[doc[a:b][first]]))
+            self.parts.append(slice(a, b))
+            self.raw.append(np.frombuffer(b"".join(texts), np.uint8))
+        _meet_all(self.pieces)
+
+    def strings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """By string of piece ``k`` its run, counted from the piece's first, and whether it is asked about: the shard's first of its kind."""
+        part, piece = self.parts[k], self.pieces[k]
+        run = np.repeat(np.arange(part.stop - part.start), self.shard.count[self.runs[part]])
+        first = np.empty(len(piece.heads), np.int64)
+        first[piece.group[::-1]] = np.arange(len(run))[::-1]
+        asked = np.zeros(len(run), bool)
+        asked[first[piece.origin[0] < 0]] = True
+        return run, asked & self.across[part][run]
+
+    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By piece: for each segment its first string, number of strings and run."""
+        for k, part in enumerate(self.parts):
+            run, asked = self.strings(k)
+            new = asked.copy()
+            new[1:] &= ~asked[:-1] | (run[1:] != run[:-1]) | self.hot[part][run[1:]]
+            start = np.flatnonzero(new)
+            number = np.cumsum(new)[asked]
+            yield start, np.bincount(number, minlength=len(start) + 1)[1:], run[start]
+
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The segments as rows of _SEND; ``number`` is the shard's."""
+        before = 0
+        for k, (start, count, run) in enumerate(self.segments()):
+            part, raw = self.parts[k], self.raw[k]
+            # Each interval of the piece's text has LENGTH - 1 bytes more than strings.
+            ends = np.cumsum(self.pieces[k].strings)
+            at = start + (LENGTH - 1) * np.searchsorted(ends, start, "right")
+            offsets = np.concatenate(([0], np.cumsum(count + LENGTH - 1)))
+            data = raw[_ranges(at, count + LENGTH - 1)]
+            key = self.shard.name[self.runs[part]][run]
+            hot = self.hot[part][run]
+            key[hot] = _digest(raw, at[hot])
+            doc = self.shard.numbers[self.shard.doc[self.runs[part]][run]]
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            ref = (number << 32) + before + np.arange(len(start))
+            before += len(start)
+            for j in range(0, len(start), 1 << 16):
+                part_of = slice(j, j + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(key[part_of]), pa.array(ref[part_of]), pa.array(doc[part_of]), blobs[part_of].cast(pa.binary())], schema=_SEND)
+
+    def repeats(self, answered: np.ndarray, bits: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By piece: documents and places of the strings that a smaller document has; ``answered`` numbers the segments that ``bits`` are for."""
+        order = np.argsort(answered)
+        answered, bits = answered[order], [bits[k] for k in order]
+        before, out = 0, []
+        smaller: list[np.ndarray] = []
+        for k, (start, count, _) in enumerate(self.segments()):
+            piece, runs = self.pieces[k], self.runs[self.parts[k]]
+            a, b = np.searchsorted(answered, (before, before + len(start)))
+            own = answered[a:b] - before
+            before += len(start)
+            data = b"".join(bits[a:b])
+            at = np.cumsum([0, *map(len, bits[a:b])])[:-1] * 8
+            said = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)[_ranges(at, count[own])]
+            here = np.zeros(len(piece.heads), bool)
+            here[piece.group[_ranges(start[own], count[own])]] = said
+            for j, earlier in enumerate(smaller):
+                known = piece.origin[0] == j
+                here[known] = earlier[piece.origin[1, known]]
+            smaller.append(here)
+            n = self.shard.count[runs]
+            doc = np.repeat(self.shard.doc[runs], n)
+            hit = here[piece.group] | (self.shard.numbers[doc] > piece.least[piece.group])
+            out.append((doc[hit], _ranges(self.shard.place[runs], n)[hit]))
+        return out
+
+
+def _digest(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the strings that start at these places."""
+    words = _words(raw)
+    h = np.zeros(len(at), np.uint64)
+    for k in _OFFSETS:
+        h = (h ^ words[at + k]) * _B
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+_NAMES = pa.schema([("name", pa.int64()), ("tag", pa.int64())])
+_SHARED = pa.schema([("shard", pa.int32()), ("name", pa.int64()), ("hot", pa.bool_()), ("segment", pa.int64()), ("bits", pa.binary())])
+_SEND = pa.schema([("key", pa.int64()), ("ref", pa.int64()), ("doc", pa.int64()), ("data", pa.binary())])
 _OUT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+#: A row's tag is the shard's number and, in so many bits, its runs of the name.
+_RUNS = 20
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def _ask(buckets: int):
-    def ask(rows: pa.Table) -> pa.Table:
-        names, _ = Shard(rows).names()
-        cuts = _cuts(names, buckets)
-        full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-        shard = rows.column("shard")[0].as_py()
-        return pa.Table.from_arrays([pa.array(full, pa.int32()), pa.array([shard] * len(full), pa.int32()), pa.array([names[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], schema=_ASK)
+def _name(bits: int):
+    def name(rows: pa.Table) -> pa.Table:
+        names, runs = Shard(rows, bits).names()
+        tags = (rows.column("shard")[0].as_py() << _RUNS) + np.minimum(runs, (1 << _RUNS) - 1)
+        return pa.Table.from_arrays([pa.array(names), pa.array(tags)], schema=_NAMES)
+
+    return name
 
-    return ask
 
+def _gathered(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([b.cast(schema) for b in batches], schema=schema)
 
-def _tell(rows: pa.Table) -> pa.Table:
-    """A bucket: which of each shard's names another shard has too."""
-    each = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("names")]
-    names, count = np.unique(np.concatenate(each), return_counts=True)
-    several = names[count > 1]
-    bits = []
-    for own in each:
-        at = np.searchsorted(several, own)
-        at[at == len(several)] = 0
-        bits.append(np.packbits(several[at] == own if len(several) else np.zeros(len(own), bool)).tobytes())
-    shards = rows.column("shard").combine_chunks().cast(pa.int32())
-    place = rows.column("bucket").combine_chunks().cast(pa.int32())
-    return pa.Table.from_arrays([shards, pa.array([1] * len(bits), pa.int32()), place, pa.array(bits, pa.binary())], schema=_SAY)
 
+def _share(most: int):
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition has all rows of its names; those that several shards have go back to these."""
+        rows = _gathered(batches, _NAMES)
+        names, tags = (rows.column(c).to_numpy() for c in ("name", "tag"))
+        order = np.argsort(names, kind="stable")
+        names, tags = names[order], tags[order]
+        first = np.flatnonzero(np.diff(names, prepend=-1))
+        shards = np.diff(np.append(first, len(names)))
+        hot = np.add.reduceat(tags & ((1 << _RUNS) - 1), first) > most if len(first) else np.zeros(0, bool)
+        shared = np.repeat(shards > 1, shards)
+        names, tags, hot = names[shared], tags[shared], np.repeat(hot, shards)[shared]
+        for k in range(0, len(names), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            n = len(names[part])
+            columns = [pa.array((tags[part] >> _RUNS).astype(np.int32)), pa.array(names[part]), pa.array(hot[part]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SHARED)
 
-def _answers(said: pa.Table, kind: int) -> dict[int, bytes]:
-    return {r["place"]: r["bits"] for r in said.to_pylist() if r["kind"] == kind}
+    return share
 
 
-def _by_bin(names: np.ndarray, bins: int) -> Iterator[tuple[int, list[int]]]:
-    """The segments' places by bin, in the order in which they are sent and answered."""
-    if len(names):
-        bin_of = _bucket_of(names, bins)
-        order = np.argsort(bin_of, kind="stable")
-        cuts = np.flatnonzero(np.diff(bin_of[order])) + 1
-        for part in np.split(order, cuts):
-            yield int(bin_of[part[0]]), part.tolist()
+def _candidates(rows: pa.Table, said: pa.Table, bits: int, sorted_bytes: int) -> tuple[Candidates, pa.Table]:
+    """The shard's candidates from the rows that tell of names, and the other rows."""
+    tells = said.column("name").is_valid()
+    names = said.filter(tells)
+    shared, hot = names.column("name").to_numpy(), names.column("hot").to_numpy()
+    order = np.argsort(shared)
+    return Candidates(Shard(rows, bits), shared[order], hot[order], sorted_bytes), said.filter(pa.compute.invert(tells))
 
 
-def _send(groups: int):
+def _send(bits: int, sorted_bytes: int):
     def send(rows: pa.Table, said: pa.Table) -> pa.Table:
-        out = []
-        if len(rows):
-            found = Shard(rows).segments(_answers(said, 1), groups)
-            shard = rows.column("shard")[0].as_py()
-            for k, part in _by_bin(found.names, groups):
-                texts = [found.texts[j] for j in part]
-                sizes = np.fromiter(map(len, texts), np.uint32, len(texts))
-                out.append((k, shard, b"".join(texts), sizes.tobytes(), found.docs[part].tobytes()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _SEND)], schema=_SEND)
+        if not len(rows):
+            return _SEND.empty_table()
+        found, _ = _candidates(rows, said, bits, sorted_bytes)
+        return pa.Table.from_batches(list(found.rows(rows.column("shard")[0].as_py())), schema=_SEND)
 
     return send
 
 
-def _sort(piece_bytes: int):
-    def sort(rows: pa.Table) -> pa.Table:
-        """A bin: for each string of each segment sent, whether a smaller document has it."""
-        segments, docs, counts = [], [], []
-        for r in rows.select(["data", "sizes", "docs"]).to_batches():
-            for data, sizes, ids in zip(*(r.column(k) for k in range(3))):
-                data, sizes = data.as_py(), np.frombuffer(sizes.as_py(), np.uint32).astype(np.int64)
-                ends = np.cumsum(sizes)
-                segments += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-                docs.append(np.frombuffer(ids.as_py(), np.int64))
-                counts.append(len(sizes))
-        flags, strings = smaller_elsewhere(segments, np.concatenate(docs), piece_bytes)
-        ends = np.cumsum(strings)[np.cumsum(counts) - 1]
-        bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        shards = rows.column("shard").combine_chunks().cast(pa.int32())
-        place = rows.column("bin").combine_chunks().cast(pa.int32())
-        return pa.Table.from_arrays([shards, pa.array([2] * len(bits), pa.int32()), place, pa.array(bits, pa.binary())], schema=_SAY)
+def _sort(sorted_bytes: int):
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition has all segments of its keys; back go those of which another shard has a string in a smaller document."""
+        rows = _gathered(batches, _SEND)
+        if not len(rows):
+            return
+        flags, strings = smaller_elsewhere(rows.column("data").to_pylist(), rows.column("doc").to_numpy(), sorted_bytes)
+        ref = rows.column("ref").to_numpy()
+        ends = np.cumsum(strings)
+        told = np.flatnonzero(np.add.reduceat(flags, ends - strings))
+        for k in range(0, len(told), 1 << 14):
+            part = told[k : k + (1 << 14)]
+            bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip((ends - strings)[part].tolist(), ends[part].tolist())]
+            n, own = len(part), ref[part]
+            columns = [pa.array((own >> 32).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(own & 0xFFFFFFFF), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SHARED)
 
     return sort
 
 
-def _gone(shard: Shard, found: Segments, answers: dict[int, bytes], groups: int) -> list[np.ndarray | None]:
-    """By document which of its bytes are removed; None for none."""
-    strings = np.fromiter(map(len, found.texts), np.int64, len(found.texts)) - LENGTH + 1
-    begin = np.cumsum(strings) - strings
-    flags = np.zeros(int(strings.sum()), bool)
-    for k, part in _by_bin(found.names, groups):
-        count = strings[part]
-        flags[_ranges(begin[part], count)] = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=int(count.sum()))
-    gone: list[np.ndarray | None] = [None] * len(shard.ids)
-    ids = np.array([i if i is not None else 0 for i in shard.ids], np.int64)
-    later = ids[found.doc] > found.docs[found.segment]
-    # Runs stand in order of their documents.
-    edges = np.searchsorted(found.doc, np.arange(len(shard.ids) + 1))
-    for d in np.unique(found.doc).tolist():
-        part = slice(edges[d], edges[d + 1])
-        count, own = found.count[part], found.segment[part]
-        hit = np.repeat(later[part], count) | flags[_ranges(begin[own], count)]
-        at = _ranges(found.place[part], count)[hit]
-        if len(at):
-            steps = np.zeros(len(shard.texts[d]) + 1, np.int32)
-            steps[at] += 1
-            steps[at + LENGTH] -= 1
-            gone[d] = np.cumsum(steps[:-1]) > 0
-    return gone
-
-
-def _remove(groups: int, schema: pa.Schema, with_kept: bool):
+def _remove(bits: int, sorted_bytes: int, schema: pa.Schema, with_kept: bool):
     def remove(rows: pa.Table, said: pa.Table) -> pa.Table:
         out = []
         if len(rows):
-            shard = Shard(rows)
-            found = shard.segments(_answers(said, 1), groups)
-            for doc, text, gone in zip(shard.ids, shard.texts, _gone(shard, found, _answers(said, 2), groups)):
+            found, answers = _candidates(rows, said, bits, sorted_bytes)
+            repeats = found.repeats(answers.column("segment").to_numpy(), answers.column("bits").to_pylist())
+            doc, place = (np.concatenate(x) for x in zip(*repeats)) if repeats else [np.zeros(0, np.int64)] * 2
+            shard = found.shard
+            edges = np.searchsorted(doc, np.arange(len(shard.ids) + 1)).tolist()
+            for k, (own, text) in enumerate(zip(shard.ids, shard.texts)):
                 removed = spans = 0
                 kept = text
-                if gone is not None:
+                at = place[edges[k] : edges[k + 1]]
+                if len(at):
+                    steps = np.zeros(len(text) + 1, np.int32)
+                    steps[at] += 1
+                    steps[at + LENGTH] -= 1
+                    gone = np.cumsum(steps[:-1]) > 0
                     removed = int(np.count_nonzero(gone))
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                row = (doc, len(text), removed, spans, sha256(kept).hexdigest())
+                row = (own, len(text), removed, spans, sha256(kept).hexdigest())
                 out.append((*row, kept) if with_kept else row)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, sorted_bytes: int = SORTED, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, sorted_bytes: int = SORTED, hot: int = HOT, with_kept: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id (an integer), n_bytes, n_removed, n_spans, kept_sha256; with_kept adds kept (binary).
 
     Texts are taken as UTF-8 bytes, null as empty. Every byte is removed that a string of 50 bytes covers which also
@@ -475,14 +538,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(partitions(spark), -(-total // shard_bytes))
-    shard = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("shard")
+    shards = max(partitions(spark), -(-total // shard_bytes))
+    # So many names that two different ones are rarely equal; that only costs work.
+    bits = min(62, (total // 10).bit_length() + 8)
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     texts = rows.select(shard, "id", "text")
-    asked = texts.groupBy("shard").applyInArrow(_ask(groups), _ddl(_ASK))
-    told = asked.groupBy("bucket").applyInArrow(_tell, _ddl(_SAY))
-    sent = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_send(groups), _ddl(_SEND))
-    sorted_ = sent.groupBy("bin").applyInArrow(_sort(sorted_bytes), _ddl(_SAY))
+    named = texts.groupBy("shard").applyInArrow(_name(bits), _ddl(_NAMES))
+    shared = named.repartition(shards, "name").mapInArrow(_share(hot), _ddl(_SHARED))
+    sent = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(bits, sorted_bytes), _ddl(_SEND))
+    told = sent.repartition(2 * shards, "key").mapInArrow(_sort(sorted_bytes), _ddl(_SHARED))
     schema = pa.schema([("id", pa.int64()), *_OUT, *([("kept", pa.binary())] if with_kept else [])])
-    said = told.unionByName(sorted_)
-    out = texts.groupBy("shard").cogroup(said.groupBy("shard")).applyInArrow(_remove(groups, schema, with_kept), _ddl(schema))
+    said = shared.unionByName(told)
+    out = texts.groupBy("shard").cogroup(said.groupBy("shard")).applyInArrow(_remove(bits, sorted_bytes, schema, with_kept), _ddl(schema))
     return out.withColumnRenamed("id", id_col)
