@@ -167,6 +167,23 @@ def _sample():
     return [r for r in rows if r["text"] and max(r["text"]) < "\u0180"][:60]
 
 
+def test_pairs_meet_as_the_merges_say():
+    import random
+
+    tables = token_counts.PrefixCounter(public_tokenizers.path(token_counts.MODEL)).merges
+    rng, every = random.Random(1), sorted(tables.tokens)
+    inner = [t for t in every if not t.endswith(token_counts.END)]
+    short = [t for t in every if len(t.removesuffix(token_counts.END)) < 4]
+    refused = 0
+    for k in range(4000):
+        a, b = rng.choice(inner), rng.choice(short if k % 2 else every)
+        plain = b.removesuffix(token_counts.END)
+        want = tables.merged([*a, *plain[:-1], plain[-1] + b[len(plain) :]]) == [a, b]
+        assert tables._meet(a, b) == want
+        refused += not want
+    assert 100 < refused < 3900
+
+
 def test_small_caches_change_nothing(monkeypatch):
     tok = library()
     for name in ("CACHED_CHUNKS", "CACHED_PREFIXES", "CACHED_PAIRS", "CACHED_INSIDE"):

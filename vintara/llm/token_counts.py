@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -50,8 +51,8 @@ SPLITTERS = [
 COVERED = 0x180
 #: Chunks, prefixes and pairs of tokens kept by a Python worker at most.
 CACHED_CHUNKS, CACHED_PREFIXES, CACHED_PAIRS = 1_000_000, 1_000_000, 500_000
-#: A part of more bytes is left to the library: a table of prefixes written out takes the square of the length.
-LONGEST_PART = 400
+#: A chunk of more bytes is left to the library: a table of prefixes written out takes the square of the length.
+LONGEST_CHUNK = 400
 #: Chunks outside the tables of which the counts of all prefixes are kept.
 CACHED_INSIDE = 200_000
 #: Texts whose new chunks are looked at together.
@@ -70,7 +71,7 @@ class MergeTables:
     """The tables of parts for one vocabulary; caches are bounded and local to a Python worker."""
 
     def __init__(self, model: dict):
-        self.tokens = frozenset(model["vocab"])
+        self.tokens = set(model["vocab"])
         #: By last two signs the length of the longest token, for tokens inside a part and at its end.
         self.inside: dict[str, int] = {}
         self.final: dict[str, int] = {}
@@ -80,18 +81,33 @@ class MergeTables:
             reach[plain[-2:]] = max(reach.get(plain[-2:], 1), len(plain))
         merges = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.rank = {m: k for k, m in enumerate(merges)}
+        self.splits: dict[str, tuple[str, str] | bool] = {}
+        self.edges: tuple[dict, dict] = {}, {}
+        self.ordered = self._is_ordered()
         self.signs = {b: s for b, s in enumerate(byte_signs())}
         self.pairs: dict[tuple[str, str], bool] = {}
         #: By prefix: length of its last token inside a part, number of tokens inside a part, exact count, length of the last token of a part.
         self.prefixes: dict[str, tuple[int, int, int, int]] = {"": (0, 0, 0, 0)}
         self.shared: dict[tuple, tuple] = {}
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """What the merges make of the symbols: always the pair of least rank, from the left."""
+    def _is_ordered(self) -> bool:
+        """Whether every merge comes after those that make its two sides; tokens that the merges do not make are left out."""
+        made: set[str] = set()
+        for left, right in self.rank:
+            if any(len(x.removesuffix(END)) > 1 and x not in made for x in (left, right)):
+                return False
+            made.add(left + right)
+        signs = {t for t in self.tokens if len(t.removesuffix(END)) == 1}
+        self.tokens &= made | signs
+        return True
+
+    def merged(self, symbols: list[str], steps: int = -1) -> list[str]:
+        """What the merges make of the symbols: always the pair of least rank, from the left; at most so many ``steps``."""
         symbols = list(symbols)
         rank, none = self.rank.get, len(self.rank)
         ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
-        while ranks and (best := min(ranks)) < none:
+        while steps and ranks and (best := min(ranks)) < none:
+            steps -= 1
             k = ranks.index(best)
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
             del ranks[k]
@@ -101,13 +117,40 @@ class MergeTables:
                 ranks[k] = rank((symbols[k], symbols[k + 1]), none)
         return symbols
 
+    def _split(self, token: str) -> tuple[str, str] | bool:
+        """The two symbols from which the merges make the token last; True for single signs, False for what they do not make."""
+        if token not in self.splits:
+            plain = token.removesuffix(END)
+            symbols = [*plain[:-1], plain[-1] + token[len(plain) :]]
+            while len(symbols) > 2 and len(shorter := self.merged(symbols, 1)) < len(symbols):
+                symbols = shorter
+            self.splits[token] = len(plain) == 1 or (tuple(symbols) in self.rank and tuple(symbols))
+        return self.splits[token]
+
+    def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
+        """The symbols that stand at the token's left (0) or right (1) end while it is made, with the rank of the merge that takes each."""
+        if token not in self.edges[side]:
+            out = [(token, len(self.rank))]
+            while isinstance(pair := self._split(out[-1][0]), tuple):
+                out.append((pair[side], self.rank[pair]))
+            self.edges[side][token] = out
+        return self.edges[side][token]
+
     def _meet(self, before: str, token: str) -> bool:
-        """Whether the merges leave these two tokens side by side; ``before`` may be empty."""
-        plain = token.removesuffix(END)
-        symbols = [*before, *plain[:-1], plain[-1] + token[len(plain) :]]
+        """Whether the merges leave these two tokens side by side; ``before`` may be empty.
+
+        Merges go on in order of rank, so a pair across the border is merged if its rank comes before those of the merges
+        that take its two sides, the left one's also at the same rank, as merging goes from the left.
+        """
+        found = self._split(token) is not False
+        for x, taken in self._edge(before, 1) if before else ():
+            for y, gone in self._edge(token, 0):
+                r = self.rank.get((x, y))
+                if r is not None and r < taken and r <= gone:
+                    found = False
         if len(self.pairs) >= CACHED_PAIRS:
             self.pairs.clear()
-        found = self.pairs[before, token] = self.merged(symbols) == ([before, token] if before else [token])
+        self.pairs[before, token] = found
         return found
 
     def _extend(self, part: str) -> tuple[str, bytes]:
@@ -182,9 +225,10 @@ class PrefixCounter:
         self.tokenizer.no_padding()
         setup = json.loads(self.tokenizer.to_str())
         #: Whether the tables hold for this tokenizer; otherwise texts are encoded whole.
-        self.tabled = _is_covered(setup)
-        self.special = [t["content"].encode() for t in setup["added_tokens"]]
-        self.merges = MergeTables(setup["model"]) if self.tabled else None
+        covered = _is_covered(setup)
+        self.merges = MergeTables(setup["model"]) if covered else None
+        self.tabled = covered and self.merges.ordered
+        self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in setup["added_tokens"]) or b"(?!)")
         plain = [c for c in map(chr, range(0x21, COVERED)) if not c.isspace() and len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode())]
         self.covered = regex.compile(f"[{regex.escape(''.join(plain), special_only=False)}]+")
         self.split = regex.compile(PARTS)
@@ -200,11 +244,14 @@ class PrefixCounter:
 
     def _parts(self, chunk: bytes) -> list[str] | None:
         """The parts of a chunk that the tables cover, else None."""
+        if len(chunk) > LONGEST_CHUNK:
+            return None
+        if chunk.isalpha():  # letters of ASCII only
+            return [chunk.lower().decode()]
         text = chunk.decode("utf-8", "replace")
-        if not self.covered.fullmatch(text) or any(s in chunk for s in self.special):
+        if not self.covered.fullmatch(text) or self.special.search(chunk):
             return None
-        parts = self.split.findall(text.lower())
-        return None if max(map(len, parts)) > LONGEST_PART else parts
+        return [text.lower()] if text.isalpha() else self.split.findall(text.lower())
 
     def _tabled_ends(self, parts: list[str]) -> tuple[int, ...]:
         if len(parts) == 1:
