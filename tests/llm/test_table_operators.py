@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 from hashlib import md5, sha256
 
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tests.llm.data import ODD, SF, documents
-from vintara.llm import components, exact_dedup, mixing, simhash, url_filter, warc
+from vintara.llm import common, components, exact_dedup, language, mixing, simhash, url_filter, warc
 from vintara.llm.common import table
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -194,7 +195,11 @@ def test_targets_and_taken(spark):
 def test_order_within_a_source(spark):
     docs = [(k, "w " * (1 + k % 4), None, "s") for k in range(100)]
     got = [r["doc_id"] for r in mixing.mix(documents(spark, docs)).collect()]
-    assert got == sorted(range(100), key=lambda k: md5(str(k).encode()).hexdigest())
+    text = lambda k: "w " * (1 + k % 4)
+    digest = lambda k: md5(f"{k}:{md5(text(k).encode()).hexdigest()}".encode()).hexdigest()
+    assert got == sorted(range(100), key=digest)
+    few = mixing.mix(documents(spark, docs), bucket_rows=2).collect()
+    assert [r["doc_id"] for r in few] == got
 
 
 def test_stream(spark):
@@ -202,14 +207,69 @@ def test_stream(spark):
     decided = {r["doc_id"]: r for r in mixing.mix(documents(spark, docs)).collect()}
     stream = mixing.training_stream(documents(spark, docs))
     assert stream.columns == documents(spark, docs).columns
-    got = defaultdict(list)
-    for r in stream.collect():
-        assert r["n_chars"] == len(r["text"])
-        got[r["doc_id"]].append(r["text"])
     text = {d[0]: d[1] for d in docs}
+    got = Counter()
+    for r in stream.collect():
+        assert r["text"] == text[r["doc_id"]]
+        got[r["doc_id"]] += 1
     for i, r in decided.items():
-        assert sum(len(words(t)) for t in got[i]) == r["taken"]
-        assert all(text[i].startswith(t) for t in got[i])
+        assert got[i] == (int(r["taken"] / r["size"] + 0.5) if r["size"] else 0)
+
+
+def test_null_and_repeated_ids_are_mixed_apart(spark):
+    docs = [(None, f"text number {k} of a null id", None, "a") for k in range(60)] + [(1, f"other text {k} of one id", None, "b") for k in range(60)]
+    decided = mixing.mix(documents(spark, docs), bucket_rows=5).collect()
+    assert len(decided) == 120 and len({r["position"] for r in decided if r["doc_id"] is None}) > 30
+    targets, _ = plain_mix([(i, t, s) for i, t, _, s in docs])
+    got = Counter(r["text"] for r in mixing.training_stream(documents(spark, docs)).collect())
+    for s, size in (("a", 7), ("b", 6)):
+        uses = sum(n for t, n in got.items() if (t.startswith("text")) == (s == "a"))
+        assert abs(uses * size - targets[s]) <= size
+    assert not mixing.training_stream(documents(spark, [])).count()
+
+
+# Stages keep their rows and columns, whatever these are called
+
+
+INNER = "row id sha kept_id kept_sha k number own digest m use position uses source size start quota schedule taken target bucket s b n t l r i c name fp least component component_id key head table lang of d text_sha256 keep_id _lang_pred _score _id _sha _own _k _use _position x left".split()
+STAGES = [language.keep_identified, exact_dedup.keep_one_of_equals, simhash.keep_representatives, mixing.training_stream]
+
+
+@pytest.mark.parametrize("stage", STAGES, ids=lambda s: s.__name__)
+def test_any_column_names(spark, stage):
+    rows = [(k, "ein wort und noch ein wort " * 3 if k % 2 else f"one two three four number {k} and so on", "de" if k % 2 else "en", "a") for k in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    extra = [n for n in INNER if n not in plain.columns]
+    clashing = plain.select("*", *[F.lit(n).alias(n) for n in extra], F.lit(1).alias("a.b"), F.array(F.lit(1)).alias("list"))
+    want = sorted((tuple(r) for r in stage(plain).collect()), key=str)
+    got = stage(clashing)
+    assert got.columns == clashing.columns
+    found = got.collect()
+    assert sorted((tuple(r)[:4] for r in found), key=str) == want and want
+    assert all(tuple(r)[4:] == (*extra, 1, [1]) for r in found)
+
+
+@pytest.mark.parametrize("stage", STAGES, ids=lambda s: s.__name__)
+def test_stages_on_odd_tables(spark, stage):
+    assert not stage(documents(spark, [])).count()
+    nulls = stage(documents(spark, [(None, None), (None, None), (None, "a text here"), (None, "another text there")])).collect()
+    assert {r["text"] for r in nulls} <= {None, "a text here", "another text there"}
+    if stage in (exact_dedup.keep_one_of_equals, simhash.keep_representatives):
+        assert sorted(str(r["text"]) for r in nulls) == ["None", "a text here", "another text there"]
+    same = stage(documents(spark, [(7, f"text of one id {'abc'[k % 3] * 9} {k % 3} and more words", "en", "a") for k in range(6)])).collect()
+    assert len(same) == (3 if stage in (exact_dedup.keep_one_of_equals, simhash.keep_representatives) else 6)
+
+
+def test_a_shared_folder_is_asked_for(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(far)
+    far.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(far)
 
 
 # URLs
@@ -306,9 +366,12 @@ def test_pipeline(spark):
     prints = [(r["doc_id"], plain_fingerprint(r["text"])) for r in single]
     assert sorted(r["doc_id"] for r in apart) == sorted(set(plain_components(prints).values()))
     targets, _ = plain_mix([(r["doc_id"], r["text"], r["source"]) for r in apart])
-    taken = Counter()
+    taken, longest = Counter(), Counter()
+    for r in apart:
+        longest[r["source"]] = max(longest[r["source"]], len(words(r["text"])))
     for r in stream:
         taken[r["source"]] += len(words(r["text"]))
-    assert all(abs(taken[s] - targets[s]) <= 0.5 for s in targets)
+    assert all(abs(taken[s] - targets[s]) <= longest[s] / 2 + 1 for s in targets)
+    assert {(r["doc_id"], r["text"]) for r in stream} <= {(r["doc_id"], r["text"]) for r in apart}
     assert Counter(r["doc_id"] for r in encoded) == Counter(r["doc_id"] for r in stream)
     assert corpus_pipeline.run(spark, SF).count() == len(encoded)

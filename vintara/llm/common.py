@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -22,9 +23,15 @@ _dirs: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this run in ``spark.checkpoint.dir``, which driver and executors share, with its file system in the name.
 
-    Where the setting is unset, as in tests, a temporary folder of this machine stands in.
+    Where the setting is unset, a temporary folder of this machine stands in, if the master is local; executors of other
+    machines would not see such a folder, so without a local master that is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that driver and executors share")
+        base = _own_base()
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{_run}")
     path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -40,7 +47,7 @@ def _own_base() -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    """At the driver's exit, as far as its JVM is still there: the written intermediates are of no further use."""
+    """Delete a folder, as far as the driver's JVM is still there."""
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -55,7 +62,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for these frames, of which nothing is read any more."""
+    for df in written:
+        _remove(df.sparkSession, df.written_to)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one that an operator uses; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
 
 
 def partitions(spark: SparkSession) -> int:

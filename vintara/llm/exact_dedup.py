@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fold_ascii, materialize, partitions
+from .common import LOWER, UPPER, fold_ascii, materialize, partitions, whole_row
 
 
 def _named(keys: DataFrame, name: str) -> DataFrame:
@@ -98,13 +98,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_equals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    kept = materialize(kept, "kept").hint("merge")
-    rows = docs.withColumn("_own", F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    same = Window.partitionBy("_sha", "_id").orderBy("_own")
-    return rows.withColumn("_k", F.row_number().over(same)).where("_k = 1").select(*docs.columns)
+    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps: one of each group of equal texts.
+
+    Null and empty texts are equal to each other, a null id stays only if no other row has the text, of rows that repeat
+    id and text one stays. Columns may have any names; an empty table gives no rows.
+    """
+    kept = exact_dedup(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").where("kept")
+    kept = materialize(kept.select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")), "kept").hint("merge")
+    sha = F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256)
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), sha.alias("sha"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")))
+    same = Window.partitionBy("sha", "id").orderBy("kept_sha")
+    return rows.withColumn("k", F.row_number().over(same)).where("k = 1").select("row.*")
 
 
 SQL = f"""

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import whole_row
+
 UNDETERMINED = "und"
 #: Bits of a code point; three of them are one n-gram.
 POINT = 21
@@ -138,13 +140,14 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     languages are drawn from; the row with the least digest is always
     taken. Rows that repeat are drawn once; rows without a language and blank texts are not drawn.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.trim(text_col) != ""))
     name = F.concat_ws(":", F.lit("sample"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string"))
-    digest = F.crc32(name) / F.lit(2.0**32)
-    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_count"), F.min(digest).alias("_least"))
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("_count"))
-    drawn = rows.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where((digest < share) | (digest == F.col("_least")))
-    picked = drawn.groupBy(F.col(lang_col).alias("lang"), digest.alias("d")).agg(F.min(F.substring(text_col, 1, LONGEST_SAMPLED)).alias("text"))
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.trim(text_col) != ""))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.crc32(name) / F.lit(2.0**32)).alias("d"))
+    counts = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.min("d").alias("least"))
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
+    # Not broadcast by hint: there are as many rows as languages, however many.
+    drawn = rows.join(counts, F.col("lang") == F.col("of")).where((F.col("d") < share) | (F.col("d") == F.col("least")))
+    picked = drawn.groupBy("lang", "d").agg(F.min(F.substring("text", 1, LONGEST_SAMPLED)).alias("text"))
     return [(r["lang"], r["text"]) for r in picked.orderBy("d", "lang").collect()]
 
 
@@ -160,11 +163,11 @@ def _predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], l
 
 
 def identify(rows: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """``rows`` with the columns _lang_pred and _score added, without a shuffle; see :func:`classify`."""
+    """``rows``, whose one column is the struct ``row``, with the columns _lang_pred and _score added, without a shuffle; see :func:`classify`."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _predict(model, batch.column(text_col).to_pylist())
+            langs, scores = _predict(model, batch.column("row").field(text_col).to_pylist())
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_lang_pred", "_score"])
 
@@ -179,10 +182,14 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told: not ``und``, and a score of at least ``least_score``."""
+    """The rows of ``docs``, all columns, whose language can be told: not ``und``, and a score of at least ``least_score``.
+
+    Null texts and those without a letter go; of rows that repeat each stays. If no row has a language, nothing can be
+    learned and every row goes. Columns may have any names; an empty table gives no rows.
+    """
     model, _ = learned(docs, id_col, text_col, lang_col)
-    out = identify(docs, model, text_col).where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least_score))
-    return out.select(*docs.columns)
+    out = identify(docs.select(whole_row(docs)), model, text_col).where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least_score))
+    return out.select("row.*")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
@@ -195,5 +202,5 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     as the empty text. Other columns are ignored; an empty table gives no rows.
     """
     model, held = learned(docs, id_col, text_col, lang_col, folds, sample)
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    return identify(rows, model, text_col).select(id_col, held.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held_out")).alias("row"))
+    return identify(rows, model, "text").select(F.col("row.id").alias(id_col), "row.held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))

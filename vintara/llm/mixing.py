@@ -5,8 +5,9 @@ schedule's integral, scaled to the target, is the source's cumulative token dema
 fixed pseudo-random order; the words before a document, over all its passes, are matched with the demand, and the
 demand's inverse gives the document's training position. Documents are range-sorted by position at the end.
 
-The prefix sums never put a source into one task: documents are dealt into buckets by a digest of their id, bucket sums
-(some thousand rows per source) are accumulated by a window, and a second window runs inside each bucket.
+The prefix sums never put a source into one task: documents are dealt into buckets by a digest of their id and text, so
+many that a bucket has about ``BUCKET_ROWS`` rows at most; bucket sums are accumulated by a window, and a second window
+runs inside each bucket. Targets are computed from one row per source, in windows over all of them.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, n_words
+from .common import WORD, materialize, n_words, whole_row
 
 #: Relative weight schedules as (time, weight) knots, given to sources in turn: constant, rising, falling.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)))
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
+BUCKET_ROWS = 20_000
 
 
 def _at_share(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
@@ -71,11 +73,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     return sources.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"), (F.col("place") % n_schedules).alias("schedule"))
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_repeats: int, schedules: Sequence, bucket_digits: int) -> DataFrame:
-    """Rows of ``docs`` as (id, size, source_size, target, taken, start, quota, schedule)."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), digest.alias("digest"))
-    rows = materialize(rows.withColumn("bucket", F.substring("digest", 1, bucket_digits)), "sizes")
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_repeats: int, schedules: Sequence, bucket_rows: int) -> DataFrame:
+    """Rows of ``docs`` as (id, digest, size, source_size, target, taken, start, quota, schedule)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _digest(id_col, text_col).alias("digest"))
+    rows = materialize(rows, "sizes")
+    digits = 1
+    while 16**digits * bucket_rows < rows.count():
+        digits += 1
+    rows = rows.withColumn("bucket", F.substring("digest", 1, digits))
     buckets = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("source", F.col("bucket").alias("b"), F.coalesce(F.sum("size").over(running), F.lit(0)).alias("offset"))
@@ -89,10 +94,16 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     rows = rows.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0))
     part = F.least(F.col("size"), F.col("quota") - F.col("passes") * F.col("source_size") - F.col("start"))
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), part)
-    return rows.select("id", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "quota", "schedule")
+    return rows.select("id", "digest", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "quota", "schedule")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: Sequence = SCHEDULES, bucket_digits: int = 3) -> DataFrame:
+def _digest(id_col: str, text_col: str) -> Column:
+    """Of id and text: rows with null or repeated ids are told apart, and fall into different buckets."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: Sequence = SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of ``docs``, range-sorted by position: id, size, source_size, target, taken, position.
 
     size is the number of words (0 for null or empty texts), taken the words that the mix takes of this document over
@@ -100,40 +111,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     target is met, the document at that point with as many of its words as are left. A source's taken words sum up to its
     rounded target. position is the training time 0..1 of the first use, rounded to 6 digits, null if nothing is taken.
     Null is a source like any other; rows that repeat are counted as often as they stand; other columns are ignored. An
-    empty table gives no rows. The order comes from the md5 digest of the id, so reruns agree.
+    empty table gives no rows. The order comes from the md5 digest of id and text, so reruns agree.
     """
-    rows = _decided(docs, id_col, text_col, source_col, weights, max_repeats, schedules, bucket_digits)
+    rows = _decided(docs, id_col, text_col, source_col, weights, max_repeats, schedules, bucket_rows)
     position = F.when(F.col("taken") > 0, _position(F.col("start") / F.col("quota"), schedules, F.col("schedule")))
     out = rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", position.alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), id_col)
 
 
-def training_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: Sequence = SCHEDULES, bucket_digits: int = 3) -> DataFrame:
+def training_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: Sequence = SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The mixed documents: the columns of ``docs``, a row for each use of a document, range-sorted by training position.
 
-    A document taken twice stands twice; a document taken in part has its first words, with the white space between
-    them. ``n_chars``, where the table has it, follows the text. Documents of which nothing is taken have no row. Rows
-    that repeat an id share the decision of the first of them.
+    A document taken twice stands twice. Documents are used whole: the one at its source's target, which the mix takes
+    in part, has one more use if that part is at least half of it, so a source's words differ from its target by at most
+    half a document. Documents without a use have no row. Null is a source like any other; rows that repeat id, text and
+    source have the uses of the first of them each. Columns may have any names; an empty table gives no rows.
     """
-    rows = _decided(docs, id_col, text_col, source_col, weights, max_repeats, schedules, bucket_digits).where("taken > 0")
-    first = F.min(F.struct("start", "size", "taken", "source_size", "quota", "schedule")).alias("m")
-    rows = materialize(rows.groupBy(F.col("id").alias("_id")).agg(first), "decided").hint("merge")
-    uses = F.expr("sequence(0, cast((m.taken - 1) div m.size as int))")
-    out = docs.join(rows, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_use", F.explode(uses))
-    words = F.least(F.col("m.size"), F.col("m.taken") - F.col("_use") * F.col("m.size")).cast("int")
-    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(words < F.col("m.size"), F.array_join(F.slice(pieces, F.lit(1), words), "")).otherwise(F.col(text_col))
-    share = (F.col("m.start") + F.col("_use") * F.col("m.source_size")) / F.col("m.quota")
-    out = out.withColumn("_position", _position(share, schedules, F.col("m.schedule"))).orderBy("_position", "_id", "_use").withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = _decided(docs, id_col, text_col, source_col, weights, max_repeats, schedules, bucket_rows).where("taken > 0")
+    rows = rows.withColumn("uses", F.round(F.col("taken") / F.col("size")).cast("int")).where("uses > 0")
+    first = F.min(F.struct("start", "uses", "source_size", "quota", "schedule")).alias("m")
+    rows = materialize(rows.groupBy(F.col("digest").alias("own")).agg(first), "decided").hint("merge")
+    out = docs.select(whole_row(docs), _digest(id_col, text_col).alias("digest")).join(rows, F.col("digest") == F.col("own"))
+    out = out.withColumn("use", F.explode(F.sequence(F.lit(0), F.col("m.uses") - 1)))
+    share = (F.col("m.start") + F.col("use") * F.col("m.source_size")) / F.col("m.quota")
+    position = _position(F.least(share, F.lit(1.0)), schedules, F.col("m.schedule"))
+    return out.withColumn("position", position).orderBy("position", "digest", "use").select("row.*")
 
 
 SQL = f"""
 WITH rows AS (
   SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS digest
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place

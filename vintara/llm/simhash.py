@@ -12,7 +12,6 @@ again, on the bits that they do not share yet. Components follow from the forest
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, UPPER, materialize, partitions
+from .common import LOWER, UPPER, materialize, partitions, quoted, whole_row
 from .components import components
 
 WORDS, SEED, RADIUS, BITS = 4, 42, 4, 64
@@ -165,18 +164,19 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A null id is smallest only if the group has no other. Rows are told apart by themselves, not by their ids: of rows in
     one group that share the smallest id that with the smallest digest of the text stays, and one of those that repeat
-    both; rows of different groups never take each other's place, whatever ids they share.
+    both; rows of different groups never take each other's place, whatever ids they share. Null, empty and blank texts
+    are near each other. Columns may have any names; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", F.sha2(text.cast("binary"), 256).alias("sha"), F.col("text").isNull().alias("no_text"), "row")
     # The row's number is written with the row: what is read again has the same one.
-    own = f"_row_{uuid.uuid4().hex[:8]}"
-    numbered = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.struct(F.col(id_col).alias("id"), F.col(own).alias("row"), F.col(text_col).alias("text")).alias("r")).select("r.*")
+    numbered = materialize(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "numbered")
+    inside = lambda c: F.col(f"row.{quoted(c)}")
+    rows = numbered.select(inside(id_col).alias("id"), F.col("number").alias("row"), inside(text_col).alias("text"))
     rows = rows.select(key.alias("id"), "text")
     kind = rows.schema["id"].dataType.simpleString()
     prints = rows.mapInArrow(_fingerprints, f"id {kind}, fp long")
     classes = _components(prints.groupBy("fp").agg(F.min("id").alias("least")), radius)
     kept = classes.groupBy("component").agg(F.min("least").alias("least"))
-    kept = materialize(kept.select(F.col("least.row").alias("_kept")), "representatives").hint("merge")
-    return numbered.join(kept, F.col(own) == F.col("_kept"), "left_semi").select(*docs.columns)
+    kept = materialize(kept.select(F.col("least.row").alias("number")), "representatives").hint("merge")
+    return numbered.join(kept, "number", "left_semi").select("row.*")
