@@ -102,37 +102,25 @@ def test_one_minimizer_in_very_many_segments(spark):
     docs += [(400 + i, docs[rng.randrange(400)][1][rng.randrange(20) :] + word(9)) for i in range(100)]
     for hot in (2, 20, 1 << 40):
         assert got(sd.remove_repeats(documents(spark, docs), hot=hot)) == brute(docs)
-    sent = sd.Candidates(sd.Shard(pa.table({"id": [d[0] for d in docs], "text": [d[1] for d in docs]}), 40), *shared_names(docs), 1 << 20)
-    rows = pa.Table.from_batches(list(sent.rows(3)))
+    shard = sd.Shard([d[0] for d in docs], [d[1] for d in docs], 40)
+    every = np.ones(len(shard.name), bool)
+    rows = pa.Table.from_batches(list(sd.Candidates(shard, every, every, 1 << 20).rows(3)))
     assert len(set(rows.column("key").to_pylist())) > 0.9 * len(rows) and set(map(len, rows.column("data").to_pylist())) == {50}
 
 
-def shared_names(docs):
-    shard = sd.Shard(pa.table({"id": [d[0] for d in docs], "text": [d[1] for d in docs]}), 40)
-    names, _ = shard.names()
-    return names, np.ones(len(names), bool)
-
-
 def test_rows_grow_with_the_text_not_with_the_shards():
-    docs = table_of_docs()
-    one = sd.Candidates(sd.Shard(docs, 40), *every_name(docs), 1 << 20)
-    halves = [docs.slice(0, len(docs) // 2), docs.slice(len(docs) // 2)]
-    two = [sd.Candidates(sd.Shard(h, 40), *every_name(h), 1 << 20) for h in halves]
-    count = lambda c: sum(b.num_rows for b in c.rows(0))
-    assert count(one) <= sum(map(count, two)) <= 1.2 * count(one)
-    assert count(one) < sum(len(t.encode()) for t in docs.column("text").to_pylist()) / 6
-
-
-def table_of_docs():
     import pyarrow.parquet as pq
 
-    rows = pq.read_table(f"{SF}/documents.parquet")
-    return pa.table({"id": rows.column("doc_id"), "text": [t or "" for t in rows.column("text").to_pylist()]})
+    docs = pq.read_table(f"{SF}/documents.parquet").select(["doc_id", "text"]).to_pylist()
 
+    def count(rows):
+        shard = sd.Shard([r["doc_id"] for r in rows], [r["text"] for r in rows], 40)
+        every = np.ones(len(shard.name), bool)
+        return sum(b.num_rows for b in sd.Candidates(shard, every, ~every, 1 << 20).rows(0))
 
-def every_name(docs):
-    names, _ = sd.Shard(docs, 40).names()
-    return names, np.zeros(len(names), bool)
+    one, two = count(docs), count(docs[::2]) + count(docs[1::2])
+    assert one <= two <= 1.2 * one
+    assert one < sum(len((r["text"] or "").encode()) for r in docs) / 6
 
 
 def test_odd_documents(spark):

@@ -12,10 +12,13 @@ does not depend on how many shards there are:
    Kasai's scan, and so its distinct strings with the smallest document of each. A larger text takes several arrays,
    merged by binary search of each one's strings in the others.
 3. Of the distinct strings whose name another shard has, neighbours with one name are sent as a segment, a row with the
-   smallest document. Rows meet by name, are put into suffix arrays of bounded size and merged by binary search; the
-   answer is a bit per string: another shard has it in a smaller document. So a passage of very many documents is a row
-   per shard, and a name that very many different strings share is dealt out string by string (``hot``).
-4. The shards mark the bytes under such strings and hash what is left.
+   smallest document. Rows meet by name; their strings are put in order, in pieces of bounded size, which are merged by
+   binary search. The answer is a bit per string: another shard has it in a smaller document. So a passage of very many
+   documents is a row per shard, and a name that very many different strings share is dealt out string by string (``hot``).
+4. The shards find all places of such strings, by suffix arrays of the runs that have their names, mark the bytes under
+   them and hash what is left.
+
+Texts travel packed: the documents that a task has for a shard are one row, so there are never more rows than documents.
 
 A task takes a shard, or a share of the names or segments whose size the number of partitions keeps in bounds, and numpy
 arrays over a few megabytes.
@@ -36,7 +39,7 @@ from .common import partitions
 
 LENGTH, ANCHOR = 50, 24
 #: Text of a shard, bytes of a piece of text that is hashed at once, and of a piece whose suffixes are sorted.
-SHARD_BYTES, PIECE, SORTED = 8 << 20, 1 << 20, 2 << 20
+SHARD_BYTES, PIECE, SORTED = 16 << 20, 1 << 20, 4 << 20
 #: A name of more runs, over all shards, is hot.
 HOT = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -70,12 +73,13 @@ def minimizers(raw: np.ndarray) -> np.ndarray:
 class Shard:
     """A shard's documents in order of id, and the runs of neighbouring strings with one minimizer."""
 
-    def __init__(self, rows: pa.Table, bits: int):
-        ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
+    def __init__(self, ids: list[int | None], texts: list[str | None], bits: int):
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
         self.ids = [ids[k] for k in order]
         self.numbers = np.array([i or 0 for i in self.ids], np.int64)
         self.texts = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in order]
+        #: Where each text would begin if they were joined.
+        self.begin = np.cumsum([0, *map(len, self.texts)])
         found = list(self._runs(np.uint64(64 - bits)))
         empty = np.zeros(0, np.int64)
         #: By run its name, document, place in it and number of strings; in order of document and place.
@@ -118,6 +122,10 @@ class Shard:
             names = ((m[starts] * _A) >> spare).astype(np.int64)
             yield names, doc[part], place[part] + starts - begin[part], counts
 
+    def run_at(self, at: np.ndarray) -> np.ndarray:
+        """The runs in which strings begin at these places of the joined texts."""
+        return np.searchsorted(self.begin[self.doc] + self.place, at, "right") - 1
+
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct names, sorted, and their numbers of runs."""
         return np.unique(self.name, return_counts=True)
@@ -207,33 +215,26 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int = LENGTH, lanes:
     return by_place[sa]
 
 
-class SortedPiece:
-    """Segments joined to one text, with the distinct strings in order and the smallest document of each."""
-
-    def __init__(self, segments: list[bytes], docs: np.ndarray):
-        data = b"".join(segments)
-        raw = np.frombuffer(data, np.uint8)
-        sizes = np.array([len(s) for s in segments], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        self.strings = sizes - LENGTH + 1
-        sa = suffix_array(raw)
-        group = np.cumsum(common_prefixes(raw, sa) < LENGTH) - 1
-        own = np.repeat(np.arange(len(segments)), sizes)
-        whole = np.arange(len(raw)) <= (begin + sizes - LENGTH)[own]
-        keep = whole[sa]
-        sa, group = sa[keep], group[keep]
-        first = np.flatnonzero(np.diff(group, prepend=-1) != 0)
-        self.heads = sa[first].astype(np.int64)
-        self.least = np.minimum.reduceat(docs[own[sa]], first)
-        of_start = np.empty(len(raw), np.int64)
-        of_start[sa] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sa))))
-        self.group = of_start[whole]  # by segment and place in it
-        words = _words(raw, ">u8")
-        self.keys = [words[self.heads + k] for k in _OFFSETS]
+class SortedStrings:
+    """Distinct strings in order, with the smallest document of each, as what is merged by binary search.
+
+    heads: a place of each in ``raw``; least: its smallest document; group: by string given, which of the distinct ones it is.
+    """
+
+    def __init__(self, raw: np.ndarray, heads: np.ndarray, least: np.ndarray, group: np.ndarray):
+        self.raw, self.heads, self.least, self.group = raw, heads.astype(np.int64), least, group
         #: For strings that an earlier piece has: that piece's number and the string's place there.
-        self.origin = np.full((2, len(first)), -1, np.int64)
+        self.origin = np.full((2, len(heads)), -1, np.int64)
+        self._keys: list[np.ndarray] | None = None
 
-    def meet(self, other: SortedPiece, number: int = 0) -> None:
+    @property
+    def keys(self) -> list[np.ndarray]:
+        if self._keys is None:
+            words = _words(self.raw, ">u8")
+            self._keys = [words[self.heads + k] for k in _OFFSETS]
+        return self._keys
+
+    def meet(self, other: SortedStrings, number: int = 0) -> None:
         """Strings that both pieces have get the smaller of their documents in both: a binary search, word by word.
 
         ``other`` is the later one and remembers where this one, piece ``number``, has them.
@@ -253,6 +254,45 @@ class SortedPiece:
         other.origin[0, query[new]], other.origin[1, query[new]] = number, lo[new]
 
 
+def sorted_piece(segments: list[bytes], docs: np.ndarray) -> SortedStrings:
+    """The strings of the segments, joined to one text and sorted by its suffix array; groups by segment and place in it."""
+    raw = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.array([len(s) for s in segments], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    sa = suffix_array(raw)
+    group = np.cumsum(common_prefixes(raw, sa) < LENGTH) - 1
+    own = np.repeat(np.arange(len(segments)), sizes)
+    whole = np.arange(len(raw)) <= (begin + sizes - LENGTH)[own]
+    keep = whole[sa]
+    sa, group = sa[keep], group[keep]
+    first = np.flatnonzero(np.diff(group, prepend=-1) != 0)
+    of_start = np.empty(len(raw), np.int64)
+    of_start[sa] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sa))))
+    return SortedStrings(raw, sa[first], np.minimum.reduceat(docs[own[sa]], first), of_start[whole])
+
+
+def sorted_strings(raw: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> SortedStrings:
+    """The strings at these places, sorted eight bytes after eight bytes, each time within the groups that are still equal."""
+    words = _words(raw, ">u8")
+    order = np.argsort(words[starts])
+    key = words[starts[order]]
+    new = np.diff(key, prepend=~key[:1]) != 0
+    for k in _OFFSETS[1:]:
+        # Places whose group has more than one string.
+        place = np.flatnonzero(~new | np.append(~new[1:], False))
+        if not len(place):
+            break
+        group, key = np.cumsum(new[place]), words[starts[order[place]] + k]
+        within = np.lexsort((key, group))
+        order[place] = order[place][within]
+        group, key = group[within], key[within]
+        new[place[1:]] |= (np.diff(group) != 0) | (np.diff(key) != 0)
+    first = np.flatnonzero(new)
+    group = np.empty(len(starts), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return SortedStrings(raw, starts[order[first]], np.minimum.reduceat(docs[order], first), group)
+
+
 def _bound(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
     """By query the first place in [lo, hi) of a key not below (``after``: above) the wanted one."""
     lo, hi = lo.copy(), hi.copy()
@@ -269,25 +309,20 @@ def _bound(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray,
 
 def smaller_elsewhere(segments: list[bytes], docs: np.ndarray, piece_bytes: int = SORTED) -> tuple[np.ndarray, np.ndarray]:
     """For each string of each segment whether a document smaller than the segment's own has it; strings by segment."""
-    number: dict[bytes, int] = {}
-    of = np.array([number.setdefault(s, len(number)) for s in segments], np.int64)
-    least = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(least, of, docs)
-    distinct, pieces, begin, size = list(number), [], 0, 0
-    for k, s in enumerate(distinct):
-        size += len(s)
-        if size >= piece_bytes or k + 1 == len(distinct):
-            pieces.append(SortedPiece(distinct[begin : k + 1], least[begin : k + 1]))
-            begin, size = k + 1, 0
+    sizes = np.array([len(s) for s in segments], np.int64)
+    strings = sizes - LENGTH + 1
+    piece = np.cumsum(sizes) // piece_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(segments)]
+    pieces = []
+    for a, b in zip(cuts, cuts[1:]):
+        starts = _ranges(np.cumsum(sizes[a:b]) - sizes[a:b], strings[a:b])
+        pieces.append(sorted_strings(np.frombuffer(b"".join(segments[a:b]), np.uint8), starts, np.repeat(docs[a:b], strings[a:b])))
     _meet_all(pieces)
     smallest = np.concatenate([p.least[p.group] for p in pieces])
-    strings = np.concatenate([p.strings for p in pieces])
-    begin = (np.cumsum(strings) - strings)[of]
-    strings = strings[of]
-    return smallest[_ranges(begin, strings)] < np.repeat(docs, strings), strings
+    return smallest < np.repeat(docs, strings), strings
 
 
-def _meet_all(pieces: list[SortedPiece]) -> None:
+def _meet_all(pieces: list[SortedStrings]) -> None:
     for k, later in enumerate(pieces):
         for j, earlier in enumerate(pieces[:k]):
             earlier.meet(later, j)
@@ -303,17 +338,14 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Candidates:
-    """A shard's strings that another document may have: sorted pieces, and the segments to ask the other shards about.
+    """Runs of a shard whose strings another document may have, and the sorted pieces of their text.
 
-    shared, hot: the names that several shards have, sorted, and whether they are hot.
+    Of the strings of ``across`` (by run) the other shards are asked, one by one where the run is ``hot``.
     """
 
-    def __init__(self, shard: Shard, shared: np.ndarray, hot: np.ndarray, sorted_bytes: int):
-        at = np.minimum(np.searchsorted(shared, shard.name), max(0, len(shared) - 1))
-        across = shared[at] == shard.name if len(shared) else np.zeros(len(shard.name), bool)
+    def __init__(self, shard: Shard, across: np.ndarray, hot: np.ndarray, sorted_bytes: int):
         runs = np.flatnonzero(across | shard.several())
-        self.shard, self.runs = shard, runs
-        self.across, self.hot = across[runs], across[runs] & (hot[at[runs]] if len(shared) else False)
+        self.shard, self.runs, self.across, self.hot = shard, runs, across[runs], hot[runs]
         doc, place, count = shard.doc[runs], shard.place[runs], shard.count[runs]
         new = np.empty(len(runs), bool)
         new[:1] = True
@@ -321,18 +353,18 @@ class Candidates:
         piece = np.cumsum(count + new * (LENGTH - 1)) // sorted_bytes
         new[1:] |= piece[1:] != piece[:-1]
         cuts = np.flatnonzero(np.diff(piece, prepend=-1, append=-1)) if len(runs) else np.zeros(1, np.int64)
-        self.pieces: list[SortedPiece] = []
-        #: By piece: its runs, and the place among all its strings' bytes of each string.
+        self.pieces: list[SortedStrings] = []
+        #: By piece its runs, and by interval of neighbouring runs its strings.
         self.parts: list[slice] = []
-        self.raw: list[np.ndarray] = []
+        self.strings_in: list[np.ndarray] = []
         for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
             first = np.flatnonzero(new[a:b])
             n = np.add.reduceat(count[a:b], first) + LENGTH - 1
             begin = place[a:b][first]
             texts = [shard.texts[d][p : p + m] for d, p, m in zip(doc[a:b][first].tolist(), begin.tolist(), n.tolist())]
-            self.pieces.append(SortedPiece(texts, shard.numbers[doc[a:b][first]]))
+            self.pieces.append(sorted_piece(texts, shard.numbers[doc[a:b][first]]))
             self.parts.append(slice(a, b))
-            self.raw.append(np.frombuffer(b"".join(texts), np.uint8))
+            self.strings_in.append(n - LENGTH + 1)
         _meet_all(self.pieces)
 
     def strings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,49 +389,45 @@ class Candidates:
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
         """The segments as rows of _SEND; ``number`` is the shard's."""
-        before = 0
         for k, (start, count, run) in enumerate(self.segments()):
-            part, raw = self.parts[k], self.raw[k]
+            part, raw = self.parts[k], self.pieces[k].raw
             # Each interval of the piece's text has LENGTH - 1 bytes more than strings.
-            ends = np.cumsum(self.pieces[k].strings)
+            ends = np.cumsum(self.strings_in[k])
             at = start + (LENGTH - 1) * np.searchsorted(ends, start, "right")
             offsets = np.concatenate(([0], np.cumsum(count + LENGTH - 1)))
             data = raw[_ranges(at, count + LENGTH - 1)]
             key = self.shard.name[self.runs[part]][run]
             hot = self.hot[part][run]
             key[hot] = _digest(raw, at[hot])
-            doc = self.shard.numbers[self.shard.doc[self.runs[part]][run]]
+            own = self.runs[part]
+            doc = self.shard.doc[own]
+            before = np.cumsum(self.shard.count[own]) - self.shard.count[own]
+            place = (self.shard.begin[doc] + self.shard.place[own])[run] + start - before[run]
+            doc = self.shard.numbers[doc][run]
             blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            ref = (number << 32) + before + np.arange(len(start))
-            before += len(start)
+            ref = (number << _PLACE) + place
             for j in range(0, len(start), 1 << 16):
                 part_of = slice(j, j + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(key[part_of]), pa.array(ref[part_of]), pa.array(doc[part_of]), blobs[part_of].cast(pa.binary())], schema=_SEND)
 
-    def repeats(self, answered: np.ndarray, bits: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By piece: documents and places of the strings that a smaller document has; ``answered`` numbers the segments that ``bits`` are for."""
-        order = np.argsort(answered)
-        answered, bits = answered[order], [bits[k] for k in order]
-        before, out = 0, []
+    def repeats(self, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By piece: documents and places of the strings that a smaller document has; ``at``: the strings, by place in the joined texts, that other shards have so."""
+        out = []
         smaller: list[np.ndarray] = []
-        for k, (start, count, _) in enumerate(self.segments()):
-            piece, runs = self.pieces[k], self.runs[self.parts[k]]
-            a, b = np.searchsorted(answered, (before, before + len(start)))
-            own = answered[a:b] - before
-            before += len(start)
-            data = b"".join(bits[a:b])
-            at = np.cumsum([0, *map(len, bits[a:b])])[:-1] * 8
-            said = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)[_ranges(at, count[own])]
+        asked = np.zeros(int(self.shard.begin[-1]) + 1, bool)
+        asked[at] = True
+        for k, piece in enumerate(self.pieces):
+            runs = self.runs[self.parts[k]]
+            n = self.shard.count[runs]
+            doc, place = np.repeat(self.shard.doc[runs], n), _ranges(self.shard.place[runs], n)
             here = np.zeros(len(piece.heads), bool)
-            here[piece.group[_ranges(start[own], count[own])]] = said
+            here[piece.group[asked[self.shard.begin[doc] + place]]] = True
             for j, earlier in enumerate(smaller):
                 known = piece.origin[0] == j
-                here[known] = earlier[piece.origin[1, known]]
+                here[known] |= earlier[piece.origin[1, known]]
             smaller.append(here)
-            n = self.shard.count[runs]
-            doc = np.repeat(self.shard.doc[runs], n)
             hit = here[piece.group] | (self.shard.numbers[doc] > piece.least[piece.group])
-            out.append((doc[hit], _ranges(self.shard.place[runs], n)[hit]))
+            out.append((doc[hit], place[hit]))
         return out
 
 
@@ -414,11 +442,16 @@ def _digest(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 _NAMES = pa.schema([("name", pa.int64()), ("tag", pa.int64())])
-_SHARED = pa.schema([("shard", pa.int32()), ("name", pa.int64()), ("hot", pa.bool_()), ("segment", pa.int64()), ("bits", pa.binary())])
+_SHARED = pa.schema([("shard", pa.int32()), ("name", pa.int64()), ("hot", pa.bool_())])
+_TOLD = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("bits", pa.binary())])
+_PACKED = pa.schema([("shard", pa.int32()), ("pack", pa.binary())])
+_TEXTS = pa.schema([("id", pa.int64()), ("text", pa.string())])
 _SEND = pa.schema([("key", pa.int64()), ("ref", pa.int64()), ("doc", pa.int64()), ("data", pa.binary())])
 _OUT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 #: A row's tag is the shard's number and, in so many bits, its runs of the name.
 _RUNS = 20
+#: A segment's reference is the shard's number and, in so many bits, its place in the shard's joined texts.
+_PLACE = 38
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -426,9 +459,35 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By shard and batch of rows one row, compressed."""
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        order = np.argsort(shard, kind="stable")
+        rows = batch.select(["id", "text"]).take(pa.array(order)).cast(_TEXTS)
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
+        packs = []
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                # Copied, so that a slice does not carry the bytes around it.
+                writer.write_batch(rows.take(pa.array(np.arange(a, b))))
+            packs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(shard[order][cuts], pa.int32()), pa.array(packs, pa.binary())], schema=_PACKED)
+
+
+def _shard(rows: pa.Table, bits: int) -> Shard:
+    ids, texts = [], []
+    for pack in rows.column("pack"):
+        table = pa.ipc.open_stream(pack.as_buffer()).read_all()
+        ids += table.column("id").to_pylist()
+        texts += table.column("text").to_pylist()
+    return Shard(ids, texts, bits)
+
+
 def _name(bits: int):
     def name(rows: pa.Table) -> pa.Table:
-        names, runs = Shard(rows, bits).names()
+        names, runs = _shard(rows, bits).names()
         tags = (rows.column("shard")[0].as_py() << _RUNS) + np.minimum(runs, (1 << _RUNS) - 1)
         return pa.Table.from_arrays([pa.array(names), pa.array(tags)], schema=_NAMES)
 
@@ -453,27 +512,27 @@ def _share(most: int):
         names, tags, hot = names[shared], tags[shared], np.repeat(hot, shards)[shared]
         for k in range(0, len(names), 1 << 16):
             part = slice(k, k + (1 << 16))
-            n = len(names[part])
-            columns = [pa.array((tags[part] >> _RUNS).astype(np.int32)), pa.array(names[part]), pa.array(hot[part]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+            columns = [pa.array((tags[part] >> _RUNS).astype(np.int32)), pa.array(names[part]), pa.array(hot[part])]
             yield pa.RecordBatch.from_arrays(columns, schema=_SHARED)
 
     return share
 
 
-def _candidates(rows: pa.Table, said: pa.Table, bits: int, sorted_bytes: int) -> tuple[Candidates, pa.Table]:
-    """The shard's candidates from the rows that tell of names, and the other rows."""
-    tells = said.column("name").is_valid()
-    names = said.filter(tells)
-    shared, hot = names.column("name").to_numpy(), names.column("hot").to_numpy()
+def across(shard: Shard, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By run whether several shards have its name, and whether that is hot; shared: such names, in any order."""
     order = np.argsort(shared)
-    return Candidates(Shard(rows, bits), shared[order], hot[order], sorted_bytes), said.filter(pa.compute.invert(tells))
+    shared, hot = np.append(shared[order], -1), np.append(hot[order], False)
+    at = np.searchsorted(shared[:-1], shard.name)
+    found = shared[at] == shard.name
+    return found, found & hot[at]
 
 
 def _send(bits: int, sorted_bytes: int):
     def send(rows: pa.Table, said: pa.Table) -> pa.Table:
-        if not len(rows):
+        if not len(rows) or not len(said):
             return _SEND.empty_table()
-        found, _ = _candidates(rows, said, bits, sorted_bytes)
+        shard = _shard(rows, bits)
+        found = Candidates(shard, *across(shard, said.column("name").to_numpy(), said.column("hot").to_numpy()), sorted_bytes)
         return pa.Table.from_batches(list(found.rows(rows.column("shard")[0].as_py())), schema=_SEND)
 
     return send
@@ -492,21 +551,30 @@ def _sort(sorted_bytes: int):
         for k in range(0, len(told), 1 << 14):
             part = told[k : k + (1 << 14)]
             bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip((ends - strings)[part].tolist(), ends[part].tolist())]
-            n, own = len(part), ref[part]
-            columns = [pa.array((own >> 32).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(own & 0xFFFFFFFF), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=_SHARED)
+            own = ref[part]
+            columns = [pa.array((own >> _PLACE).astype(np.int32)), pa.array(own & ((1 << _PLACE) - 1)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_TOLD)
 
     return sort
 
 
+def _told(places: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """The places of the strings that other shards have in smaller documents."""
+    n = np.fromiter(map(len, bits), np.int64, len(bits)) * 8
+    said = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).astype(bool)
+    return _ranges(places, n)[said]
+
+
 def _remove(bits: int, sorted_bytes: int, schema: pa.Schema, with_kept: bool):
     def remove(rows: pa.Table, said: pa.Table) -> pa.Table:
         out = []
         if len(rows):
-            found, answers = _candidates(rows, said, bits, sorted_bytes)
-            repeats = found.repeats(answers.column("segment").to_numpy(), answers.column("bits").to_pylist())
+            shard = _shard(rows, bits)
+            at = _told(said.column("place").to_numpy(), said.column("bits").to_pylist())
+            names = np.unique(shard.name[shard.run_at(at)])
+            found = Candidates(shard, *across(shard, names, np.zeros(len(names), bool)), sorted_bytes)
+            repeats = found.repeats(at)
             doc, place = (np.concatenate(x) for x in zip(*repeats)) if repeats else [np.zeros(0, np.int64)] * 2
-            shard = found.shard
             edges = np.searchsorted(doc, np.arange(len(shard.ids) + 1)).tolist()
             for k, (own, text) in enumerate(zip(shard.ids, shard.texts)):
                 removed = spans = 0
@@ -542,12 +610,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # So many names that two different ones are rarely equal; that only costs work.
     bits = min(62, (total // 10).bit_length() + 8)
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
-    texts = rows.select(shard, "id", "text")
+    texts = rows.select(shard, "id", "text").mapInArrow(_pack, _ddl(_PACKED))
     named = texts.groupBy("shard").applyInArrow(_name(bits), _ddl(_NAMES))
     shared = named.repartition(shards, "name").mapInArrow(_share(hot), _ddl(_SHARED))
     sent = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(bits, sorted_bytes), _ddl(_SEND))
-    told = sent.repartition(2 * shards, "key").mapInArrow(_sort(sorted_bytes), _ddl(_SHARED))
+    told = sent.repartition(2 * shards, "key").mapInArrow(_sort(sorted_bytes), _ddl(_TOLD))
     schema = pa.schema([("id", pa.int64()), *_OUT, *([("kept", pa.binary())] if with_kept else [])])
-    said = shared.unionByName(told)
-    out = texts.groupBy("shard").cogroup(said.groupBy("shard")).applyInArrow(_remove(bits, sorted_bytes, schema, with_kept), _ddl(schema))
+    out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_remove(bits, sorted_bytes, schema, with_kept), _ddl(schema))
     return out.withColumnRenamed("id", id_col)
