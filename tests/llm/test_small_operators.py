@@ -86,6 +86,90 @@ def test_a_rule_is_learned_and_spares_good_documents(spark):
     assert not any(got[k]["rejected_by"] for k in range(3000))
 
 
+def plain_verdicts(docs, labels, risk, error):
+    """What judge() should say, from its description, in plain Python: rejected_by by id."""
+    from math import ceil, comb
+
+    from xxhash import xxh64_intdigest
+
+    def steps(text):
+        n, chars, symbols, dup, repeat = plain_measures(text)
+        lines = sum(1 for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+        if not n:
+            return n, dict.fromkeys(quality.RULES, 0)
+        values = {
+            "symbols": symbols / chars,
+            "dup_lines": dup / lines,
+            "repeat_words": repeat / n,
+            "upper": sum(c.isupper() for c in text) / chars,
+            "long_words": 1 - min(1, 4 * n / chars),
+            "short_words": 1 - min(1, chars / (4 * n)),
+        }
+        return n, {r: min(200, ceil(v * 200)) for r, v in values.items()}
+
+    def is_tuning(i):
+        h = xxh64_intdigest(b"tuning", xxh64_intdigest(str(i).encode(), 42))
+        return (h - (1 << 64) if h >> 63 else h) % 3 == 0
+
+    found = {i: steps(t) for i, t in docs}
+    stratum = {i: sum(n >= x for x in (50, 200, 1000)) for i, (n, _) in found.items()}
+    levels = {}
+    for s in range(4):
+        part = {g: [found[i][1] for i, q in labels.items() if q == g and stratum[i] == s and is_tuning(i)] for g in (0, 1)}
+        levels[s] = [{} for _ in quality.LEVELS]
+        for rule in quality.RULES if part[0] and part[1] else ():
+            tail = {g: [sum(x[rule] >= k for x in part[g]) / len(part[g]) for k in range(202)] for g in (0, 1)}
+            if max(tail[0][k] - tail[1][k] for k in range(1, 202)) >= quality.LEAST_LIFT:
+                for level, share in zip(levels[s], quality.LEVELS):
+                    level[rule] = next(k for k in range(1, 202) if tail[1][k] <= share + 1e-12)
+    held = {s: {g: [found[i][1] for i, q in labels.items() if q == g and stratum[i] == s and not is_tuning(i)] for g in (0, 1)} for s in range(4)}
+    tested = [s for s in range(4) if any(levels[s])]
+    while any((1 - risk) ** len(held[s][1]) > error / len(tested) for s in tested):
+        tested = [s for s in tested if (1 - risk) ** len(held[s][1]) <= error / len(tested)]
+    chosen = {}
+    for s in tested:
+        gain = 0
+        for level in levels[s]:
+            out = {g: sum(any(x[r] >= c for r, c in level.items()) for x in held[s][g]) for g in (0, 1)}
+            n, m = len(held[s][1]), len(held[s][0])
+            if sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(out[1] + 1)) > error / len(tested):
+                break
+            if m and out[0] / m - out[1] / n > gain + 1e-12:
+                chosen[s], gain = level, out[0] / m - out[1] / n
+    return {i: {r for r, c in chosen.get(stratum[i], {}).items() if found[i][1][r] >= c} for i in found}, chosen
+
+
+def test_verdicts_against_plain_python_with_cutoffs_in_all_strata(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9)))
+    docs, labels = [], {}
+    for k in range(1600):
+        bad, n = k % 8 == 0, rng.choice((30, 80, 300, 1100))
+        words = [word() for _ in range(n)]
+        if bad or rng.random() < 0.001:
+            for _ in range(n // rng.randrange(2, 5)):
+                words[rng.randrange(n)] = rng.choice(["###", "$%", "|<>|", "UPPER", "LOUD"])
+        docs.append((k, " ".join(words)))
+        if k % 16 != 8:
+            labels[k] = int(not bad)
+    want, chosen = plain_verdicts(docs, labels, 0.03, 0.05)
+    assert set(chosen) == {0, 1, 2, 3}
+    df = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    got = rows(quality.judge(documents(spark, docs), df), "doc_id")
+    for i, t in docs:
+        assert set(got[i]["rejected_by"]) == want[i], i
+        assert got[i]["kept"] == (not want[i] and not got[i]["base_failed"])
+    good = [i for i, q in labels.items() if q]
+    assert sum(bool(want[i]) for i in good) <= 0.03 * len(good) and sum(bool(want[i]) for i, _ in docs if i % 8 == 0) > 150
+
+
+def test_a_very_long_text_of_one_window():
+    text = "a b c d e f g h " * 200_000
+    assert quality.measure_text(text)[4] == 1_600_000
+
+
 # tokens
 
 
