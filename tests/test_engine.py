@@ -262,6 +262,45 @@ def test_timing_channel(spark):
     assert panel.same_universe(panel.common_universe(panel.pick_freshest(f, ["2016-01-31"]), 3))
 
 
+def years(cik, first, n, assets, restated=None):
+    """n years with income, cash flow and assets; restated: year to a later value of its assets."""
+    rows = []
+    for y in range(first, first + n):
+        for c, v in (("NetIncomeLoss", 10 * y), (CFO, 3 * y)):
+            rows.append((cik, c, "USD", f"{y}-01-01", f"{y}-12-31", v, f"{cik}-{y}", f"{y + 1}-02-20", None))
+        rows.append((cik, "Assets", "USD", None, f"{y}-12-31", assets, f"{cik}-{y}", f"{y + 1}-02-20", None))
+        if restated and y in restated:
+            rows.append((cik, "Assets", "USD", None, f"{y}-12-31", restated[y], f"{cik}-{y}r", f"{y + 3}-02-20", None))
+    return rows
+
+
+def test_a_year_short_in_one_arm_is_short_in_all(spark):
+    rows = years(1, 2017, 4, 1000, {2020: -5000}) + years(2, 2017, 4, 1000) + years(3, 2018, 2, 1000, {2019: -5000}) + years(4, 2019, 1, 1000)
+    f = features.accruals(facts(spark, rows))
+    of = {(r["cik"], r["arm"], r["period_end"].year): r["drop_reason"] for r in f.collect()}
+    assert of[1, "first_reported", 2020] is None and of[1, "restated_values", 2020] == "NON_POSITIVE_ASSETS"
+    picked = panel.pick_freshest(f, ["2019-06-30", "2021-06-30"])
+    got = {(r["cik"], r["arm"], r["formation_date"].year): r["period_end"] and r["period_end"].year for r in picked.collect()}
+    assert {got[1, a, 2021] for a in features.ARMS} == {2019} and {got[2, a, 2021] for a in features.ARMS} == {2020}
+    assert not {k for k in got if k[0] in (3, 4)}
+    common = panel.common_universe(picked, 3)
+    assert {(r["cik"], r["formation_date"].year) for r in common.collect()} == {(1, 2019), (2, 2019), (1, 2021), (2, 2021)} and panel.same_universe(common)
+    late = panel.pick_freshest(f, ["2018-06-30", "2019-01-31"])
+    reasons = {r["reason"]: r["n"] for r in panel.drop_reasons(f, late, 3).collect()}
+    # In January 2019 the vendor knows the year 2018, the other arms do not.
+    assert reasons == {"NON_POSITIVE_ASSETS": 2, "NO_PRIOR_YEAR": 1, "NO_ANNUAL_PERIOD": 1, "NOT_YET_FILED": 4}
+
+
+def test_a_panel_is_one_scan_of_the_facts(spark):
+    from vintara.plans import catalog
+
+    for name in ("panel_common_universe", "panel_asof_pick", "panel_sizes"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        base = catalog.p.facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == base.count("FileScan"), name
+        assert plan.count("Exchange hashpartitioning") - base.count("Exchange hashpartitioning") <= 4, name
+
+
 DRIFT = {"AAA": 0.30, "BBB": 0.25, "CCC": 0.15, "DDD": 0.05, "EEE": 0.0, "FFF": -0.05}
 SIGNAL = {"AAA": -0.30, "BBB": -0.20, "CCC": -0.05, "DDD": 0.05, "EEE": 0.20, "FFF": 0.30}
 
@@ -296,6 +335,30 @@ def test_quantile_sort(spark, market):
     assert not thin.count()
 
 
+def test_thin_formations_are_periods_too(spark, market):
+    signals, prices = market
+    plan = backtest.Plan(quantiles=2)
+    thin = signals.where("symbol < 'D' or formation_date > '2016-06-01'").unionByName(spark.createDataFrame([("AAA", d("2016-07-04"), 0.1, d("2016-07-01")), ("ZZZ", d("2016-07-04"), 0.1, d("2016-07-01"))], signals.schema))
+    every = backtest.positions(backtest.quotes(thin, prices, plan), plan, every=True)
+    got = {str(r["formation_date"]): r for r in backtest.periods(every).collect()}
+    assert set(got) == {"2016-01-04", "2016-07-04"}
+    one = got["2016-07-04"]
+    assert (one["n_positions"], one["n_ranked"], one["n_excluded"], one["exclusion_rate"]) == (0, 1, 1, 0.5)
+    assert one["entry_date"] == date(2016, 7, 4) and one["exit_date"] == date(2017, 1, 4) and one["net_return"] == one["turnover"] == 0
+    summary = backtest.arm_summary(backtest.periods(every), 2.0).first()
+    assert summary["n_periods"] == 2 == summary["n_thin"] and summary["net_mean"] == 0 and summary["n_excluded"] == 1
+    with pytest.raises(PySparkException, match="without periods"):
+        backtest.arm_summary(backtest.periods(every.where("false")), 2.0).collect()
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), None])
+def test_a_signal_that_is_no_number_is_refused(spark, market, value):
+    signals, prices = market
+    bad = signals.withColumn("value", F.when(F.col("symbol") == "AAA", F.lit(value).cast("double")).otherwise(F.col("value")))
+    with pytest.raises(PySparkException, match="no finite number"):
+        backtest.quotes(bad, prices).count()
+
+
 def test_future_signal_is_refused(spark, market):
     signals, prices = market
     leaky = signals.withColumn("knowledge_date", F.date_add("formation_date", 1))

@@ -91,12 +91,15 @@ def quotes(signals: DataFrame, prices: DataFrame, plan: Plan = Plan()) -> DataFr
 
     One equi-join on the symbol brings each signal its bars from the cost window to the exit window; everything else is
     conditional aggregation. The entry is the first bar from the formation plus the lag up to the next formation, the
-    exit the first from the next formation plus the lag on. Guards raise on a signal, a cost bar or a trade that would
-    have needed the future.
+    exit the first from the next formation plus the lag on. Guards raise on a signal that is no finite number, and on a
+    signal, a cost bar or a trade that would have needed the future.
     """
     s = with_exits(signals)
     leak = F.concat(F.lit("signal of "), F.col("symbol"), F.lit(" became knowable after its formation date"))
     s = s.where(F.when(F.col("knowledge_date") <= F.col("formation_date"), F.lit(True)).otherwise(F.raise_error(leak).cast("boolean")))
+    endless = F.concat(F.lit("signal of "), F.col("symbol"), F.lit(" is no finite number"))
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
+    s = s.where(F.when(finite, F.lit(True)).otherwise(F.raise_error(endless).cast("boolean")))
     bars = prices.withColumnRenamed("symbol", "_s")
     near = F.col("bar_date").between(F.date_sub("formation_date", COST_WINDOW), F.date_add("exit_formation", EXIT_WINDOW))
     rows = s.join(bars, (F.col("symbol") == F.col("_s")) & near, "left").drop("_s")
@@ -116,8 +119,11 @@ def quotes(signals: DataFrame, prices: DataFrame, plan: Plan = Plan()) -> DataFr
         F.min_by(F.when(entry, marked), F.when(entry, F.col("bar_date"))).alias("entry"),
         F.min_by(F.when(leave, marked), F.when(leave, F.col("bar_date"))).alias("exit"),
         F.coalesce(F.percentile(F.when(history & (F.col("volume") > 0), mark() * F.col("volume")), 0.5), F.lit(0.0)).alias("dollar_volume"),
+        F.max(F.when(F.col("pair_spread").isNotNull() | F.col("log_return").isNotNull(), F.col("bar_date"))).alias("last_cost_bar"),
         *costs,
     )
+    ahead = F.concat(F.lit("the cost window of "), F.col("symbol"), F.lit(" has a bar after the formation date"))
+    out = out.where(F.when(F.coalesce(F.col("last_cost_bar") <= F.col("formation_date"), F.lit(True)), F.lit(True)).otherwise(F.raise_error(ahead).cast("boolean"))).drop("last_cost_bar")
     tests = (F.col("n_forward") == 0, F.col("n_bars") < plan.least_bars, F.col("entry").isNull(), F.col("exit").isNull(), (F.col("entry.price") <= 0) | (F.col("exit.price") <= 0))
     reason = F.lit(None).cast("string")
     for name, test in reversed(list(zip(REASONS, tests))):
@@ -128,42 +134,59 @@ def quotes(signals: DataFrame, prices: DataFrame, plan: Plan = Plan()) -> DataFr
     return out.where(F.when(late, F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")))
 
 
-def sides(quoted: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """Tradable signals with side +1, -1 or 0: n // quantiles names at either end in order of value, then symbol; the rest in the middle.
+def sides(quoted: DataFrame, plan: Plan = Plan(), every: bool = False) -> DataFrame:
+    """Tradable signals (``every``: excluded ones too, with side 0) with side +1, -1 or 0: n // quantiles names at either end in order of value, then symbol; the rest in the middle.
 
     A formation with fewer than quantiles x LEAST_NAMES names has no sides.
     """
     day = Window.partitionBy("formation_date")
-    rows = quoted.where("exclusion is null").withColumns({"rank": F.row_number().over(day.orderBy("value", "symbol")), "n_ranked": F.count("*").over(day)})
+    tradable = F.col("exclusion").isNull()
+    # Excluded ones come last and have no rank.
+    rank = F.when(tradable, F.row_number().over(day.orderBy(F.col("exclusion").isNotNull(), "value", "symbol")))
+    rows = quoted.withColumns({"rank": rank, "n_ranked": F.count_if(tradable).over(day)})
+    rows = rows if every else rows.where("exclusion is null")
     bucket = F.floor(F.col("n_ranked") / plan.quantiles)
     low, high = F.col("rank") <= bucket, F.col("rank") > F.col("n_ranked") - bucket
     sign = 1 if plan.long_high else -1
-    side = F.when(F.col("n_ranked") < plan.quantiles * LEAST_NAMES, 0).when(high, sign).when(low, -sign).otherwise(0)
+    side = F.when(~tradable | (F.col("n_ranked") < plan.quantiles * LEAST_NAMES), 0).when(high, sign).when(low, -sign).otherwise(0)
     return rows.withColumns({"bucket": bucket, "side": side})
 
 
-def positions(quoted: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """Equal weights within a side; gross return, round-trip cost, net return, participation."""
-    rows = sides(quoted, plan).where("side != 0")
-    weight = F.col("side") / F.col("bucket")
+def positions(quoted: DataFrame, plan: Plan = Plan(), every: bool = False) -> DataFrame:
+    """Equal weights within a side; gross return, round-trip cost, net return, participation.
+
+    With ``every`` the signals that are not held keep their rows, with a null weight, for :func:`periods` to count.
+    """
+    rows = sides(quoted, plan, every)
+    rows = rows if every else rows.where("side != 0")
+    weight = F.when(F.col("side") != 0, F.col("side") / F.nullif(F.col("bucket"), F.lit(0)))
     notional = F.abs(weight) * plan.capital
     share = F.when(F.col("dollar_volume") > 0, notional / F.nullif(F.col("dollar_volume"), F.lit(0.0))).otherwise(F.lit(float("inf")))
     one_way = F.col("spread") / 2 + impact_cost(F.least("participation_rate", F.lit(1.0)), F.col("daily_volatility"), plan.impact)
-    rows = rows.withColumns({"weight": weight, "participation_rate": share, "gross_return": F.col("exit.price") / F.col("entry.price") - 1})
+    rows = rows.withColumns({"weight": weight, "participation_rate": share, "gross_return": F.try_divide(F.col("exit.price"), F.col("entry.price")) - 1})
     rows = rows.withColumn("cost", 2 * one_way).withColumn("net_return", F.col("gross_return") - F.col("side") * F.col("cost"))
     return rows.select(
         "formation_date", "symbol", "weight", F.col("value").alias("signal_value"), F.col("entry.day").alias("entry_date"), F.col("exit.day").alias("exit_date"),
-        F.col("entry.price").alias("entry_price"), F.col("exit.price").alias("exit_price"), "gross_return", "cost", "net_return", "spread", "participation_rate", "n_ranked",
+        F.col("entry.price").alias("entry_price"), F.col("exit.price").alias("exit_price"), "gross_return", "cost", "net_return", "spread", "participation_rate", "n_ranked", "exit_formation", "exclusion",
     )
 
 
 def periods(held: DataFrame) -> DataFrame:
-    """By formation: gross and net return, cost, turnover."""
-    w = F.col("weight")
+    """By formation: gross and net return, cost, turnover, how many signals were excluded and which share of all.
+
+    ``held`` are the positions of every signal. A formation too thin to trade is a period all the same, from the formation
+    to the next, with no positions and no return, so that means and annualised returns do not leave it out.
+    """
+    w, is_held = F.col("weight"), F.col("weight").isNotNull()
+    total = lambda x: F.coalesce(F.sum(F.when(is_held, x)), F.lit(0.0))
+    out = F.count_if(F.col("exclusion").isNotNull())
     return held.groupBy("formation_date").agg(
-        F.min("entry_date").alias("entry_date"), F.max("exit_date").alias("exit_date"), F.count("*").alias("n_positions"), F.max("n_ranked").alias("n_ranked"),
-        F.sum(w * F.col("gross_return")).alias("gross_return"), F.sum(w * F.col("net_return")).alias("net_return"),
-        F.sum(F.abs(w) * F.col("cost")).alias("cost"), (2 * F.sum(F.abs(w))).alias("turnover"),
+        F.coalesce(F.min(F.when(is_held, F.col("entry_date"))), F.col("formation_date")).alias("entry_date"),
+        F.coalesce(F.max(F.when(is_held, F.col("exit_date"))), F.max("exit_formation")).alias("exit_date"),
+        F.count("weight").alias("n_positions"), F.max("n_ranked").alias("n_ranked"),
+        total(w * F.col("gross_return")).alias("gross_return"), total(w * F.col("net_return")).alias("net_return"),
+        total(F.abs(w) * F.col("cost")).alias("cost"), (2 * total(F.abs(w))).alias("turnover"),
+        out.alias("n_excluded"), (out / F.count("*")).alias("exclusion_rate"),
     )
 
 
@@ -179,12 +202,17 @@ def annualised(returns: Column, periods_per_year: float) -> Column:
 
 
 def arm_summary(by_period: DataFrame, periods_per_year: float) -> DataFrame:
-    """One row: compounded and arithmetic returns, deviation, Sharpe ratio, turnover and cost."""
+    """One row: compounded and arithmetic returns, deviation, Sharpe ratio, turnover and cost, thin periods, exclusions.
+
+    Raises on an arm without periods: there is nothing to summarise.
+    """
     net = F.col("net_return")
     sd = F.coalesce(F.stddev_samp(net), F.lit(0.0))
     out = by_period.agg(
         F.count("*").alias("n_periods"), annualised(F.col("gross_return"), periods_per_year).alias("gross_annualised"), annualised(net, periods_per_year).alias("net_annualised"),
         F.avg(net).alias("net_mean"), sd.alias("net_stdev"), F.avg("turnover").alias("mean_turnover"), F.avg("cost").alias("mean_cost"),
+        F.count_if(F.col("n_positions") == 0).alias("n_thin"), F.sum("n_excluded").alias("n_excluded"),
     )
+    out = out.where(F.when(F.col("n_periods") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("an arm without periods cannot be summarised")).cast("boolean")))
     sharpe = F.coalesce(F.try_divide("net_mean", F.nullif(F.col("net_stdev"), F.lit(0.0))), F.lit(0.0))
     return out.withColumns({"sharpe_per_period": sharpe, "annualised_sharpe": sharpe * math.sqrt(periods_per_year)})

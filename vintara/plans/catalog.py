@@ -427,7 +427,7 @@ def annual_periods(spark, d):
 def _accruals(arm: str):
     @query(f"SELECT cik, taxonomy, period_start, period_end, round(value, 6) AS value, knowledge_date, uses_restated_input, drop_reason FROM features WHERE arm = '{arm}'", "features")
     def run(spark, d):
-        return features.accruals(p.facts(spark, d), SPEC).where(F.col("arm") == arm).drop("arm")
+        return features.accruals(p.facts(spark, d), SPEC).where(F.col("arm") == arm).drop("arm", "in_all_arms")
 
     return run
 
@@ -465,11 +465,13 @@ def panel_common_universe(spark, d):
     return panel.common_universe(picked, 3, _KEYS).select("arm", "cik", "taxonomy", "formation_date", "value")
 
 
-@query("""SELECT drop_reason AS reason, count(*) AS n FROM features WHERE drop_reason IS NOT NULL GROUP BY 1
-          UNION ALL SELECT 'NOT_YET_FILED', count(*) FROM (SELECT cik, formation_date FROM picked GROUP BY 1, 2 HAVING count(p[3]) = 0)""", "features", "picked")
+@query("""SELECT reason, count(*) AS n FROM (
+            SELECT reason FROM company_years WHERE n >= 2 AND NOT in_all_arms AND reason <> 'NO_PRIOR_YEAR'
+            UNION ALL SELECT DISTINCT ON (cik, taxonomy) CASE WHEN n < 2 THEN 'NO_ANNUAL_PERIOD' ELSE 'NO_PRIOR_YEAR' END FROM company_years WHERE n < 2 OR n_full = 0) GROUP BY 1
+          UNION ALL SELECT 'NOT_YET_FILED', count(*) FROM (SELECT 1 FROM picked GROUP BY cik, taxonomy, formation_date HAVING count(p[3]) < 3)""", "company_years", "picked")
 def drop_reasons(spark, d):
     rows = features.accruals(p.facts(spark, d), SPEC)
-    return panel.drop_reasons(rows, panel.pick_freshest(rows, FORMATIONS, _KEYS))
+    return panel.drop_reasons(rows, panel.pick_freshest(rows, FORMATIONS, _KEYS), 3, _KEYS)
 
 
 # Backtest
@@ -489,9 +491,9 @@ def position_returns(spark, d):
     return backtest.positions(_quotes(spark, d), PLAN).select("formation_date", "symbol", "weight", "entry_date", "exit_date", "gross_return", "cost", "net_return", "participation_rate")
 
 
-@query("SELECT formation_date, entry_date, exit_date, n_positions, n_ranked, round(gross_return, 6) AS gross_return, round(net_return, 6) AS net_return, round(cost, 6) AS cost, round(turnover, 6) AS turnover FROM periods", "periods")
+@query("SELECT formation_date, entry_date, exit_date, n_positions, n_ranked, round(gross_return, 6) AS gross_return, round(net_return, 6) AS net_return, round(cost, 6) AS cost, round(turnover, 6) AS turnover, n_excluded, round(exclusion_rate, 6) AS exclusion_rate FROM periods", "periods")
 def period_returns(spark, d):
-    return backtest.periods(backtest.positions(_quotes(spark, d), PLAN))
+    return backtest.periods(backtest.positions(_quotes(spark, d), PLAN, every=True))
 
 
 @query("SELECT exclusion, count(*) AS n FROM quotes WHERE exclusion IS NOT NULL GROUP BY 1", "quotes")
@@ -500,11 +502,12 @@ def exclusions(spark, d):
 
 
 @query("""SELECT n AS n_periods, round(CASE WHEN g <= 0 THEN -1.0 ELSE pow(g, 12.0 / n) - 1 END, 6) AS gross_annualised, round(CASE WHEN h <= 0 THEN -1.0 ELSE pow(h, 12.0 / n) - 1 END, 6) AS net_annualised,
-            round(m, 6) AS net_mean, round(sd, 6) AS net_stdev, round(t, 6) AS mean_turnover, round(c, 6) AS mean_cost,
+            round(m, 6) AS net_mean, round(sd, 6) AS net_stdev, round(t, 6) AS mean_turnover, round(c, 6) AS mean_cost, n_thin, n_excluded,
             round(CASE WHEN sd = 0 THEN 0.0 ELSE m / sd END, 6) AS sharpe_per_period, round(CASE WHEN sd = 0 THEN 0.0 ELSE m / sd END * sqrt(12.0), 6) AS annualised_sharpe
-          FROM (SELECT count(*) AS n, product(1 + gross_return) AS g, product(1 + net_return) AS h, avg(net_return) AS m, coalesce(stddev_samp(net_return), 0.0) AS sd, avg(turnover) AS t, avg(cost) AS c FROM periods)""", "periods")
+          FROM (SELECT count(*) AS n, product(1 + gross_return) AS g, product(1 + net_return) AS h, avg(net_return) AS m, coalesce(stddev_samp(net_return), 0.0) AS sd, avg(turnover) AS t, avg(cost) AS c,
+                count(*) FILTER (WHERE n_positions = 0) AS n_thin, CAST(sum(n_excluded) AS BIGINT) AS n_excluded FROM periods)""", "periods")
 def annualised(spark, d):
-    return backtest.arm_summary(backtest.periods(backtest.positions(_quotes(spark, d), PLAN)), 12.0)
+    return backtest.arm_summary(backtest.periods(backtest.positions(_quotes(spark, d), PLAN, every=True)), 12.0)
 
 
 @query("""SELECT symbol, count(*) AS n_bars, round(coalesce(greatest(0.0, avg(pair_spread)), 0.0), 6) AS spread, round(coalesce(avg(pair_spread), 0.0), 6) AS raw_mean_spread, count(pair_spread) AS n_pairs_used,

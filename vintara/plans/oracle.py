@@ -84,10 +84,15 @@ VIEWS |= {
             LEFT JOIN (SELECT * FROM arms WHERE concept = 'R' AND unit = 'USD' AND period_start IS NULL) a0
               ON y.arm = a0.arm AND y.cik = a0.cik AND y.taxonomy = a0.taxonomy AND y.opening = a0.period_end)"""),
     "formations": ((), "SELECT CAST(d AS DATE) AS formation_date FROM (VALUES ('1996-12-31'), ('1998-06-30'), ('2000-06-30'), ('2001-12-31')) AS t(d)"),
-    "picked": (("features", "formations"), """
+    "full_years": (("features",), """
+      SELECT * FROM (SELECT *, count(value) OVER (PARTITION BY cik, taxonomy, period_start, period_end) = 3 AS in_all_arms FROM features)"""),
+    "company_years": (("full_years",), """
+      SELECT *, count(*) OVER (PARTITION BY cik, taxonomy) AS n, count(*) FILTER (WHERE in_all_arms) OVER (PARTITION BY cik, taxonomy) AS n_full
+      FROM (SELECT cik, taxonomy, period_start, period_end, bool_and(in_all_arms) AS in_all_arms, min(drop_reason) AS reason FROM full_years GROUP BY 1, 2, 3, 4)"""),
+    "picked": (("full_years", "formations"), """
       SELECT w.arm, w.cik, w.taxonomy, w.formation_date, max(row(knowledge_date, period_end, value)) AS p
-      FROM (SELECT DISTINCT arm, cik, taxonomy, formation_date FROM features, formations WHERE value IS NOT NULL) w
-      LEFT JOIN features f ON f.value IS NOT NULL AND w.arm = f.arm AND w.cik = f.cik AND w.taxonomy = f.taxonomy AND f.knowledge_date <= w.formation_date
+      FROM (SELECT DISTINCT arm, cik, taxonomy, formation_date FROM full_years, formations WHERE in_all_arms) w
+      LEFT JOIN full_years f ON f.in_all_arms AND w.arm = f.arm AND w.cik = f.cik AND w.taxonomy = f.taxonomy AND f.knowledge_date <= w.formation_date
       GROUP BY ALL"""),
     "signals": (("prices",), """
       SELECT symbol, CAST(d AS DATE) AS formation_date, CAST(sum((event_id * 7919) % 101) % 1000 AS DOUBLE) / 1000 AS value, CAST(d AS DATE) - 1 AS knowledge_date
@@ -128,10 +133,11 @@ VIEWS |= {
             FROM (SELECT *, CAST(side AS DOUBLE) / bucket AS weight, exit.price / entry.price - 1 AS gross_return,
                          CASE WHEN dollar_volume > 0 THEN abs(CAST(side AS DOUBLE) / bucket) * 1e7 / dollar_volume ELSE 'inf'::DOUBLE END AS participation_rate
                   FROM sides WHERE side <> 0))"""),
-    "periods": (("positions",), """
-      SELECT formation_date, min(entry.day) AS entry_date, max(exit.day) AS exit_date, count(*) AS n_positions, max(n_ranked) AS n_ranked,
-             sum(weight * gross_return) AS gross_return, sum(weight * net_return) AS net_return, sum(abs(weight) * cost) AS cost, 2 * sum(abs(weight)) AS turnover
-      FROM positions GROUP BY 1"""),
+    "periods": (("positions", "quotes"), """
+      SELECT q.formation_date, coalesce(min(p.entry.day), q.formation_date) AS entry_date, coalesce(max(p.exit.day), max(q.exit_formation)) AS exit_date, count(p.symbol) AS n_positions,
+             count(*) FILTER (WHERE q.exclusion IS NULL) AS n_ranked, count(*) FILTER (WHERE q.exclusion IS NOT NULL) AS n_excluded, count(*) FILTER (WHERE q.exclusion IS NOT NULL) / count(*)::DOUBLE AS exclusion_rate,
+             coalesce(sum(weight * gross_return), 0.0) AS gross_return, coalesce(sum(weight * net_return), 0.0) AS net_return, coalesce(sum(abs(weight) * cost), 0.0) AS cost, coalesce(2 * sum(abs(weight)), 0.0) AS turnover
+      FROM quotes q LEFT JOIN positions p ON q.symbol = p.symbol AND q.formation_date = p.formation_date GROUP BY 1"""),
     "returns": ((), """
       SELECT CAST(l_suppkey % 10 AS INTEGER) AS strategy, CAST(l_partkey % 40 AS BIGINT) AS obs,
              sum(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 2001 - 1000 AS BIGINT)) / 1000000.0::DOUBLE AS ret

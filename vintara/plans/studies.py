@@ -34,6 +34,6 @@ def vintage_backtest(facts: DataFrame, entities: DataFrame, identifiers: DataFra
     out = {}
     for arm in features.ARMS:
         quoted = backtest.quotes(picked.where(F.col("arm") == arm).drop("arm", "period_end"), prices, plan)
-        held = backtest.positions(quoted, plan)
-        out[arm] = {"positions": held, "periods": backtest.periods(held), "exclusions": backtest.exclusions(quoted)}
+        every = backtest.positions(quoted, plan, every=True)
+        out[arm] = {"positions": every.where("weight is not null"), "periods": backtest.periods(every), "exclusions": backtest.exclusions(quoted)}
     return out
