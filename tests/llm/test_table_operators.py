@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from hashlib import md5, sha256
 
@@ -347,6 +348,35 @@ def test_round_trip(spark):
     assert not warc.archive_round_trip(df.where("false")).count()
 
 
+@pytest.mark.parametrize("range_bytes", [3000, 20_000, 1 << 22])
+def test_an_archive_inside_a_payload_is_no_record(spark, tmp_path, range_bytes):
+    """The inner archive is longer than several ranges, and its bytes stand in the outer one as they are."""
+    rng = random.Random(12)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    inner = b"".join(warc.record(900 + k, "http://inner/", noise(2500), None) for k in range(30))
+    outer = [warc.record(1, "http://a/", noise(5000), None), warc.record(2, "http://b/", inner, None), warc.record(3, "http://c/", noise(5000), None), warc.record(4, "http://d/", b"end", None)]
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)  # not packed: the inner members stand as they are
+    outer[1] = stored.compress(zlib.decompress(outer[1], 31)) + stored.flush()
+    data = b"".join(outer)
+    assert data.count(warc.MAGIC) >= 30
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data))], "path string, bytes long")
+    got = warc.read_archives(manifest, range_bytes).collect()
+    assert sorted(r["record_id"] for r in got) == [f"{warc._ID}{k}" for k in (1, 2, 3, 4)]
+    assert {r["record_id"]: bytes(r["payload"]) for r in got}[f"{warc._ID}2"] == inner
+    (tmp_path / "cut.warc.gz").write_bytes(data[:-7])
+    cut = spark.createDataFrame([(f"file://{tmp_path}/cut.warc.gz", len(data) - 7)], "path string, bytes long")
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_archives(cut, range_bytes).collect()
+
+
+def test_headers_of_a_record():
+    whole = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert warc.headers(whole)[1] == len(whole) - 7
+    for field in (b"WARC-Type: response\r\n", b"WARC-Record-ID: <x>\r\n", b"Content-Length: 3\r\n", b"WARC/1.1"):
+        assert warc.headers(whole.replace(field, b"")) is None
+
+
 # pipeline
 
 
