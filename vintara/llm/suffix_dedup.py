@@ -39,7 +39,7 @@ from .common import partitions
 
 LENGTH, ANCHOR = 50, 24
 #: Text of a shard, bytes of a piece of text that is hashed at once, and of a piece whose suffixes are sorted.
-SHARD_BYTES, PIECE, SORTED = 16 << 20, 1 << 20, 4 << 20
+SHARD_BYTES, PIECE, SORTED = 12 << 20, 1 << 20, 2 << 20
 #: A name of more runs, over all shards, is hot.
 HOT = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
