@@ -283,7 +283,8 @@ URLS = [
     ("http://other.com/en/", "other.com", "/en/", "com/", "allow"),
     ("http://x.net/es/1", "x.net", "/es/1", "net/es/", "block"),
     ("http://x.net/de/1", "x.net", "/de/1", None, "block"),
-    ("http://www.x.net/de/1/?page=2", "www.x.net", "/de/1/", None, "block"),
+    ("http://www.x.net/de/1/?utm_source=a", "www.x.net", "/de/1/", None, "block"),
+    ("http://www.x.net/de/1/?page=2", "www.x.net", "/de/1/", None, "allow"),
     ("http://x.net/de/12", "x.net", "/de/12", None, "allow"),
     ("http://notcom/es/", "notcom", "/es/", None, "allow"),
     ("HTTP://É.Org?x=://y", "É.org", "", None, "allow"),
@@ -306,6 +307,38 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages, listed.where("false")).where("verdict = 'block'").count() == 2
 
 
+CANONICAL = {
+    "https://user:pw@WWW.Example.org:443/a/./b/../c//?b=2&utm_source=x&a=1#top": "example.org/a/c?a=1&b=2",
+    "http://example.org:80/a/c?a=1&b=2": "example.org/a/c?a=1&b=2",
+    "http://example.org./a%2fb%e9?gclid=1": "example.org/a%2Fb%E9",
+    "http://example.org/a%2Fb%E9/": "example.org/a%2Fb%E9",
+    "http://example.org/?page=2": "example.org?page=2",
+    "http://example.org/../..": "example.org",
+    "http://example.org:8080": "example.org:8080",
+    "http://www.:80/": "www",
+    "http://example.org/x?id=1": "example.org/x?id=1",
+    "http://example.org/x?id=2": "example.org/x?id=2",
+    "http://example.org/x?utm_medium=a&&utm_x": "example.org/x",
+    "ftp://h/100%/%zz?%": "h/100%/%zz?%",
+    "no scheme": None,
+    "": None,
+    None: None,
+}
+
+
+def test_canonical_urls(spark):
+    import duckdb
+
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(CANONICAL)], "page_id long, url string")
+    got = [r["c"] for r in df.select("page_id", url_filter.canonical(F.col("url")).alias("c")).orderBy("page_id").collect()]
+    assert got == [c if c != "" else None for c in CANONICAL.values()]
+    pages = df.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("pages", pages)
+    keys = con.execute(url_filter.SQL.partition(",\nlisted AS")[0] + " SELECT key FROM keys ORDER BY page_id").fetchall()
+    assert [k[0] for k in keys] == got
+
+
 def test_false_positives_are_removed(spark):
     pages = spark.range(20000).selectExpr("id as page_id", "concat('http://h.org/', id) as url")
     got = url_filter.filter_urls(pages, pages.where("page_id % 10 = 0").select("url"), max_words=1)

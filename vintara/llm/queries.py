@@ -36,9 +36,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list that stands in for a block list here: the URLs of the pages whose id is divisible by 10."""
+    """The list that stands in for a block list here: the URLs of all pages of some stated sites."""
     pages = table(spark, sf_dir, "pages")
-    return url_filter.filter_urls(pages, pages.where(F.col("page_id") % 10 == 0).select("url"))
+    return url_filter.filter_urls(pages, pages.where(url_filter.host_of(F.col("url")).rlike(url_filter.LISTED_SITES)).select("url"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
