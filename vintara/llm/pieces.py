@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding with a table of distinct marked words.
 
 The model marks a space as U+2581. None of its pieces has a mark after another character, so no piece crosses from one
-marked word (marks, then other characters) into the next, and each marked word is segmented on its own. A task keeps a
-table of the distinct marked words it has met, with their ids and their decoded text; a document is its marked words'
-entries joined by position. Models whose pieces do cross are encoded and decoded text by text.
+marked word (marks, then other characters) into the next, and each marked word is segmented on its own. A Python worker
+keeps a table of the distinct marked words that it has met in all its tasks, with their ids and their decoded text; a
+document is its marked words' entries joined by position. Models whose pieces do cross are encoded and decoded text by text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import public_tokenizers
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Marked words kept by a task: at most so many, none longer than this many characters.
+#: Marked words kept by a worker: at most so many, none longer than this many characters.
 KEPT_WORDS, KEPT_CHARS = 500_000, 64
 _MARKED = re.compile(" +[^ ]*")
 
@@ -59,6 +60,12 @@ class WordTable:
         return sum(e[0] for e in found), ",".join([e[1] for e in found]), "".join([e[2] for e in found])[1:]
 
 
+@lru_cache(1)
+def _table(path: str) -> WordTable:
+    """One per Python worker, which keeps it over the tasks that it runs."""
+    return WordTable(path)
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, n_tokens, ids_sha256, decoded_sha256; with_text adds ids and decoded.
 
@@ -69,7 +76,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = public_tokenizers.path(model)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(path)
+        words = _table(path)
         for batch in batches:
             n, ids, texts, id_sums, text_sums = [], [], [], [], []
             for value in batch.column("text"):
