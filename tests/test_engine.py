@@ -447,7 +447,9 @@ def test_scalars(spark):
 
 def test_canonical_hash():
     value = {"b": Decimal("1.50"), "a": [d("2020-01-01"), datetime(2020, 1, 1, tzinfo=timezone.utc)], "c": {3, 1}}
-    assert hashing.canonical_json(value) == '{"a":["d:2020-01-01","T:2020-01-01T00:00:00+00:00"],"b":"D:1.5","c":[1,3]}'
+    assert hashing.canonical_json(value) == '{"a":["d:2020-01-01","T:2020-01-01T00:00:00+00:00"],"b":"D:1.5","c":["1","3"]}'
+    # Members of a set stand as their own texts, in order of these.
+    assert hashing.canonical_json({"x", "y", 2}) == '["\\"x\\"","\\"y\\"","2"]' and hashing.canonical_json(Decimal("-0")) == '"D:-0"'
     for bad in (1.5, datetime(2020, 1, 1), {1: 2}, Decimal("NaN")):
         with pytest.raises((TypeError, ValueError)):
             hashing.canonical_hash(bad)
@@ -498,3 +500,32 @@ def test_freshness():
     assert service.freshness(None, d("2020-01-01")) == "broken" == service.freshness(d("2020-01-02"), d("2020-01-01"))
     assert service.freshness(d("2020-01-01"), d("2020-01-06")) == "stale" and service.freshness(d("2020-01-01"), d("2020-01-05"), 1) == "partial"
     assert service.freshness(d("2020-01-01"), d("2020-01-05")) == "fresh"
+
+
+def test_first_break_of_a_chain(spark):
+    from hashlib import sha256
+
+    from vintara.functions import hashing
+
+    rows = []
+    for log, n in (("a", 6), ("b", 6), ("c", 1), ("d", 6), ("e", 6)):
+        head = hashing.GENESIS
+        for k in range(n):
+            head = sha256(f"{head}body {log} {k}".encode()).hexdigest()
+            rows.append([log, k, f"body {log} {k}", head])
+    by = {(r[0], r[1]): r for r in rows}
+    by["b", 3][2] = "changed"
+    rows.remove(by["d", 2])
+    by["e", 1][1], by["e", 4][1] = 4, 1
+    got = {r["log"]: (r["entries"], r["first_break"]) for r in hashing.chain_breaks(spark.createDataFrame(rows, "log string, seq int, body string, head string"), "log", "seq").collect()}
+    assert got == {"a": (6, -1), "b": (6, 3), "c": (1, -1), "d": (5, 2), "e": (6, 1)}
+
+
+def test_tallies_scan_the_facts_once(spark):
+    from vintara.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    plans = {n: catalog.QUERIES[n](spark, sf)._jdf.queryExecution().executedPlan().toString() for n in ("survival_split", "survival_bands", "corpus_stats_right_wrong_key", "contamination_tally")}
+    base = catalog.p.facts(spark, sf)._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    for name, plan in plans.items():
+        assert plan.count("FileScan") <= base and "collect_set" not in plan, name

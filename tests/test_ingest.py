@@ -19,10 +19,10 @@ def test_ingest_then_read(spark, tmp_path, capsys):
     job = Ingestor(spark, w)
     facts = put(base / "facts", "CIK0000320193.json", {"cik": 320193, "facts": {"us-gaap": {"Eps": {"units": {"USD/shares": ENTRIES}}}}})
     tick = put(base / "tick", "t.json", {"0": {"cik_str": 320193, "ticker": "AAPL", "title": "A"}})
-    subs = put(base / "subs", "CIK0000320193.json", {"cik": "320193", "filings": {"recent": submissions()}})
+    subs = put(base / "subs", "CIK0000320193.json", {"cik": "320193", "name": "A Company", "filings": {"recent": submissions()}})
     assert job.tickers(tick, "2024-01-01").written["entity_identifiers"] == 1
     done = job.facts(facts)
-    assert done.written["facts"] == 2 and done.skipped == {"bad accession": 1}
+    assert done.written["facts"] == 2 and done.skipped == {"bad accession": 1} and done.written["raw_payloads"] == 1
     assert job.facts(facts).written == {"raw_payloads": 0, "facts": 0}
     assert job.filings(subs).written["filing_filers"] == 1
     (base / "idx").mkdir()
@@ -54,6 +54,16 @@ def test_ingest_then_read(spark, tmp_path, capsys):
     assert "5.36" in capsys.readouterr().out
     assert main(["--warehouse", root, "revisions", "aapl", "--on", "2010-01-01"]) == 0
     assert "0 revisions" in capsys.readouterr().out
+    put(base / "subs", "CIK0000000009.json", "broken")
+    put(base / "frames", "x", "")
+    spark.createDataFrame([(320193, 5.0), (9, 7.0)], "cik long, val double").write.mode("overwrite").parquet(str(base / "frames"))
+    assert main(["--warehouse", root, "ingest", "universe", "5", "1.0", "7", str(base / "frames"), subs, facts]) == 0
+    assert "unexpected shape" in capsys.readouterr().out
+    assert main(["--warehouse", root, "search", "AAPL"]) == 0 and "A Company" in capsys.readouterr().out
+    assert main(["--warehouse", root, "ingest", "company", "320193", subs, facts]) == 0
+    assert w.count("entities") == 1 and not job.damaged_payloads().count()
+    capsys.readouterr()
+    assert job.many_prices([(bars, adj, "AAPL", ), (str(base / "none"), adj, "X"), (str(base / "nowhere"), adj, "Y"), (bars, adj, "Z")], "v", limit=2)["Z"] == "skipped"
     assert main(["--warehouse", root, "ingest", "tickers", tick, "2024-01-02"]) == 0
     assert "entity_identifiers" in capsys.readouterr().out
 

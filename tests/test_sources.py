@@ -67,11 +67,63 @@ def test_company_facts_and_concept(spark, tmp_path):
     p = landing.company_facts(landing.documents(spark, put(tmp_path / "f", "f.json", body)))
     got = {r["period_start"]: r["value"] for r in p.rows.collect()}
     assert got == {date(2007, 9, 30): Decimal("5.36"), None: Decimal("12345678901234567890.5")}
-    assert [tuple(r) for r in p.skip_counts().collect()] == [("bad accession", 1)]
+    assert sorted(tuple(r) for r in p.skip_counts().collect()) == [("bad accession", 1), ("taxonomy out of scope: srt", 1)]
+    bare = {"cik": 1, "facts": {"us-gaap": {"Eps": {"label": "x"}, "Cash": {"units": {"USD": ENTRIES[:1]}}}}}
+    q = landing.company_facts(landing.documents(spark, put(tmp_path / "g", "g.json", bare)))
+    assert q.rows.count() == 1 and [tuple(r) for r in q.skip_counts().collect()] == [("concept without units", 1)]
     c = landing.company_concept(landing.documents(spark, put(tmp_path / "c", "c.json", {"cik": 1, "taxonomy": "us-gaap", "tag": "Eps", "units": {"USD/shares": ENTRIES[:1]}})))
     assert c.rows.first()["concept"] == "Eps"
 
 
+def test_a_bad_file_is_one_reject_of_its_batch(spark, tmp_path):
+    put(tmp_path / "s", "CIK0000000001.json", "not json")
+    put(tmp_path / "s", "CIK0000000002.json", {"cik": "2", "filings": {"recent": submissions(ragged=True)}})
+    folder = put(tmp_path / "s", "CIK0000000003.json", {"cik": "3", "filings": {"recent": submissions()}})
+    p = landing.submissions(landing.documents(spark, folder), strict=False)
+    assert [r["cik"] for r in p.rows.collect()] == [3]
+    assert {r["reason"]: r["n"] for r in p.skip_counts().collect()} == {"unexpected shape": 1, "arrays of unequal length": 1, "no filing date": 1, "bad accession": 1}
+    put(tmp_path / "f", "a.json", "[]")
+    facts = landing.documents(spark, put(tmp_path / "f", "b.json", {"cik": 1, "facts": {"us-gaap": {"Eps": {"units": {"USD/shares": ENTRIES[:1]}}}}}))
+    q = landing.company_facts(facts, strict=False)
+    assert q.rows.count() == 1 and [tuple(r) for r in q.skip_counts().collect()] == [("unexpected shape", 1)]
+    t = landing.company_tickers(landing.documents(spark, put(tmp_path / "t", "t.json", "[]")), "2026-01-01", strict=False)
+    assert not t.rows.count() and t.skip_counts().first()["n"] == 1
+
+
+def test_submissions_without_some_arrays(spark, tmp_path):
+    arrays = {k: v for k, v in submissions().items() if k not in ("isXBRL", "items", "reportDate")}
+    p = landing.submissions(landing.documents(spark, put(tmp_path, "CIK0000320193.json", {"cik": "320193", "filings": {"recent": arrays}})))
+    (row,) = p.rows.collect()
+    assert row["form"] == "10-K" and not row["items"] and row["period_of_report"] is None and not row["is_xbrl"]
+
+
+def test_entities_of_submissions(spark, tmp_path):
+    put(tmp_path, "a.json", {"cik": "7", "name": " Seven ", "entityType": "operating", "sic": "3571", "stateOfIncorporation": "", "filings": {}})
+    docs = landing.documents(spark, put(tmp_path, "b.json", {"cik": "8", "name": ""}))
+    p = landing.entities(docs, "2024-01-02")
+    (r,) = p.rows.collect()
+    assert (r["cik"], r["name"], r["sic"], r["state_of_incorp"], r["first_observed"]) == (7, "Seven", "3571", None, date(2024, 1, 2))
+    assert p.skip_counts().first()["reason"] == "no name"
+
+
+def test_vintage_dates(spark, tmp_path):
+    docs = landing.documents(spark, put(tmp_path / "v", "v.json", {"count": 4, "vintage_dates": ["2020-02-01", "2020-01-01", "2020-01-01", "2020-13-01"]}))
+    p = landing.vintage_dates(docs)
+    assert [r["vintage_date"] for r in p.rows.collect()] == [date(2020, 1, 1), date(2020, 2, 1)] and p.skip_counts().first()["reason"] == "bad date"
+    with pytest.raises(PySparkException, match="cut off"):
+        landing.vintage_dates(landing.documents(spark, put(tmp_path / "w", "v.json", {"count": 9, "vintage_dates": ["2020-02-01"]}))).rows.collect()
+    assert spark.range(1).select(landing.quarter_of(F.lit("2024-05-31").cast("date"))).first()[0] == 2
+
+
+def test_index_names_with_quotes_and_odd_lines(spark, tmp_path):
+    (tmp_path / "i").mkdir()
+    lines = ['5|"QUOTED" & CO|10-K|20240102|edgar/data/5/0000000005-24-000001.txt', '6|"OPEN|8-K|20240102|edgar/data/6/0000000006-24-000001.txt', "7|short|8-K", "8|X|8-K|20240102|edgar/data/8/nonsense.txt", "9|X|8-K|never|edgar/data/9/0000000009-24-000001.txt"]
+    (tmp_path / "i" / "company.20240103.idx").write_text(INDEX.format(320193, 1) + "\n".join(lines) + "\n", encoding="latin-1")
+    p = landing.daily_index_parsed(spark, str(tmp_path / "i"), "2024-01-03")
+    assert {r["cik"]: r["name"] for r in p.rows.collect()} == {320193: "Société", 5: '"QUOTED" & CO', 6: '"OPEN'}
+    assert {r["reason"]: r["n"] for r in p.skip_counts().collect()} == {"not five fields": 1, "bad accession": 1, "no filing date": 1}
+
+
 INDEX = "Description: daily\n\nCIK|Company Name|Form Type|Date Filed|File Name\n-----\n{}|Société|10-K|20240102|edgar/data/1/0000320193-24-{:06d}.txt\n"
 
 
@@ -122,6 +174,43 @@ def test_facts_keep_their_identity(spark):
     assert r["value"] == 1 and len(r["fact_key"]) == 64
 
 
+def test_versions_of_a_table(spark, tmp_path):
+    w = store.Warehouse(spark, f"file://{tmp_path}/w")
+    make = lambda n: with_provenance(spark.range(n).selectExpr("id as cik", "'T' as ticker", "'N' as exchange", "date'2020-01-01' as observed_at"))
+    w.insert("entity_identifiers", make(3))
+    first = w.read("entity_identifiers")
+    w.replace("entity_identifiers", w.read("entity_identifiers").where("cik > 0"))
+    assert first.count() == 3 and w.count("entity_identifiers") == 2  # who reads the old version still can
+    assert w.insert("entity_identifiers", make(4)) == 2
+    w.replace("entity_identifiers", make(1))
+    assert w.count("entity_identifiers") == 1 and len(w._versions("entity_identifiers")) == 2
+    # A version that was written but never made current does not count.
+    make(9).write.parquet(f"file://{tmp_path}/w/entity_identifiers/vunfinished")
+    assert w.count("entity_identifiers") == 1
+    reader = store.Warehouse(spark, w.root, read_only=True)
+    assert reader.count("entity_identifiers") == 1
+    with pytest.raises(PermissionError):
+        reader.insert("entity_identifiers", make(1))
+
+
+def test_payloads_are_stored_and_verified(spark, tmp_path):
+    import gzip
+
+    for k in range(4):
+        put(tmp_path / "in", f"{k}.json", {"k": k % 3})
+    raw = spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path", "content")
+    folder = f"file://{tmp_path}/store"
+    ledger = spark.createDataFrame(store.write_payloads(raw, folder).collect())
+    assert ledger.count() == 4 and ledger.select("stored_path").distinct().count() == 3
+    places = sorted({r["stored_path"] for r in ledger.collect()})
+    assert {gzip.decompress((tmp_path / "store" / x).read_bytes()) for x in places} == {json.dumps({"k": k}).encode() for k in range(3)}
+    assert not store.verify_payloads(ledger, folder).count() and store.write_payloads(raw, folder).count() == 4
+    (tmp_path / "store" / places[0]).unlink()
+    (tmp_path / "store" / places[1]).write_bytes(gzip.compress(b"other"))
+    (tmp_path / "store" / places[2]).write_bytes(b"no gzip")
+    assert sorted(r["reason"] for r in store.verify_payloads(ledger, folder).collect()) == ["another content", "missing", "unreadable"]
+
+
 def test_dissemination(spark):
     schema = "accn string, cik long, form string, filed_at date, items array<string>, disseminated_at date"
     old = spark.createDataFrame([("a", 1, "10-K", date(2020, 1, 1), ["x"], date(2020, 1, 5)), ("b", 1, "8-K", date(2020, 1, 1), [], None)], schema)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 from datetime import date
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintara import schemas
@@ -34,6 +36,14 @@ def _parser() -> argparse.ArgumentParser:
         c = i.add_parser(what)
         for name in ("path", *more):
             c.add_argument(name)
+    c = i.add_parser("company")
+    for name, kind in (("cik", int), ("submissions", str), ("facts", str)):
+        c.add_argument(name, type=kind)
+    c = i.add_parser("universe")
+    for name, kind in (("size", int), ("floor", float), ("seed", int), ("frames", str), ("submissions", str), ("facts", str)):
+        c.add_argument(name, type=kind)
+    c = sub.add_parser("search")
+    c.add_argument("text")
     return p
 
 
@@ -46,16 +56,27 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{name:20} {warehouse.count(name):>12,}")
         warehouse.read("ingest_runs").orderBy(F.desc("started_at")).limit(8).select("run_id", "source", "status", "rows_written", "started_at").show(truncate=False)
     elif args.command == "ingest":
-        values = {k: v for k, v in vars(args).items() if k not in ("command", "what", "warehouse", "path")}
-        done = getattr(Ingestor(spark, warehouse), args.what)(args.path, *values.values())
-        print(done.run_id, done.written, done.skipped or "")
+        values = {k: v for k, v in vars(args).items() if k not in ("command", "what", "warehouse")}
+        done = getattr(Ingestor(spark, warehouse), args.what)(*values.values())
+        for one in done.values() if isinstance(done, dict) else [done]:
+            print(one.run_id, one.written, one.skipped or "")
+    elif args.command == "search":
+        service.search(tables(warehouse), args.text).show(20, truncate=False)
     else:
         all_tables = tables(warehouse)
         cik = service.resolve(all_tables, args.ticker)
         if args.command == "asof":
             rows = AsOf(all_tables, args.on).facts(cik, args.concept, limit=args.limit)
             label = scalars.period_label(F.col("period_start"), F.col("period_end")).alias("period")
-            rows.select(label, "unit", scalars.abbreviated(F.col("value")).alias("value"), "knowledge_date", "accn").show(args.limit, truncate=False)
+            # What the same figure became later, for comparison only; the mark shows where the two differ.
+            last = Window.partitionBy(*schemas.GRAIN).orderBy(*[F.col(c).desc() for c in schemas.CHAIN_ORDER])
+            today = all_tables["facts"].where((F.col("cik") == cik) & (F.col("concept") == args.concept)).withColumn("_r", F.row_number().over(last)).where("_r = 1")
+            today = today.select(*[F.col(c).alias(f"_{c}") for c in schemas.GRAIN], F.col("value").alias("_today"))
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in schemas.GRAIN])
+            rows = rows.join(today, same, "left").orderBy(F.desc("period_end"), F.desc("knowledge_date"))
+            mark = F.when(F.col("value") != F.col("_today"), "*").otherwise("").alias("restated")
+            value = lambda c, n: scalars.abbreviated(F.col(c)).alias(n)
+            rows.select(label, "unit", value("value", "value"), value("_today", "as it stands today"), mark, "knowledge_date", "accn").show(args.limit, truncate=False)
         else:
             n, rows = service.revisions(all_tables, cik, args.on, concept=args.concept, min_change=args.min_change, limit=args.limit)
             print(f"{n} revisions")

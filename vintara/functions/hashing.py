@@ -10,7 +10,7 @@ from decimal import Decimal
 from pathlib import PurePath
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
@@ -24,8 +24,7 @@ def _plain(value: Any) -> Any:
     if isinstance(value, Decimal):
         if not value.is_finite():
             raise ValueError("only finite decimals have a canonical form")
-        text = format(value.normalize(), "f")
-        return f"D:{'0' if text == '-0' else text}"
+        return f"D:{format(value.normalize(), 'f')}"
     if isinstance(value, datetime):
         if value.tzinfo is None:
             raise ValueError("naive datetimes have no canonical form")
@@ -39,7 +38,7 @@ def _plain(value: Any) -> Any:
             raise TypeError("keys are texts")
         return {k: _plain(v) for k, v in value.items()}
     if isinstance(value, (set, frozenset)):
-        return sorted((_plain(v) for v in value), key=lambda x: json.dumps(x, sort_keys=True))
+        return sorted(canonical_json(v) for v in value)
     if isinstance(value, Iterable):
         return [_plain(v) for v in value]
     raise TypeError(f"{type(value).__name__} has no canonical form")
@@ -73,6 +72,18 @@ def fact_key() -> Column:
     return F.sha2(F.concat(F.lit("["), F.col("cik").cast("string"), F.lit(","), F.substring(F.to_json(texts), 2, 1 << 30)), 256)
 
 
+def chain_breaks(log: DataFrame, key: str, seq: str, body: str = "body", head: str = "head") -> DataFrame:
+    """By log (``key``): entries, and first_break, the place of the first entry whose recorded head does not follow, -1 if all do.
+
+    An entry follows if its head hashes the recorded head before it and its body; so every entry is checked on its own,
+    and logs of any length take one sort by ``seq``.
+    """
+    order = Window.partitionBy(key).orderBy(seq)
+    expected = F.sha2(F.concat(F.coalesce(F.lag(head).over(order), F.lit(GENESIS)), F.col(body)), 256)
+    rows = log.select(key, (F.row_number().over(order) - 1).alias("place"), (~F.col(head).eqNullSafe(expected)).alias("broken"))
+    return rows.groupBy(key).agg(F.count("*").alias("entries"), F.coalesce(F.min(F.when(F.col("broken"), F.col("place"))), F.lit(-1)).alias("first_break"))
+
+
 def chain_heads(bodies: Column) -> Column:
     """The chain's head after each body of an ordered array of texts: a fold, sequential within one log."""
     step = lambda heads, body: F.concat(heads, F.array(F.sha2(F.concat(F.element_at(heads, -1), body), 256)))

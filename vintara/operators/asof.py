@@ -195,7 +195,7 @@ def vintage_triples(facts: DataFrame, day: date) -> DataFrame:
         F.max(F.when(known, order)).alias("known"),
         F.min(order).alias("first"),
         F.max(order).alias("today"),
-        (F.size(F.collect_set("value")) > 1).alias("value_ever_changed"),
+        (F.min("value") != F.max("value")).alias("value_ever_changed"),
     )
     out = out.where(F.col("known").isNotNull())
     first, today, then = F.col("first.value"), F.col("today.value"), F.col("known.value")

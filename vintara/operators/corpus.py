@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import relative_change, unit_class
@@ -21,17 +21,25 @@ LEAST_COHORT = 1000
 
 
 def per_fact(facts: DataFrame) -> DataFrame:
-    """One row per fact: how often reported, how many values, the first and the latest one, and the change between them."""
+    """One row per fact: how often reported, whether with several values, the first and the latest one, and the change between them."""
+    return _with_changes(facts.groupBy(*GRAIN).agg(*_per_fact_columns()))
+
+
+def _per_fact_columns() -> list[Column]:
+    """Whether a fact has two values its smallest and largest say; no set of values is kept."""
     order = F.struct(*CHAIN_ORDER)
-    rows = facts.groupBy(*GRAIN).agg(
+    return [
         F.count("*").alias("n_reports"),
-        F.size(F.collect_set("value")).alias("distinct_values"),
+        F.coalesce(F.min("value") != F.max("value"), F.lit(False)).alias("restated"),
         F.min_by("value", order).alias("first_value"),
         F.max_by("value", order).alias("latest_value"),
-    )
+    ]
+
+
+def _with_changes(rows: DataFrame) -> DataFrame:
     a, b = F.col("first_value"), F.col("latest_value")
     flip = (F.signum(a) != F.signum(b)) & (a != 0) & (b != 0)
-    return rows.withColumns({"relative_change": relative_change(a, b), "is_sign_flip": flip, "restated": F.col("distinct_values") >= 2})
+    return rows.withColumns({"relative_change": relative_change(a, b), "is_sign_flip": flip})
 
 
 def _tally_columns() -> list[Column]:
@@ -110,9 +118,9 @@ def cross_grain(facts: DataFrame) -> DataFrame:
 
 
 def _with_last_filed(facts: DataFrame) -> DataFrame:
-    """Facts with their company's last filing date, taken from the facts, so that none falls out."""
-    last = facts.groupBy(F.col("cik").alias("_cik")).agg(F.max("filed_at").alias("last_filed_at"))
-    return per_fact(facts).join(last, F.col("cik") == F.col("_cik")).drop("_cik")
+    """Facts with their company's last filing date, taken from the facts in the same scan, so that none falls out."""
+    rows = facts.groupBy(*GRAIN).agg(*_per_fact_columns(), F.max("filed_at").alias("last_report"))
+    return _with_changes(rows.withColumn("last_filed_at", F.max("last_report").over(Window.partitionBy("cik"))))
 
 
 def _cohorts(dormant: Column, suffix: str) -> list[Column]:
@@ -171,12 +179,19 @@ def survival_bands(facts: DataFrame, cutoff: str = CUTOFFS[2], bands: Sequence[t
 
 
 def right_and_wrong_key(facts: DataFrame) -> DataFrame:
-    """Distinct facts and those with several values, with the grain and without the period's start in it."""
-    out = []
-    for name, key in (("grain", GRAIN), ("without_start", [c for c in GRAIN if c != "period_start"])):
-        groups = facts.groupBy(*key).agg(F.countDistinct("value").alias("v"))
-        out.append(groups.agg(F.count("*").alias("facts"), F.count_if(F.col("v") > 1).alias("revised")).withColumn("key", F.lit(name)))
-    return out[0].unionByName(out[1])
+    """Distinct facts and those with several values, with the grain and without the period's start in it.
+
+    One scan: the shorter key's groups are made of the longer key's.
+    """
+    shorter = [c for c in GRAIN if c != "period_start"]
+    ends = facts.groupBy(*GRAIN).agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    several = F.count_if(F.col("a") != F.col("b"))
+    groups = ends.groupBy(*shorter).agg(F.count("*").alias("n"), several.alias("revised"), (F.min("a") != F.max("b")).alias("moved"))
+    sums = groups.agg(
+        F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("facts"), F.coalesce(F.sum("revised"), F.lit(0)).alias("revised"), F.lit("grain").alias("key")).alias("right"),
+        F.struct(F.count("*").alias("facts"), F.count_if("moved").alias("revised"), F.lit("without_start").alias("key")).alias("wrong"),
+    )
+    return sums.select(F.inline(F.array("right", "wrong")))
 
 
 def payload_coverage(payloads: DataFrame) -> DataFrame:

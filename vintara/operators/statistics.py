@@ -50,6 +50,10 @@ def probabilistic_sharpe(moments: DataFrame, benchmark: float | Column = 0.0) ->
     return moments.withColumn("psr", normal_cdf(z))
 
 
+def quantile(probability: float) -> float:
+    return _NORMAL.inv_cdf(probability)
+
+
 def expected_max_sharpe(variance: float, trials: int) -> float:
     """What the best of so many ratios reaches by luck alone."""
     if trials < 2 or variance < 0:
@@ -121,11 +125,22 @@ def overfitting_summary(splits: DataFrame) -> DataFrame:
     )
 
 
+def n_splits(groups: int, test_groups: int) -> int:
+    """How many combinations of test groups there are, and paths through them."""
+    return math.comb(groups, test_groups)
+
+
 def purged_splits(spark: SparkSession, n: int, groups: int, test_groups: int = 1, horizon: int = 0, embargo: int = 0) -> DataFrame:
     """Rows (split, obs, role): test, train, purged (within ``horizon`` of a test position), embargoed (after one, for that alone).
 
     With one test group this is purged k-fold, with more every combination of them.
     """
+    if not 2 <= groups <= n:
+        raise ValueError("between two groups and as many as there are observations")
+    if not 1 <= test_groups < groups:
+        raise ValueError("at least one test group, and one that is none")
+    if horizon < 0 or embargo < 0:
+        raise ValueError("horizon and embargo are not negative")
     q, r = divmod(n, groups)
     starts = [k * q + min(k, r) for k in range(groups + 1)]
     chosen = list(combinations(range(groups), test_groups))

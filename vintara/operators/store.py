@@ -1,14 +1,21 @@
 """Writes without MERGE: first-wins dedupe, insert-if-absent, upserts and repairs as DataFrames, and a Parquet warehouse.
 
-The DataFrame functions return what a table holds after the write; the warehouse stages that beside the table and
-swaps it in, so no path is overwritten while it is read.
+The DataFrame functions return what a table holds after the write; the warehouse writes that to a new version of the table
+and then makes it the current one, so no path is overwritten while it is read and no moment is without a table.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import re
 import uuid
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,38 +112,121 @@ def prepare_payloads(payloads: DataFrame) -> DataFrame:
     return payloads.select("path", sha.alias("content_sha256"), F.octet_length("content").cast("long").alias("byte_len"), place.alias("stored_path"))
 
 
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+def write_payloads(payloads: DataFrame, folder: str) -> DataFrame:
+    """Store the contents of binary files (path, content), packed, below ``folder`` under their hashes; the rows of :func:`prepare_payloads`.
+
+    A content that is there already is not written again; a file appears under its name only when it is whole, so attempts
+    that fail or run twice do no harm.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, content in zip(batch.column("stored_path"), batch.column("content")):
+                system, path = _open(f"{folder}/{place.as_py()}")
+                if system.get_file_info(path).type == fs.FileType.NotFound:
+                    part = f"{path}.{uuid.uuid4().hex}.part"
+                    system.create_dir(path.rpartition("/")[0], recursive=True)
+                    with system.open_output_stream(part, compression=None) as out:
+                        out.write(gzip.compress(content.as_py(), mtime=0))
+                    system.move(part, path)
+            yield batch.drop_columns(["content"])
+
+    rows = prepare_payloads(payloads).join(payloads.select("path", "content"), "path")
+    return rows.mapInArrow(write, "path string, content_sha256 string, byte_len bigint, stored_path string")
+
+
+def verify_payloads(ledger: DataFrame, folder: str) -> DataFrame:
+    """The rows (content_sha256, stored_path) of the ledger whose stored content is missing or another one, with the reason."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = []
+            for sha, place in zip(batch.column("content_sha256"), batch.column("stored_path")):
+                system, path = _open(f"{folder}/{place.as_py()}")
+                if system.get_file_info(path).type == fs.FileType.NotFound:
+                    reasons.append("missing")
+                    continue
+                try:
+                    with system.open_input_stream(path, compression=None) as f:
+                        content = gzip.decompress(f.read())
+                    reasons.append(None if hashlib.sha256(content).hexdigest() == sha.as_py() else "another content")
+                except (OSError, EOFError, zlib.error):
+                    reasons.append("unreadable")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reasons, pa.string())], ["content_sha256", "stored_path", "reason"])
+
+    rows = ledger.select("content_sha256", "stored_path").distinct()
+    return rows.mapInArrow(check, "content_sha256 string, stored_path string, reason string").where("reason is not null")
+
+
 @dataclass(frozen=True)
 class Warehouse:
-    """Tables as Parquet folders under ``root``, with the checksum of each table's schema beside its data."""
+    """Tables as Parquet folders under ``root``, with the checksum of each table's schema beside its data.
+
+    A table is a folder of versions. Which one is current is said by markers, empty files that are created when a version
+    is whole; the last one counts. So a replaced table is there at any moment, a crash leaves the old version current, and
+    the version before the current one stays for those who still read it. One writer at a time.
+    """
 
     spark: SparkSession
     root: str
+    read_only: bool = False
 
-    def _fs(self, path: str):
+    def _at(self, path: str):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
-        return jvm, at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self, table: str) -> list[str]:
+        """Markers of the table's versions, oldest first."""
+        at, system = self._at(f"{self.root}/_versions/{table}")
+        return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+
+    def _folder(self, table: str) -> str | None:
+        versions = self._versions(table)
+        return f"{self.root}/{table}/{versions[-1].partition('-')[2]}" if versions else None
 
     def _checksum_path(self, table: str) -> str:
         return f"{self.root}/_schemas/{table}-{schemas.checksum(table)[:16]}"
 
-    def read(self, table: str) -> DataFrame:
-        path = f"{self.root}/{table}"
-        _, at, fs = self._fs(path)
-        if not fs.exists(at):
+    def _writable(self) -> None:
+        if self.read_only:
+            raise PermissionError(f"{self.root} was opened for reading")
+
+    def _all(self, table: str) -> DataFrame:
+        folder = self._folder(table)
+        if folder is None:
             return self.spark.createDataFrame([], schemas.schema(table))
-        _, mark, _ = self._fs(self._checksum_path(table))
-        if not fs.exists(mark):
+        mark, system = self._at(self._checksum_path(table))
+        if not system.exists(mark):
             raise ValueError(f"{table} was written with another schema")
-        return self.spark.read.schema(schemas.schema(table)).parquet(path)
+        return self.spark.read.schema(schemas.schema(table)).parquet(folder)
+
+    def read(self, table: str) -> DataFrame:
+        rows, state = self._all(table), schemas.LOGS.get(table)
+        if state is None:
+            return rows
+        latest = Window.partitionBy(*schemas.KEYS[table]).orderBy(F.col(state).desc_nulls_last())
+        return rows.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
 
     def count(self, table: str) -> int:
         if table not in schemas.DDL:
             raise ValueError(f"no table {table}")
         return self.read(table).count()
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Add rows as they are: states of a log, or rows whose keys are known to be new."""
+        self._writable()
+        folder = self._folder(table) or self._new(table)
+        schemas.conform(rows, table).write.mode("append").parquet(folder)
+        self._mark(table)
+
     def insert(self, table: str, batch: DataFrame, *order: str) -> int:
         """Append the batch's rows with new keys, the first of equal keys; the number of them."""
+        self._writable()
         keys = schemas.KEYS[table]
         rows = schemas.conform(batch, table)
         fresh = absent(first_wins(rows, keys, *(order or keys)), self.read(table), keys)
@@ -145,25 +235,35 @@ class Warehouse:
         staged = self.spark.read.schema(schemas.schema(table)).parquet(stage)
         n = staged.count()
         if n:
-            staged.write.mode("append").parquet(f"{self.root}/{table}")
-            self._mark(table)
-        _, at, fs = self._fs(stage)
-        fs.delete(at, True)
+            self.append(table, staged)
+        at, system = self._at(stage)
+        system.delete(at, True)
         return n
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Write a new state beside the table, then swap folders."""
-        stage, path, old = (f"{self.root}/{x}" for x in (f"_stage/{table}-{uuid.uuid4().hex}", table, f"_old/{table}-{uuid.uuid4().hex}"))
-        schemas.conform(rows, table).write.parquet(stage)
-        jvm, at, fs = self._fs(path)
-        target = jvm.org.apache.hadoop.fs.Path
-        if fs.exists(at):
-            fs.mkdirs(target(f"{self.root}/_old"))
-            fs.rename(at, target(old))
-        fs.rename(target(stage), at)
-        fs.delete(target(old), True)
+        """Write a new version, then make it the current one. ``rows`` may come from the table itself."""
+        self._writable()
+        before = self._versions(table)
+        name = f"v{uuid.uuid4().hex[:12]}"
+        schemas.conform(rows, table).write.parquet(f"{self.root}/{table}/{name}")
         self._mark(table)
+        self._current(table, name)
+        for old in before[:-1]:
+            for path in (f"{self.root}/_versions/{table}/{old}", f"{self.root}/{table}/{old.partition('-')[2]}"):
+                at, system = self._at(path)
+                system.delete(at, True)
+
+    def _new(self, table: str) -> str:
+        name = f"v{uuid.uuid4().hex[:12]}"
+        self._current(table, name)
+        return f"{self.root}/{table}/{name}"
+
+    def _current(self, table: str, name: str) -> None:
+        last = self._versions(table)
+        number = int(last[-1].partition("-")[0]) + 1 if last else 1
+        at, system = self._at(f"{self.root}/_versions/{table}/{number:010d}-{name}")
+        system.create(at).close()
 
     def _mark(self, table: str) -> None:
-        _, at, fs = self._fs(self._checksum_path(table))
-        fs.mkdirs(at)
+        at, system = self._at(self._checksum_path(table))
+        system.mkdirs(at)

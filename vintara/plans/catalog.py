@@ -393,27 +393,27 @@ def first_wins_dedupe(spark, d):
 
 
 @query("""SELECT cik, arg_max(name, row(age, last_observed)) AS name, min(first_observed) AS first_observed, max(last_observed) AS last_observed
-          FROM (SELECT cik, name, 0 AS age, DATE '2020-01-01' AS first_observed, DATE '2020-06-01' AS last_observed FROM entities WHERE cik % 2 = 0
-                UNION ALL SELECT cik, upper(name), 1, DATE '2019-01-01', DATE '2020-03-01' FROM entities WHERE cik % 3 = 0) GROUP BY 1""", "entities")
+          FROM (SELECT cik, name, 0 AS age, DATE '2020-01-01' AS first_observed, DATE '2020-06-01' AS last_observed FROM entities
+                UNION ALL SELECT cik, upper(name), 1, DATE '2019-01-01', DATE '2020-03-01' FROM entities WHERE sic <> '') GROUP BY 1""", "entities")
 def upsert_entity(spark, d):
     day = lambda x: F.lit(x).cast("date")
     e = p.entities(spark, d)
-    old = e.where("cik % 2 = 0").select("cik", "name", day("2020-01-01").alias("first_observed"), day("2020-06-01").alias("last_observed"))
-    new = e.where("cik % 3 = 0").select("cik", F.upper("name").alias("name"), day("2019-01-01").alias("first_observed"), day("2020-03-01").alias("last_observed"))
+    old = e.select("cik", "name", day("2020-01-01").alias("first_observed"), day("2020-06-01").alias("last_observed"))
+    new = e.where("sic <> ''").select("cik", F.upper("name").alias("name"), day("2019-01-01").alias("first_observed"), day("2020-03-01").alias("last_observed"))
     return store.upsert_entities(old, new, ["name"])
 
 
-@query("SELECT accn, cik, starts_with(accn, lpad(CAST(cik AS VARCHAR), 10, '0')) AS is_primary FROM filings WHERE NOT EXISTS (SELECT 1 FROM filing_filers l WHERE l.accn = filings.accn AND l.cik = filings.cik AND l.cik % 5 <> 0)", "filings", "filing_filers")
+@query("SELECT accn, cik, starts_with(accn, lpad(CAST(cik AS VARCHAR), 10, '0')) AS is_primary FROM filings WHERE NOT EXISTS (SELECT 1 FROM filing_filers l WHERE l.accn = filings.accn AND l.cik = filings.cik AND l.is_primary)", "filings", "filing_filers")
 def backfill_links(spark, d):
-    return store.missing_links(p.filings(spark, d), p.filing_filers(spark, d).where("cik % 5 != 0"))
+    return store.missing_links(p.filings(spark, d), p.filing_filers(spark, d).where("is_primary"))
 
 
 @query("""SELECT accn, coalesce(a.cik, b.cik) AS cik, coalesce(a.form, b.form) AS form, least(a.disseminated_at, b.disseminated_at) AS disseminated_at
-          FROM (SELECT * FROM filings WHERE cik % 2 = 0) a FULL OUTER JOIN (SELECT accn, cik, form, filed_at + 3 AS disseminated_at FROM filings WHERE cik % 3 = 0) b USING (accn)""", "filings")
+          FROM (SELECT * FROM filings WHERE filed_at < DATE '1997-01-01') a FULL OUTER JOIN (SELECT accn, cik, form, filed_at + 3 AS disseminated_at FROM filings) b USING (accn)""", "filings")
 def dissemination_least(spark, d):
     f = p.filings(spark, d)
-    seen = f.where("cik % 3 = 0").withColumn("disseminated_at", F.date_add("filed_at", 3))
-    return store.record_dissemination(f.where("cik % 2 = 0"), seen).select("accn", "cik", "form", "disseminated_at")
+    seen = f.withColumn("disseminated_at", F.date_add("filed_at", 3))
+    return store.record_dissemination(f.where("filed_at < '1997-01-01'"), seen).select("accn", "cik", "form", "disseminated_at")
 
 
 # Features and panels
@@ -539,26 +539,46 @@ def bonferroni_holm_bhy(spark, d):
     return statistics.adjusted_pvalues(returns(spark, d).select("strategy", F.col("obs").alias("test"), pv.alias("p")), "strategy")
 
 
-@query("SELECT obs, CASE WHEN obs < 4 * 6 THEN obs // 6 ELSE 4 + (obs - 24) // 5 END AS block FROM (SELECT unnest(range(34)) AS obs)")
+@query("SELECT strategy, obs, CASE WHEN obs < 4 * 7 THEN obs // 7 ELSE 4 + (obs - 28) // 6 END AS block FROM returns", "returns")
 def block_index(spark, d):
-    return spark.range(34).select(F.col("id").alias("obs"), statistics.block_of(F.col("id"), 34, 6).cast("long").alias("block"))
+    return returns(spark, d).select("strategy", "obs", statistics.block_of(F.col("obs"), 40, 6).cast("long").alias("block"))
 
 
-@query()
+@query("""SELECT CAST(split AS INTEGER) AS split, strategy AS winner, round(rank / (n + 1.0::DOUBLE), 6) AS oos_rank, round(ln((rank / (n + 1.0::DOUBLE)) / (1 - rank / (n + 1.0::DOUBLE))), 6) AS logit, round(o - i, 6) AS degradation
+          FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY i DESC, strategy) AS place
+                FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY o, strategy) AS rank, count(*) OVER (PARTITION BY split) AS n
+                      FROM (SELECT split, strategy, max(score) FILTER (WHERE inside) AS i, max(score) FILTER (WHERE NOT inside) AS o
+                            FROM (SELECT split, strategy, list_contains(chosen, obs // 4) AS inside, avg(ret) / stddev_samp(ret) AS score
+                                  FROM returns, (SELECT row_number() OVER (ORDER BY chosen) - 1 AS split, chosen
+                                                 FROM (SELECT list_filter(range(10), lambda b: (m >> b) & 1 = 1) AS chosen FROM (SELECT unnest(range(1024)) AS m)) WHERE len(chosen) = 5) GROUP BY ALL) GROUP BY 1, 2))) WHERE place = 1""", "returns")
 def backtest_overfitting(spark, d):
     return statistics.backtest_overfitting(returns(spark, d))
 
 
-@query()
+_CDF = "0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(200), lambda k: exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2.0) + k * ln(2.0) + lgamma(k + 1.0))))"
+
+
+@query(f"""SELECT strategy, n, round(sharpe, 6) AS sharpe, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(vf, 6) AS variance_factor,
+             round(CASE WHEN sharpe > 0 THEN 1 + vf * pow({statistics.quantile(0.95)!r} / sharpe, 2) ELSE 'inf'::DOUBLE END, 6) AS min_track_record,
+             round({_CDF}, 6) AS deflated_sharpe, round(bar, 6) AS expected_max_sharpe, {_CDF} > 0.95 AS survives
+           FROM (SELECT *, (sharpe - bar) * sqrt(n - 1) / sqrt(vf) AS z
+                 FROM (SELECT *, sqrt(var_samp(sharpe) OVER ()) * {statistics.expected_max_sharpe(1.0, 10)!r} AS bar, 1 - skewness * sharpe + (kurtosis - 1) / 4 * pow(sharpe, 2) AS vf
+                       FROM (SELECT strategy, n, m / sd AS sharpe, g1 * sqrt(n * (n - 1)) / (n - 2) AS skewness, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3 AS kurtosis
+                             FROM (SELECT strategy, count(*) AS n, any_value(mu) AS m, stddev_samp(ret) AS sd, avg(pow(ret - mu, 3)) / pow(stddev_pop(ret), 3) AS g1, avg(pow(ret - mu, 4)) / pow(stddev_pop(ret), 4) - 3 AS g2
+                                   FROM (SELECT *, avg(ret) OVER (PARTITION BY strategy) AS mu FROM returns) GROUP BY 1))))""", "returns")
 def deflated_sharpe(spark, d):
+    """Against the luck of ten trials, as many as the table has strategies."""
     return statistics.deflated_sharpe(statistics.minimum_track_record(statistics.sharpe_moments(returns(spark, d), "strategy")))
 
 
-@query("""SELECT split, role, count(*) AS n FROM (
-            SELECT o AS obs, s AS split, CASE WHEN o // 20 = s THEN 'test' WHEN o >= s * 20 - 5 AND o < s * 20 + 25 THEN 'purged' WHEN o > s * 20 AND o < s * 20 + 28 THEN 'embargoed' ELSE 'train' END AS role
-            FROM (SELECT unnest(range(100)) AS o), (SELECT unnest(range(5)) AS s)) GROUP BY 1, 2""")
+@query("""SELECT strategy, split, role, count(*) AS n, CAST(sum(CAST(round(ret * 1000000) AS BIGINT)) AS BIGINT) AS total FROM (
+            SELECT strategy, ret, s AS split, CASE WHEN obs // 8 = s THEN 'test' WHEN obs >= s * 8 - 2 AND obs < s * 8 + 10 THEN 'purged' WHEN obs > s * 8 AND obs < s * 8 + 13 THEN 'embargoed' ELSE 'train' END AS role
+            FROM returns, (SELECT unnest(range(5)) AS s)) GROUP BY 1, 2, 3""", "returns")
 def purged_kfold(spark, d):
-    return statistics.purged_splits(spark, 100, 5, 1, horizon=5, embargo=8).groupBy(F.col("split").cast("long").alias("split"), "role").agg(F.count("*").alias("n"))
+    """Summed returns (in millionths) by role: the splits are a small table made of the parameters."""
+    splits = statistics.purged_splits(spark, 40, 5, 1, horizon=2, embargo=5)
+    rows = returns(spark, d).join(F.broadcast(splits), "obs")
+    return rows.groupBy("strategy", F.col("split").cast("long").alias("split"), "role").agg(F.count("*").alias("n"), F.sum(F.round(F.col("ret") * 1000000).cast("long")).alias("total"))
 
 
 # Hashes and texts
@@ -587,13 +607,22 @@ def parse_items(spark, d):
     return o.select("o_orderkey", F.array_join(scalars.parse_items(F.concat("o_orderpriority", F.lit(" , ,"), "o_orderstatus")), "|").alias("items"))
 
 
-@query()
+@query(f"""WITH RECURSIVE entries AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY line, body, changed) AS k FROM (SELECT l_orderkey AS log, l_linenumber AS line,
+                 '{{"l_partkey":' || CAST(l_partkey AS VARCHAR) || ',"l_suppkey":' || CAST(l_suppkey AS VARCHAR) || '}}' AS body, l_quantity = 50 AS changed FROM lineitem)),
+           chain AS (SELECT log, k, sha256('{hashing.GENESIS}' || body) AS head FROM entries WHERE k = 1
+                     UNION ALL SELECT e.log, e.k, sha256(c.head || e.body) FROM chain c JOIN entries e ON e.log = c.log AND e.k = c.k + 1),
+           stored AS (SELECT e.log, e.k, CASE WHEN changed THEN replace(body, 'partkey', 'part') ELSE body END AS body, head, lag(head) OVER (PARTITION BY e.log ORDER BY e.k) AS before
+                      FROM entries e JOIN chain c ON e.log = c.log AND e.k = c.k)
+           SELECT log, count(*) AS entries, CAST(coalesce(min(CASE WHEN sha256(coalesce(before, '{hashing.GENESIS}') || body) <> head THEN k - 1 END), -1) AS BIGINT) AS first_break FROM stored GROUP BY 1""")
 def chain_fold_verify(spark, d):
-    """A hash chain over each nation's suppliers in order, and whether the stored heads follow."""
-    s = spark.read.parquet(f"{d}/supplier.parquet")
-    logs = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.to_json(F.struct("s_suppkey", "s_name")).alias("body")))).alias("log"))
-    heads = hashing.chain_heads(F.col("log.body"))
-    return logs.select("s_nationkey", F.size("log").alias("entries"), F.element_at(heads, -1).alias("head"), (F.size(heads) == F.size("log")).alias("complete"))
+    """A hash chain over each order's lines, of which some were changed after their heads were recorded: the first that does not follow."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    body = F.to_json(F.struct("l_partkey", "l_suppkey")).alias("body")
+    logs = li.groupBy(F.col("l_orderkey").alias("log")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", body, (F.col("l_quantity") == 50).alias("changed")))).alias("e"))
+    recorded = logs.select("log", F.posexplode(F.arrays_zip("e", hashing.chain_heads(F.col("e.body")).alias("head"))).alias("line", "r"))
+    changed = F.when(F.col("r.e.changed"), F.replace(F.col("r.e.body"), F.lit("partkey"), F.lit("part"))).otherwise(F.col("r.e.body"))
+    stored = recorded.select("log", "line", changed.alias("body"), "r.head")
+    return hashing.chain_breaks(stored, "log", "line").withColumn("first_break", F.col("first_break").cast("long"))
 
 
 @query("SELECT period_end, CASE WHEN period_start IS NULL THEN 'instant, ' || CAST(period_end AS VARCHAR) ELSE CAST(period_start AS VARCHAR) || ' to ' || CAST(period_end AS VARCHAR) || ' (' || CAST(date_diff('day', period_start, period_end) AS VARCHAR) || 'd)' END AS label, count(*) AS n FROM facts GROUP BY 1, 2", "facts")
@@ -681,10 +710,13 @@ def parse_dates(spark, d):
     return o.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), scalars.parse_date(text).alias("parsed"))
 
 
-@query("SELECT last_day(CAST('1995-01-15' AS DATE) + to_months(CAST(k AS INTEGER))) AS month_end FROM (SELECT unnest(range(84)) AS k)")
+@query("""SELECT CAST(last_day(CAST(o_orderdate AS DATE) + to_months(CAST(k AS INTEGER))) AS DATE) AS month_end, count(*) AS n FROM orders, (SELECT unnest(range(4)) AS k)
+          WHERE last_day(CAST(o_orderdate AS DATE) + to_months(CAST(k AS INTEGER))) <= last_day(CAST(o_orderdate AS DATE) + 75) GROUP BY 1""")
 def month_ends(spark, d):
-    first, last = F.lit("1995-01-15").cast("date"), F.lit("2001-12-02").cast("date")
-    return spark.range(1).select(F.explode(scalars.month_ends(first, last)).alias("month_end"))
+    """The month ends that the 75 days after each order touch."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    first = F.col("o_orderdate").cast("date")
+    return o.select(F.explode(scalars.month_ends(first, F.date_add(first, 75))).alias("month_end")).groupBy("month_end").agg(F.count("*").alias("n"))
 
 
 @query("SELECT cik FROM (SELECT p_partkey AS cik, p_retailprice AS val FROM part) WHERE val >= 905 ORDER BY sha256('7:' || CAST(cik AS VARCHAR)), cik LIMIT 30")

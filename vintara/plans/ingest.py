@@ -1,7 +1,8 @@
 """Batch ingest: landed files through readers into the warehouse, each run with an entry that says how it ended.
 
 Every write is insert-if-absent on the table's key, so a run that is repeated adds nothing. Files that were indexed
-before can be left out by their content hash. Rejected rows are counted by reason, never lost silently.
+before can be left out by their content hash. Rejected rows are counted by reason, never lost silently, and a file of the
+wrong shape is one reject: it never ends the batch that it is in. Contents are stored, packed, under their hashes.
 """
 
 from __future__ import annotations
@@ -14,12 +15,16 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintara import schemas
 from vintara.functions.hashing import canonical_hash, canonical_json
 from vintara.operators import store
 from vintara.operators.store import Warehouse
 from vintara.sources import landing
 
 
+STATUSES = ("running", "ok", "failed", "interrupted")
+
+
 @dataclass(frozen=True)
 class Outcome:
     run_id: str
@@ -37,7 +42,7 @@ class Ingestor:
         run_id = f"run-{uuid.uuid4().hex[:12]}"
         start = self.clock()
         row = {"run_id": run_id, "source": source, "params_hash": canonical_hash(params), "params_json": canonical_json(params), "started_at": start, "finished_at": None, "status": "running", "rows_written": 0, "bytes_fetched": 0, "code_version": self.code_version, "error": None}
-        self._write_run(row, new=True)
+        self._write_run(row)
         try:
             written, skipped = work(run_id)
         except Exception as error:
@@ -46,22 +51,19 @@ class Ingestor:
         self._write_run(row | {"status": "ok", "finished_at": self.clock(), "rows_written": sum(written.values())})
         return Outcome(run_id, written, skipped)
 
-    def _write_run(self, row: dict, new: bool = False) -> None:
-        from vintara import schemas
-
+    def _write_run(self, row: dict) -> None:
+        """Append a state; the table's readers see each run's last."""
+        if row["status"] not in STATUSES:
+            raise ValueError(f"a run is {', '.join(STATUSES)}, not {row['status']}")
         one = self.spark.createDataFrame([tuple(row[f.name] for f in schemas.schema("ingest_runs"))], schemas.schema("ingest_runs"))
-        if new:
-            self.warehouse.insert("ingest_runs", one)
-        else:
-            others = self.warehouse.read("ingest_runs").where(F.col("run_id") != row["run_id"])
-            self.warehouse.replace("ingest_runs", others.unionByName(one))
+        self.warehouse.append("ingest_runs", one)
 
     def reconcile(self) -> int:
         """Runs that a vanished process left running."""
-        runs = self.warehouse.read("ingest_runs")
-        n = runs.where("status = 'running'").count()
+        left = self.warehouse.read("ingest_runs").where("status = 'running'")
+        n = left.count()
         if n:
-            self.warehouse.replace("ingest_runs", store.interrupted(runs))
+            self.warehouse.append("ingest_runs", store.interrupted(left).withColumn("finished_at", F.lit(self.clock())))
         return n
 
     # Tables
@@ -71,12 +73,21 @@ class Ingestor:
         rows = rows.join(known, "source_uri")
         return rows.withColumns({"retrieved_at": F.lit(self.clock()), "ingest_run_id": F.lit(run_id)})
 
-    def _index(self, docs: DataFrame, source: str, run_id: str) -> int:
-        body = F.encode("body", "UTF-8")
-        place = F.concat_ws("/", F.substring("content_sha256", 1, 2), F.substring("content_sha256", 3, 2), "content_sha256")
-        rows = docs.withColumns({"source": F.lit(source), "byte_len": F.octet_length(body).cast("long"), "stored_path": place, "retrieved_at": F.lit(self.clock()), "ingest_run_id": F.lit(run_id)})
+    @property
+    def payload_folder(self) -> str:
+        return f"{self.warehouse.root}/_payloads"
+
+    def _index(self, path: str, source: str, run_id: str) -> int:
+        """Store the files' bytes under their hashes and enter them in the ledger."""
+        raw = self.spark.read.format("binaryFile").load(path).select("path", "content")
+        rows = store.write_payloads(raw, self.payload_folder).withColumnRenamed("path", "source_uri")
+        rows = rows.withColumns({"source": F.lit(source), "retrieved_at": F.lit(self.clock()), "ingest_run_id": F.lit(run_id)})
         return self.warehouse.insert("raw_payloads", rows, "source_uri")
 
+    def damaged_payloads(self) -> DataFrame:
+        """Ledger entries whose stored content is missing or another one."""
+        return store.verify_payloads(self.warehouse.read("raw_payloads"), self.payload_folder)
+
     def new_documents(self, docs: DataFrame) -> DataFrame:
         """Those whose content no run has indexed."""
         return store.absent(docs, self.warehouse.read("raw_payloads"), ["content_sha256"])
@@ -86,11 +97,11 @@ class Ingestor:
             docs = landing.documents(self.spark, path).cache()
             try:
                 parsed = parse(docs)
-                written = {"raw_payloads": self._index(docs, source, run_id)}
+                written = {"raw_payloads": self._index(path, source, run_id)}
                 rows = prepare(self._provenance(parsed.rows, docs, run_id))
                 written[table] = self.warehouse.insert(table, rows, *order)
                 if then:
-                    written |= then(run_id, rows)
+                    written |= then(run_id, rows, docs)
                 skipped = {r["reason"]: r["n"] for r in parsed.skip_counts().collect()}
             finally:
                 docs.unpersist()
@@ -99,20 +110,56 @@ class Ingestor:
         return self._run(source, {"path": path, "table": table} | (params or {}), work)
 
     def tickers(self, path: str, observed_at: str) -> Outcome:
-        return self._ingest("tickers", "entity_identifiers", path, lambda docs: landing.company_tickers(docs, observed_at), ["source_uri"])
+        return self._ingest("tickers", "entity_identifiers", path, lambda docs: landing.company_tickers(docs, observed_at, strict=False), ["source_uri"])
+
+    def filings(self, path: str, history: str | None = None, observed_at: str | None = None) -> Outcome:
+        """Submissions files: their companies, filings and links."""
 
-    def filings(self, path: str, history: str | None = None) -> Outcome:
         def parse(docs):
-            return landing.submissions(docs, landing.documents(self.spark, history) if history else None)
+            return landing.submissions(docs, landing.documents(self.spark, history) if history else None, strict=False)
 
-        def links(run_id, rows):
+        def more(run_id, rows, docs):
             links = store.submission_links(rows).withColumns({"source_uri": F.lit(path), "retrieved_at": F.lit(self.clock()), "ingest_run_id": F.lit(run_id)})
-            return {"filing_filers": self.warehouse.insert("filing_filers", links)}
+            day = observed_at or self.clock().date().isoformat()
+            return {"filing_filers": self.warehouse.insert("filing_filers", links), "entities": self._upsert_entities(self._provenance(landing.entities(docs, day).rows, docs, run_id))}
+
+        return self._ingest("submissions", "filings", path, parse, ["filed_at"], then=more)
+
+    def _upsert_entities(self, seen: DataFrame) -> int:
+        """The number of companies that were not known before."""
+        old = self.warehouse.read("entities")
+        attributes = [c for c in old.columns if c not in ("cik", "first_observed", "last_observed")]
+        before = old.count()
+        self.warehouse.replace("entities", store.upsert_entities(old, schemas.conform(store.first_wins(seen, ["cik"], "source_uri"), "entities"), attributes))
+        return self.warehouse.count("entities") - before
 
-        return self._ingest("submissions", "filings", path, parse, ["filed_at"], then=links)
+    def facts(self, path: str, wanted: DataFrame | None = None) -> Outcome:
+        """Company-facts files; of ``wanted`` (cik) companies only, if given."""
 
-    def facts(self, path: str) -> Outcome:
-        return self._ingest("facts", "facts", path, landing.company_facts, ["filed_at", "source_uri"], prepare=store.prepare_facts)
+        def prepare(rows):
+            return store.prepare_facts(rows if wanted is None else rows.join(wanted.select("cik").distinct(), "cik", "left_semi"))
+
+        return self._ingest("facts", "facts", path, lambda docs: landing.company_facts(docs, strict=False), ["filed_at", "source_uri"], prepare=prepare)
+
+    def company(self, cik: int, submissions: str, facts: str) -> dict[str, Outcome]:
+        """One company's landed files: CIK and ten digits in their names."""
+        own = f"CIK{int(cik):010d}*.json"
+        return {"filings": self.filings(f"{submissions}/{own}"), "facts": self.facts(f"{facts}/{own}")}
+
+    def universe(self, size: int, floor: float, seed: int, frames: str, submissions: str, facts: str) -> dict[str, Outcome]:
+        """The sampled companies of ``frames`` (Parquet: cik, val) that have no facts yet: an interrupted ingest goes on where it was.
+
+        All companies are one batch; a file of the wrong shape is a reject of it.
+        """
+        sample = landing.sampled_universe(self.spark.read.parquet(frames), floor, size, seed)
+        wanted = self.companies_without_facts(sample).cache()
+        try:
+            done = {"filings": self.filings(submissions)}
+            if not wanted.isEmpty():
+                done["facts"] = self.facts(facts, wanted)
+            return done
+        finally:
+            wanted.unpersist()
 
     def macro(self, path: str, series_id: str) -> Outcome:
         def merged(rows):
@@ -125,6 +172,21 @@ class Ingestor:
     def prices(self, raw: str, adjusted: str, symbol: str, source: str) -> Outcome:
         return self._ingest(source, "prices", raw, lambda docs: landing.daily_bars(docs, landing.documents(self.spark, adjusted), symbol, source), ["source_uri"], params={"symbol": symbol})
 
+    def many_prices(self, batches: list[tuple[str, str, str]], source: str, limit: int = 5) -> dict[str, str]:
+        """Several symbols (raw, adjusted, symbol), one after the other: what became of each. One that fails ends none of the
+        others, but after ``limit`` failures in a row the source counts as down and the rest is skipped."""
+        out, failures = {}, 0
+        for raw, adjusted, symbol in batches:
+            if failures >= limit:
+                out[symbol] = "skipped"
+                continue
+            try:
+                self.prices(raw, adjusted, symbol, source)
+                out[symbol], failures = "ok", 0
+            except Exception as error:  # the run's entry says what it was
+                out[symbol], failures = f"failed: {str(error)[:200]}", failures + 1
+        return out
+
     def delistings(self, path: str, observed_at: str, source: str) -> Outcome:
         return self._ingest(source, "delistings", path, lambda docs: landing.delisted(docs, observed_at, source), ["source_uri"])
 
@@ -132,7 +194,8 @@ class Ingestor:
         """A day's index: stubs for new filings, the earliest public date for known ones, a link for each company. An empty index raises."""
 
         def work(run_id):
-            seen = landing.daily_index(self.spark, path, day).cache()
+            parsed = landing.daily_index_parsed(self.spark, path, day)
+            seen = parsed.rows.drop("source_uri").cache()
             try:
                 if not seen.count():
                     raise ValueError(f"the index of {day} has no entries")
@@ -143,7 +206,7 @@ class Ingestor:
                 before = old.count()
                 self.warehouse.replace("filings", new)
                 links = seen.select("accn", "cik").withColumn("is_primary", F.col("accn").startswith(F.lpad(F.col("cik").cast("string"), 10, "0"))).withColumns({k: v for k, v in extra.items() if k != "content_sha256"})
-                return {"filings": self.warehouse.count("filings") - before, "filing_filers": self.warehouse.insert("filing_filers", links)}, {}
+                return {"filings": self.warehouse.count("filings") - before, "filing_filers": self.warehouse.insert("filing_filers", links)}, {r["reason"]: r["n"] for r in parsed.skip_counts().collect()}
             finally:
                 seen.unpersist()
 

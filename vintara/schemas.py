@@ -25,6 +25,8 @@ DDL: dict[str, str] = {
     "prices": "symbol STRING NOT NULL, bar_date DATE NOT NULL, open DOUBLE NOT NULL, high DOUBLE NOT NULL, low DOUBLE NOT NULL, close DOUBLE NOT NULL, adj_close DOUBLE, volume DOUBLE NOT NULL, source STRING NOT NULL" + _PROVENANCE,
     "delistings": "symbol STRING NOT NULL, exchange STRING, company_name STRING, ipo_date DATE, delisted_date DATE, observed_at DATE NOT NULL, source STRING NOT NULL" + _PROVENANCE,
 }
+#: Tables that are logs of states: reading gives the latest state of each key, by this column, null first.
+LOGS = {"ingest_runs": "finished_at"}
 KEYS: dict[str, list[str]] = {
     "ingest_runs": ["run_id"],
     "raw_payloads": ["content_sha256"],

@@ -1,14 +1,16 @@
 """Landing files to typed rows: tickers, submissions, facts, daily index, macro vintages, bars, delistings.
 
 Every reader has an explicit schema. Rows that cannot be used are not dropped silently: readers return rows and rejects,
-the latter with a reason, so that counts can be reported. Shapes that are not the agreed ones raise at execution.
+the latter with a reason, so that counts can be reported. A file whose shape is not the agreed one raises at execution, or,
+with ``strict=False``, is one reject, so that it does not abort the batch that it is in.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintara.functions import scalars as s
@@ -37,48 +39,69 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _shaped(docs: DataFrame, ddl: str, required: str) -> DataFrame:
     """Bodies parsed as ``ddl``; a body without the required field raises."""
-    parsed = docs.withColumn("json", F.from_json("body", ddl))
-    wrong = F.concat(F.lit("unexpected shape in "), F.col("source_uri"))
-    return parsed.where(F.when(F.col(f"json.{required}").isNotNull(), F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")))
+    return _good(_parsed(docs, ddl), F.col(f"json.{required}").isNotNull(), "unexpected shape")
+
+
+def _parsed(docs: DataFrame, ddl: str) -> DataFrame:
+    return docs.withColumn("json", F.from_json("body", ddl))
+
+
+def _good(parsed: DataFrame, fine: Column, reason: str, strict: bool = True) -> DataFrame:
+    """The rows that are fine; the others raise or, where they are rejected elsewhere, are left out."""
+    if not strict:
+        return parsed.where(F.coalesce(fine, F.lit(False)))
+    wrong = F.concat(F.lit(f"{reason} in "), F.col("source_uri"))
+    return parsed.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")))
+
+
+def _bad(parsed: DataFrame, fine: Column, reason: str) -> DataFrame:
+    return parsed.where(~F.coalesce(fine, F.lit(False))).select("source_uri", F.lit(reason).alias("reason"))
+
+
+def _with_rejects(parsed: Parsed, *rejects: DataFrame) -> Parsed:
+    return Parsed(parsed.rows, reduce(DataFrame.unionByName, rejects, parsed.rejects))
 
 
 def _split(tagged: DataFrame, columns: list[str]) -> Parsed:
     return Parsed(tagged.where("reason is null").select("source_uri", *[c for c in columns if c != "source_uri"]), tagged.where("reason is not null").select("source_uri", "reason"))
 
 
-def company_tickers(docs: DataFrame, observed_at: str) -> Parsed:
+def company_tickers(docs: DataFrame, observed_at: str, strict: bool = True) -> Parsed:
     """An object of numbered entries {cik_str, ticker, title}; tickers are trimmed and upper-cased, empty ones rejected."""
     entry = "MAP<STRING, STRUCT<cik_str: BIGINT, ticker: STRING, title: STRING>>"
-    parsed = docs.withColumn("json", F.from_json("body", entry))
-    wrong = F.concat(F.lit("unexpected shape in "), F.col("source_uri"))
-    parsed = parsed.where(F.when(F.size("json") > 0, F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")))
-    rows = parsed.select("source_uri", F.explode("json").alias("k", "e")).select(
+    parsed, fine = _parsed(docs, entry), F.size("json") > 0
+    rows = _good(parsed, fine, "unexpected shape", strict).select("source_uri", F.explode("json").alias("k", "e")).select(
         "source_uri", F.col("e.cik_str").alias("cik"), F.upper(F.trim("e.ticker")).alias("ticker"), F.col("e.title").alias("name"), F.lit(observed_at).cast("date").alias("observed_at")
     )
     reason = F.when(F.coalesce(F.col("ticker"), F.lit("")) == "", "no ticker").when(~((F.col("cik") > 0) & (F.col("cik") < 10**10)), "bad cik")
-    return _split(rows.withColumn("reason", reason), ["cik", "ticker", "name", "observed_at"])
+    out = _split(rows.withColumn("reason", reason), ["cik", "ticker", "name", "observed_at"])
+    return out if strict else _with_rejects(out, _bad(parsed, fine, "unexpected shape"))
 
 
 _ARRAYS = ["accessionNumber", "filingDate", "reportDate", "acceptanceDateTime", "form", "items", "isXBRL", "primaryDocument"]
 
 
-def submissions(docs: DataFrame, history: DataFrame | None = None) -> Parsed:
+def submissions(docs: DataFrame, history: DataFrame | None = None, strict: bool = True) -> Parsed:
     """Parallel arrays of recent filings, and history files with the same arrays at their top, to one row per filing.
 
-    Arrays of unequal length raise: their rows cannot be told apart.
+    Arrays of unequal length raise (or are one reject): their rows cannot be told apart. An array that the file does not
+    have is a column of absent values.
     """
     arrays = ", ".join(f"{n}: ARRAY<{'INT' if n == 'isXBRL' else 'STRING'}>" for n in _ARRAYS)
-    recent = _shaped(docs, f"STRUCT<cik: STRING, filings: STRUCT<recent: STRUCT<{arrays}>>>", "filings.recent")
+    recent = _parsed(docs, f"STRUCT<cik: STRING, filings: STRUCT<recent: STRUCT<{arrays}>>>")
     parts = recent.select("source_uri", F.col("json.cik").cast("bigint").alias("cik"), F.col("json.filings.recent").alias("a"))
     if history is not None:
-        older = _shaped(history, f"STRUCT<{arrays}>", "accessionNumber")
+        older = _good(_parsed(history, f"STRUCT<{arrays}>"), F.col("json.accessionNumber").isNotNull(), "unexpected shape", strict)
         number = F.regexp_extract("source_uri", r"CIK(\d{10})", 1).cast("bigint")
         parts = parts.unionByName(older.select("source_uri", number.alias("cik"), F.col("json").alias("a")))
-    ragged = F.lit(False)
+    even = F.lit(True)
     for n in _ARRAYS[1:]:
-        ragged = ragged | (F.size(f"a.{n}") != F.size("a.accessionNumber"))
-    parts = parts.where(F.when(~ragged, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("arrays of unequal length in "), F.col("source_uri"))).cast("boolean")))
-    zipped = F.explode(F.arrays_zip(*[F.col(f"a.{n}").alias(n) for n in _ARRAYS])).alias("f")
+        even = even & (F.col(f"a.{n}").isNull() | (F.size(f"a.{n}") == F.size("a.accessionNumber")))
+    shaped = F.col("a").isNotNull()
+    rejects = [_bad(parts, shaped, "unexpected shape"), _bad(parts.where(shaped), even, "arrays of unequal length")]
+    parts = _good(_good(parts, shaped, "unexpected shape", strict), even, "arrays of unequal length", strict)
+    absent = lambda n: F.array_repeat(F.lit(None).cast("int" if n == "isXBRL" else "string"), F.size("a.accessionNumber"))
+    zipped = F.explode(F.arrays_zip(*[F.coalesce(F.col(f"a.{n}"), absent(n)).alias(n) for n in _ARRAYS])).alias("f")
     rows = parts.select("source_uri", "cik", zipped).select(
         "source_uri", s.dashed_accession(F.col("f.accessionNumber")).alias("accn"), "cik", F.col("f.form").alias("form"),
         s.parse_date(F.col("f.filingDate")).alias("filed_at"), s.parse_instant(F.col("f.acceptanceDateTime")).alias("accepted_at"),
@@ -86,7 +109,21 @@ def submissions(docs: DataFrame, history: DataFrame | None = None) -> Parsed:
         s.parse_items(F.col("f.items")).alias("items"), (F.col("f.isXBRL") == 1).alias("is_xbrl"),
     )
     reason = F.when(F.col("accn").isNull(), "bad accession").when(F.col("filed_at").isNull(), "no filing date")
-    return _split(rows.withColumn("reason", reason), ["accn", "cik", "form", "filed_at", "accepted_at", "period_of_report", "primary_document", "items", "is_xbrl"])
+    out = _split(rows.withColumn("reason", reason), ["accn", "cik", "form", "filed_at", "accepted_at", "period_of_report", "primary_document", "items", "is_xbrl"])
+    return out if strict else _with_rejects(out, *rejects)
+
+
+def entities(docs: DataFrame, observed_at: str) -> Parsed:
+    """The companies that submissions files describe; empty texts are absent."""
+    fields = {"entityType": "entity_type", "sic": "sic", "sicDescription": "sic_description", "fiscalYearEnd": "fiscal_year_end", "stateOfIncorporation": "state_of_incorp"}
+    parsed = _parsed(docs, f"STRUCT<cik: STRING, name: STRING, {', '.join(f'{f}: STRING' for f in fields)}>")
+    day = F.lit(observed_at).cast("date")
+    rows = parsed.select(
+        "source_uri", F.col("json.cik").try_cast("bigint").alias("cik"), F.nullif(F.trim("json.name"), F.lit("")).alias("name"),
+        *[F.nullif(F.trim(f"json.{f}"), F.lit("")).alias(c) for f, c in fields.items()], day.alias("first_observed"), day.alias("last_observed"),
+    )
+    reason = F.when(F.col("cik").isNull() | (F.col("cik") <= 0), "bad cik").when(F.col("name").isNull(), "no name")
+    return _split(rows.withColumn("reason", reason), [c for c in rows.columns if c != "source_uri"])
 
 
 def _fact_rows(entries: DataFrame) -> Parsed:
@@ -106,12 +143,17 @@ def _quoted_values(docs: DataFrame) -> DataFrame:
     return docs.withColumn("body", F.regexp_replace("body", r'("val"\s*:\s*)(-?[0-9][0-9.eE+-]*)', '$1"$2"'))
 
 
-def company_facts(docs: DataFrame, taxonomies: tuple[str, ...] = TAXONOMIES) -> Parsed:
-    """The tree taxonomy, concept, unit, entries."""
-    tree = _shaped(_quoted_values(docs), f"STRUCT<cik: BIGINT, facts: MAP<STRING, MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<{_ENTRY}>>>>>>", "facts")
-    rows = tree.select("source_uri", F.col("json.cik").alias("cik"), F.explode("json.facts").alias("taxonomy", "c")).where(F.col("taxonomy").isin(list(taxonomies)))
-    rows = rows.select("source_uri", "cik", "taxonomy", F.explode("c").alias("concept", "u")).select("*", F.explode("u.units").alias("unit", "list"))
-    return _fact_rows(rows.select("source_uri", "cik", "taxonomy", "concept", "unit", F.explode("list").alias("e")))
+def company_facts(docs: DataFrame, taxonomies: tuple[str, ...] = TAXONOMIES, strict: bool = True) -> Parsed:
+    """The tree taxonomy, concept, unit, entries. Taxonomies that are out of scope and concepts without units are rejects, one each."""
+    tree, fine = _parsed(_quoted_values(docs), f"STRUCT<cik: BIGINT, facts: MAP<STRING, MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<{_ENTRY}>>>>>>"), F.col("json.facts").isNotNull()
+    of = _good(tree, fine, "unexpected shape", strict).select("source_uri", F.col("json.cik").alias("cik"), F.explode("json.facts").alias("taxonomy", "c"))
+    in_scope = F.col("taxonomy").isin(list(taxonomies))
+    rejects = [of.where(~in_scope).select("source_uri", F.concat(F.lit("taxonomy out of scope: "), F.col("taxonomy")).alias("reason"))]
+    concepts = of.where(in_scope).select("source_uri", "cik", "taxonomy", F.explode("c").alias("concept", "u"))
+    rejects.append(_bad(concepts, F.col("u.units").isNotNull(), "concept without units"))
+    rows = concepts.select("*", F.explode("u.units").alias("unit", "list"))
+    out = _fact_rows(rows.select("source_uri", "cik", "taxonomy", "concept", "unit", F.explode("list").alias("e")))
+    return _with_rejects(out, *rejects, *([] if strict else [_bad(tree, fine, "unexpected shape")]))
 
 
 def company_concept(docs: DataFrame) -> Parsed:
@@ -121,14 +163,45 @@ def company_concept(docs: DataFrame) -> Parsed:
     return _fact_rows(rows.select("source_uri", "cik", "taxonomy", "concept", "unit", F.explode("list").alias("e")))
 
 
-def daily_index(spark: SparkSession, path: str, day: str) -> DataFrame:
-    """Lines of five fields with a number first, in Latin-1; everything else in the file is heading."""
-    lines = spark.read.option("encoding", "ISO-8859-1").csv(path, sep="|", schema="cik STRING, name STRING, form STRING, filed STRING, file STRING, more STRING", mode="PERMISSIVE")
-    rows = lines.where(F.col("cik").rlike(r"^\d+$") & F.col("file").isNotNull() & F.col("more").isNull()).select(
-        s.dashed_accession(s.path_stem(F.col("file"))).alias("accn"), F.col("cik").cast("bigint").alias("cik"), "name", "form",
-        F.coalesce(s.parse_date(F.col("filed")), s.parse_compact_date(F.col("filed"))).alias("filed_at"), F.lit(day).cast("date").alias("disseminated_at"),
+#: A quote sign is a character like any other: names begin with one.
+INDEX_FORMAT = {"sep": "|", "encoding": "ISO-8859-1", "quote": "", "mode": "PERMISSIVE"}
+INDEX_LINE = "cik STRING, name STRING, form STRING, filed STRING, file STRING, more STRING"
+
+
+def index_lines(lines: DataFrame, day: Column) -> Parsed:
+    """Lines of five fields with a number first; lines without a number first are heading, others that cannot be used are rejects."""
+    rows = lines.where(F.col("cik").rlike(r"^\d+$")).select(
+        F.col("_metadata.file_path").alias("source_uri"), s.dashed_accession(s.path_stem(F.col("file"))).alias("accn"), F.col("cik").cast("bigint").alias("cik"), "name", "form",
+        F.coalesce(s.parse_date(F.col("filed")), s.parse_compact_date(F.col("filed"))).alias("filed_at"), day.alias("disseminated_at"),
+        (F.col("file").isNull() | F.col("more").isNotNull()).alias("odd"),
     )
-    return rows.where("accn is not null and filed_at is not null")
+    reason = F.when(F.col("odd"), "not five fields").when(F.col("accn").isNull(), "bad accession").when(F.col("filed_at").isNull(), "no filing date")
+    return _split(rows.withColumn("reason", reason), ["accn", "cik", "name", "form", "filed_at", "disseminated_at"])
+
+
+def daily_index_parsed(spark: SparkSession, path: str, day: str) -> Parsed:
+    """A day's index, in Latin-1."""
+    return index_lines(spark.read.options(**INDEX_FORMAT).schema(INDEX_LINE).csv(path), F.lit(day).cast("date"))
+
+
+def daily_index(spark: SparkSession, path: str, day: str) -> DataFrame:
+    """The usable rows of a day's index."""
+    return daily_index_parsed(spark, path, day).rows.drop("source_uri")
+
+
+def quarter_of(day: Column) -> Column:
+    """The quarter (1 to 4) under which an archive keeps a day's index."""
+    return F.quarter(day)
+
+
+def vintage_dates(docs: DataFrame) -> Parsed:
+    """An archive's list of vintage dates, ascending and each once; dates that do not exist are rejects."""
+    listed = _shaped(docs, "STRUCT<count: BIGINT, vintage_dates: ARRAY<STRING>>", "vintage_dates")
+    cut = F.coalesce(F.col("json.count"), F.size("json.vintage_dates").cast("bigint")) <= F.size("json.vintage_dates")
+    rows = _good(listed, cut, "cut off at the source").select("source_uri", F.explode("json.vintage_dates").alias("text"))
+    rows = rows.select("source_uri", s.parse_date(F.col("text")).alias("vintage_date"))
+    out = _split(rows.withColumn("reason", F.when(F.col("vintage_date").isNull(), "bad date")), ["vintage_date"])
+    return Parsed(out.rows.groupBy("vintage_date").agg(F.min("source_uri").alias("source_uri")).select("source_uri", "vintage_date").orderBy("vintage_date"), out.rejects)
 
 
 def macro_observations(docs: DataFrame, series_id: str) -> Parsed:

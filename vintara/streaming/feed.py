@@ -12,20 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vintara.functions import scalars as s
+from vintara.sources.landing import INDEX_FORMAT, INDEX_LINE, index_lines
 
-_LINE = "cik STRING, name STRING, form STRING, filed STRING, file STRING, more STRING"
 SEEN = "accn STRING, cik BIGINT, form STRING, filed_at DATE, disseminated_at DATE"
 
 
 def index_stream(spark: SparkSession, landing: str, files_per_batch: int = 50) -> DataFrame:
     """Index lines with the day in their file's name (…YYYYMMDD….idx) as dissemination date."""
-    lines = spark.readStream.schema(_LINE).option("sep", "|").option("encoding", "ISO-8859-1").option("maxFilesPerTrigger", files_per_batch).csv(landing)
+    lines = spark.readStream.schema(INDEX_LINE).options(**INDEX_FORMAT).option("maxFilesPerTrigger", files_per_batch).csv(landing)
     day = s.parse_compact_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1))
-    rows = lines.where(F.col("cik").rlike(r"^\d+$") & F.col("file").isNotNull() & F.col("more").isNull()).select(
-        s.dashed_accession(s.path_stem(F.col("file"))).alias("accn"), F.col("cik").cast("bigint").alias("cik"), "form",
-        F.coalesce(s.parse_date(F.col("filed")), s.parse_compact_date(F.col("filed"))).alias("filed_at"), day.alias("disseminated_at"),
-    )
-    return rows.where("accn is not null and filed_at is not null")
+    return index_lines(lines, day).rows.select("accn", "cik", "form", "filed_at", "disseminated_at")
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
