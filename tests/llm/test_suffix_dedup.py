@@ -102,10 +102,10 @@ def test_one_minimizer_in_very_many_segments(spark):
     docs += [(400 + i, docs[rng.randrange(400)][1][rng.randrange(20) :] + word(9)) for i in range(100)]
     for hot in (2, 20, 1 << 40):
         assert got(sd.remove_repeats(documents(spark, docs), hot=hot)) == brute(docs)
-    shard = sd.Shard([d[0] for d in docs], [d[1] for d in docs], 40)
+    shard = sd.Shard([d[0] for d in docs], [d[1].encode() for d in docs], 40)
     every = np.ones(len(shard.name), bool)
     rows = pa.Table.from_batches(list(sd.Candidates(shard, every, every, 1 << 20).rows(3)))
-    assert len(set(rows.column("key").to_pylist())) > 0.9 * len(rows) and set(map(len, rows.column("data").to_pylist())) == {50}
+    assert len(set(rows.column("bin").to_pylist())) > 0.9 * len(rows) and set(map(len, rows.column("data").to_pylist())) == {50}
 
 
 def test_rows_grow_with_the_text_not_with_the_shards():
@@ -114,7 +114,7 @@ def test_rows_grow_with_the_text_not_with_the_shards():
     docs = pq.read_table(f"{SF}/documents.parquet").select(["doc_id", "text"]).to_pylist()
 
     def count(rows):
-        shard = sd.Shard([r["doc_id"] for r in rows], [r["text"] for r in rows], 40)
+        shard = sd.Shard([r["doc_id"] for r in rows], [(r["text"] or "").encode() for r in rows], 40)
         every = np.ones(len(shard.name), bool)
         return sum(b.num_rows for b in sd.Candidates(shard, every, ~every, 1 << 20).rows(0))
 

@@ -39,7 +39,7 @@ from .common import partitions
 
 LENGTH, ANCHOR = 50, 24
 #: Text of a shard, bytes of a piece of text that is hashed at once, and of a piece whose suffixes are sorted.
-SHARD_BYTES, PIECE, SORTED = 12 << 20, 1 << 20, 2 << 20
+SHARD_BYTES, PIECE, SORTED = 8 << 20, 1 << 20, 1 << 20
 #: A name of more runs, over all shards, is hot.
 HOT = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -73,11 +73,11 @@ def minimizers(raw: np.ndarray) -> np.ndarray:
 class Shard:
     """A shard's documents in order of id, and the runs of neighbouring strings with one minimizer."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], bits: int):
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
+    def __init__(self, ids: list[int | None], texts: list[bytes | None], bits: int):
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or b""))
         self.ids = [ids[k] for k in order]
         self.numbers = np.array([i or 0 for i in self.ids], np.int64)
-        self.texts = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in order]
+        self.texts = [texts[k] or b"" for k in order]
         #: Where each text would begin if they were joined.
         self.begin = np.cumsum([0, *map(len, self.texts)])
         found = list(self._runs(np.uint64(64 - bits)))
@@ -222,29 +222,28 @@ class SortedStrings:
     """
 
     def __init__(self, raw: np.ndarray, heads: np.ndarray, least: np.ndarray, group: np.ndarray):
-        self.raw, self.heads, self.least, self.group = raw, heads.astype(np.int64), least, group
+        self.raw, self.heads, self.least, self.group = raw, heads.astype(np.int32), least, group.astype(np.int32)
         #: For strings that an earlier piece has: that piece's number and the string's place there.
-        self.origin = np.full((2, len(heads)), -1, np.int64)
-        self._keys: list[np.ndarray] | None = None
+        self.origin = np.full((2, len(heads)), -1, np.int32)
 
-    @property
-    def keys(self) -> list[np.ndarray]:
-        if self._keys is None:
-            words = _words(self.raw, ">u8")
-            self._keys = [words[self.heads + k] for k in _OFFSETS]
-        return self._keys
+    def keys(self) -> Iterator[np.ndarray]:
+        """The strings' words, one after the other: they take more room than all the rest and are not kept."""
+        words = _words(self.raw, ">u8")
+        for k in _OFFSETS:
+            yield words[self.heads + k]
 
     def meet(self, other: SortedStrings, number: int = 0) -> None:
         """Strings that both pieces have get the smaller of their documents in both: a binary search, word by word.
 
         ``other`` is the later one and remembers where this one, piece ``number``, has them.
         """
-        lo = np.searchsorted(self.keys[0], other.keys[0], "left")
-        hi = np.searchsorted(self.keys[0], other.keys[0], "right")
+        levels = zip(self.keys(), other.keys())
+        own, wanted = next(levels)
+        lo, hi = np.searchsorted(own, wanted, "left"), np.searchsorted(own, wanted, "right")
         query = np.flatnonzero(lo < hi)
         lo, hi = lo[query], hi[query]
-        for level in range(1, len(self.keys)):
-            wanted, own = other.keys[level][query], self.keys[level]
+        for own, wanted in levels:
+            wanted = wanted[query]
             lo, hi = _bound(own, lo, hi, wanted, False), _bound(own, lo, hi, wanted, True)
             found = lo < hi
             query, lo, hi = query[found], lo[found], hi[found]
@@ -260,14 +259,14 @@ def sorted_piece(segments: list[bytes], docs: np.ndarray) -> SortedStrings:
     sizes = np.array([len(s) for s in segments], np.int64)
     begin = np.cumsum(sizes) - sizes
     sa = suffix_array(raw)
-    group = np.cumsum(common_prefixes(raw, sa) < LENGTH) - 1
-    own = np.repeat(np.arange(len(segments)), sizes)
+    group = np.cumsum(common_prefixes(raw, sa) < LENGTH, dtype=np.int32) - 1
+    own = np.repeat(np.arange(len(segments), dtype=np.int32), sizes)
     whole = np.arange(len(raw)) <= (begin + sizes - LENGTH)[own]
     keep = whole[sa]
     sa, group = sa[keep], group[keep]
     first = np.flatnonzero(np.diff(group, prepend=-1) != 0)
-    of_start = np.empty(len(raw), np.int64)
-    of_start[sa] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sa))))
+    of_start = np.empty(len(raw), np.int32)
+    of_start[sa] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(sa))))
     return SortedStrings(raw, sa[first], np.minimum.reduceat(docs[own[sa]], first), of_start[whole])
 
 
@@ -331,7 +330,9 @@ def _meet_all(pieces: list[SortedStrings]) -> None:
 def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... (count[0] numbers), begin[1], ..."""
     at = np.cumsum(count) - count
-    return np.arange(int(count.sum())) + np.repeat(begin - at, count)
+    out = np.arange(int(count.sum()))
+    out += np.repeat(begin - at, count)
+    return out
 
 
 # The tasks' parts
@@ -387,28 +388,29 @@ class Candidates:
             number = np.cumsum(new)[asked]
             yield start, np.bincount(number, minlength=len(start) + 1)[1:], run[start]
 
-    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
-        """The segments as rows of _SEND; ``number`` is the shard's."""
+    def rows(self, number: int, bins: int = 1 << 62) -> Iterator[pa.RecordBatch]:
+        """The segments as rows of _SEND, dealt into bins by name; ``number`` is the shard's."""
         for k, (start, count, run) in enumerate(self.segments()):
             part, raw = self.parts[k], self.pieces[k].raw
             # Each interval of the piece's text has LENGTH - 1 bytes more than strings.
             ends = np.cumsum(self.strings_in[k])
             at = start + (LENGTH - 1) * np.searchsorted(ends, start, "right")
-            offsets = np.concatenate(([0], np.cumsum(count + LENGTH - 1)))
-            data = raw[_ranges(at, count + LENGTH - 1)]
             key = self.shard.name[self.runs[part]][run]
             hot = self.hot[part][run]
             key[hot] = _digest(raw, at[hot])
+            key = ((key.view(np.uint64) * _B >> np.uint64(1)) % np.uint64(bins)).view(np.int64)
             own = self.runs[part]
             doc = self.shard.doc[own]
             before = np.cumsum(self.shard.count[own]) - self.shard.count[own]
             place = (self.shard.begin[doc] + self.shard.place[own])[run] + start - before[run]
             doc = self.shard.numbers[doc][run]
-            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
             ref = (number << _PLACE) + place
-            for j in range(0, len(start), 1 << 16):
-                part_of = slice(j, j + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(key[part_of]), pa.array(ref[part_of]), pa.array(doc[part_of]), blobs[part_of].cast(pa.binary())], schema=_SEND)
+            for j in range(0, len(start), 1 << 13):  # the places of the bytes take eight times the bytes
+                own = slice(j, j + (1 << 13))
+                sizes = count[own] + LENGTH - 1
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw[_ranges(at[own], sizes)])])
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ref[own]), pa.array(doc[own]), data], schema=_SEND)
 
     def repeats(self, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """By piece: documents and places of the strings that a smaller document has; ``at``: the strings, by place in the joined texts, that other shards have so."""
@@ -418,16 +420,17 @@ class Candidates:
         asked[at] = True
         for k, piece in enumerate(self.pieces):
             runs = self.runs[self.parts[k]]
-            n = self.shard.count[runs]
-            doc, place = np.repeat(self.shard.doc[runs], n), _ranges(self.shard.place[runs], n)
+            n, doc, place = self.shard.count[runs], self.shard.doc[runs], self.shard.place[runs]
             here = np.zeros(len(piece.heads), bool)
-            here[piece.group[asked[self.shard.begin[doc] + place]]] = True
+            here[piece.group[asked[_ranges(self.shard.begin[doc] + place, n)]]] = True
             for j, earlier in enumerate(smaller):
                 known = piece.origin[0] == j
                 here[known] |= earlier[piece.origin[1, known]]
             smaller.append(here)
-            hit = here[piece.group] | (self.shard.numbers[doc] > piece.least[piece.group])
-            out.append((doc[hit], place[hit]))
+            hit = np.flatnonzero(here[piece.group] | (np.repeat(self.shard.numbers[doc], n) > piece.least[piece.group]))
+            ends = np.cumsum(n)
+            run = np.searchsorted(ends, hit, "right")
+            out.append((doc[run], place[run] + hit - (ends - n)[run]))
         return out
 
 
@@ -446,7 +449,7 @@ _SHARED = pa.schema([("shard", pa.int32()), ("name", pa.int64()), ("hot", pa.boo
 _TOLD = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("bits", pa.binary())])
 _PACKED = pa.schema([("shard", pa.int32()), ("pack", pa.binary())])
 _TEXTS = pa.schema([("id", pa.int64()), ("text", pa.string())])
-_SEND = pa.schema([("key", pa.int64()), ("ref", pa.int64()), ("doc", pa.int64()), ("data", pa.binary())])
+_SEND = pa.schema([("bin", pa.int64()), ("ref", pa.int64()), ("doc", pa.int64()), ("data", pa.binary())])
 _OUT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 #: A row's tag is the shard's number and, in so many bits, its runs of the name.
 _RUNS = 20
@@ -481,7 +484,7 @@ def _shard(rows: pa.Table, bits: int) -> Shard:
     for pack in rows.column("pack"):
         table = pa.ipc.open_stream(pack.as_buffer()).read_all()
         ids += table.column("id").to_pylist()
-        texts += table.column("text").to_pylist()
+        texts += table.column("text").cast(pa.binary()).to_pylist()
     return Shard(ids, texts, bits)
 
 
@@ -527,13 +530,13 @@ def across(shard: Shard, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarra
     return found, found & hot[at]
 
 
-def _send(bits: int, sorted_bytes: int):
+def _send(bits: int, sorted_bytes: int, bins: int):
     def send(rows: pa.Table, said: pa.Table) -> pa.Table:
         if not len(rows) or not len(said):
             return _SEND.empty_table()
         shard = _shard(rows, bits)
         found = Candidates(shard, *across(shard, said.column("name").to_numpy(), said.column("hot").to_numpy()), sorted_bytes)
-        return pa.Table.from_batches(list(found.rows(rows.column("shard")[0].as_py())), schema=_SEND)
+        return pa.Table.from_batches(list(found.rows(rows.column("shard")[0].as_py(), bins)), schema=_SEND)
 
     return send
 
@@ -613,8 +616,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.select(shard, "id", "text").mapInArrow(_pack, _ddl(_PACKED))
     named = texts.groupBy("shard").applyInArrow(_name(bits), _ddl(_NAMES))
     shared = named.repartition(shards, "name").mapInArrow(_share(hot), _ddl(_SHARED))
-    sent = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(bits, sorted_bytes), _ddl(_SEND))
-    told = sent.repartition(2 * shards, "key").mapInArrow(_sort(sorted_bytes), _ddl(_TOLD))
+    sent = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(bits, sorted_bytes, 32 * shards), _ddl(_SEND))
+    told = sent.repartition(2 * shards, "bin").mapInArrow(_sort(sorted_bytes), _ddl(_TOLD))
     schema = pa.schema([("id", pa.int64()), *_OUT, *([("kept", pa.binary())] if with_kept else [])])
     out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_remove(bits, sorted_bytes, schema, with_kept), _ddl(schema))
     return out.withColumnRenamed("id", id_col)
