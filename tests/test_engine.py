@@ -445,6 +445,20 @@ def test_scalars(spark):
     assert [one(scalars.is_utility(lit(s))) for s in ("4911", "4950", "49")] == [True, False, False]
 
 
+def test_links_changes_and_the_code_stamp(spark):
+    import vintara
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lit = F.lit
+    assert one(scalars.document_url(lit(320193), lit("0000320193-24-000001"))) == "https://www.sec.gov/Archives/edgar/data/320193/000032019324000001/0000320193-24-000001-index.htm"
+    assert [one(scalars.percent_change(lit(x))) for x in (0.1234, -0.5, 0.0)] == ["+12.34%", "-50.00%", "0.00%"]
+    assert one(scalars.percent_change(lit(None).cast("double"))) is None
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(PySparkException, match="no finite number"):
+            one(scalars.percent_change(lit(bad)))
+    assert len(vintara.code_version()) == 12 and set(vintara.code_version()) <= set("0123456789abcdef")
+
+
 def test_canonical_hash():
     value = {"b": Decimal("1.50"), "a": [d("2020-01-01"), datetime(2020, 1, 1, tzinfo=timezone.utc)], "c": {3, 1}}
     assert hashing.canonical_json(value) == '{"a":["d:2020-01-01","T:2020-01-01T00:00:00+00:00"],"b":"D:1.5","c":["1","3"]}'

@@ -80,6 +80,19 @@ def percent(share: Column) -> Column:
     return F.when(share.isNull(), None).when((share > 0) & (share < 0.0001), "<0.01%").otherwise(F.concat(F.format_number(share * 100, 2), F.lit("%")))
 
 
+def percent_change(change: Column) -> Column:
+    """A signed change in percent with two decimals; null stays null, what is no finite number is refused."""
+    endless = F.isnan(change) | (F.abs(change) == float("inf"))
+    text = F.concat(F.when(change > 0, "+").otherwise(""), F.format_number(change * 100, 2), F.lit("%"))
+    return F.when(endless, F.raise_error(F.lit("a change that is no finite number has no percentage"))).otherwise(text)
+
+
+def document_url(cik: Column, accn: Column) -> Column:
+    """The public address of a filing's index page."""
+    folder = F.replace(accn, F.lit("-"), F.lit(""))
+    return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), cik.cast("string"), F.lit("/"), folder, F.lit("/"), accn, F.lit("-index.htm"))
+
+
 def redact_uri(uri: Column) -> Column:
     return F.regexp_replace(uri, f"(?i)([?&](?:{'|'.join(SECRET_PARAMETERS)})=)[^&#]*", "$1***")
 

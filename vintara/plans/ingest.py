@@ -15,6 +15,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import vintara
 from vintara import schemas
 from vintara.functions.hashing import canonical_hash, canonical_json
 from vintara.operators import store
@@ -33,8 +34,8 @@ class Outcome:
 
 
 class Ingestor:
-    def __init__(self, spark: SparkSession, warehouse: Warehouse, code_version: str = "unknown", clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
-        self.spark, self.warehouse, self.code_version, self.clock = spark, warehouse, code_version, clock
+    def __init__(self, spark: SparkSession, warehouse: Warehouse, code_version: str | None = None, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
+        self.spark, self.warehouse, self.code_version, self.clock = spark, warehouse, code_version or vintara.code_version(), clock
 
     # Runs
 

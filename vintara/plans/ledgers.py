@@ -46,7 +46,8 @@ class ChainedLog:
 class PaperBook(ChainedLog):
     """Marks of a book: net asset value is cash and positions at their prices; dates only go forward."""
 
-    def record(self, day: date, cash: Decimal, positions: list[tuple[str, Decimal, Decimal]]) -> dict:
+    def record(self, day: date, cash: Decimal, positions: list[tuple[str, Decimal, Decimal]], note: str = "") -> dict:
+        """positions: (symbol, quantity, price), in any order: the entry has them by symbol."""
         if not isinstance(cash, Decimal):
             raise TypeError("cash is a Decimal")
         rows = self.read()
@@ -54,7 +55,7 @@ class PaperBook(ChainedLog):
             raise ValueError(f"a mark for {rows[-1]['entry']['day']} is in the book already")
         values = [q * p for _, q, p in positions]
         entry = {
-            "day": day.isoformat(), "cash": str(cash), "positions": [[s, str(q), str(p)] for s, q, p in positions],
+            "sequence": len(rows) + 1, "day": day.isoformat(), "cash": str(cash), "positions": [[s, str(q), str(p), str(q * p)] for s, q, p in sorted(positions)], "note": note,
             "nav": str(cash + sum(values, Decimal(0))), "gross": str(sum(map(abs, values), Decimal(0))), "net": str(sum(values, Decimal(0))),
         }
         self.append(entry)
@@ -64,11 +65,18 @@ class PaperBook(ChainedLog):
 class TrialLedger(ChainedLog):
     """Every configuration that was tried. Amendments and outcomes are entries too, and count as no trial."""
 
-    def register(self, family: str, config: dict[str, Any], note: str = "") -> str:
-        return self.append({"kind": "trial", "family": family, "config_hash": canonical_hash(config), "note": note})
+    def register(self, family: str, config: dict[str, Any], note: str = "", hypothesis: str = "") -> str:
+        """Before the trial is run: what it tries and what it is expected to show. Returns the entry's head."""
+        if not family.strip():
+            raise ValueError("a family names the trials that are corrected together")
+        return self.append({"sequence": len(self.read()) + 1, "kind": "trial", "family": family.strip(), "hypothesis": hypothesis.strip(), "config": config, "config_hash": canonical_hash(config), "note": note})
 
     def record_outcome(self, family: str, head: str, outcome: str) -> str:
-        return self.append({"kind": "outcome", "family": family, "of": head, "note": outcome})
+        """What came of the trial with this head: a new entry, the old one is never changed."""
+        rows = self.read()
+        if not any(r["head"] == head and r["entry"]["kind"] == "trial" and r["entry"]["family"] == family for r in rows):
+            raise KeyError(f"no trial of {family} has the head {head}")
+        return self.append({"sequence": len(rows) + 1, "kind": "outcome", "family": family, "of": head, "note": outcome})
 
     def count(self, family: str | None = None) -> int:
         return sum(1 for r in self.read() if r["entry"]["kind"] == "trial" and family in (None, r["entry"]["family"]))
