@@ -321,6 +321,61 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_model(sample, landmarks, ridge):
+    """The classifier in plain terms: the kernel from sets of n-grams, whitened on the landmarks, ridge regression with classes of equal weight."""
+    import numpy as np
+
+    def grams(text):
+        signs = [c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text]
+        kept = [" "]
+        for k, c in enumerate(signs):
+            if not (k and c == " " and signs[k - 1] == " "):
+                kept.append(c)
+        kept.append(" ")
+        return {tuple(kept[k : k + n]) for n in (1, 2, 3) for k in range(len(kept) - n + 1)}
+
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    languages = sorted({lang for lang, _ in sample})
+    sets = [grams(t) for _, t in sample]
+    marks, taken = [], Counter()
+    for s, (lang, _) in zip(sets, sample):
+        taken[lang] += 1
+        if taken[lang] <= landmarks:
+            marks.append(s)
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    keep = values > 1e-8 * values.max()
+    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    features = np.array([[kernel(a, b) for b in marks] for a in sets]) @ whiten
+    count = Counter(lang for lang, _ in sample)
+    weight = np.array([1 / count[lang] for lang, _ in sample])[:, None]
+    target = np.array([[1 if lang == x else -1 for x in languages] for lang, _ in sample])
+    solved = np.linalg.solve(features.T @ (features * weight) + ridge * np.eye(features.shape[1]), features.T @ (target * weight))
+    score = lambda text: (np.array([kernel(grams(text), b) for b in marks]) @ whiten) @ solved
+    return languages, score
+
+
+def test_scores_against_the_plain_kernel(spark):
+    import numpy as np
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    held_apart = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    sample = language.labelled_sample(held_apart, "doc_id", "text", "lang", 12)
+    assert {lang for lang, _ in sample} == {r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect()}
+    model, (languages, score) = language.fit(sample, 5), plain_model(sample, 5, language.RIDGE)
+    texts = [r["text"] for r in docs.limit(40).collect() if r["text"]] + ["ΑΣ Σ x\x1cy", "İi ǅ", "日本語 テキスト"]
+    got = model.scores(texts)
+    assert model.languages == languages
+    for text, row in zip(texts, got):
+        assert np.allclose(row, score(text), atol=2e-4)
+    small = language.BLOCK
+    try:
+        language.BLOCK = 7
+        assert np.allclose(language.fit(sample, 5).scores(texts), got, atol=2e-4)
+    finally:
+        language.BLOCK = small
+
+
 def test_many_scripts_and_languages_are_told_apart(spark):
     """Each language has letters of its own; one is labelled only on texts longer than the fit's share of a text."""
     letters = [chr(p) for first in (0x4E00, 0xAC00) for p in range(first, first + 5 * 125)]
