@@ -145,8 +145,8 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.crc32(name) / F.lit(2.0**32)).alias("d"))
     counts = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.min("d").alias("least"))
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
-    # Not broadcast by hint: there are as many rows as languages, however many.
-    drawn = rows.join(counts, F.col("lang") == F.col("of")).where((F.col("d") < share) | (F.col("d") == F.col("least")))
+    # As many rows as languages, fewer than the driver gets texts below; without this all texts of a language would meet in one task.
+    drawn = rows.join(F.broadcast(counts), F.col("lang") == F.col("of")).where((F.col("d") < share) | (F.col("d") == F.col("least")))
     picked = drawn.groupBy("lang", "d").agg(F.min(F.substring("text", 1, LONGEST_SAMPLED)).alias("text"))
     return [(r["lang"], r["text"]) for r in picked.orderBy("d", "lang").collect()]
 
