@@ -53,7 +53,11 @@ def test_suffix_array_and_prefixes():
 
 
 @pytest.mark.parametrize("piece", [200, 1000, 1 << 20])
-def test_pieces_meet(piece):
+@pytest.mark.parametrize("digests", [1 << 63, 5, 1])
+def test_pieces_meet(monkeypatch, piece, digests):
+    """Also if many different strings have one digest."""
+    digest = sd._digest
+    monkeypatch.setattr(sd, "_digest", lambda raw, at: (digest(raw, at).view(np.uint64) % np.uint64(digests)).view(np.int64))
     rng = random.Random(2)
     base = [bytes(rng.choice(b"abcd") for _ in range(300)) for _ in range(6)]
     segments, docs = [], []

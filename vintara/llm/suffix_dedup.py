@@ -12,8 +12,8 @@ does not depend on how many shards there are:
    Kasai's scan, and so its distinct strings with the smallest document of each. A larger text takes several arrays,
    merged by binary search of each one's strings in the others.
 3. Of the distinct strings whose name another shard has, neighbours with one name are sent as a segment, a row with the
-   smallest document. Rows meet by name; their strings are put in order, in pieces of bounded size, which are merged by
-   binary search. The answer is a bit per string: another shard has it in a smaller document. So a passage of very many
+   smallest document. Rows meet by name; their strings are put in order of digests, in pieces of bounded size, which are
+   merged by binary search. The answer is a bit per string: another shard has it in a smaller document. So a passage of very many
    documents is a row per shard, and a name that very many different strings share is dealt out string by string (``hot``).
 4. The shards find all places of such strings, by suffix arrays of the runs that have their names, mark the bytes under
    them and hash what is left.
@@ -39,7 +39,7 @@ from .common import partitions
 
 LENGTH, ANCHOR = 50, 24
 #: Text of a shard, bytes of a piece of text that is hashed at once, and of a piece whose suffixes are sorted.
-SHARD_BYTES, PIECE, SORTED = 8 << 20, 1 << 20, 1 << 20
+SHARD_BYTES, PIECE, SORTED = 10 << 20, 1 << 20, 4 << 20
 #: A name of more runs, over all shards, is hot.
 HOT = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -218,16 +218,20 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int = LENGTH, lanes:
 class SortedStrings:
     """Distinct strings in order, with the smallest document of each, as what is merged by binary search.
 
-    heads: a place of each in ``raw``; least: its smallest document; group: by string given, which of the distinct ones it is.
+    heads: a place of each in ``raw``; least: its smallest document; group: by string given, which of the distinct ones it is;
+    by_digest: whether the order is that of digests, and only then that of the strings.
     """
 
-    def __init__(self, raw: np.ndarray, heads: np.ndarray, least: np.ndarray, group: np.ndarray):
+    def __init__(self, raw: np.ndarray, heads: np.ndarray, least: np.ndarray, group: np.ndarray, by_digest: bool = False):
+        self.by_digest = by_digest
         self.raw, self.heads, self.least, self.group = raw, heads.astype(np.int32), least, group.astype(np.int32)
         #: For strings that an earlier piece has: that piece's number and the string's place there.
         self.origin = np.full((2, len(heads)), -1, np.int32)
 
     def keys(self) -> Iterator[np.ndarray]:
-        """The strings' words, one after the other: they take more room than all the rest and are not kept."""
+        """What the strings are ordered by, one key after the other: they take more room than all the rest and are not kept."""
+        if self.by_digest:
+            yield _digest(self.raw, self.heads)
         words = _words(self.raw, ">u8")
         for k in _OFFSETS:
             yield words[self.heads + k]
@@ -271,25 +275,22 @@ def sorted_piece(segments: list[bytes], docs: np.ndarray) -> SortedStrings:
 
 
 def sorted_strings(raw: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> SortedStrings:
-    """The strings at these places, sorted eight bytes after eight bytes, each time within the groups that are still equal."""
-    words = _words(raw, ">u8")
-    order = np.argsort(words[starts])
-    key = words[starts[order]]
-    new = np.diff(key, prepend=~key[:1]) != 0
-    for k in _OFFSETS[1:]:
-        # Places whose group has more than one string.
-        place = np.flatnonzero(~new | np.append(~new[1:], False))
-        if not len(place):
-            break
-        group, key = np.cumsum(new[place]), words[starts[order[place]] + k]
-        within = np.lexsort((key, group))
-        order[place] = order[place][within]
-        group, key = group[within], key[within]
-        new[place[1:]] |= (np.diff(group) != 0) | (np.diff(key) != 0)
+    """The strings at these places in order of their digests. Equal digests are looked into, so that strings are only equal if all their bytes are."""
+    digest, words = _digest(raw, starts), _words(raw, ">u8")
+    order = np.argsort(digest, kind="stable")
+    key = digest[order]
+    again = np.flatnonzero(key[1:] == key[:-1])
+    same = [words[starts[order[again]] + k] == words[starts[order[again + 1]] + k] for k in _OFFSETS]
+    new = np.ones(len(order), bool)
+    new[again + 1] = False
+    if not all(x.all() for x in same):  # different strings with one digest
+        levels = [digest, *(words[starts + k] for k in _OFFSETS)]
+        order = np.lexsort(levels[::-1])
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in levels], axis=0)
     first = np.flatnonzero(new)
-    group = np.empty(len(starts), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return SortedStrings(raw, starts[order[first]], np.minimum.reduceat(docs[order], first), group)
+    group = np.empty(len(starts), np.int32)
+    group[order] = np.cumsum(new, dtype=np.int32) - 1
+    return SortedStrings(raw, starts[order[first]], np.minimum.reduceat(docs[order], first), group, by_digest=True)
 
 
 def _bound(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
@@ -617,7 +618,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = texts.groupBy("shard").applyInArrow(_name(bits), _ddl(_NAMES))
     shared = named.repartition(shards, "name").mapInArrow(_share(hot), _ddl(_SHARED))
     sent = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(bits, sorted_bytes, 32 * shards), _ddl(_SEND))
-    told = sent.repartition(2 * shards, "bin").mapInArrow(_sort(sorted_bytes), _ddl(_TOLD))
+    told = sent.repartition(2 * shards, "bin").mapInArrow(_sort(2 * sorted_bytes), _ddl(_TOLD))
     schema = pa.schema([("id", pa.int64()), *_OUT, *([("kept", pa.binary())] if with_kept else [])])
     out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_remove(bits, sorted_bytes, schema, with_kept), _ddl(schema))
     return out.withColumnRenamed("id", id_col)
