@@ -53,6 +53,20 @@ def test_exact_dedup(spark, options):
     assert not exact_dedup.exact_dedup(documents(spark, [])).count()
 
 
+def test_names_are_the_same_on_every_run(spark):
+    rows = [(f"block {k % 900}", k % 7) for k in range(3000)]
+    df = spark.createDataFrame(rows, "l string, r int")
+    first = {(r["l"], r["r"]): r["name"] for r in exact_dedup._named(df, "t").collect()}
+    assert sorted(first.values()) == list(range(1, len(set(rows)) + 1)) and set(first) == set(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        again = exact_dedup._named(df.repartition(5).orderBy("r"), "t")
+        assert {(r["l"], r["r"]): r["name"] for r in again.collect()} == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # near duplicates
 
 

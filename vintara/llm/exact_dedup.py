@@ -18,19 +18,31 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fold_ascii, materialize, partitions, whole_row
+from .common import LOWER, UPPER, fold_ascii, materialize, whole_row
+
+
+#: Bits of the digest that make a range, in which names are handed out.
+RANGES = 10
 
 
 def _named(keys: DataFrame, name: str) -> DataFrame:
-    """Distinct rows of ``keys``, sorted, each with an integer ``name`` from 1 on that grows in sorted order.
+    """Distinct rows of ``keys``, sorted, each with its place in sorted order, from 1 on, as its integer ``name``.
 
-    The order is that of a 64-bit digest, then of the rows themselves: ranges are even whatever the blocks have in common,
-    and the sample from which they are cut is numbers, not blocks. Names count rows, so equal digests do no harm. Written
-    at once: all readers see the same names, also after an executor is lost.
+    The order is that of a 64-bit digest, then of the rows themselves. Rows are sorted and counted within ``1 << RANGES``
+    fixed ranges of the digest, which are even whatever the blocks have in common, and each range goes on where the one
+    before it ended; so the same rows get the same names on every run. Names count rows, so equal digests do no harm.
+    Written at once: all readers see the same names, also after an executor is lost.
     """
-    rows = keys.distinct().withColumn("digest", F.xxhash64(*keys.columns))
-    ordered = rows.repartitionByRange(partitions(keys.sparkSession), "digest").sortWithinPartitions("digest", *keys.columns)
-    return materialize(ordered.select(*keys.columns, (F.monotonically_increasing_id() + 1).alias("name")), name)
+    digest = F.xxhash64(*keys.columns)
+    rows = keys.distinct().withColumn("digest", digest).withColumn("range", F.shiftrightunsigned("digest", 64 - RANGES))
+    rows = materialize(rows, f"{name}_sorted")
+    earlier = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col("range").alias("of")).agg(F.count("*").alias("n"))
+    # At most as many rows as there are ranges.
+    starts = F.broadcast(counts.select("of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("digest", *keys.columns))
+    named = rows.withColumn("place", place).join(starts, F.col("range") == F.col("of"))
+    return materialize(named.select(*keys.columns, (F.col("start") + F.col("place")).alias("name")), name)
 
 
 def block_identities(texts: DataFrame) -> DataFrame:
