@@ -1,7 +1,7 @@
 """Removal of repeated passages with suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a smaller id. Documents are dealt
-into shards by id, and the shards and the rest of the plan exchange rows, whose number grows with the bytes of text and
+into shards, and the shards and the rest of the plan exchange rows, whose number grows with the bytes of text and
 does not depend on how many shards there are:
 
 1. Every string of LENGTH bytes is named by its minimizer, the smallest hash among its substrings of ANCHOR bytes. Each
@@ -31,7 +31,6 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +131,7 @@ class Shard:
 
     def several(self) -> np.ndarray:
         """By run whether two documents of the shard have its name."""
-        order = np.argsort(self.name, kind="stable")
+        order = np.argsort(self.name)
         first = np.flatnonzero(np.diff(self.name[order], prepend=-1))
         number = self.numbers[self.doc[order]]
         own = np.minimum.reduceat(number, first) != np.maximum.reduceat(number, first) if len(first) else np.zeros(0, bool)
@@ -277,7 +276,7 @@ def sorted_piece(segments: list[bytes], docs: np.ndarray) -> SortedStrings:
 def sorted_strings(raw: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> SortedStrings:
     """The strings at these places in order of their digests. Equal digests are looked into, so that strings are only equal if all their bytes are."""
     digest, words = _digest(raw, starts), _words(raw, ">u8")
-    order = np.argsort(digest, kind="stable")
+    order = np.argsort(digest)
     key = digest[order]
     again = np.flatnonzero(key[1:] == key[:-1])
     same = [words[starts[order[again]] + k] == words[starts[order[again + 1]] + k] for k in _OFFSETS]
@@ -507,7 +506,7 @@ def _share(most: int):
         """A partition has all rows of its names; those that several shards have go back to these."""
         rows = _gathered(batches, _NAMES)
         names, tags = (rows.column(c).to_numpy() for c in ("name", "tag"))
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         names, tags = names[order], tags[order]
         first = np.flatnonzero(np.diff(names, prepend=-1))
         shards = np.diff(np.append(first, len(names)))
@@ -575,7 +574,9 @@ def _remove(bits: int, sorted_bytes: int, schema: pa.Schema, with_kept: bool):
         if len(rows):
             shard = _shard(rows, bits)
             at = _told(said.column("place").to_numpy(), said.column("bits").to_pylist())
-            names = np.unique(shard.name[shard.run_at(at)])
+            told = np.zeros(len(shard.name), bool)
+            told[shard.run_at(at)] = True
+            names = shard.name[told]
             found = Candidates(shard, *across(shard, names, np.zeros(len(names), bool)), sorted_bytes)
             repeats = found.repeats(at)
             doc, place = (np.concatenate(x) for x in zip(*repeats)) if repeats else [np.zeros(0, np.int64)] * 2
@@ -613,7 +614,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(partitions(spark), -(-total // shard_bytes))
     # So many names that two different ones are rarely equal; that only costs work.
     bits = min(62, (total // 10).bit_length() + 8)
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    # By id and text: rows of one id need not meet, so null or repeated ids fill no shard of their own.
+    shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard")
     texts = rows.select(shard, "id", "text").mapInArrow(_pack, _ddl(_PACKED))
     named = texts.groupBy("shard").applyInArrow(_name(bits), _ddl(_NAMES))
     shared = named.repartition(shards, "name").mapInArrow(_share(hot), _ddl(_SHARED))
