@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space, tab, newline, vertical tab, form feed, carriage return.
@@ -97,3 +98,42 @@ def n_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared path, local or remote, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+#: Totals that are summed up together on the way to running totals.
+RUN = 1000
+
+
+def totals_before(totals: DataFrame, at: str, n: str) -> DataFrame:
+    """Rows (at, before) for rows (at, n), one for each integer ``at`` from 0 on: the sum of n over all smaller ones.
+
+    In runs of ``RUN``: inside each run, and over the runs' sums, so a task sees a thousandth of the rows at most.
+    """
+    rows = totals.select(F.col(at), F.col(n), F.floor(F.col(at) / RUN).alias("_run"))
+    sums = rows.groupBy("_run").agg(F.sum(n).alias("_n"))
+    earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    return rows.join(sums, F.col("_run") == F.col("_r")).select(at, (F.col("_before") + F.col("_inside")).alias("before"))
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "numbered") -> DataFrame:
+    """``rows`` with ``number``, 1, 2, ... along ``order``: sorted by ranges, numbered inside each range, ranges counted before.
+
+    Rows that are equal in ``order`` may change places. A last key, the row's place in ``rows``, lets many of them fall into
+    several ranges; so ``rows`` must be read from files, where places are the same if a task runs again.
+    """
+    place = F.monotonically_increasing_id()
+    ranged = rows.withColumn("_place", place).repartitionByRange(*order, F.col("_place")).sortWithinPartitions(*order, "_place").drop("_place")
+    placed = materialize(ranged.withColumn("_at", place), name)
+    part = F.shiftright("_at", 33).cast("int")
+    before = totals_before(placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")), "_part", "_rows")
+    inside = F.col("_at") - F.shiftleft(part.cast("long"), 33) + 1
+    # One row for each range, of which there are as many as partitions.
+    return placed.join(F.broadcast(before), part == F.col("_part")).withColumn("number", F.col("before") + inside).drop("_at", "_part", "before")

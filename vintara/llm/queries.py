@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, pieces, quality, simhash, suffix_dedup, token_counts, url_filter, warc
+from . import exact_dedup, language, mixing, pieces, quality, simhash, suffix_dedup, token_counts, token_files, url_filter, warc
 from .common import table
 
 
@@ -53,6 +53,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_files.token_round_trip(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_sentencepiece,
         op10_simhash,
+        op12_token_files,
     )
 }
 SQL: dict[str, str] = {
