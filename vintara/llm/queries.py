@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, pieces, quality, simhash, suffix_dedup, token_counts, token_files, url_filter, warc
+from . import exact_dedup, language, mixing, pieces, quality, resampling, simhash, suffix_dedup, token_counts, token_files, url_filter, warc
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sentencepiece,
         op10_simhash,
         op12_token_files,
+        op13_importance_resampling,
     )
 }
 SQL: dict[str, str] = {
@@ -79,4 +84,5 @@ SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_warc_round_trip": warc.SQL,
     "op7_url_filter": url_filter.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }
