@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, pieces, quality, resampling, simhash, suffix_dedup, token_counts, token_files, url_filter, warc
+from . import exact_dedup, language, mixing, phrases, pieces, quality, resampling, simhash, suffix_dedup, token_counts, token_files, url_filter, warc
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_files.token_round_trip(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_sentencepiece,
         op10_simhash,
+        op11_phrase_mining,
         op12_token_files,
         op13_importance_resampling,
     )
@@ -84,5 +89,6 @@ SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_warc_round_trip": warc.SQL,
     "op7_url_filter": url_filter.SQL,
+    "op11_phrase_mining": phrases.SQL,
     "op13_importance_resampling": resampling.SQL,
 }
