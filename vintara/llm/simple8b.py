@@ -43,24 +43,28 @@ def encode(ids: np.ndarray, at: int = 0) -> tuple[bytes, np.ndarray]:
     lengths = np.minimum(BLOCK, len(ids) - BLOCK * np.arange(n_blocks))
 
     kind = _kinds(values)
-    wide = (values[:, :BLOCK] >> np.uint64(32)).any(1)
+    wide = np.zeros(n_blocks, bool)
+    if len(ids) and int(ids.max()) >> 32:
+        wide = (values[:, :BLOCK] >> np.uint64(32)).any(1)
     escaped = kind > _escape_above(kind[:, :BLOCK], wide)[:, None]
     any_escaped = bool(escaped.any())
     kind[escaped] = 0
-    starts, selector = _words(kind, lengths)
+    at_word, chosen = _words(kind, lengths)
 
-    lane, pos = np.nonzero(starts)
-    chosen = selector[lane, pos]
-    words = np.zeros(len(lane), np.uint64)
-    for k in np.unique(chosen):
+    flat, flat_escaped = values.ravel(), escaped.ravel()
+    words = np.zeros(len(at_word), np.uint64)
+    for k in np.flatnonzero(np.bincount(chosen)).tolist():
         here = np.flatnonzero(chosen == k)
-        across = lane[here][:, None], pos[here][:, None] + np.arange(COUNTS[k])
-        slots = values[across]
-        if any_escaped:
-            slots[escaped[across]] = _ONES[k]
-        packed = np.bitwise_or.reduce(slots << (WIDTHS[k] * np.arange(COUNTS[k])).astype(np.uint64), axis=1)
-        words[here] = packed | np.uint64((int(k) + FIRST_SELECTOR) << 60)
-
+        packed = np.full(len(here), (k + FIRST_SELECTOR) << 60, np.uint64)
+        for j in range(int(COUNTS[k])):
+            place = at_word[here] + j
+            slot = flat[place]
+            if any_escaped:
+                slot[flat_escaped[place]] = _ONES[k]
+            packed |= slot << np.uint64(WIDTHS[k] * j)
+        words[here] = packed
+
+    lane = at_word // values.shape[1]
     index["words"] = np.bincount(lane, minlength=n_blocks)
     index["escapes"] = escaped.sum(1)
     index["escape_bytes"] = np.where(wide, 8, 4)
@@ -111,8 +115,9 @@ def _escape_above(kind: np.ndarray, wide: np.ndarray) -> np.ndarray:
 
 
 def _words(kind: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start, and the place in COUNTS of the longest word that could start at each id."""
-    best = np.full((len(kind), BLOCK), len(COUNTS) - 1, np.uint8)
+    """Where words start, as places in ``kind`` read row by row, and of each the place in COUNTS of the longest word that fits there."""
+    width = kind.shape[1]
+    best = np.full((len(kind), width), len(COUNTS) - 1, np.uint8)
     most, n = kind, 1
     for k in range(len(COUNTS) - 2, -1, -1):
         step = int(COUNTS[k]) - n
@@ -120,16 +125,19 @@ def _words(kind: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
         fits = most[:, :BLOCK] <= k
         if not fits.any():  # then no longer word fits either
             break
-        best[fits] = k
-    starts = np.zeros((len(kind), BLOCK), bool)
-    lane, pos = np.arange(len(kind)), np.zeros(len(kind), np.int64)
-    while len(lane):
-        starts[lane, pos] = True
-        pos = pos + COUNTS[best[lane, pos]]
-        going = pos < lengths[lane]
+        np.copyto(best[:, :BLOCK], np.uint8(k), where=fits)
+    flat = best.ravel()
+    starts = np.zeros(len(flat), bool)
+    at = np.arange(len(kind)) * width
+    end = at + lengths
+    while len(at):
+        starts[at] = True
+        at = at + COUNTS[flat[at]]
+        going = at < end
         if not going.all():
-            lane, pos = lane[going], pos[going]
-    return starts, best
+            at, end = at[going], end[going]
+    at = np.flatnonzero(starts)
+    return at, flat[at]
 
 
 def decode(data: bytes, index: np.ndarray, lengths: np.ndarray) -> np.ndarray:

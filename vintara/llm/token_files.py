@@ -23,6 +23,8 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import simple8b
 from .common import filesystem, materialize, partitions, shared_dir, totals_before
-from .token_counts import END, _is_covered
+from .token_counts import END, _is_covered, byte_signs
 
 MODEL = "word_bpe_49k.json"
 END_ID = 2
@@ -42,16 +44,21 @@ MAGIC = b"VTOKENS1"
 DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("end", "<u8")])
 FOOTER = np.dtype([("ids", "<u8"), ("blocks", "<u8"), ("docs", "<u8"), ("index_at", "<u8"), ("docs_at", "<u8"), ("magic", "S8")])
 #: Ids that are coded together, and ids of a stretch that one reading task decodes; both are multiples of a block.
-PIECE, STRETCH = 512 * simple8b.BLOCK, 2048 * simple8b.BLOCK
+PIECE, STRETCH = 1024 * simple8b.BLOCK, 2048 * simple8b.BLOCK
 #: Chunks kept by a Python worker, none longer than this many bytes; chunks of letters encoded together; texts looked at together.
-KEPT_CHUNKS, KEPT_BYTES, TOGETHER, TEXTS = 1_000_000, 64, 64, 256
-#: Letters up to here are one part each in a chunk of letters, whatever stands beside them.
-LATIN = 0x180
+KEPT_CHUNKS, KEPT_BYTES, TOGETHER, TEXTS = 1_000_000, 64, 256, 512
+#: Latin letters come before this character. Marks of ASCII that stand behind words; runs of them are one part.
+LATIN, MARKS = 0x180, b".,;:!?)"
 MANIFEST = "path string, part int, first_doc long, n_docs long, first_id long, n_ids long"
 
 
 class IdTable:
-    """Texts to their ids, as consecutive little-endian unsigned 32-bit integers."""
+    """Texts to their ids, as consecutive little-endian unsigned 32-bit integers.
+
+    A chunk of Latin letters is one part of the text, and so is a run of marks behind it. Such parts are lower-cased and spelled in
+    the vocabulary's signs here, so that the library need only merge: it gets many words at once, without its own normalising and
+    cutting. Each has one token that ends a part, at which the ids are cut again. All other chunks go to the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -60,47 +67,62 @@ class IdTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.separate = _is_covered(json.loads(self.tokenizer.to_str()))
+        setup = json.loads(self.tokenizer.to_str())
+        self.separate = _is_covered(setup)
         vocabulary = self.tokenizer.get_vocab(True)
         self.ends_part = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_part[[k for t, k in vocabulary.items() if t.endswith(END)]] = True
         self.known: dict[bytes, bytes] = {}
+        if self.separate:
+            self.merges = Tokenizer.from_str(json.dumps(setup | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+            self.signs = dict(enumerate(byte_signs())) | {0x20: " "}
+            letters = [c for c in map(chr, range(0x41, LATIN)) if c.isalpha() and len(c.lower()) == 1]
+            probe = [f"{a}{b}" for a, b in zip(letters, letters[5:])]
+            same = [self._encoded([t])[0] for t in letters] + self._encoded(probe) == [x for _, x in self._letters([t.encode() for t in letters + probe])]
+            self.latin = frozenset(letters) if same else frozenset()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _chunks(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each chunk with its ids. Chunks of letters are one part each, so several are encoded as one text, which is cut after each
-        token that ends a part; should it have another number of parts, they are encoded one by one."""
-        letters, others = [], []
-        for c in new:
-            (letters if c.isalpha() or (t := c.decode()).isalpha() and max(t) < chr(LATIN) else others).append(c)
-        for at in range(0, len(letters), TOGETHER):
-            some = letters[at : at + TOGETHER]
-            raw = self._encoded([b" ".join(some).decode()])[0]
-            cuts = 4 * (np.flatnonzero(self.ends_part[np.frombuffer(raw, "<u4")]) + 1)
-            if len(cuts) == len(some):
-                cuts = [0, *cuts.tolist()]
-                yield from ((c, raw[a:b]) for c, a, b in zip(some, cuts, cuts[1:]))
-            else:
-                others += some
-        yield from zip(others, self._encoded([c.decode() for c in others]))
+    def _letters(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of Latin letters with their ids."""
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            spelled = b" ".join(some).decode().lower().encode().decode("latin-1").translate(self.signs)
+            ids = np.array(self.merges.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), 4 * (np.flatnonzero(self.ends_part[ids]) + 1)
+            cuts = [0, *cuts.tolist()]
+            yield from zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True)
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, latin = self.known, self.latin.issuperset
+        stems = {c: c.rstrip(MARKS) for c in new}
+        plain = {w for w in set(stems.values()) if w and (w.isalpha() or latin(w.decode()))}
+        known.update(self._letters([w for w in plain if w not in known]))
+        marked = [(c, w, c[len(w) :]) for c, w in stems.items() if w in plain and len(w) < len(c)]
+        others = [c for c, w in stems.items() if w not in plain]
+        others += {tail for _, _, tail in marked}.difference(known, others)
+        known.update(zip(others, self._encoded([c.decode() for c in others])))
+        known.update([(c, known[w] + known[tail]) for c, w, tail in marked])
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         if not self.separate:
             return self._encoded([r.decode() for r in raws])
+        if len(self.known) > KEPT_CHUNKS:
+            self.known.clear()
         texts = [r.split() for r in raws]
-        known = self.known
-        new = set().union(*texts).difference(known)
-        if len(known) + len(new) > KEPT_CHUNKS:
-            known.clear()
-            new = set().union(*texts)
-        known.update(self._chunks(list(new)))
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in texts]
+        new = set().union(*[compress(chunks, map(not_, ids)) for chunks, ids in zip(texts, found)])
+        self._learn(new)
+        out = []
+        for chunks, ids in zip(texts, found):
+            for k in compress(count(), map(not_, ids)):
+                ids[k] = self.known[chunks[k]]
+            out.append(b"".join(ids))
         for c in new:
             if len(c) > KEPT_BYTES:
-                del known[c]
+                self.known.pop(c, None)
         return out
 
 
