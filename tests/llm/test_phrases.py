@@ -61,7 +61,7 @@ def test_against_plain_python(spark, options):
 
 def test_hot_pivots_many_shards_and_buckets(spark, monkeypatch):
     """Pivots over several buckets, shards and flushes of a few texts each."""
-    for name, value in (("SHARE", 20), ("FRAGMENTS", 50), ("SHARD_BYTES", 300), ("KEPT_FRAGMENTS", 100)):
+    for name, value in (("SHARE", 20), ("FRAGMENTS", 50), ("SHARD_BYTES", 300), ("KEPT_FRAGMENTS", 100), ("BROADCAST_LANGUAGES", 1)):
         monkeypatch.setattr(phrases, name, value)
     hot = [(1000 + k, "of the of the same line again", "en") for k in range(200)]
     assert check(spark, made(7) + hot, max_words=4, least=5)

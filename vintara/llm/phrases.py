@@ -35,6 +35,7 @@ ENDS = ".,;:!?\n\v\f\r"
 SHARD_BYTES, FRAGMENTS, SHARE = 8 << 20, 1 << 18, 1 << 17
 #: Fragments that a task keeps before it deals them out.
 KEPT_FRAGMENTS = 2 << 20
+BROADCAST_LANGUAGES = 10_000
 #: A byte that is in no UTF-8 text stands for a piece's end.
 _MARK = b"\xff"
 _TABLE = bytes.maketrans((UPPER + ENDS).encode(), LOWER.encode() + _MARK * len(ENDS))
@@ -257,7 +258,9 @@ def collocations(
     spelled = materialize(spelled.select("lang", F.array_join("words.word", " ").alias("phrase"), "a", "l", "r", "score"), "spelled")
 
     ranked = numbered(spelled, F.col("lang"), F.desc("score"), F.desc("a"), F.col("phrase"), name="ranked")
-    first = ranked.groupBy("lang").agg(F.min("number").alias("first")).join(sizes, "lang")
+    first = materialize(ranked.groupBy("lang").agg(F.min("number").alias("first")).join(sizes, "lang"), "languages")
+    # A row for each language; of more than could be broadcast safely, rows meet by language, and Spark splits large ones.
+    first = F.broadcast(first) if first.count() <= BROADCAST_LANGUAGES else first
     ranked = ranked.join(first, "lang").withColumn("rank", F.col("number") - F.col("first") + 1).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
