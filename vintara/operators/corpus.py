@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import relative_change, unit_class
+from vintara.operators.selection import exact_quantiles
 from vintara.operators.views import facts_pit
 from vintara.schemas import CHAIN_ORDER, GRAIN
 
@@ -71,15 +72,11 @@ def tally(facts: DataFrame) -> DataFrame:
 
 
 def change_quantiles(facts: DataFrame, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """Exact, interpolated quantiles of the change of restated facts, with and without sign flips."""
-    rows = per_fact(facts).where("restated")
-    points = F.array(*map(F.lit, quantiles))
-    return rows.agg(
-        F.percentile("relative_change", points).alias("all"),
-        F.percentile(F.when(~F.col("is_sign_flip"), F.col("relative_change")), points).alias("same_sign"),
-    ).select(F.explode(F.arrays_zip(points.alias("q"), "all", "same_sign")).alias("x")).select(
-        F.col("x.q").alias("quantile"), F.col("x.all").alias("change"), F.col("x.same_sign").alias("change_same_sign")
-    )
+    """Exact, interpolated quantiles of the change of restated facts, with and without sign flips; ranks are selected, no task sorts all changes."""
+    change = F.col("relative_change")
+    found = exact_quantiles(per_fact(facts).where("restated"), {"all": change, "same_sign": F.when(~F.col("is_sign_flip"), change)}, quantiles)
+    rows = list(zip(map(float, quantiles), found["all"], found["same_sign"]))
+    return facts.sparkSession.createDataFrame(rows, "quantile double, change double, change_same_sign double")
 
 
 def change_thresholds(facts: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
@@ -97,18 +94,21 @@ def restated_rows(facts: DataFrame) -> DataFrame:
     return out.withColumn("restated_row_share", share(F.col("restated_rows"), F.col("rows_total")))
 
 
+#: The classes of :func:`unit_class`, in their order on a report.
+UNIT_CLASSES = ("per-share", "share count", "other")
+
+
 def by_unit_class(facts: DataFrame) -> DataFrame:
+    """Counts and the exact median change of restated facts by class of unit; the medians are selected, see :mod:`selection`."""
     rows = per_fact(facts).withColumn("unit_class", unit_class(F.col("unit")))
+    change = lambda c: F.when(F.col("restated") & (F.col("unit_class") == c), F.col("relative_change"))
+    medians = exact_quantiles(rows, {c: change(c) for c in UNIT_CLASSES}, [0.5])
     up, down = F.count_if(F.col("restated") & (F.col("latest_value") > F.col("first_value"))), F.count_if(F.col("restated") & (F.col("latest_value") < F.col("first_value")))
-    out = rows.groupBy("unit_class").agg(
-        F.count("*").alias("facts"),
-        F.count_if("restated").alias("restated_facts"),
-        up.alias("revised_up"),
-        down.alias("revised_down"),
-        F.percentile(F.when(F.col("restated"), F.col("relative_change")), 0.5).alias("median_change"),
-    )
-    rank = F.when(F.col("unit_class") == "per-share", 1).when(F.col("unit_class") == "share count", 2).otherwise(3)
-    return out.withColumn("downward_share", share(F.col("revised_down"), F.col("restated_facts"))).orderBy(rank)
+    out = rows.groupBy("unit_class").agg(F.count("*").alias("facts"), F.count_if("restated").alias("restated_facts"), up.alias("revised_up"), down.alias("revised_down"))
+    median, rank = F.lit(None).cast("double"), F.lit(None).cast("int")
+    for k, c in enumerate(UNIT_CLASSES):
+        median, rank = F.when(F.col("unit_class") == c, F.lit(medians[c][0]).cast("double")).otherwise(median), F.when(F.col("unit_class") == c, k).otherwise(rank)
+    return out.withColumn("median_change", median).withColumn("downward_share", share(F.col("revised_down"), F.col("restated_facts"))).orderBy(rank)
 
 
 def cross_grain(facts: DataFrame) -> DataFrame:
