@@ -39,6 +39,13 @@ def exact_decimal(text: Column, what: Column) -> Column:
     return F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.concat(F.lit("value out of range or scale: "), text, F.lit(" in "), what)).cast("decimal(38,10)"))
 
 
+def fitted(value: Column, what: Column) -> Column:
+    """A number of any type as decimal(38,10), unchanged in value; one that is too large or has more decimals raises. Null stays null."""
+    text = value.cast("string")
+    plain = F.when(text.contains("E"), text).otherwise(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"))
+    return F.when(value.isNull(), F.lit(None).cast("decimal(38,10)")).otherwise(exact_decimal(F.regexp_replace(plain, r"\.$", ""), what))
+
+
 def parse_items(text: Column) -> Column:
     """Comma list to trimmed, non-empty entries; null counts as empty."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -1,7 +1,7 @@
 """Writes without MERGE: first-wins dedupe, insert-if-absent, upserts and repairs as DataFrames, and a Parquet warehouse.
 
-The DataFrame functions return what a table holds after the write; the warehouse writes that to a new version of the table
-and then makes it the current one, so no path is overwritten while it is read and no moment is without a table.
+The DataFrame functions return what a table holds after the write; the warehouse adds a segment with what the write changes
+and then its commit, so no path is overwritten while it is read and no moment is without a table.
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vintara import schemas
 from vintara.functions.hashing import fact_key
-from vintara.functions.scalars import padded_cik
+from vintara.functions.scalars import fitted, padded_cik
+from vintara.operators.staging import staged
 
 
 def first_wins(batch: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
@@ -101,7 +103,11 @@ def broken_after(outcomes: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def prepare_facts(facts: DataFrame) -> DataFrame:
-    """Facts of one batch with their key, each fact once."""
+    """Facts of one batch with their key, each fact once; a value that decimal(38,10) would change raises."""
+    kind = facts.schema["value"].dataType
+    if not (isinstance(kind, T.DecimalType) and (kind.precision, kind.scale) == (38, 10)):
+        what = F.concat_ws(" ", "concept", F.lit("of"), F.col("cik").cast("string"), F.lit("ending"), F.col("period_end").cast("string"))
+        facts = facts.withColumn("value", fitted(F.col("value"), what))
     return first_wins(facts.withColumn("fact_key", fact_key()), ["fact_key"], "filed_at", "retrieved_at")
 
 
@@ -162,48 +168,176 @@ def verify_payloads(ledger: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(check, "content_sha256 string, stored_path string, reason string").where("reason is not null")
 
 
+@dataclass(frozen=True)
+class Commit:
+    """A segment of a table that counts; its name, a marker file, holds all there is to know."""
+
+    number: int
+    kind: str
+    buckets: int
+    checksum: str
+    segment: str
+
+    @property
+    def name(self) -> str:
+        return f"{self.number:010d}-{self.kind}-{self.buckets}-{self.checksum}-{self.segment}"
+
+    @staticmethod
+    def of(name: str) -> Commit:
+        number, kind, buckets, checksum, segment = name.split("-")
+        return Commit(int(number), kind, int(buckets), checksum, segment)
+
+
 @dataclass(frozen=True)
 class Warehouse:
-    """Tables as Parquet folders under ``root``, with the checksum of each table's schema beside its data.
+    """Tables as logs of Parquet segments under ``root``: a base and the deltas written since.
 
-    A table is a folder of versions. Which one is current is said by markers, empty files that are created when a version
-    is whole; the last one counts. So a replaced table is there at any moment, a crash leaves the old version current, and
-    the version before the current one stays for those who still read it. One writer at a time.
+    A segment is a folder of partitions, one for each bucket of the hash of a row's key. A write adds a segment of its own rows and
+    then its commit, an empty marker file, so a crash leaves nothing that counts, and a day's write is as large as the day. It reads
+    the buckets that its keys fall into, not the table. Rows that change (``schemas.CHANGING``) are written anew; reading takes each
+    key's row of the last segment. :meth:`compact` makes one base of all segments; the base before it and its deltas stay
+    for those who still read them. One writer at a time.
+
+    Opening for writing brings older tables to the current schemas, step by step (``migrations``); opening for reading refuses a
+    warehouse that lacks a step. Both refuse steps that were edited after they had been applied. ``buckets`` is for
+    tables without a base; as rows grow, ``compact(table, buckets)`` deals them out anew.
     """
 
     spark: SparkSession
     root: str
     read_only: bool = False
+    buckets: int = 16
+    migrations: tuple[schemas.Migration, ...] = schemas.MIGRATIONS
+
+    def __post_init__(self) -> None:
+        pending = self._pending()
+        if self.read_only and pending:
+            raise ValueError(f"{self.root} lacks the steps {', '.join(m.name for m in pending)}; open it for writing once")
+        if pending:
+            self.migrate()
+
+    # Files
 
     def _at(self, path: str):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, table: str) -> list[str]:
-        """Markers of the table's versions, oldest first."""
-        at, system = self._at(f"{self.root}/_versions/{table}")
+    def _names(self, folder: str) -> list[str]:
+        at, system = self._at(f"{self.root}/{folder}")
         return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
 
-    def _folder(self, table: str) -> str | None:
-        versions = self._versions(table)
-        return f"{self.root}/{table}/{versions[-1].partition('-')[2]}" if versions else None
+    def _touch(self, path: str) -> None:
+        at, system = self._at(f"{self.root}/{path}")
+        system.create(at, False).close()
 
-    def _checksum_path(self, table: str) -> str:
-        return f"{self.root}/_schemas/{table}-{schemas.checksum(table)[:16]}"
+    def _delete(self, path: str) -> None:
+        at, system = self._at(f"{self.root}/{path}")
+        system.delete(at, True)
 
     def _writable(self) -> None:
         if self.read_only:
             raise PermissionError(f"{self.root} was opened for reading")
 
-    def _all(self, table: str) -> DataFrame:
-        folder = self._folder(table)
-        if folder is None:
-            return self.spark.createDataFrame([], schemas.schema(table))
-        mark, system = self._at(self._checksum_path(table))
-        if not system.exists(mark):
+    # Schema steps
+
+    def _pending(self) -> list[schemas.Migration]:
+        """Steps that were not applied yet; raises if one that was has changed since."""
+        applied = {int(n.split("-")[0]): n.split("-")[1] for n in self._names("_migrations")}
+        for m in self.migrations:
+            if applied.get(m.number, m.checksum) != m.checksum:
+                raise ValueError(f"step {m.number} ({m.name}) was edited after it had been applied to {self.root}; add another step instead")
+        return [m for m in self.migrations if m.number not in applied]
+
+    def migrate(self) -> list[str]:
+        """Apply the steps that are pending, in order; their names. Each table that a step remakes gets a new base; a step counts when
+        all its tables are there, so one that was interrupted is applied again, to the bases it left."""
+        self._writable()
+        done = []
+        for m in sorted(self._pending(), key=lambda m: m.number):
+            tables = {t: self._merged(t, self._segments(t)) for t in schemas.DDL if self._segments(t)}
+            for table, query in m.tables.items():
+                if all(f"{{{t}}}" not in query or t in tables for t in schemas.DDL):
+                    rows = self.spark.sql(query, **{t: df for t, df in tables.items() if f"{{{t}}}" in query})
+                    fields = set(rows.columns) >= {f.name for f in schemas.schema(table)}
+                    rows = schemas.conform(rows, table) if fields else rows
+                    self._write(table, "base", rows, checksum=schemas.checksum(table)[:16] if fields else m.checksum)
+            self._touch(f"_migrations/{m.number:03d}-{m.checksum}")
+            done.append(m.name)
+        return done
+
+    # Segments
+
+    def _commits(self, table: str) -> list[Commit]:
+        return [Commit.of(n) for n in self._names(f"_commits/{table}")]
+
+    def _versions(self, table: str) -> list[Commit]:
+        """The table's bases that are still there, oldest first."""
+        return [c for c in self._commits(table) if c.kind == "base"]
+
+    def _segments(self, table: str) -> list[Commit]:
+        """What the table consists of now: the last base and its deltas."""
+        commits = self._commits(table)
+        bases = [k for k, c in enumerate(commits) if c.kind == "base"]
+        return commits[bases[-1] :] if bases else commits
+
+    def _bucket(self, table: str, buckets: int) -> Column:
+        kinds = {f.name: f.dataType for f in schemas.schema(table)}
+        return F.pmod(F.xxhash64(*[F.col(k).cast(kinds[k]) for k in schemas.KEYS[table]]), F.lit(buckets)).cast("int")
+
+    def _write(self, table: str, kind: str, rows: DataFrame, buckets: int | None = None, checksum: str | None = None) -> int:
+        """Add a segment; the number of its rows. Nothing is added for a delta without rows. Large buckets are split into files by Spark."""
+        live = self._commits(table)
+        buckets = buckets or (live[-1].buckets if live else self.buckets)
+        commit = Commit(live[-1].number + 1 if live else 1, kind if live else "base", buckets, checksum or schemas.checksum(table)[:16], uuid.uuid4().hex[:12])
+        path = f"{self.root}/{table}/segment={commit.segment}"
+        dealt = rows.withColumn("bucket", self._bucket(table, buckets)).hint("rebalance", F.col("bucket"))
+        dealt.write.partitionBy("bucket").parquet(path)
+        n = self.spark.read.schema(rows.schema).parquet(path).count()
+        if n or kind == "base":
+            self._touch(f"_commits/{table}/{commit.name}")
+        else:
+            self._delete(f"{table}/segment={commit.segment}")
+        return n
+
+    def _scan(self, table: str, segments: list[Commit], fields: T.StructType | None = None) -> DataFrame:
+        """Their rows with segment and bucket, by which files are left out before they are opened."""
+        base = f"{self.root}/{table}"
+        reader = self.spark.read.option("basePath", base)
+        if fields is not None:
+            reader = reader.schema(T.StructType([*fields, T.StructField("segment", T.StringType()), T.StructField("bucket", T.IntegerType())]))
+        return reader.parquet(*[f"{base}/segment={c.segment}" for c in segments])
+
+    def _merged(self, table: str, segments: list[Commit], fields: T.StructType | None = None, touched: list[int] | None = None) -> DataFrame:
+        """The table made of these segments, or its rows in the buckets ``touched``."""
+        rows = self._scan(table, segments, fields)
+        if touched is not None:
+            rows = rows.where(F.col("bucket").isin(touched))
+        if table in schemas.CHANGING and len(segments) > 1:
+            age = F.lit(None).cast("int")
+            for k, c in enumerate(segments):
+                age = F.when(F.col("segment") == c.segment, k).otherwise(age)
+            last = Window.partitionBy(*schemas.KEYS[table]).orderBy(age.desc())
+            rows = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+        return rows.drop("segment", "bucket")
+
+    def _all(self, table: str, touched: list[int] | None = None) -> DataFrame:
+        segments = self._segments(table)
+        fields = schemas.schema(table)
+        if not segments:
+            return self.spark.createDataFrame([], fields)
+        if {c.checksum for c in segments} != {schemas.checksum(table)[:16]}:
             raise ValueError(f"{table} was written with another schema")
-        return self.spark.read.schema(schemas.schema(table)).parquet(folder)
+        return self._merged(table, segments, fields, touched)
+
+    def _touched(self, table: str, batch: DataFrame) -> list[int] | None:
+        """The buckets of the batch's keys; None for an empty table."""
+        segments = self._segments(table)
+        if not segments:
+            return None
+        return sorted(r[0] for r in batch.select(self._bucket(table, segments[-1].buckets)).distinct().collect())
+
+    # Tables
 
     def read(self, table: str) -> DataFrame:
         rows, state = self._all(table), schemas.LOGS.get(table)
@@ -212,58 +346,54 @@ class Warehouse:
         latest = Window.partitionBy(*schemas.KEYS[table]).orderBy(F.col(state).desc_nulls_last())
         return rows.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
 
+    def read_matching(self, table: str, keys: DataFrame) -> DataFrame:
+        """The rows whose keys are among ``keys``, from those buckets only."""
+        names = schemas.KEYS[table]
+        return self._all(table, self._touched(table, keys)).join(keys.select(*names).distinct(), names, "left_semi")
+
     def count(self, table: str) -> int:
         if table not in schemas.DDL:
             raise ValueError(f"no table {table}")
         return self.read(table).count()
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def append(self, table: str, rows: DataFrame) -> int:
         """Add rows as they are: states of a log, or rows whose keys are known to be new."""
         self._writable()
-        folder = self._folder(table) or self._new(table)
-        schemas.conform(rows, table).write.mode("append").parquet(folder)
-        self._mark(table)
+        return self._write(table, "delta", schemas.conform(rows, table))
 
     def insert(self, table: str, batch: DataFrame, *order: str) -> int:
-        """Append the batch's rows with new keys, the first of equal keys; the number of them."""
+        """Append the batch's rows with new keys, the first of equal keys; the number of them. Known keys are looked for in the batch's buckets."""
         self._writable()
         keys = schemas.KEYS[table]
         rows = schemas.conform(batch, table)
-        fresh = absent(first_wins(rows, keys, *(order or keys)), self.read(table), keys)
-        stage = f"{self.root}/_stage/{table}-{uuid.uuid4().hex}"
-        fresh.write.parquet(stage)
-        staged = self.spark.read.schema(schemas.schema(table)).parquet(stage)
-        n = staged.count()
-        if n:
-            self.append(table, staged)
-        at, system = self._at(stage)
-        system.delete(at, True)
+        known = self._all(table, self._touched(table, rows))
+        return self._write(table, "delta", absent(first_wins(rows, keys, *(order or keys)), known, keys))
+
+    def merge(self, table: str, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """Write what ``combine`` makes of the table's rows with the batch's keys and of the batch; the number of new keys.
+
+        Only for tables that are read by last row. Rows that stay as they are are not written again.
+        """
+        self._writable()
+        if table not in schemas.CHANGING:
+            raise ValueError(f"rows of {table} do not change")
+        with staged(self.read_matching(table, batch)) as old:
+            new = schemas.conform(combine(old, batch), table)
+            with staged(new.exceptAll(schemas.conform(old, table))) as changed:
+                n = absent(changed, old, schemas.KEYS[table]).count()
+                self._write(table, "delta", changed)
         return n
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Write a new version, then make it the current one. ``rows`` may come from the table itself."""
+    def replace(self, table: str, rows: DataFrame, buckets: int | None = None) -> None:
+        """Write a new base, then make it count. ``rows`` may come from the table itself. What came before the last base is deleted."""
         self._writable()
-        before = self._versions(table)
-        name = f"v{uuid.uuid4().hex[:12]}"
-        schemas.conform(rows, table).write.parquet(f"{self.root}/{table}/{name}")
-        self._mark(table)
-        self._current(table, name)
-        for old in before[:-1]:
-            for path in (f"{self.root}/_versions/{table}/{old}", f"{self.root}/{table}/{old.partition('-')[2]}"):
-                at, system = self._at(path)
-                system.delete(at, True)
-
-    def _new(self, table: str) -> str:
-        name = f"v{uuid.uuid4().hex[:12]}"
-        self._current(table, name)
-        return f"{self.root}/{table}/{name}"
-
-    def _current(self, table: str, name: str) -> None:
-        last = self._versions(table)
-        number = int(last[-1].partition("-")[0]) + 1 if last else 1
-        at, system = self._at(f"{self.root}/_versions/{table}/{number:010d}-{name}")
-        system.create(at).close()
-
-    def _mark(self, table: str) -> None:
-        at, system = self._at(self._checksum_path(table))
-        system.mkdirs(at)
+        before = self._commits(table)
+        keep = self._segments(table)
+        self._write(table, "base", schemas.conform(rows, table), buckets)
+        for c in before[: len(before) - len(keep)]:
+            self._delete(f"_commits/{table}/{c.name}")
+            self._delete(f"{table}/segment={c.segment}")
+
+    def compact(self, table: str, buckets: int | None = None) -> None:
+        """One base of all segments, with another number of buckets if given."""
+        self.replace(table, self._all(table), buckets)

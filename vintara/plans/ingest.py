@@ -113,8 +113,11 @@ class Ingestor:
     def tickers(self, path: str, observed_at: str) -> Outcome:
         return self._ingest("tickers", "entity_identifiers", path, lambda docs: landing.company_tickers(docs, observed_at, strict=False), ["source_uri"])
 
-    def filings(self, path: str, history: str | None = None, observed_at: str | None = None) -> Outcome:
-        """Submissions files: their companies, filings and links."""
+    def filings(self, path: str, history: str | None = None, observed_at: str | None = None, wanted: DataFrame | None = None) -> Outcome:
+        """Submissions files: their companies, filings and links; of ``wanted`` (cik) companies only, if given."""
+
+        def of(rows):
+            return rows if wanted is None else rows.join(wanted.select("cik").distinct(), "cik", "left_semi")
 
         def parse(docs):
             return landing.submissions(docs, landing.documents(self.spark, history) if history else None, strict=False)
@@ -122,17 +125,15 @@ class Ingestor:
         def more(run_id, rows, docs):
             links = store.submission_links(rows).withColumns({"source_uri": F.lit(path), "retrieved_at": F.lit(self.clock()), "ingest_run_id": F.lit(run_id)})
             day = observed_at or self.clock().date().isoformat()
-            return {"filing_filers": self.warehouse.insert("filing_filers", links), "entities": self._upsert_entities(self._provenance(landing.entities(docs, day).rows, docs, run_id))}
+            return {"filing_filers": self.warehouse.insert("filing_filers", links), "entities": self._upsert_entities(of(self._provenance(landing.entities(docs, day).rows, docs, run_id)))}
 
-        return self._ingest("submissions", "filings", path, parse, ["filed_at"], then=more)
+        return self._ingest("submissions", "filings", path, parse, ["filed_at"], prepare=of, then=more)
 
     def _upsert_entities(self, seen: DataFrame) -> int:
         """The number of companies that were not known before."""
-        old = self.warehouse.read("entities")
-        attributes = [c for c in old.columns if c not in ("cik", "first_observed", "last_observed")]
-        before = old.count()
-        self.warehouse.replace("entities", store.upsert_entities(old, schemas.conform(store.first_wins(seen, ["cik"], "source_uri"), "entities"), attributes))
-        return self.warehouse.count("entities") - before
+        attributes = [f.name for f in schemas.schema("entities") if f.name not in ("cik", "first_observed", "last_observed")]
+        new = schemas.conform(store.first_wins(seen, ["cik"], "source_uri"), "entities")
+        return self.warehouse.merge("entities", new, lambda old, new: store.upsert_entities(schemas.conform(old, "entities"), new, attributes))
 
     def facts(self, path: str, wanted: DataFrame | None = None) -> Outcome:
         """Company-facts files; of ``wanted`` (cik) companies only, if given."""
@@ -148,19 +149,21 @@ class Ingestor:
         return {"filings": self.filings(f"{submissions}/{own}"), "facts": self.facts(f"{facts}/{own}")}
 
     def universe(self, size: int, floor: float, seed: int, frames: str, submissions: str, facts: str) -> dict[str, Outcome]:
-        """The sampled companies of ``frames`` (Parquet: cik, val) that have no facts yet: an interrupted ingest goes on where it was.
+        """The sampled companies of ``frames`` (Parquet: cik, val): their filings, and the facts of those that have none yet, so an
+        interrupted ingest goes on where it was. Files of other companies leave no rows.
 
         All companies are one batch; a file of the wrong shape is a reject of it.
         """
-        sample = landing.sampled_universe(self.spark.read.parquet(frames), floor, size, seed)
+        sample = landing.sampled_universe(self.spark.read.parquet(frames), floor, size, seed).cache()
         wanted = self.companies_without_facts(sample).cache()
         try:
-            done = {"filings": self.filings(submissions)}
+            done = {"filings": self.filings(submissions, wanted=sample)}
             if not wanted.isEmpty():
                 done["facts"] = self.facts(facts, wanted)
             return done
         finally:
             wanted.unpersist()
+            sample.unpersist()
 
     def macro(self, path: str, series_id: str) -> Outcome:
         def merged(rows):
@@ -201,13 +204,13 @@ class Ingestor:
                 if not seen.count():
                     raise ValueError(f"the index of {day} has no entries")
                 extra = {"source_uri": F.lit(path), "retrieved_at": F.lit(self.clock()), "content_sha256": F.lit(""), "ingest_run_id": F.lit(run_id)}
-                old = self.warehouse.read("filings")
-                new = store.record_dissemination(old, seen)
-                new = new.withColumns({c: F.coalesce(c, v) for c, v in extra.items()})
-                before = old.count()
-                self.warehouse.replace("filings", new)
+
+                def recorded(old, seen):
+                    return store.record_dissemination(old, seen).withColumns({c: F.coalesce(c, v) for c, v in extra.items()})
+
+                added = self.warehouse.merge("filings", seen, recorded)
                 links = seen.select("accn", "cik").withColumn("is_primary", F.col("accn").startswith(F.lpad(F.col("cik").cast("string"), 10, "0"))).withColumns({k: v for k, v in extra.items() if k != "content_sha256"})
-                return {"filings": self.warehouse.count("filings") - before, "filing_filers": self.warehouse.insert("filing_filers", links)}, {r["reason"]: r["n"] for r in parsed.skip_counts().collect()}
+                return {"filings": added, "filing_filers": self.warehouse.insert("filing_filers", links)}, {r["reason"]: r["n"] for r in parsed.skip_counts().collect()}
             finally:
                 seen.unpersist()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -41,12 +42,40 @@ KEYS: dict[str, list[str]] = {
 }
 
 
+#: Tables whose rows change: reading gives the row of each key that was written last.
+CHANGING = {"entities", "filings"}
+
+
+@dataclass(frozen=True)
+class Migration:
+    """A step from one schema to the next: for each table that it makes or remakes, a query over the tables before it, named in braces.
+
+    A step that was ever applied must not be edited: its checksum stands in the warehouse. Write another one instead.
+    """
+
+    number: int
+    name: str
+    tables: dict[str, str]
+
+    @property
+    def checksum(self) -> str:
+        told = repr((self.number, self.name, sorted(self.tables.items())))
+        return hashlib.sha256(told.encode()).hexdigest()[:16]
+
+
+MIGRATIONS = (
+    Migration(1, "initial", {}),
+    Migration(2, "dissemination", {"filings": "SELECT *, CAST(NULL AS DATE) AS disseminated_at FROM {filings}"}),
+    Migration(3, "filers", {"filing_filers": "SELECT accn, cik, startswith(accn, lpad(CAST(cik AS STRING), 10, '0')) AS is_primary, source_uri, retrieved_at, ingest_run_id FROM {filings}"}),
+)
+
+
 def schema(table: str) -> StructType:
     return StructType.fromDDL(DDL[table])
 
 
 def checksum(table: str) -> str:
-    """Stored beside a table's data; a reader that finds another one refuses the data."""
+    """Stored with whatever is written to a table; a reader that finds another one refuses the data."""
     return hashlib.sha256(DDL[table].encode()).hexdigest()
 
 
