@@ -145,29 +145,34 @@ def decode(data: bytes, index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(index):
         return np.zeros(0, np.uint64)
     at = (index["at"] - index["at"][0]).astype(np.int64)
-    counts = index["words"].astype(np.int64)
-    if index["escapes"].any():
+    counts, has_escapes = index["words"].astype(np.int64), bool(index["escapes"].any())
+    if has_escapes:
         words = np.concatenate([np.frombuffer(data, "<u8", n, a) for a, n in zip(at.tolist(), counts.tolist())])
     else:
         words = np.frombuffer(data, "<u8", int(counts.sum()), 0)
     kind = (words >> np.uint64(60)).astype(np.int64) - FIRST_SELECTOR
     if len(kind) and kind.min() < 0:
         raise ValueError("a word has a selector that is not in use")
-    block = np.repeat(np.arange(len(index)), counts)
-    ends = np.cumsum(COUNTS[kind])
-    begin = ends - COUNTS[kind]
-    inside = begin - begin[np.cumsum(counts) - counts][block]
-    before = np.cumsum(lengths) - lengths
-    out, escaped = np.zeros(int(lengths.sum()), np.uint64), np.zeros(int(lengths.sum()), bool)
-    for k in np.unique(kind):
-        here = np.flatnonzero(kind == k)
-        slots = (words[here][:, None] >> (WIDTHS[k] * np.arange(COUNTS[k])).astype(np.uint64)) & _ONES[k]
-        place = inside[here][:, None] + np.arange(COUNTS[k])
-        real = place < lengths[block[here]][:, None]
-        place = (place + before[block[here]][:, None])[real]
-        out[place] = slots[real]
-        escaped[place] = slots[real] == _ONES[k]
-    if escaped.any():
+    taken = COUNTS[kind]
+    begin = np.cumsum(taken) - taken
+    # Blocks stand apart by as many places as a block's last word may reach beyond its end.
+    wide, first = int(max(lengths.max(), 0) + COUNTS[0]), np.cumsum(counts) - counts
+    begin += np.repeat(wide * np.arange(len(index)) - begin[first], counts)
+    spread, ones = np.zeros(wide * len(index), np.uint64), []
+    for k in np.flatnonzero(np.bincount(kind)).tolist():
+        here = kind == k
+        held, place = words[here], begin[here]
+        for j in range(int(COUNTS[k])):
+            slot = (held >> np.uint64(WIDTHS[k] * j)) & _ONES[k]
+            spread[place + j] = slot
+            if has_escapes:
+                ones.append(place[slot == _ONES[k]] + j)
+    real = np.arange(wide) < lengths[:, None]
+    out = spread.reshape(len(index), wide)[real]
+    if has_escapes:
+        escaped = np.zeros(len(spread), bool)
+        escaped[np.concatenate(ones)] = True
+        escaped = escaped.reshape(len(index), wide)[real]
         parts = []
         for a, w, n, size in zip(at.tolist(), counts.tolist(), index["escapes"].tolist(), index["escape_bytes"].tolist()):
             if n:

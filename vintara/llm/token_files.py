@@ -46,7 +46,7 @@ FOOTER = np.dtype([("ids", "<u8"), ("blocks", "<u8"), ("docs", "<u8"), ("index_a
 #: Ids that are coded together, and ids of a stretch that one reading task decodes; both are multiples of a block.
 PIECE, STRETCH = 1024 * simple8b.BLOCK, 2048 * simple8b.BLOCK
 #: Chunks kept by a Python worker, none longer than this many bytes; chunks of letters encoded together; texts looked at together.
-KEPT_CHUNKS, KEPT_BYTES, TOGETHER, TEXTS = 1_000_000, 64, 256, 512
+KEPT_CHUNKS, KEPT_BYTES, TOGETHER, TEXTS = 2_000_000, 64, 256, 512
 #: Latin letters come before this character. Marks of ASCII that stand behind words; runs of them are one part.
 LATIN, MARKS = 0x180, b".,;:!?)"
 MANIFEST = "path string, part int, first_doc long, n_docs long, first_id long, n_ids long"
@@ -97,12 +97,13 @@ class IdTable:
 
     def _learn(self, new: set[bytes]) -> None:
         known, latin = self.known, self.latin.issuperset
-        stems = {c: c.rstrip(MARKS) for c in new}
-        plain = {w for w in set(stems.values()) if w and (w.isalpha() or latin(w.decode()))}
-        known.update(self._letters([w for w in plain if w not in known]))
-        marked = [(c, w, c[len(w) :]) for c, w in stems.items() if w in plain and len(w) < len(c)]
-        others = [c for c, w in stems.items() if w not in plain]
-        others += {tail for _, _, tail in marked}.difference(known, others)
+        marked = [(c, w) for c in new if (w := c.rstrip(MARKS)) is not c]
+        stems = {w for _, w in marked}
+        plain = {w for w in new.union(stems) if w.isalpha() or w and latin(w.decode())}
+        known.update(self._letters(list(plain.difference(known))))
+        marked = [(c, w, c[len(w) :]) for c, w in marked if w in plain]
+        tails = {tail for _, _, tail in marked}
+        others = list((new.difference(plain).union(tails)).difference(known, [c for c, _, _ in marked]))
         known.update(zip(others, self._encoded([c.decode() for c in others])))
         known.update([(c, known[w] + known[tail]) for c, w, tail in marked])
 
@@ -120,9 +121,8 @@ class IdTable:
             for k in compress(count(), map(not_, ids)):
                 ids[k] = self.known[chunks[k]]
             out.append(b"".join(ids))
-        for c in new:
-            if len(c) > KEPT_BYTES:
-                self.known.pop(c, None)
+        for c in [c for c in new if len(c) > KEPT_BYTES]:
+            del self.known[c]
         return out
 
 
