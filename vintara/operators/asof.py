@@ -50,6 +50,22 @@ def ambiguous_ends(facts: DataFrame) -> DataFrame:
     return facts.groupBy("cik", "taxonomy", "concept", "unit", "period_end").agg(starts.alias("starts")).where("starts > 1")
 
 
+#: Facts that share these answer the same question, unless their periods begin on different days.
+QUESTION = ["cik", "taxonomy", "concept", "period_end"]
+
+
+def one_period(rows: DataFrame) -> DataFrame:
+    """Raises at execution where several periods share an end: a year and its last quarter, or a period and an instant.
+
+    Least and greatest start by window; the check is a filter, so no pruning of columns drops it.
+    """
+    same = Window.partitionBy(*QUESTION)
+    start = F.coalesce(F.col("period_start"), F.lit("0001-01-01").cast("date"))
+    message = F.concat(F.col("concept"), F.lit(" of "), F.col("cik").cast("string"), F.lit(" ending "), F.col("period_end").cast("string"), F.lit(": several periods end together; pin period_start"))
+    rows = rows.withColumns({"_least": F.min(start).over(same), "_greatest": F.max(start).over(same)})
+    return rows.where(F.when(F.col("_least") == F.col("_greatest"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_least", "_greatest")
+
+
 def latest_per_grain(facts: DataFrame) -> DataFrame:
     """The last report of each fact; a limit of one row per window group, so it is cut down before the shuffle."""
     last = Window.partitionBy(*GRAIN).orderBy(F.desc("knowledge_date"), F.desc("accn"), F.desc("value"))
@@ -91,13 +107,26 @@ class AsOf:
         return self.fact(cik, concept, **pins)["value"]
 
     def first_reported(self, cik=None, concept=None, *, period_end=None, period_start=None, taxonomy=DEFAULT_TAXONOMY, unit=None) -> DataFrame:
-        """First reports, if knowable; the chain is numbered over all reports, which later ones cannot change."""
-        rows = facts_pit(self._pick(self.tables["facts"], cik, concept, period_end, period_start, taxonomy, unit))
-        return guard(self._known(rows.where("report_seq = 1")), self.as_of).drop("period_distinct_values")
+        """First reports, if knowable; the chain is numbered over all reports, which later ones cannot change.
+
+        With an end and no start it is asked for one period: raises where several of them end together, see :func:`one_period`.
+        """
+        rows, asked = self._asked(cik, concept, period_end, period_start, taxonomy, unit)
+        rows = guard(self._known(facts_pit(rows).where("report_seq = 1")), self.as_of).drop("period_distinct_values")
+        return one_period(rows) if asked else rows
+
+    def _asked(self, cik, concept, period_end, period_start, taxonomy, unit) -> tuple[DataFrame, bool]:
+        """The facts in question, and whether one period is asked for without saying where it begins.
+
+        If so they are dealt out by question, which serves the windows over chains too: one exchange for both.
+        """
+        rows, asked = self._pick(self.tables["facts"], cik, concept, period_end, period_start, taxonomy, unit), period_end is not None and period_start is None
+        return (rows.repartition(*QUESTION) if asked else rows), asked
 
     def unsafe_latest_restated(self, cik=None, concept=None, *, period_end=None, period_start=None, taxonomy=DEFAULT_TAXONOMY, unit=None) -> DataFrame:
-        """Today's values, whatever the date: for comparison only."""
-        return latest_per_grain(self._pick(self.tables["facts"], cik, concept, period_end, period_start, taxonomy, unit))
+        """Today's values, whatever the date: for comparison only. Raises like :meth:`first_reported` where several periods end together."""
+        rows, asked = self._asked(cik, concept, period_end, period_start, taxonomy, unit)
+        return one_period(latest_per_grain(rows)) if asked else latest_per_grain(rows)
 
     def revisions(self, cik=None, *, concept=None, taxonomy=DEFAULT_TAXONOMY, min_relative_change=None) -> DataFrame:
         """Pairs of consecutive reports with different values; from a base of zero every change is large enough."""

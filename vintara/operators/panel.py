@@ -63,8 +63,17 @@ def drop_reasons(features: DataFrame, picked: DataFrame, n_arms: int, keys: Sequ
     return years.unionByName(late.agg(F.count("*").alias("n")).select(F.lit("NOT_YET_FILED").alias("reason"), "n"))
 
 
-def same_universe(panel: DataFrame) -> bool:
-    """Whether all arms hold the same (cik, formation date)."""
-    per = panel.groupBy("cik", "formation_date").agg(F.countDistinct("arm").alias("n"))
-    spread = per.agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
-    return spread["a"] == spread["b"]
+def universe_digests(panel: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFrame:
+    """By arm the number of (keys, formation date), and two digests of their set, whatever its order: xor and sum of 60 bits of each one's md5.
+
+    Equal sets have equal digests; sets that differ have the same three values by chance only.
+    """
+    names = panel.groupBy("arm", *keys, "formation_date").agg(F.lit(1).alias("_one"))
+    told = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "formation_date")]).cast("binary"))
+    h = F.conv(F.substring(told, 1, 15), 16, 10).cast("bigint")
+    return names.groupBy("arm").agg(F.count("*").alias("n"), F.bit_xor(h).alias("digest"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"))
+
+
+def same_universe(panel: DataFrame, keys: Sequence[str] = ("cik",)) -> bool:
+    """Whether all arms hold the same set of (keys, formation date), told by its digests."""
+    return universe_digests(panel, keys).select("n", "digest", "total").distinct().count() <= 1

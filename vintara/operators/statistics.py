@@ -131,9 +131,14 @@ def n_splits(groups: int, test_groups: int) -> int:
 
 
 def purged_splits(spark: SparkSession, n: int, groups: int, test_groups: int = 1, horizon: int = 0, embargo: int = 0) -> DataFrame:
-    """Rows (split, obs, role): test, train, purged (within ``horizon`` of a test position), embargoed (after one, for that alone).
+    """Rows (split, obs, role) for the positions 0 to n - 1, see :func:`split_roles`."""
+    return split_roles(spark.range(n).withColumnRenamed("id", "obs"), "obs", n, groups, test_groups, horizon, embargo).select("split", "obs", "role")
 
-    With one test group this is purged k-fold, with more every combination of them.
+
+def split_roles(rows: DataFrame, position: str, n: int, groups: int, test_groups: int = 1, horizon: int = 0, embargo: int = 0) -> DataFrame:
+    """``rows``, once for each split, with ``split`` and ``role``: test, train, purged (within ``horizon`` of a test position), embargoed (after one, for that alone).
+
+    ``position`` is a row's place among n observations, from 0 on. With one test group this is purged k-fold, with more every combination of them.
     """
     if not 2 <= groups <= n:
         raise ValueError("between two groups and as many as there are observations")
@@ -145,12 +150,12 @@ def purged_splits(spark: SparkSession, n: int, groups: int, test_groups: int = 1
     starts = [k * q + min(k, r) for k in range(groups + 1)]
     chosen = list(combinations(range(groups), test_groups))
     tests = F.array(*[F.struct(F.lit(k).alias("split"), F.array(*[F.struct(F.lit(starts[b]).alias("a"), F.lit(starts[b + 1]).alias("b")) for b in c]).alias("blocks")) for k, c in enumerate(chosen)])
-    rows = spark.range(n).select(F.col("id").alias("obs"), F.explode(tests).alias("x")).select("obs", "x.split", "x.blocks")
-    o = F.col("obs")
-    inside = F.exists("blocks", lambda b: (o >= b["a"]) & (o < b["b"]))
-    near = F.exists("blocks", lambda b: (o >= b["a"] - horizon) & (o < b["b"] + horizon))
-    after = F.exists("blocks", lambda b: (o > b["a"]) & (o < b["b"] + embargo))
-    return rows.select("split", "obs", F.when(inside, "test").when(near, "purged").when(after, "embargoed").otherwise("train").alias("role"))
+    o = F.col(position)
+    inside = F.exists("_x.blocks", lambda b: (o >= b["a"]) & (o < b["b"]))
+    near = F.exists("_x.blocks", lambda b: (o >= b["a"] - horizon) & (o < b["b"] + horizon))
+    after = F.exists("_x.blocks", lambda b: (o > b["a"]) & (o < b["b"] + embargo))
+    role = F.when(inside, "test").when(near, "purged").when(after, "embargoed").otherwise("train")
+    return rows.withColumn("_x", F.explode(tests)).select(*rows.columns, F.col("_x.split").alias("split"), role.alias("role"))
 
 
 def adjusted_pvalues(tests: DataFrame, *family: str) -> DataFrame:

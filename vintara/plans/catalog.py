@@ -147,6 +147,23 @@ def latest_restated(spark, d):
     return AsOf(tables(spark, d), DAY).unsafe_latest_restated(taxonomy=None).select(*_FACT)
 
 
+@query(f"SELECT {GRAIN}, value, accn, knowledge_date FROM facts_pit WHERE report_seq = 1 AND knowledge_date <= DATE '2000-06-30' AND taxonomy = 'F' AND period_end = DATE '1994-05-28' AND period_start = DATE '1994-03-01'", "facts_pit")
+def first_reported_pinned(spark, d):
+    """A period end that an instant shares: the pin says which is meant."""
+    return AsOf(tables(spark, d), DAY).first_reported(taxonomy="F", period_end=date(1994, 5, 28), period_start=date(1994, 3, 1)).select(*_FACT)
+
+
+@query(f"SELECT {GRAIN}, value, accn, knowledge_date FROM facts_pit WHERE report_seq = 1 AND knowledge_date <= DATE '2000-06-30' AND period_end = DATE '1994-07-28'", "facts_pit")
+def first_reported_of_one_period(spark, d):
+    """A period end that no other period shares needs no pin; the guard is in the plan and lets all pass."""
+    return AsOf(tables(spark, d), DAY).first_reported(taxonomy=None, period_end=date(1994, 7, 28)).select(*_FACT)
+
+
+@query(_LATEST.format("period_end = DATE '1994-07-28'"), "facts")
+def latest_restated_of_one_period(spark, d):
+    return AsOf(tables(spark, d), DAY).unsafe_latest_restated(taxonomy=None, period_end=date(1994, 7, 28)).select(*_FACT)
+
+
 _REVISION = f"SELECT {GRAIN}, value, prior_value, accn, prior_accn, knowledge_date, round(relative_change, 6) AS relative_change, absolute_change, days_between FROM measured_revisions WHERE knowledge_date <= DATE '2000-06-30'"
 _REVISED = [*GRAIN.split(", "), "value", "prior_value", "accn", "prior_accn", "knowledge_date", "relative_change", "absolute_change", "days_between"]
 
@@ -403,9 +420,12 @@ def upsert_entity(spark, d):
     return store.upsert_entities(old, new, ["name"])
 
 
-@query("SELECT accn, cik, starts_with(accn, lpad(CAST(cik AS VARCHAR), 10, '0')) AS is_primary FROM filings WHERE NOT EXISTS (SELECT 1 FROM filing_filers l WHERE l.accn = filings.accn AND l.cik = filings.cik AND l.is_primary)", "filings", "filing_filers")
+@query("SELECT accn, cik, starts_with(accn, lpad(CAST(cik AS VARCHAR), 10, '0')) AS is_primary FROM filings f WHERE NOT EXISTS (SELECT 1 FROM filing_filers l JOIN filings g ON l.accn = g.accn WHERE l.accn = f.accn AND l.cik = f.cik AND g.filed_at < DATE '1998-07-01')", "filings", "filing_filers")
 def backfill_links(spark, d):
-    return store.missing_links(p.filings(spark, d), p.filing_filers(spark, d).where("is_primary"))
+    """Links as they were delivered until the middle of 1998, filings of all years: those filed later have none yet."""
+    filings, links = p.filings(spark, d), p.filing_filers(spark, d)
+    delivered = links.join(filings.where("filed_at < '1998-07-01'").select("accn"), "accn", "left_semi")
+    return store.missing_links(filings, delivered)
 
 
 @query("""SELECT accn, coalesce(a.cik, b.cik) AS cik, coalesce(a.form, b.form) AS form, least(a.disseminated_at, b.disseminated_at) AS disseminated_at
@@ -496,9 +516,13 @@ def period_returns(spark, d):
     return backtest.periods(backtest.positions(_quotes(spark, d), PLAN, every=True))
 
 
-@query("SELECT exclusion, count(*) AS n FROM quotes WHERE exclusion IS NOT NULL GROUP BY 1", "quotes")
+@query("SELECT exclusion, count(*) AS n FROM listed_quotes WHERE exclusion IS NOT NULL GROUP BY 1", "listed_quotes")
 def exclusions(spark, d):
-    return backtest.exclusions(_quotes(spark, d))
+    """With bars of listed days only: some symbols are listed late, some are delisted early, one is not traded for a week."""
+    day = F.col("bar_date")
+    listed = F.when(F.col("symbol").isin("S3", "S8"), day < "2024-01-15").when(F.col("symbol").isin("S5", "S11", "S17"), day >= "2024-01-11").otherwise(True)
+    prices = p.prices(spark, d).where(listed & ((F.col("symbol") != "S2") | ~day.between("2024-01-09", "2024-01-14")))
+    return backtest.exclusions(backtest.quotes(signals(spark, d), prices, PLAN))
 
 
 @query("""SELECT n AS n_periods, round(CASE WHEN g <= 0 THEN -1.0 ELSE pow(g, 12.0 / n) - 1 END, 6) AS gross_annualised, round(CASE WHEN h <= 0 THEN -1.0 ELSE pow(h, 12.0 / n) - 1 END, 6) AS net_annualised,
@@ -520,6 +544,10 @@ def corwin_schultz(spark, d):
 
 # Statistics
 
+#: Fixed values, not taken from the library: the normal quantile of 0.95, and what the best of ten standard normal ratios is expected to reach,
+#: (1 - c) z(0.9) + c z(1 - 1 / (10 e)) with c = 0.5772156649 (Euler), z(0.9) = 1.2815515655, z(0.9632120559) = 1.7892417646.
+_Z95, _BEST_OF_TEN = "1.644853626951", "1.574598301346"
+
 
 @query("""SELECT strategy, n, round(m / sd, 6) AS sharpe, round(g1 * sqrt(n * (n - 1)) / (n - 2), 6) AS skewness, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3, 6) AS kurtosis,
             round(1 - (g1 * sqrt(n * (n - 1)) / (n - 2)) * (m / sd) + ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 2) / 4 * pow(m / sd, 2), 6) AS variance_factor
@@ -559,10 +587,10 @@ _CDF = "0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transfo
 
 
 @query(f"""SELECT strategy, n, round(sharpe, 6) AS sharpe, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(vf, 6) AS variance_factor,
-             round(CASE WHEN sharpe > 0 THEN 1 + vf * pow({statistics.quantile(0.95)!r} / sharpe, 2) ELSE 'inf'::DOUBLE END, 6) AS min_track_record,
+             round(CASE WHEN sharpe > 0 THEN 1 + vf * pow({_Z95} / sharpe, 2) ELSE 'inf'::DOUBLE END, 6) AS min_track_record,
              round({_CDF}, 6) AS deflated_sharpe, round(bar, 6) AS expected_max_sharpe, {_CDF} > 0.95 AS survives
            FROM (SELECT *, (sharpe - bar) * sqrt(n - 1) / sqrt(vf) AS z
-                 FROM (SELECT *, sqrt(var_samp(sharpe) OVER ()) * {statistics.expected_max_sharpe(1.0, 10)!r} AS bar, 1 - skewness * sharpe + (kurtosis - 1) / 4 * pow(sharpe, 2) AS vf
+                 FROM (SELECT *, sqrt(var_samp(sharpe) OVER ()) * {_BEST_OF_TEN} AS bar, 1 - skewness * sharpe + (kurtosis - 1) / 4 * pow(sharpe, 2) AS vf
                        FROM (SELECT strategy, n, m / sd AS sharpe, g1 * sqrt(n * (n - 1)) / (n - 2) AS skewness, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3 AS kurtosis
                              FROM (SELECT strategy, count(*) AS n, any_value(mu) AS m, stddev_samp(ret) AS sd, avg(pow(ret - mu, 3)) / pow(stddev_pop(ret), 3) AS g1, avg(pow(ret - mu, 4)) / pow(stddev_pop(ret), 4) - 3 AS g2
                                    FROM (SELECT *, avg(ret) OVER (PARTITION BY strategy) AS mu FROM returns) GROUP BY 1))))""", "returns")
@@ -728,13 +756,15 @@ def universe_sample(spark, d):
     return sampled_universe(part.select(F.col("p_partkey").alias("cik"), F.col("p_retailprice").alias("val")), 905, 30, 7)
 
 
-@query("""SELECT split, role, count(*) AS n FROM (
-            SELECT o, s.split, CASE WHEN o // 5 IN (s.a, s.b) THEN 'test' WHEN (o >= s.a * 5 - 1 AND o < s.a * 5 + 6) OR (o >= s.b * 5 - 1 AND o < s.b * 5 + 6) THEN 'purged'
+@query("""SELECT split, strategy, role, count(*) AS n, round(sum(ret), 6) AS total_return FROM (
+            SELECT r.strategy, r.ret, s.split, CASE WHEN o // 5 IN (s.a, s.b) THEN 'test' WHEN (o >= s.a * 5 - 1 AND o < s.a * 5 + 6) OR (o >= s.b * 5 - 1 AND o < s.b * 5 + 6) THEN 'purged'
                    WHEN (o > s.a * 5 AND o < s.a * 5 + 7) OR (o > s.b * 5 AND o < s.b * 5 + 7) THEN 'embargoed' ELSE 'train' END AS role
-            FROM (SELECT unnest(range(30)) AS o), (SELECT row_number() OVER (ORDER BY x.a, y.b) - 1 AS split, x.a, y.b FROM (SELECT unnest(range(6)) AS a) x, (SELECT unnest(range(6)) AS b) y WHERE x.a < y.b) s)
-          GROUP BY 1, 2""")
+            FROM (SELECT strategy, ret, obs AS o FROM returns) r, (SELECT row_number() OVER (ORDER BY x.a, y.b) - 1 AS split, x.a, y.b FROM (SELECT unnest(range(8)) AS a) x, (SELECT unnest(range(8)) AS b) y WHERE x.a < y.b) s)
+          GROUP BY 1, 2, 3""", "returns")
 def combinatorial_purged_splits(spark, d):
-    return statistics.purged_splits(spark, 30, 6, 2, horizon=1, embargo=2).groupBy(F.col("split").cast("long").alias("split"), "role").agg(F.count("*").alias("n"))
+    """Each strategy's return in and out of sample over all splits with two test groups of eight; no join, each observation meets its splits in its row."""
+    rows = statistics.split_roles(returns(spark, d), "obs", 40, 8, 2, horizon=1, embargo=2)
+    return rows.groupBy(F.col("split").cast("long").alias("split"), "strategy", "role").agg(F.count("*").alias("n"), F.sum("ret").alias("total_return"))
 
 
 @query("SELECT accn, cik, starts_with(accn, lpad(CAST(cik AS VARCHAR), 10, '0')) AS is_primary FROM filings", "filings")
@@ -748,6 +778,15 @@ def plain_numbers(spark, d):
     return li.select("l_orderkey", "l_linenumber", scalars.plain_number(F.round(F.col("l_quantity") / 4, 2).cast("decimal(38,10)")).alias("text"))
 
 
+@query("""SELECT arm, count(*) AS n, bit_xor(h) AS digest, CAST(sum(h) AS VARCHAR) AS total
+          FROM (SELECT DISTINCT arm, CAST('0x' || substr(md5(cik || '|' || taxonomy || '|' || formation_date), 1, 15) AS BIGINT) AS h
+                FROM (SELECT *, count(*) FILTER (WHERE p[3] IS NOT NULL) OVER (PARTITION BY cik, taxonomy, formation_date) AS k FROM picked) WHERE k = 3) GROUP BY 1""", "picked")
+def universe_digests(spark, d):
+    """One digest of the names of each arm; the arms of a common universe have the same."""
+    picked = panel.pick_freshest(features.accruals(p.facts(spark, d), SPEC), FORMATIONS, _KEYS)
+    return panel.universe_digests(panel.common_universe(picked, 3, _KEYS), _KEYS)
+
+
 @query("""SELECT a.arm, a.formation_date, count(*) AS n FROM (SELECT * FROM picked WHERE p[3] IS NOT NULL) a
           JOIN (SELECT cik, taxonomy, formation_date FROM picked WHERE p[3] IS NOT NULL GROUP BY ALL HAVING count(DISTINCT arm) = 3) f
             ON a.cik = f.cik AND a.taxonomy = f.taxonomy AND a.formation_date = f.formation_date GROUP BY 1, 2""", "picked")

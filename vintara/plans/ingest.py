@@ -165,16 +165,16 @@ class Ingestor:
             wanted.unpersist()
             sample.unpersist()
 
-    def macro(self, path: str, series_id: str) -> Outcome:
-        def merged(rows):
-            runs = store.merge_unrevised_runs(rows)
-            first = rows.groupBy("series_id", "obs_date", "realtime_start").agg(*[F.first(c).alias(c) for c in ("source_uri", "retrieved_at", "content_sha256", "ingest_run_id")])
-            return runs.join(first, ["series_id", "obs_date", "realtime_start"])
+    def macro(self, path: str, series_id: str, vintages: DataFrame | None = None) -> Outcome:
+        """Observation files of one series, one for each window of its archive; ``vintages`` (vintage_date) shows what no window covers."""
 
-        return self._ingest("macro", "macro_observations", path, lambda docs: landing.macro_observations(docs, series_id), ["realtime_end"], prepare=merged, params={"series": series_id})
+        def parse(docs):
+            return landing.union_windows(landing.macro_observations(docs, series_id, strict=False), vintages)
+
+        return self._ingest("macro", "macro_observations", path, parse, ["realtime_end"], params={"series": series_id})
 
     def prices(self, raw: str, adjusted: str, symbol: str, source: str) -> Outcome:
-        return self._ingest(source, "prices", raw, lambda docs: landing.daily_bars(docs, landing.documents(self.spark, adjusted), symbol, source), ["source_uri"], params={"symbol": symbol})
+        return self._ingest(source, "prices", raw, lambda docs: landing.daily_bars(docs, landing.documents(self.spark, adjusted), symbol, source, strict=False), ["source_uri"], params={"symbol": symbol})
 
     def many_prices(self, batches: list[tuple[str, str, str]], source: str, limit: int = 5) -> dict[str, str]:
         """Several symbols (raw, adjusted, symbol), one after the other: what became of each. One that fails ends none of the
@@ -185,14 +185,16 @@ class Ingestor:
                 out[symbol] = "skipped"
                 continue
             try:
-                self.prices(raw, adjusted, symbol, source)
+                done = self.prices(raw, adjusted, symbol, source)
+                if "no list of bars" in done.skipped:  # an answer, but not to the question: a spent quota looks like that
+                    raise ValueError("no list of bars")
                 out[symbol], failures = "ok", 0
             except Exception as error:  # the run's entry says what it was
                 out[symbol], failures = f"failed: {str(error)[:200]}", failures + 1
         return out
 
     def delistings(self, path: str, observed_at: str, source: str) -> Outcome:
-        return self._ingest(source, "delistings", path, lambda docs: landing.delisted(docs, observed_at, source), ["source_uri"])
+        return self._ingest(source, "delistings", path, lambda docs: landing.delisted(docs, observed_at, source, strict=False), ["source_uri"])
 
     def daily(self, path: str, day: str) -> Outcome:
         """A day's index: stubs for new filings, the earliest public date for known ones, a link for each company. An empty index raises."""

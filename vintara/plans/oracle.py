@@ -144,6 +144,14 @@ VIEWS |= {
       FROM lineitem GROUP BY 1, 2"""),
 }
 
+#: The same quotes over the bars of listed days only.
+VIEWS["listed_prices"] = (("prices",), """
+  SELECT * FROM prices
+  WHERE CASE WHEN symbol IN ('S3', 'S8') THEN bar_date < DATE '2024-01-15' WHEN symbol IN ('S5', 'S11', 'S17') THEN bar_date >= DATE '2024-01-11' ELSE true END
+    AND (symbol <> 'S2' OR bar_date NOT BETWEEN DATE '2024-01-09' AND DATE '2024-01-14')""")
+VIEWS["listed_pairs"] = (("listed_prices",), VIEWS["pairs"][1].replace("FROM prices", "FROM listed_prices"))
+VIEWS["listed_quotes"] = (("signals", "listed_pairs"), VIEWS["quotes"][1].replace("JOIN pairs", "JOIN listed_pairs"))
+
 
 def sql(body: str, *views: str) -> str:
     """``body`` with the views it names, and those they name, as common table expressions."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintara.functions import scalars as s
@@ -204,19 +204,52 @@ def vintage_dates(docs: DataFrame) -> Parsed:
     return Parsed(out.rows.groupBy("vintage_date").agg(F.min("source_uri").alias("source_uri")).select("source_uri", "vintage_date").orderBy("vintage_date"), out.rejects)
 
 
-def macro_observations(docs: DataFrame, series_id: str) -> Parsed:
+def macro_observations(docs: DataFrame, series_id: str, strict: bool = True) -> Parsed:
     """Observations with their real-time span; '.', empty and null values are kept as absent."""
-    rows = _shaped(docs, "STRUCT<count: BIGINT, observations: ARRAY<STRUCT<date: STRING, realtime_start: STRING, realtime_end: STRING, value: STRING>>>", "observations")
-    long = F.concat(F.lit("cut off at the source: "), F.col("source_uri"))
+    tree, fine = _parsed(docs, "STRUCT<count: BIGINT, observations: ARRAY<STRUCT<date: STRING, realtime_start: STRING, realtime_end: STRING, value: STRING>>>"), F.col("json.observations").isNotNull()
     whole = (F.size("json.observations") < MOST_OBSERVATIONS) & (F.coalesce(F.col("json.count"), F.size("json.observations").cast("bigint")) <= F.size("json.observations"))
-    rows = rows.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(long).cast("boolean")))
+    shaped = _good(tree, fine, "unexpected shape", strict)
+    rows = _good(shaped, whole, "cut off at the source", strict)
+    wrong = [] if strict else [_bad(tree, fine, "unexpected shape"), _bad(tree.where(fine), whole, "cut off at the source")]
     o = F.col("o")
     rows = rows.select("source_uri", F.explode("json.observations").alias("o")).select(
         "source_uri", F.lit(series_id).alias("series_id"), s.parse_date(o["date"]).alias("obs_date"), s.parse_date(o["realtime_start"]).alias("realtime_start"), s.parse_date(o["realtime_end"]).alias("realtime_end"),
         F.when(~o["value"].isin("", "."), o["value"].try_cast("double")).alias("value"), (~o["value"].isin("", ".") & o["value"].try_cast("double").isNull()).alias("odd"),
     )
     reason = F.when(F.col("obs_date").isNull() | F.col("realtime_start").isNull() | F.col("realtime_end").isNull(), "bad date").when(F.col("odd"), "bad value")
-    return _split(rows.withColumn("reason", reason), ["series_id", "obs_date", "realtime_start", "realtime_end", "value"])
+    return _with_rejects(_split(rows.withColumn("reason", reason), ["series_id", "obs_date", "realtime_start", "realtime_end", "value"]), *wrong)
+
+
+def union_windows(windows: Parsed, vintages: DataFrame | None = None) -> Parsed:
+    """Observations of several archive windows as if they had come in one.
+
+    An archive clips each value's span to the window that was asked for, so a value that was in force over a border comes in parts.
+    Spans of an observation that follow each other with the same value become one span. A span that begins before the one before it
+    has ended is a reject, unless it repeats its value, and so is, given the archive's ``vintages`` (vintage_date), a border with
+    vintages that neither side covers: its two spans stay apart. One shuffle by observation.
+    """
+    rows = windows.rows
+    own = Window.partitionBy("series_id", "obs_date").orderBy("realtime_start", "realtime_end", "source_uri")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last("value").over(before)
+    again = F.count("*").over(before).cast("int") > 0
+    same = again & last.eqNullSafe(F.col("value"))
+    rows = rows.withColumns({"_until": F.max("realtime_end").over(before), "_same": same})
+    overlap = F.coalesce(F.col("realtime_start") <= F.col("_until"), F.lit(False)) & ~F.col("_same")
+    gap = F.lit(False)
+    if vintages is not None:
+        # A list of days, as long as the calendar at most.
+        days = F.array(*[F.lit(r[0]) for r in vintages.select("vintage_date").distinct().orderBy("vintage_date").collect()]).cast("array<date>")
+        gap = F.coalesce((F.datediff("realtime_start", "_until") > 1) & F.exists(days, lambda v: (v > F.col("_until")) & (v < F.col("realtime_start"))), F.lit(False))
+    rows = rows.withColumns({"_overlap": overlap, "_gap": gap})
+    rejects = rows.where("_overlap or _gap").select("source_uri", F.when(F.col("_overlap"), "windows overlap").otherwise("gap between windows").alias("reason"))
+    fresh = rows.where("not _overlap")
+    change = F.when(F.coalesce(F.lag("value").over(own).eqNullSafe(F.col("value")), F.lit(False)) & (F.row_number().over(own) > 1) & ~F.col("_gap"), 0).otherwise(1)
+    fresh = fresh.withColumn("_c", change).withColumn("_run", F.sum("_c").over(own))
+    merged = fresh.groupBy("series_id", "obs_date", "_run").agg(
+        F.min_by("source_uri", "realtime_start").alias("source_uri"), F.min("realtime_start").alias("realtime_start"), F.max("realtime_end").alias("realtime_end"), F.first("value").alias("value")
+    )
+    return Parsed(merged.select("source_uri", "series_id", "obs_date", "realtime_start", "realtime_end", "value"), windows.rejects.unionByName(rejects))
 
 
 def vintage_windows(vintages: list[str], most: int = 2000, size: int = 1500) -> list[list[str]]:
@@ -224,27 +257,30 @@ def vintage_windows(vintages: list[str], most: int = 2000, size: int = 1500) ->
     return [vintages] if len(vintages) <= most else [vintages[k : k + size] for k in range(0, len(vintages), size)]
 
 
-def daily_bars(raw: DataFrame, adjusted: DataFrame, symbol: str, source: str) -> Parsed:
+def daily_bars(raw: DataFrame, adjusted: DataFrame, symbol: str, source: str, strict: bool = True) -> Parsed:
     """As-traded bars with the adjusted close of the same day; impossible bars are rejected, an object as body raises."""
     bars = "ARRAY<STRUCT<date: STRING, open: DOUBLE, high: DOUBLE, low: DOUBLE, close: DOUBLE, volume: DOUBLE>>"
-    wrong = lambda: F.raise_error(F.concat(F.lit("no list of bars in "), F.col("source_uri"))).cast("boolean")
     is_list = F.ltrim("body").startswith("[")
-    listed = lambda docs, ddl: docs.where(F.when(is_list, F.lit(True)).otherwise(wrong())).select("source_uri", F.explode(F.from_json("body", ddl)).alias("b"))
+    listed = lambda docs, ddl: _good(docs, is_list, "no list of bars", strict).select("source_uri", F.explode(F.from_json("body", ddl)).alias("b"))
+    wrong = [] if strict else [_bad(d, is_list, "no list of bars") for d in (raw, adjusted)]
     a = listed(adjusted, "ARRAY<STRUCT<date: STRING, adjClose: DOUBLE>>").select(F.col("b.date").alias("_d"), F.col("b.adjClose").alias("adj_close")).dropDuplicates(["_d"])
     rows = listed(raw, bars).select("source_uri", "b.*").join(a, F.col("date") == F.col("_d"), "left")
     rows = rows.select("source_uri", F.lit(symbol).alias("symbol"), s.parse_date(F.col("date")).alias("bar_date"), "open", "high", "low", "close", "adj_close", "volume", F.lit(source).alias("source"))
     fine = (F.col("low") > 0) & (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close")) & (F.col("volume") >= 0)
     reason = F.when(F.col("bar_date").isNull(), "bad date").when(~F.coalesce(fine, F.lit(False)), "impossible bar")
-    return _split(rows.withColumn("reason", reason), [c for c in rows.columns if c != "source_uri"])
+    return _with_rejects(_split(rows.withColumn("reason", reason), [c for c in rows.columns if c != "source_uri"]), *wrong)
 
 
-def delisted(docs: DataFrame, observed_at: str, source: str) -> Parsed:
-    rows = docs.select("source_uri", F.explode(F.from_json("body", "ARRAY<STRUCT<symbol: STRING, exchange: STRING, companyName: STRING, ipoDate: STRING, delistedDate: STRING>>")).alias("d"))
+def delisted(docs: DataFrame, observed_at: str, source: str, strict: bool = True) -> Parsed:
+    """A list of delisted symbols; entries without a symbol are rejects, a body that is no list raises."""
+    is_list = F.ltrim("body").startswith("[")
+    wrong = [] if strict else [_bad(docs, is_list, "no list of symbols")]
+    rows = _good(docs, is_list, "no list of symbols", strict).select("source_uri", F.explode(F.from_json("body", "ARRAY<STRUCT<symbol: STRING, exchange: STRING, companyName: STRING, ipoDate: STRING, delistedDate: STRING>>")).alias("d"))
     rows = rows.select(
         "source_uri", F.nullif(F.trim("d.symbol"), F.lit("")).alias("symbol"), F.col("d.exchange").alias("exchange"), F.col("d.companyName").alias("company_name"),
         s.parse_date(F.col("d.ipoDate")).alias("ipo_date"), s.parse_date(F.col("d.delistedDate")).alias("delisted_date"), F.lit(observed_at).cast("date").alias("observed_at"), F.lit(source).alias("source"),
     )
-    return _split(rows.withColumn("reason", F.when(F.col("symbol").isNull(), "no symbol")), [c for c in rows.columns if c != "source_uri"])
+    return _with_rejects(_split(rows.withColumn("reason", F.when(F.col("symbol").isNull(), "no symbol")), [c for c in rows.columns if c != "source_uri"]), *wrong)
 
 
 def sampled_universe(frames: DataFrame, floor: int, size: int, seed: int) -> DataFrame:
