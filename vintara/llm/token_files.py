@@ -97,15 +97,22 @@ class IdTable:
 
     def _learn(self, new: set[bytes]) -> None:
         known, latin = self.known, self.latin.issuperset
-        marked = [(c, w) for c in new if (w := c.rstrip(MARKS)) is not c]
-        stems = {w for _, w in marked}
-        plain = {w for w in new.union(stems) if w.isalpha() or w and latin(w.decode())}
-        known.update(self._letters(list(plain.difference(known))))
-        marked = [(c, w, c[len(w) :]) for c, w in marked if w in plain]
-        tails = {tail for _, _, tail in marked}
-        others = list((new.difference(plain).union(tails)).difference(known, [c for c, _, _ in marked]))
+        words = [c for c in new if c.isalpha()]
+        stems, marked, others = set(), [], []
+        for c in new.difference(words):
+            w = c.rstrip(MARKS)
+            if not w or not (w.isalpha() or latin(w.decode())):
+                others.append(c)
+            elif w is c:
+                words.append(c)
+            else:
+                marked.append((c, w))
+                stems.add(w)
+        known.update(self._letters([*words, *[w for w in stems if w not in known and w not in new]]))
+        others += {c[len(w) :] for c, w in marked}.difference(known, others)
         known.update(zip(others, self._encoded([c.decode() for c in others])))
-        known.update([(c, known[w] + known[tail]) for c, w, tail in marked])
+        for c, w in marked:
+            known[c] = known[w] + known[c[len(w) :]]
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         if not self.separate:
