@@ -118,7 +118,8 @@ def prepare_payloads(payloads: DataFrame) -> DataFrame:
     return payloads.select("path", sha.alias("content_sha256"), F.octet_length("content").cast("long").alias("byte_len"), place.alias("stored_path"))
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def open_shared(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path that all tasks see, and the path in it."""
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
@@ -132,7 +133,7 @@ def write_payloads(payloads: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, content in zip(batch.column("stored_path"), batch.column("content")):
-                system, path = _open(f"{folder}/{place.as_py()}")
+                system, path = open_shared(f"{folder}/{place.as_py()}")
                 if system.get_file_info(path).type == fs.FileType.NotFound:
                     part = f"{path}.{uuid.uuid4().hex}.part"
                     system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -141,7 +142,9 @@ def write_payloads(payloads: DataFrame, folder: str) -> DataFrame:
                     system.move(part, path)
             yield batch.drop_columns(["content"])
 
-    rows = prepare_payloads(payloads).join(payloads.select("path", "content"), "path")
+    sha = F.sha2("content", 256)
+    place = F.concat_ws("/", F.substring(sha, 1, 2), F.substring(sha, 3, 2), F.concat(sha, F.lit(".json.gz")))
+    rows = payloads.select("path", sha.alias("content_sha256"), F.octet_length("content").cast("long").alias("byte_len"), place.alias("stored_path"), "content")
     return rows.mapInArrow(write, "path string, content_sha256 string, byte_len bigint, stored_path string")
 
 
@@ -152,7 +155,7 @@ def verify_payloads(ledger: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             reasons = []
             for sha, place in zip(batch.column("content_sha256"), batch.column("stored_path")):
-                system, path = _open(f"{folder}/{place.as_py()}")
+                system, path = open_shared(f"{folder}/{place.as_py()}")
                 if system.get_file_info(path).type == fs.FileType.NotFound:
                     reasons.append("missing")
                     continue
@@ -168,6 +171,38 @@ def verify_payloads(ledger: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(check, "content_sha256 string, stored_path string, reason string").where("reason is not null")
 
 
+def stored_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """What lies below ``folder`` as (stored_path, stored_bytes), from listings alone: no content is read. Files without a byte are not listed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return spark.createDataFrame([], "stored_path string, stored_bytes long")
+    root = re.sub(r"^([a-z0-9]+):/+", r"\1:/", system.makeQualified(at).toString()).rstrip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    own = F.regexp_replace("path", r"^([a-z0-9]+):/+", "$1:/")
+    return listed.select(F.substring(own, len(root) + 2, 1 << 30).alias("stored_path"), F.col("length").alias("stored_bytes"))
+
+
+def payload_differences(ledger: DataFrame, stored: DataFrame) -> DataFrame:
+    """Where ledger (stored_path) and store (stored_path, stored_bytes) differ: (stored_path, difference), both ways.
+
+    missing: in the ledger only; not indexed: stored only; unfinished: what a broken write left. Several entries of one content are one place.
+    """
+    known = ledger.groupBy(F.col("stored_path").alias("_p")).agg(F.lit(True).alias("_known"))
+    both = stored.join(known, F.col("stored_path") == F.col("_p"), "full_outer")
+    difference = F.when(F.col("stored_path").isNull(), "missing").when(F.col("stored_path").endswith(".part"), "unfinished").when(F.col("_known").isNull(), "not indexed")
+    return both.select(F.coalesce("stored_path", "_p").alias("stored_path"), difference.alias("difference")).where("difference is not null")
+
+
+def payload_coverage(ledger: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: indexed places, stored files, their bytes, and how many of each difference there are."""
+    counts = payload_differences(ledger, stored).agg(*[F.count_if(F.col("difference") == d).alias(n) for d, n in (("missing", "missing"), ("not indexed", "not_indexed"), ("unfinished", "unfinished"))])
+    # Single rows, side by side.
+    one = F.lit(1).alias("_one")
+    sizes = stored.agg(F.count("*").alias("on_disk"), F.coalesce(F.sum("stored_bytes"), F.lit(0)).alias("stored_bytes"), one)
+    return ledger.agg(F.countDistinct("stored_path").alias("indexed"), one).join(sizes, "_one").join(counts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 @dataclass(frozen=True)
 class Commit:
     """A segment of a table that counts; its name, a marker file, holds all there is to know."""

@@ -336,6 +336,40 @@ def payload_dedupe(spark, d):
     return corpus.payload_coverage(p.payloads(spark, d))
 
 
+@query("""SELECT coalesce(k.content_sha256, s.content_sha256) AS stored_path, CASE WHEN s.content_sha256 IS NULL THEN 'missing' ELSE 'not indexed' END AS difference
+          FROM (SELECT DISTINCT p.content_sha256 FROM payloads p JOIN documents d ON p.doc_id = d.doc_id WHERE lang <> 'de') k
+          FULL OUTER JOIN (SELECT DISTINCT content_sha256 FROM payloads WHERE byte_len > 400) s ON k.content_sha256 = s.content_sha256
+          WHERE k.content_sha256 IS NULL OR s.content_sha256 IS NULL""", "payloads")
+def payload_differences(spark, d):
+    """A ledger of some documents against a store of others: what each has alone."""
+    rows = p.payloads(spark, d).withColumnRenamed("content_sha256", "stored_path")
+    some = spark.read.parquet(f"{d}/documents.parquet").where("lang <> 'de'").select("doc_id")
+    stored = rows.where("byte_len > 400").groupBy("stored_path").agg(F.max("byte_len").alias("stored_bytes"))
+    return store.payload_differences(rows.join(some, "doc_id", "left_semi"), stored)
+
+
+@query("""SELECT series_id, obs_date, min(realtime_start) AS realtime_start, max(realtime_end) AS realtime_end, any_value(value) AS value
+          FROM (SELECT *, sum(c) OVER (PARTITION BY series_id, obs_date ORDER BY realtime_start) AS run
+                FROM (SELECT series_id, obs_date, realtime_start, value, coalesce(lead(realtime_start) OVER w - 1, DATE '2024-12-31') AS realtime_end,
+                             CASE WHEN row_number() OVER w = 1 OR lag(value) OVER w IS DISTINCT FROM value THEN 1 ELSE 0 END AS c
+                      FROM macro WINDOW w AS (PARTITION BY series_id, obs_date ORDER BY realtime_start)))
+          GROUP BY series_id, obs_date, run""", "macro")
+def macro_windows(spark, d):
+    """Vintages cut at two days, as three windows of an archive would have them, and put together again."""
+    from pyspark.sql import Window
+
+    from vintara.sources import landing
+
+    day = lambda x: F.lit(x).cast("date")
+    w = Window.partitionBy("series_id", "obs_date").orderBy("realtime_start")
+    whole = p.macro(spark, d).withColumn("realtime_end", F.coalesce(F.date_sub(F.lead("realtime_start").over(w), 1), day("2024-12-31")))
+    low, high = [F.array(*map(day, x)) for x in (("1900-01-01", "2024-01-11", "2024-01-21"), ("2024-01-10", "2024-01-20", "2024-12-31"))]
+    rows = whole.select("*", F.posexplode(F.arrays_zip(low.alias("a"), high.alias("b"))).alias("k", "w")).where("realtime_start <= w.b and realtime_end >= w.a")
+    rows = rows.withColumns({"source_uri": F.col("k").cast("string"), "realtime_start": F.greatest("realtime_start", "w.a"), "realtime_end": F.least("realtime_end", "w.b")})
+    none = rows.select("source_uri", F.lit("").alias("reason")).where("false")
+    return landing.union_windows(landing.Parsed(rows, none)).rows.drop("source_uri")
+
+
 # Surveillance
 
 

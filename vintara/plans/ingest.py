@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from vintara import schemas
 from vintara.functions.hashing import canonical_hash, canonical_json
 from vintara.operators import store
 from vintara.operators.store import Warehouse
+from vintara.plans import service
 from vintara.sources import landing
 
 
@@ -89,6 +90,14 @@ class Ingestor:
         """Ledger entries whose stored content is missing or another one."""
         return store.verify_payloads(self.warehouse.read("raw_payloads"), self.payload_folder)
 
+    def payload_coverage(self) -> DataFrame:
+        """One row: how the ledger and what is stored agree, both ways."""
+        return store.payload_coverage(self.warehouse.read("raw_payloads"), store.stored_payloads(self.spark, self.payload_folder))
+
+    def quality(self, today: date) -> dict:
+        """The quality page of this warehouse."""
+        return service.quality(tables(self.warehouse), today, self.warehouse.read("ingest_runs"), self.payload_coverage())
+
     def new_documents(self, docs: DataFrame) -> DataFrame:
         """Those whose content no run has indexed."""
         return store.absent(docs, self.warehouse.read("raw_payloads"), ["content_sha256"])

@@ -67,20 +67,44 @@ def freshness(newest: date | None, today: date, gaps: int = 0) -> str:
     return "partial" if gaps else "fresh"
 
 
-def quality(tables: dict[str, DataFrame], today: date) -> dict:
+#: Tables whose absence is a gap; prices and macro data may be out of reach for good reasons.
+LOAD_BEARING = ("entities", "identifiers", "filings", "facts")
+
+
+def runs_by_source(runs: DataFrame) -> DataFrame:
+    """By source the number of runs, how many did not end well, and the last start."""
+    bad = F.count_if(F.col("status").isin("failed", "interrupted")).alias("not_well")
+    return runs.groupBy("source").agg(F.count("*").alias("runs"), bad, F.max("started_at").alias("last_started"))
+
+
+def quality(tables: dict[str, DataFrame], today: date, runs: DataFrame | None = None, coverage: DataFrame | None = None) -> dict:
+    """Coverage and lineage: rows, facts and revised ones, freshness with its gaps, and, given ``runs`` (a row for each) and ``coverage``
+    (of :func:`vintara.operators.store.payload_coverage`), the runs of each source and how ledger and store agree.
+
+    A ledger that lists less than is stored is reported, and is no gap: the contents are there under their hashes.
+    """
     keys = {r["key"]: r for r in corpus.right_and_wrong_key(tables["facts"]).collect()}
     newest = data_vintage(tables)
-    return {
-        "rows": {name: df.count() for name, df in tables.items()},
+    counts = {name: df.count() for name, df in tables.items()}
+    gaps = [f"{name}: 0 rows" for name in LOAD_BEARING if counts.get(name) == 0]
+    page = {
+        "rows": counts,
         "facts": keys["grain"]["facts"],
         "revised_facts": keys["grain"]["revised"],
         "data_vintage": newest,
-        "freshness": freshness(newest, today),
+        "gaps": gaps,
+        "freshness": freshness(newest, today, len(gaps)),
     }
+    if runs is not None:
+        page["ingest_runs"] = [r.asDict() for r in runs_by_source(runs).orderBy("source").collect()]
+    if coverage is not None:
+        page["payload_ledger"] = coverage.first().asDict()
+        page["payload_ledger"]["note"] = "complete" if not (page["payload_ledger"]["not_indexed"] or page["payload_ledger"]["missing"]) else "store and ledger differ"
+    return page
 
 
 def evidence_index(spark: SparkSession, folder: str) -> DataFrame:
     """Cards in a folder, newest first; files that are no cards are left out."""
-    schema = "study_id STRING, title STRING, generated_at STRING, repro_hash STRING, _corrupt STRING"
-    cards = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder).cache()
-    return cards.where("_corrupt is null and study_id is not null").drop("_corrupt").orderBy(F.desc("generated_at"), "study_id")
+    schema = "study_id STRING, title STRING, generated_at STRING, repro_hash STRING"
+    files = spark.read.format("binaryFile").load(folder).select(F.from_json(F.decode("content", "UTF-8"), schema).alias("c"))
+    return files.select("c.*").where("study_id is not null").orderBy(F.desc("generated_at"), "study_id")
