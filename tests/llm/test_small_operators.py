@@ -139,6 +139,24 @@ def plain_verdicts(docs, labels, risk, error):
     return {i: {r for r, c in chosen.get(stratum[i], {}).items() if found[i][1][r] >= c} for i in found}, chosen
 
 
+def test_repeated_documents_count_once_in_the_bound(spark):
+    """The same verdicts with every labelled row many times, under its id and as copies under others."""
+    good = [(k, f"plain words of a good{k} text that says{k} something a{k} b{k} c{k} " * 3) for k in range(700)]
+    bad = [(k, f"### $$$ %%% *** words &&& ||| <<< >>> ### bad text{k} here now it goes on and on to the end") for k in range(700, 780)]
+    good[7] = (7, bad[0][1] + " 7")
+    labels = [(k, int(k < 700)) for k in range(760)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    once = quality.risk_controlled_cutoffs(quality.measure(documents(spark, good + bad)), frame(labels).selectExpr("doc_id as id", "quality = 1 as good"))
+    copies = [(k + 10_000, t) for k, t in good + bad for _ in range(3)]
+    more = quality.risk_controlled_cutoffs(
+        quality.measure(documents(spark, (good + bad) * 4 + copies + [(3, "zz other text of 3")])), frame(labels * 2 + [(k + 10_000, q) for k, q in labels]).selectExpr("doc_id as id", "quality = 1 as good")
+    )
+    assert once and more == once
+    # Seven good documents stand for themselves only: no number of copies proves a cutoff.
+    few = quality.measure(documents(spark, [(k, t) for k, t in good[:7] + bad for _ in range(60)]))
+    assert quality.risk_controlled_cutoffs(few, frame(labels).selectExpr("doc_id as id", "quality = 1 as good")) == {}
+
+
 def test_verdicts_against_plain_python_with_cutoffs_in_all_strata(spark):
     import random
 
@@ -360,7 +378,9 @@ def test_scores_against_the_plain_kernel(spark):
 
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     held_apart = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    sample = language.labelled_sample(held_apart, "doc_id", "text", "lang", 12)
+    drawn = language.labelled_sample(held_apart, "doc_id", "text", "lang", 12)
+    texts = {language._codes(r["text"]).tobytes(): r["text"] for r in held_apart.collect() if r["text"]}
+    sample = [(lang, texts[codes.tobytes()]) for lang, codes in drawn]  # whole texts, however long
     assert {lang for lang, _ in sample} == {r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect()}
     model, (languages, score) = language.fit(sample, 5), plain_model(sample, 5, language.RIDGE)
     texts = [r["text"] for r in docs.limit(40).collect() if r["text"]] + ["ΑΣ Σ x\x1cy", "İi ǅ", "日本語 テキスト"]
@@ -377,7 +397,7 @@ def test_scores_against_the_plain_kernel(spark):
 
 
 def test_many_scripts_and_languages_are_told_apart(spark):
-    """Each language has letters of its own; one is labelled only on texts longer than the fit's share of a text."""
+    """Each language has letters of its own; one is labelled on very long texts only."""
     letters = [chr(p) for first in (0x4E00, 0xAC00) for p in range(first, first + 5 * 125)]
     texts = {f"l{k:03}": letters[5 * k : 5 * k + 5] for k in range(250)}
     docs = []

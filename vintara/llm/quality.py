@@ -93,13 +93,14 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [measure_text(x.as_py()) for x in batch.column("text")]
         columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *names])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *columns], ["id", "digest", *names])
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, MEASURES), one per row of ``docs``; null counts as empty."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_measured, f"id {rows.schema['id'].dataType.simpleString()}, {MEASURES}")
+    """Rows (id, digest, MEASURES), one per row of ``docs``, digest being the text's; null counts as empty."""
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest)
+    return rows.mapInArrow(_measured, f"id {rows.schema['id'].dataType.simpleString()}, digest string, {MEASURES}")
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -165,13 +166,18 @@ def _levels(good: dict[str, dict[int, int]], bad: dict[str, dict[int, int]]) ->
 def risk_controlled_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[tuple[int, str], int]:
     """Cutoff by (stratum, rule) from the measured documents that ``labels`` (id, good) calls good or bad.
 
-    A document with contradicting labels counts as good. The driver gets at most strata x rules x steps x 2 rows of counts.
+    A document with contradicting labels counts as good. For the bound documents have to be independent draws, so each id counts
+    once, with the text of the least digest, and of equal texts one does, under the least of their ids: good if any of them is.
+    The driver gets at most strata x rules x steps x 2 rows of counts.
     """
     known = labels.where("good is not null").groupBy("id").agg(F.max("good").alias("good"))
     # 1: for tuning, 0: holdout.
     tuning = (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("tuning")), F.lit(TUNING)) == 0).alias("tuning")
     steps = [_step(r).alias(r) for r in RULES]
-    held = materialize(measured.join(known, "id").select("good", tuning, _stratum().alias("stratum"), *steps), "held")
+    told = measured.join(known, "id").select("id", "digest", "good", F.struct(_stratum().alias("stratum"), *steps).alias("x"))
+    each = told.groupBy("id").agg(F.first("good").alias("good"), F.min(F.struct("digest", "x")).alias("m"))
+    once = each.groupBy("m.digest").agg(F.min("id").alias("id"), F.max("good").alias("good"), F.first("m.x").alias("x"))
+    held = materialize(once.select("good", tuning, "x.*"), "held")
 
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("x")
     counts: dict[tuple[int, bool], dict[str, dict[int, int]]] = {}
@@ -215,4 +221,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rejected = F.array_compact(F.array(*beyond)) if beyond else F.array().cast("array<string>")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = measured.withColumn("base_failed", base).withColumn("rejected_by", rejected)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).withColumnRenamed("id", id_col)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("digest").withColumnRenamed("id", id_col)
