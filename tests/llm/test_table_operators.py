@@ -243,6 +243,23 @@ def test_null_and_repeated_ids_are_mixed_apart(spark):
     assert not mixing.training_stream(documents(spark, [])).count()
 
 
+@pytest.mark.parametrize("repeat", ["over sources", "within a source", "all in one source"])
+def test_repeated_rows_have_uses_of_their_own(spark, repeat):
+    """Each source within half a document of its target, whatever rows repeat."""
+    text = lambda k: f"word{k} " * 100
+    docs = [(k, text(k), None, "a" if k < 10 else "b") for k in range(20)]
+    if repeat == "over sources":
+        docs += [(50, text(50), None, "a"), (50, text(50), None, "b")]
+    elif repeat == "within a source":
+        docs += [(5, text(5), None, "a")] * 6 + [(15, text(15), None, "b")] * 2
+    else:
+        docs = [(1, text(1), None, "a")] * 9 + [(1, text(1), None, "b")] * 30
+    targets, _ = plain_mix([(i, t, s) for i, t, _, s in docs])
+    got = Counter(r["source"] for r in mixing.training_stream(documents(spark, docs)).collect())
+    for s in ("a", "b"):
+        assert abs(100 * got[s] - targets[s]) <= 50, (s, got, targets)
+
+
 # Stages keep their rows and columns, whatever these are called
 
 

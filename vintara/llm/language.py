@@ -23,20 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_row
+from .common import materialize, whole_row
 
 UNDETERMINED = "und"
 #: Bits of a code point; three of them are one n-gram.
 POINT = 21
 #: The fit sees at most about so many texts of a language, and so many of them are landmarks.
 SAMPLE, LANDMARKS = 400, 48
-#: The fit sees so many characters of a text at most, from its beginning; all texts are scored whole.
-LONGEST_SAMPLED = 20_000
 RIDGE = 1e-3
 #: A filter drops texts whose best language scores less (0.5: as near to that language as to the rest).
 LEAST_SCORE = 0.3
-#: N-grams that the fit looks at together.
-BLOCK = 4096
+#: N-grams that are looked at together, texts that are scored together, and languages up to which counts are broadcast.
+BLOCK, TOGETHER, BROADCAST_LANGUAGES = 4096, 64, 10_000
 
 
 @lru_cache(1)
@@ -73,12 +71,23 @@ class Model:
         self.languages, self.vocabulary, self.weights = languages, vocabulary, weights
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: blocks of texts, presence of the n-grams that any of them has, times these n-grams' weights."""
         out = np.zeros((len(texts), len(self.languages)))
-        for k, text in enumerate(texts):
-            codes = _codes(text)
-            at, _ = _places(codes, self.vocabulary)
-            out[k] = self.weights[at].sum(axis=0, dtype=float) / np.sqrt(len(codes))
-        return out
+        for first in range(0, len(texts), TOGETHER):
+            some = [_codes(t) for t in texts[first : first + TOGETHER]]
+            lengths = np.array(list(map(len, some)))
+            at, found = _places(np.concatenate(some), self.vocabulary)
+            used, column = np.unique(at, return_inverse=True)
+            row = np.repeat(np.arange(len(some)), lengths)[found]
+            block = np.zeros((len(some), len(self.languages)))
+            for low in range(0, len(used), BLOCK):
+                inside = (column >= low) & (column < low + BLOCK)
+                presence = np.zeros((len(some), min(BLOCK, len(used) - low)))
+                presence[row[inside], column[inside] - low] = 1
+                block += presence @ self.weights[used[low : low + BLOCK]].astype(float)
+            out[first : first + len(some)] = block / np.sqrt(lengths)[:, None]
+        # The order of sums hangs on the block; equal texts have equal scores.
+        return out.round(9)
 
 
 def _places(codes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +97,12 @@ def _places(codes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.n
     return at[found], found
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """rows: (language, text), in a fixed order. None if there is nothing to learn from."""
+def fit(rows: list[tuple[str, str | np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """rows: (language, text or its n-grams), in a fixed order. None if there is nothing to learn from."""
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
-    sets = [_codes(t) for _, t in rows]
+    sets = [_codes(t) if isinstance(t, str) else t for _, t in rows]
     taken: Counter = Counter()
     marks = []
     for k, (lang, _) in enumerate(rows):
@@ -132,11 +141,11 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return Model(languages, vocabulary, np.concatenate([part[marks].T @ coefficients for _, part in slices()]))
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """Rows (language, text) to fit on, in a fixed order: about ``sample`` texts of each language, drawn by a digest of id and text.
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> list[tuple[str, np.ndarray]]:
+    """Rows (language, distinct n-grams of the whole text) to fit on, in a fixed order: about ``sample`` texts of each language, drawn by a digest of id and text.
 
     Every labelled row counts towards a language's number of rows, from which its share is fixed; so no language meets in
-    one task, and the driver holds about languages x sample texts, of each its first ``LONGEST_SAMPLED`` characters. All
+    one task, and the driver holds the n-grams of about languages x sample texts, each once, made where the text is. All
     languages are drawn from; the row with the least digest is always
     taken. Rows that repeat are drawn once; rows without a language and blank texts are not drawn.
     """
@@ -145,10 +154,19 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.crc32(name) / F.lit(2.0**32)).alias("d"))
     counts = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.min("d").alias("least"))
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
-    # As many rows as languages, fewer than the driver gets texts below; without this all texts of a language would meet in one task.
-    drawn = rows.join(F.broadcast(counts), F.col("lang") == F.col("of")).where((F.col("d") < share) | (F.col("d") == F.col("least")))
-    picked = drawn.groupBy("lang", "d").agg(F.min(F.substring("text", 1, LONGEST_SAMPLED)).alias("text"))
-    return [(r["lang"], r["text"]) for r in picked.orderBy("d", "lang").collect()]
+    counts = materialize(counts, "languages")
+    # A row for each language; more than could be broadcast safely meet by language, and Spark splits large ones.
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
+    drawn = rows.join(counts, F.col("lang") == F.col("of")).where((F.col("d") < share) | (F.col("d") == F.col("least")))
+    picked = drawn.groupBy("lang", "d").agg(F.min("text").alias("text"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [_codes(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("d"), pa.array(codes, pa.binary())], ["lang", "d", "codes"])
+
+    kept = picked.mapInArrow(grams, "lang string, d double, codes binary")
+    return [(r["lang"], np.frombuffer(r["codes"], np.int64)) for r in kept.orderBy("d", "lang").collect()]
 
 
 def _predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

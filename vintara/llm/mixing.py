@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, n_words, whole_row
+from .common import WORD, materialize, n_words, quoted, whole_row
 
 #: Relative weight schedules as (time, weight) knots, given to sources in turn: constant, rising, falling.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)))
@@ -73,9 +73,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     return sources.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"), (F.col("place") % n_schedules).alias("schedule"))
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_repeats: int, schedules: Sequence, bucket_rows: int) -> DataFrame:
-    """Rows of ``docs`` as (id, digest, size, source_size, target, taken, start, quota, schedule)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _digest(id_col, text_col).alias("digest"))
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_repeats: int, schedules: Sequence, bucket_rows: int, number: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``docs`` as (id, digest, size, source_size, target, taken, start, quota, schedule) and ``number``, which tells rows apart that are equal in all of that."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _digest(id_col, text_col).alias("digest"), *number)
     rows = materialize(rows, "sizes")
     digits = 1
     while 16**digits * bucket_rows < rows.count():
@@ -87,14 +87,14 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     targets = source_targets(buckets, weights, max_repeats, len(schedules)).withColumnRenamed("source", "s")
     plan = materialize(offsets.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("source"), "plan")
 
-    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id", "size", *number).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     rows = rows.withColumn("start", F.col("offset") + F.col("before")).withColumn("quota", F.round("target").cast("long"))
     rows = rows.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0))
     part = F.least(F.col("size"), F.col("quota") - F.col("passes") * F.col("source_size") - F.col("start"))
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), part)
-    return rows.select("id", "digest", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "quota", "schedule")
+    return rows.select("id", "digest", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "quota", "schedule", *number)
 
 
 def _digest(id_col: str, text_col: str) -> Column:
@@ -124,18 +124,20 @@ def training_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document taken twice stands twice. Documents are used whole: the one at its source's target, which the mix takes
     in part, has one more use if that part is at least half of it, so a source's words differ from its target by at most
-    half a document. Documents without a use have no row. Null is a source like any other; rows that repeat id, text and
-    source have the uses of the first of them each. Columns may have any names; an empty table gives no rows.
+    half a document. Documents without a use have no row. Null is a source like any other. Rows are numbered first, so those that
+    repeat an id or a text, in one source or several, have uses of their own. Columns may have any names; an empty table gives no rows.
     """
-    rows = _decided(docs, id_col, text_col, source_col, weights, max_repeats, schedules, bucket_rows).where("taken > 0")
+    # The row's number is written with the row: what is read again has the same one.
+    numbered = materialize(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "numbered")
+    inside = [F.col(f"row.{quoted(c)}").alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))]
+    rows = _decided(numbered.select(*inside, "number"), "id", "text", "source", weights, max_repeats, schedules, bucket_rows, ("number",)).where("taken > 0")
     rows = rows.withColumn("uses", F.round(F.col("taken") / F.col("size")).cast("int")).where("uses > 0")
-    first = F.min(F.struct("start", "uses", "source_size", "quota", "schedule")).alias("m")
-    rows = materialize(rows.groupBy(F.col("digest").alias("own")).agg(first), "decided").hint("merge")
-    out = docs.select(whole_row(docs), _digest(id_col, text_col).alias("digest")).join(rows, F.col("digest") == F.col("own"))
-    out = out.withColumn("use", F.explode(F.sequence(F.lit(0), F.col("m.uses") - 1)))
-    share = (F.col("m.start") + F.col("use") * F.col("m.source_size")) / F.col("m.quota")
-    position = _position(F.least(share, F.lit(1.0)), schedules, F.col("m.schedule"))
-    return out.withColumn("position", position).orderBy("position", "digest", "use").select("row.*")
+    rows = materialize(rows.select(F.col("number").alias("own"), "digest", "start", "uses", "source_size", "quota", "schedule"), "decided").hint("merge")
+    out = numbered.join(rows, F.col("number") == F.col("own")).withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
+    share = (F.col("start") + F.col("use") * F.col("source_size")) / F.col("quota")
+    position = _position(F.least(share, F.lit(1.0)), schedules, F.col("schedule"))
+    return out.withColumn("position", position).orderBy("position", "digest", "number", "use").select("row.*")
+
 
 
 SQL = f"""
