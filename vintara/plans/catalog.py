@@ -462,6 +462,12 @@ def backfill_links(spark, d):
     return store.missing_links(filings, delivered)
 
 
+@query("SELECT accn, cik, starts_with(accn, lpad(CAST(cik AS VARCHAR), 10, '0')) AS is_primary FROM filings f WHERE NOT EXISTS (SELECT 1 FROM filing_filers l WHERE l.accn = f.accn AND l.cik = f.cik AND NOT l.is_primary)", "filings", "filing_filers")
+def backfill_links_of_joint_filings(spark, d):
+    """Against the links of co-registrants alone: a joint filing has a link, and lacks that of the company that submitted it."""
+    return store.missing_links(p.filings(spark, d), p.filing_filers(spark, d).where("not is_primary"))
+
+
 @query("""SELECT accn, coalesce(a.cik, b.cik) AS cik, coalesce(a.form, b.form) AS form, least(a.disseminated_at, b.disseminated_at) AS disseminated_at
           FROM (SELECT * FROM filings WHERE filed_at < DATE '1997-01-01') a FULL OUTER JOIN (SELECT accn, cik, form, filed_at + 3 AS disseminated_at FROM filings) b USING (accn)""", "filings")
 def dissemination_least(spark, d):
