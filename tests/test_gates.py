@@ -133,3 +133,37 @@ def test_mutants_are_noticed(spark, duck, monkeypatch, mutant):
     assert not holds(spark, duck, mutant.check)
     monkeypatch.undo()
     assert holds(spark, duck, mutant.check)
+
+
+# Imports
+
+
+def reached(module: str) -> set[str]:
+    """All modules of the package that importing ``module`` leads to, by way of others too."""
+    import ast
+    from pathlib import Path
+
+    import vintara
+
+    root, seen, left = Path(vintara.__file__).parent, set(), [module]
+    while left:
+        name = left.pop()
+        path = root.joinpath(*name.split(".")[1:])
+        path = path / "__init__.py" if path.is_dir() else path.with_suffix(".py")
+        if name in seen or not path.exists():
+            continue
+        seen.add(name)
+        for node in ast.walk(ast.parse(path.read_text())):
+            if isinstance(node, ast.Import):
+                left += [a.name for a in node.names if a.name.startswith("vintara")]
+            elif isinstance(node, ast.ImportFrom) and (node.module or "").startswith("vintara"):
+                left += [node.module, *(f"{node.module}.{a.name}" for a in node.names)]
+    return seen
+
+
+@pytest.mark.parametrize("module", ["asof", "views", "features", "panel", "backtest", "joins", "forensics"])
+def test_what_sees_later_reports_is_out_of_reach_of_research(module):
+    found = reached(f"vintara.operators.{module}")
+    assert f"vintara.operators.{module}" in found
+    assert not found & {"vintara.operators.corpus", "vintara.operators.store", "vintara.plans.service", "vintara.plans.ingest"} and not [n for n in found if n.startswith("vintara.llm")]
+    assert "vintara.operators.corpus" in reached("vintara.plans.service")  # the search does find what is there

@@ -108,3 +108,20 @@ def test_ledger_and_store_are_compared_both_ways(spark, tmp_path):
     assert page["payload_ledger"]["missing"] == 1 and page["payload_ledger"]["note"] != "complete"
     assert page["gaps"] == ["facts: 0 rows", "filings: 0 rows", "entities: 0 rows"] or set(page["gaps"]) == {"facts: 0 rows", "filings: 0 rows", "entities: 0 rows"}
     assert page["ingest_runs"][0]["source"] == "tickers" and page["ingest_runs"][0]["runs"] == 1 and json.dumps(page, default=str)
+
+
+def test_cards_hash_all_they_state_but_the_time():
+    from dataclasses import replace
+
+    card = ledgers.EvidenceCard(
+        "s", "Title", "2024-01-01", "c0ffee", 3, {"share": 0.123456789}, ("small",), "now", "high beats low", "it does not", "family", {"universe": "sample", "from": date(2020, 1, 1)},
+        ({"label": "a", "sharpe": 0.5},), (ledgers.Comparison("a - b", 2.0, 1.0),), {"pbo": 0.25, "infinite": float("inf")},
+    )
+    body = card.body()
+    assert body["comparisons"] == [{"label": "a - b", "left": "2.00000000", "right": "1.00000000", "difference": "1.00000000", "relative": "1.00000000"}]
+    assert body["statistics"] == {"pbo": "0.25000000", "infinite": None} and body["provenance"]["from"] == "2020-01-01"
+    assert replace(card, generated_at="later").repro_hash == card.repro_hash
+    for other in ({"verdict": "it does"}, {"arms": ({"label": "a", "sharpe": 0.6},)}, {"comparisons": ()}, {"trial_family": "other"}, {"provenance": {}}):
+        assert replace(card, **other).repro_hash != card.repro_hash
+    text = card.to_markdown()
+    assert "high beats low" in text and "a - b" in text and json.loads(card.to_json())["hypothesis"] == "high beats low"

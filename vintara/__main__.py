@@ -66,17 +66,17 @@ def main(argv: list[str] | None = None) -> int:
         all_tables = tables(warehouse)
         cik = service.resolve(all_tables, args.ticker)
         if args.command == "asof":
-            rows = AsOf(all_tables, args.on).facts(cik, args.concept, limit=args.limit)
+            rows = AsOf(all_tables, args.on).marked_facts(cik, args.concept)
             label = scalars.period_label(F.col("period_start"), F.col("period_end")).alias("period")
-            # What the same figure became later, for comparison only; the mark shows where the two differ.
+            # What the same figure became later, for comparison only.
             last = Window.partitionBy(*schemas.GRAIN).orderBy(*[F.col(c).desc() for c in schemas.CHAIN_ORDER])
             today = all_tables["facts"].where((F.col("cik") == cik) & (F.col("concept") == args.concept)).withColumn("_r", F.row_number().over(last)).where("_r = 1")
             today = today.select(*[F.col(c).alias(f"_{c}") for c in schemas.GRAIN], F.col("value").alias("_today"))
             same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in schemas.GRAIN])
             rows = rows.join(today, same, "left").orderBy(F.desc("period_end"), F.desc("knowledge_date"))
-            mark = F.when(F.col("value") != F.col("_today"), "*").otherwise("").alias("restated")
+            drift = F.when((F.col("value") != F.col("_today")) & (F.col("value") != 0), F.format_string("%+.2f %%", (F.col("_today") - F.col("value")).cast("double") / F.col("value").cast("double") * 100)).alias("difference")
             value = lambda c, n: scalars.abbreviated(F.col(c)).alias(n)
-            rows.select(label, "unit", value("value", "value"), value("_today", "as it stands today"), mark, "knowledge_date", "accn").show(args.limit, truncate=False)
+            rows.select(label, "unit", value("value", "value"), "mark", value("_today", "as it stands today"), drift, "knowledge_date", "report_seq", "accn").show(args.limit, truncate=False)
         else:
             n, rows = service.revisions(all_tables, cik, args.on, concept=args.concept, min_change=args.min_change, limit=args.limit)
             print(f"{n} revisions")

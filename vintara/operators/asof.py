@@ -98,6 +98,11 @@ class AsOf:
             return out
         return out.orderBy(F.desc("period_end"), "unit", "period_start").limit(limit)
 
+    def marked_facts(self, cik=None, concept=None, *, period_end=None, period_start=None, taxonomy=DEFAULT_TAXONOMY, unit=None) -> DataFrame:
+        """The rows of :meth:`facts` with what a reader wants to know of each, see :func:`with_fact_properties`. One exchange serves both windows."""
+        chain = facts_pit(self._pick(self.tables["facts"], cik, concept, period_end, period_start, taxonomy, unit))
+        return with_fact_properties(guard(latest_per_grain(self._known(chain)), self.as_of))
+
     def fact(self, cik, concept, *, period_end=None, period_start=None, taxonomy=DEFAULT_TAXONOMY, unit=None) -> Row:
         """The newest period's fact; raises if there is none, or if several periods share its end."""
         rows = self.facts(cik, concept, period_end=period_end, period_start=period_start, taxonomy=taxonomy, unit=unit)
@@ -201,6 +206,25 @@ def _one(rows: DataFrame, what: str) -> Row:
     return first
 
 
+def with_fact_properties(chain: DataFrame) -> DataFrame:
+    """Rows of a chain with is_first_report, value_ever_changed, age_days (from the period's end to its becoming known), pin and mark.
+
+    pin says how to ask for this very period; mark is restated where the value differs from the first report, re-presented where a later
+    filing repeats it, empty for first reports: the place in the chain alone restates nothing.
+    """
+    first = F.col("report_seq") == 1
+    mark = F.when(F.col("differs_from_first_report"), "restated").when(first, "").otherwise("re-presented")
+    return chain.withColumns(
+        {
+            "is_first_report": first,
+            "value_ever_changed": F.col("period_distinct_values") > 1,
+            "age_days": F.datediff("knowledge_date", "period_end").cast("long"),
+            "pin": F.coalesce(F.col("period_start").cast("string"), F.lit("instant")),
+            "mark": mark,
+        }
+    )
+
+
 def with_revision_measures(revisions: DataFrame) -> DataFrame:
     """relative_change (null from a zero base), absolute_change, days_between, in double where the reference value may be divided."""
     old, new = F.col("prior_value").cast("double"), F.col("value").cast("double")

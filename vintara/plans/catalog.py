@@ -142,6 +142,14 @@ def first_reported(spark, d):
     return AsOf(tables(spark, d), DAY).first_reported(taxonomy=None).select(*_FACT)
 
 
+@query(f"""SELECT {GRAIN}, value, accn, knowledge_date, report_seq, report_seq = 1 AS is_first_report, period_distinct_values > 1 AS value_ever_changed, date_diff('day', period_end, knowledge_date) AS age_days,
+            coalesce(CAST(period_start AS VARCHAR), 'instant') AS pin, CASE WHEN differs_from_first_report THEN 'restated' WHEN report_seq = 1 THEN '' ELSE 're-presented' END AS mark
+          FROM (SELECT *, row_number() OVER (PARTITION BY {GRAIN} ORDER BY knowledge_date DESC, accn DESC, value DESC) AS r FROM facts_pit WHERE knowledge_date <= DATE '2000-06-30') WHERE r = 1""", "facts_pit")
+def asof_marks(spark, d):
+    rows = AsOf(tables(spark, d), DAY).marked_facts(taxonomy=None)
+    return rows.select(*_FACT, "report_seq", "is_first_report", "value_ever_changed", "age_days", "pin", "mark")
+
+
 @query(_LATEST.format("true"), "facts")
 def latest_restated(spark, d):
     return AsOf(tables(spark, d), DAY).unsafe_latest_restated(taxonomy=None).select(*_FACT)

@@ -11,7 +11,7 @@ import io
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 from datetime import date, datetime
 from decimal import ROUND_HALF_EVEN, Decimal
 from pathlib import Path
@@ -250,9 +250,26 @@ class Comparison:
         return None if self.right == 0 else (self.left - self.right) / abs(self.right)
 
 
+def _stated(value: Any) -> Any:
+    """Floats as texts of fixed places, dates as ISO texts, comparisons with what follows from them; the rest as it is."""
+    if isinstance(value, float):
+        return fixed(value)
+    if isinstance(value, Comparison):
+        return _stated({"label": value.label, "left": value.left, "right": value.right, "difference": value.difference, "relative": value.relative})
+    if isinstance(value, dict):
+        return {k: _stated(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_stated(v) for v in value]
+    return value.isoformat() if isinstance(value, (date, datetime)) else value
+
+
 @dataclass(frozen=True)
 class EvidenceCard:
-    """A study's result; its hash covers everything but the time of writing."""
+    """A study's result; its hash covers everything but the time of writing.
+
+    arms are the summaries of what was compared, comparisons their differences, provenance where data and universe come from; trials
+    counts the attempts of the family in the ledger.
+    """
 
     study_id: str
     title: str
@@ -262,12 +279,16 @@ class EvidenceCard:
     findings: dict[str, Any] = field(default_factory=dict)
     caveats: tuple[str, ...] = ()
     generated_at: str = ""
+    hypothesis: str = ""
+    verdict: str = ""
+    trial_family: str = ""
+    provenance: dict[str, Any] = field(default_factory=dict)
+    arms: tuple[dict[str, Any], ...] = ()
+    comparisons: tuple[Comparison, ...] = ()
+    statistics: dict[str, Any] = field(default_factory=dict)
 
     def body(self) -> dict[str, Any]:
-        plain = asdict(self)
-        plain.pop("generated_at")
-        plain["findings"] = {k: fixed(v) if isinstance(v, float) else v for k, v in self.findings.items()}
-        return plain
+        return {f.name: _stated(getattr(self, f.name)) for f in fields(self) if f.name != "generated_at"}
 
     @property
     def repro_hash(self) -> str:
@@ -278,7 +299,10 @@ class EvidenceCard:
 
     def to_markdown(self) -> str:
         lines = [f"# {self.title}", "", f"Data of {self.data_vintage}, {self.trials} trials, hash `{self.repro_hash}`.", "", "| finding | value |", "|---|---|"]
-        lines += [f"| {k} | {v} |" for k, v in self.body()["findings"].items()]
+        body = self.body()
+        lines += [f"| {k} | {v} |" for k, v in (body["findings"] | body["statistics"]).items()]
+        lines += [f"| {c['label']} | {c['left']} against {c['right']}: {c['difference']} |" for c in body["comparisons"]]
+        lines[2:2] = [x for x in (self.hypothesis, "", self.verdict, "") if x or self.hypothesis or self.verdict]
         return "\n".join([*lines, "", *(f"- {c}" for c in self.caveats), ""])
 
     def write(self, folder: str | Path) -> None:
