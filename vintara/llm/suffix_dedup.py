@@ -15,8 +15,9 @@ does not depend on how many shards there are:
    smallest document. Rows meet by name; their strings are put in order of digests, in pieces of bounded size, which are
    merged by binary search. The answer is a bit per string: another shard has it in a smaller document. So a passage of very many
    documents is a row per shard, and a name that very many different strings share is dealt out string by string (``hot``).
-4. The shards find all places of such strings, by suffix arrays of the runs that have their names, mark the bytes under
-   them and hash what is left.
+4. With the segments travels what a shard's suffix arrays say of its own strings, in stretches of neighbours: which of them a smaller
+   document of the shard has, and which are further copies of an asked one. It comes back with the answers, so the marking
+   sorts nothing: it flags the places of such strings, goes over the bytes under them and hashes what is left.
 
 Texts travel packed: the documents that a task has for a shard are one row, so there are never more rows than documents.
 
@@ -31,6 +32,8 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,16 +72,23 @@ def minimizers(raw: np.ndarray) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if width > span else h
 
 
-class Shard:
-    """A shard's documents in order of id, and the runs of neighbouring strings with one minimizer."""
+class Documents:
+    """A shard's documents in order of id."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes | None], bits: int):
+    def __init__(self, ids: list[int | None], texts: list[bytes | None]):
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or b""))
         self.ids = [ids[k] for k in order]
         self.numbers = np.array([i or 0 for i in self.ids], np.int64)
         self.texts = [texts[k] or b"" for k in order]
         #: Where each text would begin if they were joined.
         self.begin = np.cumsum([0, *map(len, self.texts)])
+
+
+class Shard(Documents):
+    """A shard's documents, and the runs of neighbouring strings with one minimizer."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes | None], bits: int):
+        super().__init__(ids, texts)
         found = list(self._runs(np.uint64(64 - bits)))
         empty = np.zeros(0, np.int64)
         #: By run its name, document, place in it and number of strings; in order of document and place.
@@ -121,10 +131,6 @@ class Shard:
             names = ((m[starts] * _A) >> spare).astype(np.int64)
             yield names, doc[part], place[part] + starts - begin[part], counts
 
-    def run_at(self, at: np.ndarray) -> np.ndarray:
-        """The runs in which strings begin at these places of the joined texts."""
-        return np.searchsorted(self.begin[self.doc] + self.place, at, "right") - 1
-
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct names, sorted, and their numbers of runs."""
         return np.unique(self.name, return_counts=True)
@@ -410,28 +416,61 @@ class Candidates:
                 sizes = count[own] + LENGTH - 1
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw[_ranges(at[own], sizes)])])
-                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ref[own]), pa.array(doc[own]), data], schema=_SEND)
-
-    def repeats(self, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By piece: documents and places of the strings that a smaller document has; ``at``: the strings, by place in the joined texts, that other shards have so."""
-        out = []
-        smaller: list[np.ndarray] = []
-        asked = np.zeros(int(self.shard.begin[-1]) + 1, bool)
-        asked[at] = True
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ref[own]), pa.array(doc[own]), data, pa.array(np.zeros(len(sizes), bool))], schema=_SEND)
+
+    def state(self) -> bytes:
+        """What the marking needs to know of the sorted pieces: the strings that a smaller document of the shard has, and of the others
+        those that are not the first of their kind, whose answer is that of the first. Both come in stretches of neighbours."""
+        kind = np.int32 if self.shard.begin[-1] < 1 << 31 else np.int64
+        hits: list[np.ndarray] = []
+        copies: list[np.ndarray] = []
+        firsts: list[np.ndarray] = []
         for k, piece in enumerate(self.pieces):
             runs = self.runs[self.parts[k]]
-            n, doc, place = self.shard.count[runs], self.shard.doc[runs], self.shard.place[runs]
-            here = np.zeros(len(piece.heads), bool)
-            here[piece.group[asked[_ranges(self.shard.begin[doc] + place, n)]]] = True
-            for j, earlier in enumerate(smaller):
+            n, doc = self.shard.count[runs], self.shard.doc[runs]
+            at = _ranges(self.shard.begin[doc] + self.shard.place[runs], n).astype(kind)
+            smaller = np.repeat(self.shard.numbers[doc], n) > piece.least[piece.group]
+            first = np.empty(len(piece.heads), kind)
+            first[piece.group[::-1]] = at[::-1]
+            for j, earlier in enumerate(firsts):
                 known = piece.origin[0] == j
-                here[known] |= earlier[piece.origin[1, known]]
-            smaller.append(here)
-            hit = np.flatnonzero(here[piece.group] | (np.repeat(self.shard.numbers[doc], n) > piece.least[piece.group]))
-            ends = np.cumsum(n)
-            run = np.searchsorted(ends, hit, "right")
-            out.append((doc[run], place[run] + hit - (ends - n)[run]))
-        return out
+                first[known] = earlier[piece.origin[1, known]]
+            firsts.append(first)
+            hits.append(_stretches(at[smaller]))
+            rest = np.flatnonzero(~smaller & np.repeat(self.across[self.parts[k]], n))
+            rest = rest[first[piece.group[rest]] != at[rest]]
+            copies.append(_stretches(at[rest], first[piece.group[rest]]))
+        both = [np.concatenate(x, axis=1) if x else np.zeros((w, 0), np.int64) for x, w in ((hits, 2), (copies, 3))]
+        return zstandard.compress(np.array([x.shape[1] for x in both], "<i8").tobytes() + b"".join(x.astype("<i8").tobytes() for x in both), 1)
+
+
+def _stretches(at: np.ndarray, source: np.ndarray | None = None) -> np.ndarray:
+    """Ascending places as rows (first, how many), with a third for where their sources begin, which go along with them."""
+    new = np.ones(len(at), bool)
+    new[1:] = np.diff(at) != 1
+    if source is not None:
+        new[1:] |= np.diff(source) != 1
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(at)))
+    return np.stack([at[first].astype(np.int64), counts, *([] if source is None else [source[first].astype(np.int64)])])
+
+
+def covered(length: int, told: np.ndarray, state: bytes) -> np.ndarray:
+    """By byte of the joined texts whether it goes. told: places of the first strings of their kind that other shards have in smaller documents."""
+    raw = np.frombuffer(zstandard.decompress(state), "<i8")
+    n_hits = int(raw[0])
+    hits, copies = raw[2 : 2 + 2 * n_hits].reshape(2, -1), raw[2 + 2 * n_hits :].reshape(3, -1)
+    flagged = np.zeros(length, bool)
+    flagged[told] = True
+    at = _ranges(copies[0], copies[1])
+    again = at[flagged[_ranges(copies[2], copies[1])]]
+    flagged[again] = True
+    others = _stretches(np.flatnonzero(flagged))
+    steps = np.zeros(length + 1, np.int32)
+    for first, n in (hits, others):
+        steps[first] += 1  # stretches are apart, so are their ends
+        steps[first + n + LENGTH - 1] -= 1
+    return np.cumsum(steps[:-1]) > 0
 
 
 def _digest(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -446,10 +485,10 @@ def _digest(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 _NAMES = pa.schema([("name", pa.int64()), ("tag", pa.int64())])
 _SHARED = pa.schema([("shard", pa.int32()), ("name", pa.int64()), ("hot", pa.bool_())])
-_TOLD = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("bits", pa.binary())])
+_TOLD = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("bits", pa.binary()), ("state", pa.bool_())])
 _PACKED = pa.schema([("shard", pa.int32()), ("pack", pa.binary())])
 _TEXTS = pa.schema([("id", pa.int64()), ("text", pa.string())])
-_SEND = pa.schema([("bin", pa.int64()), ("ref", pa.int64()), ("doc", pa.int64()), ("data", pa.binary())])
+_SEND = pa.schema([("bin", pa.int64()), ("ref", pa.int64()), ("doc", pa.int64()), ("data", pa.binary()), ("state", pa.bool_())])
 _OUT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 #: A row's tag is the shard's number and, in so many bits, its runs of the name.
 _RUNS = 20
@@ -479,18 +518,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(shard[order][cuts], pa.int32()), pa.array(packs, pa.binary())], schema=_PACKED)
 
 
-def _shard(rows: pa.Table, bits: int) -> Shard:
+def _unpacked(rows: pa.Table) -> tuple[list[int | None], list[bytes | None]]:
     ids, texts = [], []
     for pack in rows.column("pack"):
         table = pa.ipc.open_stream(pack.as_buffer()).read_all()
         ids += table.column("id").to_pylist()
         texts += table.column("text").cast(pa.binary()).to_pylist()
-    return Shard(ids, texts, bits)
+    return ids, texts
 
 
 def _name(bits: int):
     def name(rows: pa.Table) -> pa.Table:
-        names, runs = _shard(rows, bits).names()
+        names, runs = Shard(*_unpacked(rows), bits).names()
         tags = (rows.column("shard")[0].as_py() << _RUNS) + np.minimum(runs, (1 << _RUNS) - 1)
         return pa.Table.from_arrays([pa.array(names), pa.array(tags)], schema=_NAMES)
 
@@ -532,11 +571,13 @@ def across(shard: Shard, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarra
 
 def _send(bits: int, sorted_bytes: int, bins: int):
     def send(rows: pa.Table, said: pa.Table) -> pa.Table:
-        if not len(rows) or not len(said):
+        """The segments that the others are asked about, and the shard's own state, which comes back with the answers."""
+        if not len(rows):
             return _SEND.empty_table()
-        shard = _shard(rows, bits)
+        shard, number = Shard(*_unpacked(rows), bits), rows.column("shard")[0].as_py()
         found = Candidates(shard, *across(shard, said.column("name").to_numpy(), said.column("hot").to_numpy()), sorted_bytes)
-        return pa.Table.from_batches(list(found.rows(rows.column("shard")[0].as_py(), bins)), schema=_SEND)
+        state = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number % bins, number << _PLACE, 0, found.state(), True), _SEND)], schema=_SEND)
+        return pa.Table.from_batches([state, *found.rows(number, bins)], schema=_SEND)
 
     return send
 
@@ -545,6 +586,12 @@ def _sort(sorted_bytes: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition has all segments of its keys; back go those of which another shard has a string in a smaller document."""
         rows = _gathered(batches, _SEND)
+        states = rows.filter(rows.column("state"))
+        for k in range(len(states)):
+            own = states.slice(k, 1)
+            columns = [pa.array([own.column("ref")[0].as_py() >> _PLACE], pa.int32()), pa.array([0], pa.int64()), own.column("data").combine_chunks(), pa.array([True])]
+            yield pa.RecordBatch.from_arrays(columns, schema=_TOLD)
+        rows = rows.filter(pc.invert(rows.column("state")))
         if not len(rows):
             return
         flags, strings = smaller_elsewhere(rows.column("data").to_pylist(), rows.column("doc").to_numpy(), sorted_bytes)
@@ -555,7 +602,7 @@ def _sort(sorted_bytes: int):
             part = told[k : k + (1 << 14)]
             bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip((ends - strings)[part].tolist(), ends[part].tolist())]
             own = ref[part]
-            columns = [pa.array((own >> _PLACE).astype(np.int32)), pa.array(own & ((1 << _PLACE) - 1)), pa.array(bits, pa.binary())]
+            columns = [pa.array((own >> _PLACE).astype(np.int32)), pa.array(own & ((1 << _PLACE) - 1)), pa.array(bits, pa.binary()), pa.array(np.zeros(len(bits), bool))]
             yield pa.RecordBatch.from_arrays(columns, schema=_TOLD)
 
     return sort
@@ -568,31 +615,18 @@ def _told(places: np.ndarray, bits: list[bytes]) -> np.ndarray:
     return _ranges(places, n)[said]
 
 
-def _remove(bits: int, sorted_bytes: int, schema: pa.Schema, with_kept: bool):
+def _remove(schema: pa.Schema, with_kept: bool):
     def remove(rows: pa.Table, said: pa.Table) -> pa.Table:
         out = []
         if len(rows):
-            shard = _shard(rows, bits)
-            at = _told(said.column("place").to_numpy(), said.column("bits").to_pylist())
-            told = np.zeros(len(shard.name), bool)
-            told[shard.run_at(at)] = True
-            names = shard.name[told]
-            found = Candidates(shard, *across(shard, names, np.zeros(len(names), bool)), sorted_bytes)
-            repeats = found.repeats(at)
-            doc, place = (np.concatenate(x) for x in zip(*repeats)) if repeats else [np.zeros(0, np.int64)] * 2
-            edges = np.searchsorted(doc, np.arange(len(shard.ids) + 1)).tolist()
-            for k, (own, text) in enumerate(zip(shard.ids, shard.texts)):
-                removed = spans = 0
-                kept = text
-                at = place[edges[k] : edges[k + 1]]
-                if len(at):
-                    steps = np.zeros(len(text) + 1, np.int32)
-                    steps[at] += 1
-                    steps[at + LENGTH] -= 1
-                    gone = np.cumsum(steps[:-1]) > 0
-                    removed = int(np.count_nonzero(gone))
-                    spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+            docs, answers = Documents(*_unpacked(rows)), said.filter(pc.invert(said.column("state")))
+            state = said.filter(said.column("state")).column("bits")[0].as_py()
+            gone_at = covered(int(docs.begin[-1]), _told(answers.column("place").to_numpy(), answers.column("bits").to_pylist()), state)
+            for k, (own, text) in enumerate(zip(docs.ids, docs.texts)):
+                gone = gone_at[docs.begin[k] : docs.begin[k + 1]]
+                removed = int(np.count_nonzero(gone))
+                spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if removed else 0
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if removed else text
                 row = (own, len(text), removed, spans, sha256(kept).hexdigest())
                 out.append((*row, kept) if with_kept else row)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
@@ -622,5 +656,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(bits, sorted_bytes, 32 * shards), _ddl(_SEND))
     told = sent.repartition(2 * shards, "bin").mapInArrow(_sort(2 * sorted_bytes), _ddl(_TOLD))
     schema = pa.schema([("id", pa.int64()), *_OUT, *([("kept", pa.binary())] if with_kept else [])])
-    out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_remove(bits, sorted_bytes, schema, with_kept), _ddl(schema))
+    out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_remove(schema, with_kept), _ddl(schema))
     return out.withColumnRenamed("id", id_col)
