@@ -1,4 +1,4 @@
-"""Training-data operators: ten DataFrame operators and the queries that apply them.
+"""Training-data operators: thirteen DataFrame operators and the queries that apply them.
 
 Nothing outside this subpackage imports it; ``__spark_entry__.py`` adds its queries when it is present.
 """
