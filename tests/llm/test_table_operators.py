@@ -244,7 +244,7 @@ def test_null_and_repeated_ids_are_mixed_apart(spark):
 
 
 @pytest.mark.parametrize("repeat", ["over sources", "within a source", "all in one source"])
-def test_repeated_rows_have_uses_of_their_own(spark, repeat):
+def test_repeated_rows_have_uses_of_their_own(spark, tmp_path, repeat):
     """Each source within half a document of its target, whatever rows repeat."""
     text = lambda k: f"word{k} " * 100
     docs = [(k, text(k), None, "a" if k < 10 else "b") for k in range(20)]
@@ -258,6 +258,10 @@ def test_repeated_rows_have_uses_of_their_own(spark, repeat):
     got = Counter(r["source"] for r in mixing.training_stream(documents(spark, docs)).collect())
     for s in ("a", "b"):
         assert abs(100 * got[s] - targets[s]) <= 50, (s, got, targets)
+    # Of files, rows are told apart by their places there; a column may have the name of what says so.
+    documents(spark, docs).withColumn("_metadata", F.lit("x")).repartition(3).write.parquet(str(tmp_path / "docs"))
+    files = mixing.training_stream(spark.read.parquet(str(tmp_path / "docs")))
+    assert Counter(r["source"] for r in files.collect()) == got and "_metadata" in files.columns
 
 
 # Stages keep their rows and columns, whatever these are called

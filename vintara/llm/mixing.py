@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,16 +128,32 @@ def training_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     half a document. Documents without a use have no row. Null is a source like any other. Rows are numbered first, so those that
     repeat an id or a text, in one source or several, have uses of their own. Columns may have any names; an empty table gives no rows.
     """
-    # The row's number is written with the row: what is read again has the same one.
-    numbered = materialize(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "numbered")
+    numbered = _placed(docs)
     inside = [F.col(f"row.{quoted(c)}").alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))]
-    rows = _decided(numbered.select(*inside, "number"), "id", "text", "source", weights, max_repeats, schedules, bucket_rows, ("number",)).where("taken > 0")
+    rows = _decided(numbered.select(*inside, *PLACE), "id", "text", "source", weights, max_repeats, schedules, bucket_rows, PLACE).where("taken > 0")
     rows = rows.withColumn("uses", F.round(F.col("taken") / F.col("size")).cast("int")).where("uses > 0")
-    rows = materialize(rows.select(F.col("number").alias("own"), "digest", "start", "uses", "source_size", "quota", "schedule"), "decided").hint("merge")
-    out = numbered.join(rows, F.col("number") == F.col("own")).withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
+    own = [F.col(c).alias(f"own_{c}") for c in PLACE]
+    rows = materialize(rows.select(*own, "digest", "start", "uses", "source_size", "quota", "schedule"), "decided").hint("merge")
+    out = numbered.join(rows, [F.col(c) == F.col(f"own_{c}") for c in PLACE]).withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
     share = (F.col("start") + F.col("use") * F.col("source_size")) / F.col("quota")
     position = _position(F.least(share, F.lit(1.0)), schedules, F.col("schedule"))
-    return out.withColumn("position", position).orderBy("position", "digest", "number", "use").select("row.*")
+    return out.withColumn("position", position).orderBy("position", "digest", *PLACE, "use").select("row.*")
+
+
+#: What tells rows apart that are equal in everything else: the file they stand in, and their place there.
+PLACE = ("in_file", "at_row")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """Rows (row, PLACE) for the rows of ``docs``.
+
+    Parquet files give each row's place themselves. Other frames are written first, so that what is read again has the same places.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.select(whole_row(docs), at["file_path"].alias(PLACE[0]), at["row_index"].alias(PLACE[1]))
+    except AnalysisException:
+        return materialize(docs.select(whole_row(docs), F.lit("").alias(PLACE[0]), F.monotonically_increasing_id().alias(PLACE[1])), "numbered")
 
 
 
