@@ -26,8 +26,8 @@ def parse_decimal(text: Column) -> Column:
     """Exact decimal(38,10); null for what is no number, too large, or needs more than ten decimals."""
     number = F.trim(text)
     fits = number.rlike(r"^[+-]?(\d{1,28})(\.\d{1,10}0*)?$")
-    # d.ddde+xx: exact if the exponent leaves at most ten decimals and 28 digits before the point
-    scientific = r"^[+-]?\d(?:\.(\d{1,37}))?[eE]\+?(\d{1,2})$"
+    # d.ddde±xx: exact if the exponent leaves at most ten decimals and 28 digits before the point; zeros at the end do not count
+    scientific = r"^[+-]?\d(?:\.(\d{0,37}?)0*)?[eE]([+-]?\d{1,2})$"
     exponent = F.regexp_extract(number, scientific, 2).try_cast("int")
     exact = number.rlike(scientific) & (exponent <= 27) & (F.length(F.regexp_extract(number, scientific, 1)) - exponent <= 10)
     return F.when(fits | exact, number.cast("decimal(38,10)"))

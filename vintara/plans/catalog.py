@@ -842,3 +842,6 @@ def panel_sizes(spark, d):
     """The same number of names in every arm."""
     picked = panel.pick_freshest(features.accruals(p.facts(spark, d), SPEC), FORMATIONS, _KEYS)
     return panel.common_universe(picked, 3, _KEYS).groupBy("arm", "formation_date").agg(F.count("*").alias("n"))
+
+
+from vintara.plans import landed  # noqa: E402, F401  its queries register themselves here
