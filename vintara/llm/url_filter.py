@@ -93,7 +93,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
 
     A rule that fits decides. Where none fits, the verdict is block for pages whose canonical URL is one of ``listed``
     (a column ``url``; null, empty and repeated rows do no harm), else allow. Null URLs and those without ``://`` have
-    an empty host and path and are allowed. listed is null where a rule decided. Other columns are ignored.
+    an empty host and path and are allowed. listed is null where a rule decided. Rows that repeat are judged each, and
+    alike; with nothing listed the rules alone block; empty tables give no rows. Other columns are ignored.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     keys = listed.select(canonical(F.col("url")).alias("listed_url")).where("listed_url is not null").distinct()
