@@ -28,9 +28,11 @@ def parse_decimal(text: Column) -> Column:
     fits = number.rlike(r"^[+-]?(\d{1,28})(\.\d{1,10}0*)?$")
     # d.ddde±xx: exact if the exponent leaves at most ten decimals and 28 digits before the point; zeros at the end do not count
     scientific = r"^[+-]?\d(?:\.(\d{0,37}?)0*)?[eE]([+-]?\d{1,2})$"
-    exponent = F.regexp_extract(number, scientific, 2).try_cast("int")
+    # null where there is none: a try_cast of an empty text throws and catches, and costs more than all the rest
+    exponent = F.nullif(F.regexp_extract(number, scientific, 2), F.lit("")).cast("int")
     exact = number.rlike(scientific) & (exponent <= 27) & (F.length(F.regexp_extract(number, scientific, 1)) - exponent <= 10)
-    return F.when(fits | exact, number.cast("decimal(38,10)"))
+    # two branches, not one condition: Spark makes what both sides of an "or" share ahead of it, so every plain number would be searched for an exponent
+    return F.when(fits, number.cast("decimal(38,10)")).when(exact, number.cast("decimal(38,10)"))
 
 
 def exact_decimal(text: Column, what: Column) -> Column:

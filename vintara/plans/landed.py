@@ -27,9 +27,9 @@ _DASHED = "substr(lpad(accn, 18, '0'), 1, 10) || '-' || substr(lpad(accn, 18, '0
 
 @query(f"SELECT cik, CASE WHEN taxonomy = 'F' THEN 'us-gaap' ELSE 'dei' END AS taxonomy, concept, unit, period_start, period_end, value, {_DASHED} AS accn, form, filed_at FROM facts", "facts")
 def read_company_facts(spark, d):
-    """Trees of taxonomy, concept and unit, one for each company; numbers are never doubles."""
+    """Trees of taxonomy, concept and unit, one for each company; numbers are never doubles. A company's facts meet in one exchange, which all levels of its tree keep."""
     e = F.struct(F.col("period_start").alias("start"), F.col("period_end").alias("end"), F.col("value").alias("val"), F.lpad("accn", 18, "0").alias("accn"), "form", F.col("filed_at").alias("filed"))
-    rows = p.facts(spark, d).withColumn("taxonomy", F.when(F.col("taxonomy") == "F", "us-gaap").otherwise("dei"))
+    rows = p.facts(spark, d).withColumn("taxonomy", F.when(F.col("taxonomy") == "F", "us-gaap").otherwise("dei")).repartition("cik")
     units = rows.groupBy("cik", "taxonomy", "concept", "unit").agg(F.collect_list(e).alias("list"))
     concepts = units.groupBy("cik", "taxonomy", "concept").agg(_map("unit", F.col("list")).alias("units"))
     taxonomies = concepts.groupBy("cik", "taxonomy").agg(_map("concept", F.struct("units")).alias("concepts"))

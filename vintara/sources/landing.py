@@ -42,16 +42,25 @@ def _shaped(docs: DataFrame, ddl: str, required: str) -> DataFrame:
     return _good(_parsed(docs, ddl), F.col(f"json.{required}").isNotNull(), "unexpected shape")
 
 
+def _once(rows: DataFrame, made: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is made once a row. No filter passes a generator, so filters on the column do not make it again."""
+    return rows.select("*", F.explode(F.array(made)).alias(name))
+
+
 def _parsed(docs: DataFrame, ddl: str) -> DataFrame:
-    return docs.withColumn("json", F.from_json("body", ddl))
+    return _once(docs, F.from_json("body", ddl), "json")
 
 
-def _good(parsed: DataFrame, fine: Column, reason: str, strict: bool = True) -> DataFrame:
-    """The rows that are fine; the others raise or, where they are rejected elsewhere, are left out."""
+def _good(parsed: DataFrame, fine: Column, reason: str, strict: bool = True, kept: str = "json") -> DataFrame:
+    """The rows that are fine; the others raise or, where they are rejected elsewhere, are left out.
+
+    What is read on is the checked column ``kept``, made anew: a filter that Spark derives from a later explode cannot drop a row before it raises.
+    """
     if not strict:
         return parsed.where(F.coalesce(fine, F.lit(False)))
     wrong = F.concat(F.lit(f"{reason} in "), F.col("source_uri"))
-    return parsed.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")))
+    checked = F.when(fine, F.col(kept)).otherwise(F.raise_error(wrong))
+    return _once(parsed, checked, "_checked").drop(kept).withColumnRenamed("_checked", kept)
 
 
 def _bad(parsed: DataFrame, fine: Column, reason: str) -> DataFrame:
@@ -63,7 +72,9 @@ def _with_rejects(parsed: Parsed, *rejects: DataFrame) -> Parsed:
 
 
 def _split(tagged: DataFrame, columns: list[str]) -> Parsed:
-    return Parsed(tagged.where("reason is null").select("source_uri", *[c for c in columns if c != "source_uri"]), tagged.where("reason is not null").select("source_uri", "reason"))
+    """Rows without a reason, and the others' reasons; what is parsed to find a reason is not parsed again for the row."""
+    made = _once(tagged, F.struct(*tagged.columns), "_row").select("_row.*")
+    return Parsed(made.where("reason is null").select("source_uri", *[c for c in columns if c != "source_uri"]), made.where("reason is not null").select("source_uri", "reason"))
 
 
 def company_tickers(docs: DataFrame, observed_at: str, strict: bool = True) -> Parsed:
@@ -99,7 +110,7 @@ def submissions(docs: DataFrame, history: DataFrame | None = None, strict: bool
         even = even & (F.col(f"a.{n}").isNull() | (F.size(f"a.{n}") == F.size("a.accessionNumber")))
     shaped = F.col("a").isNotNull()
     rejects = [_bad(parts, shaped, "unexpected shape"), _bad(parts.where(shaped), even, "arrays of unequal length")]
-    parts = _good(_good(parts, shaped, "unexpected shape", strict), even, "arrays of unequal length", strict)
+    parts = _good(_good(parts, shaped, "unexpected shape", strict, "a"), even, "arrays of unequal length", strict, "a")
     absent = lambda n: F.array_repeat(F.lit(None).cast("int" if n == "isXBRL" else "string"), F.size("a.accessionNumber"))
     zipped = F.explode(F.arrays_zip(*[F.coalesce(F.col(f"a.{n}"), absent(n)).alias(n) for n in _ARRAYS])).alias("f")
     rows = parts.select("source_uri", "cik", zipped).select(
@@ -261,7 +272,7 @@ def daily_bars(raw: DataFrame, adjusted: DataFrame, symbol: str, source: str, st
     """As-traded bars with the adjusted close of the same day; impossible bars are rejected, an object as body raises."""
     bars = "ARRAY<STRUCT<date: STRING, open: DOUBLE, high: DOUBLE, low: DOUBLE, close: DOUBLE, volume: DOUBLE>>"
     is_list = F.ltrim("body").startswith("[")
-    listed = lambda docs, ddl: _good(docs, is_list, "no list of bars", strict).select("source_uri", F.explode(F.from_json("body", ddl)).alias("b"))
+    listed = lambda docs, ddl: _good(docs, is_list, "no list of bars", strict, "body").select("source_uri", F.explode(F.from_json("body", ddl)).alias("b"))
     wrong = [] if strict else [_bad(d, is_list, "no list of bars") for d in (raw, adjusted)]
     a = listed(adjusted, "ARRAY<STRUCT<date: STRING, adjClose: DOUBLE>>").select(F.col("b.date").alias("_d"), F.col("b.adjClose").alias("adj_close")).dropDuplicates(["_d"])
     rows = listed(raw, bars).select("source_uri", "b.*").join(a, F.col("date") == F.col("_d"), "left")
@@ -275,7 +286,7 @@ def delisted(docs: DataFrame, observed_at: str, source: str, strict: bool = True
     """A list of delisted symbols; entries without a symbol are rejects, a body that is no list raises."""
     is_list = F.ltrim("body").startswith("[")
     wrong = [] if strict else [_bad(docs, is_list, "no list of symbols")]
-    rows = _good(docs, is_list, "no list of symbols", strict).select("source_uri", F.explode(F.from_json("body", "ARRAY<STRUCT<symbol: STRING, exchange: STRING, companyName: STRING, ipoDate: STRING, delistedDate: STRING>>")).alias("d"))
+    rows = _good(docs, is_list, "no list of symbols", strict, "body").select("source_uri", F.explode(F.from_json("body", "ARRAY<STRUCT<symbol: STRING, exchange: STRING, companyName: STRING, ipoDate: STRING, delistedDate: STRING>>")).alias("d"))
     rows = rows.select(
         "source_uri", F.nullif(F.trim("d.symbol"), F.lit("")).alias("symbol"), F.col("d.exchange").alias("exchange"), F.col("d.companyName").alias("company_name"),
         s.parse_date(F.col("d.ipoDate")).alias("ipo_date"), s.parse_date(F.col("d.delistedDate")).alias("delisted_date"), F.lit(observed_at).cast("date").alias("observed_at"), F.lit(source).alias("source"),
