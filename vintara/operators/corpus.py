@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import relative_change, unit_class
-from vintara.operators.selection import exact_quantiles
+from vintara.operators.selection import exact_quantiles, quantiles_of
+from vintara.operators.staging import staged
 from vintara.operators.views import facts_pit
 from vintara.schemas import CHAIN_ORDER, GRAIN
 
@@ -27,13 +28,16 @@ def per_fact(facts: DataFrame) -> DataFrame:
 
 
 def _per_fact_columns() -> list[Column]:
-    """Whether a fact has two values its smallest and largest say; no set of values is kept."""
+    """Whether a fact has two values its smallest and largest say; no set of values is kept.
+
+    The first and the latest report are the least and the largest struct of the chain's order, which has the value in it.
+    """
     order = F.struct(*CHAIN_ORDER)
     return [
         F.count("*").alias("n_reports"),
         F.coalesce(F.min("value") != F.max("value"), F.lit(False)).alias("restated"),
-        F.min_by("value", order).alias("first_value"),
-        F.max_by("value", order).alias("latest_value"),
+        F.min(order)["value"].alias("first_value"),
+        F.max(order)["value"].alias("latest_value"),
     ]
 
 
@@ -99,12 +103,17 @@ UNIT_CLASSES = ("per-share", "share count", "other")
 
 
 def by_unit_class(facts: DataFrame) -> DataFrame:
-    """Counts and the exact median change of restated facts by class of unit; the medians are selected, see :mod:`selection`."""
-    rows = per_fact(facts).withColumn("unit_class", unit_class(F.col("unit")))
-    change = lambda c: F.when(F.col("restated") & (F.col("unit_class") == c), F.col("relative_change"))
-    medians = exact_quantiles(rows, {c: change(c) for c in UNIT_CLASSES}, [0.5])
-    up, down = F.count_if(F.col("restated") & (F.col("latest_value") > F.col("first_value"))), F.count_if(F.col("restated") & (F.col("latest_value") < F.col("first_value")))
-    out = rows.groupBy("unit_class").agg(F.count("*").alias("facts"), F.count_if("restated").alias("restated_facts"), up.alias("revised_up"), down.alias("revised_down"))
+    """Counts and the exact median change of restated facts by class of unit; the medians are selected, see :mod:`selection`.
+
+    Facts are grouped once: their class, direction and change are written, and counts and medians read from there.
+    """
+    restated, a, b = F.col("restated"), F.col("first_value"), F.col("latest_value")
+    columns = [unit_class(F.col("unit")).alias("unit_class"), "restated", (restated & (b > a)).alias("up"), (restated & (b < a)).alias("down"), F.when(restated, F.col("relative_change")).alias("change")]
+    with staged(per_fact(facts).select(*columns)) as rows:
+        counts = rows.groupBy("unit_class").agg(F.count("*").alias("facts"), F.count_if("restated").alias("restated_facts"), F.count_if("up").alias("revised_up"), F.count_if("down").alias("revised_down"))
+        found, schema = counts.collect(), counts.schema  # a row a class
+        medians = quantiles_of(rows, {c: F.when(F.col("unit_class") == c, F.col("change")) for c in UNIT_CLASSES}, [0.5])
+    out = facts.sparkSession.createDataFrame(found, schema)
     median, rank = F.lit(None).cast("double"), F.lit(None).cast("int")
     for k, c in enumerate(UNIT_CLASSES):
         median, rank = F.when(F.col("unit_class") == c, F.lit(medians[c][0]).cast("double")).otherwise(median), F.when(F.col("unit_class") == c, k).otherwise(rank)

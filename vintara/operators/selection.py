@@ -97,11 +97,17 @@ def exact_quantiles(rows: DataFrame, columns: Mapping[str, Column], quantiles: S
     Nulls are no values. The columns are written once and read in every round.
     """
     with staged(rows.select(*[c.cast("double").alias(n) for n, c in columns.items()])) as values:
-        found = values.agg(*[F.count(n).alias(n) for n in columns]).first()
-        sizes = {n: found[n] for n in columns}
-        places = {n: [q * (size - 1) for q in quantiles] for n, size in sizes.items() if size}
-        ranks = {n: sorted({f(x) for x in at for f in (math.floor, math.ceil)}) for n, at in places.items()}
-        known = order_statistics(values, ranks, sizes)
+        return quantiles_of(values, {n: F.col(n) for n in columns}, quantiles)
+
+
+def quantiles_of(rows: DataFrame, columns: Mapping[str, Column], quantiles: Sequence[float]) -> dict[str, list[float | None]]:
+    """:func:`exact_quantiles` of rows that are written already, or as cheap to read again: they are read in every round."""
+    values = rows.select(*[c.cast("double").alias(n) for n, c in columns.items()])
+    found = values.agg(*[F.count(n).alias(n) for n in columns]).first()
+    sizes = {n: found[n] for n in columns}
+    places = {n: [q * (size - 1) for q in quantiles] for n, size in sizes.items() if size}
+    ranks = {n: sorted({f(x) for x in at for f in (math.floor, math.ceil)}) for n, at in places.items()}
+    known = order_statistics(values, ranks, sizes)
     out: dict[str, list[float | None]] = {n: [None] * len(quantiles) for n in columns}
     for n, at in places.items():
         out[n] = []
